@@ -1 +1,3 @@
-"""Part of Skemara."""
+"""Queries over the test tables, by family. Importing this package registers them."""
+
+from skemara.plans import classify, metrics, quota, stats, usage  # noqa: F401
