@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skemara.llm.shared import arrow_rows, scratch_dir, stage_table
+from skemara.llm.shared import arrow_rows, checked_broadcast, scratch_dir, stage_table
 
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: Payloads of fewer bytes are written again rather than referred to.
@@ -67,7 +67,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     light = rows.filter((F.octet_length("_html") >= MIN_REVISIT) & F.col("_id").isNotNull()).select("_id", "_digest")
     firsts = light.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_digest", "_first")
     again = light.join(firsts, "_digest").filter("_id <> _first").distinct()
-    rows = rows.join(again, ["_id", "_digest"], "left")
+    # Where a count shows that few pages are repeats, the payloads are not shuffled at all.
+    rows = rows.join(checked_broadcast(stage_table(again, "repeats")), ["_id", "_digest"], "left")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
