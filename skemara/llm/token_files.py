@@ -28,10 +28,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skemara.llm.shared import arrow_rows, look_up, scratch_dir, stage_table
+from skemara.llm.shared import CACHE, arrow_rows, look_up, scratch_dir, stage_table
 
 MAGIC, BLOCK, PERCENTILE = b"PFRB0001", 1024, 95
 HEAD, FOOT = struct.Struct("<IHBBH"), struct.Struct("<6Q8s")
+#: Characters that are letters to the pattern; a word of others goes to the library as it is.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 #: Ids decoded at a time.
 WINDOW = 1 << 18
 
@@ -147,26 +149,56 @@ class ByteEncoder:
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         #: Ids of a word that follows a space, as bytes of unsigned 32-bit integers.
         self.known: dict[str, bytes] = {}
+        #: Ids of a word's parts: letters after a space, and others.
+        self.bits: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.parts = re.compile(f"({LETTERS}+)([.,]*)(?:(\\n)({LETTERS}+)([.,]*))?")
+        self.feed = self.alone(["\n"])[0]
+        self.line = int(np.frombuffer(self.feed, "<u4")[0])
         self.unclear, self.cut = re.compile(r" (?:\s|$)"), re.compile(r" (?=\S)")
 
     def alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if w and " " not in w]
-        rows = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        fresh: dict[str, bytes] = {}
-        odd = [w for w in words if not w or " " in w]
-        for row, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(f" {w}" for w in r) for r in rows], add_special_tokens=False), strict=True):
+    def _row(self, words: list[str], mark: str) -> dict[str, bytes]:
+        """Ids of words that are encoded side by side, each after `mark`; a word is cut off where the next mark's id stands."""
+        rows = [words[i : i + 256] for i in range(0, len(words), 256)]
+        out, odd = {}, []
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(f"{mark}{w}" for w in r) for r in rows], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            starts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            starts = np.flatnonzero(self.spaced[ids] if mark == " " else ids == self.line)
             if len(starts) != len(row):
                 odd += row
                 continue
+            lows = starts if mark == " " else starts + 1
             data = ids.tobytes()
-            fresh.update(zip(row, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)])), strict=True))
-        fresh.update(zip(odd, self.alone([f" {w}" for w in odd]), strict=True))
-        return fresh
+            out.update(zip(row, map(data.__getitem__, map(slice, (4 * lows).tolist(), [*(4 * starts[1:]).tolist(), len(data)])), strict=True))
+        out.update(zip(odd, self.alone([f"{mark}{w}" if mark == " " else w for w in odd]), strict=True))
+        return out
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that follow a space. Letters, a run of stops and a line feed with more letters are parts that the pattern always cuts, so they are looked up apart."""
+        odd = [w for w in words if not w or " " in w]
+        plain, cut = [], {}
+        for w in words:
+            if w and " " not in w:
+                if m := self.parts.fullmatch(w):
+                    cut[w] = m.groups("")
+                else:
+                    plain.append(w)
+        bits = self.bits
+        heads = {a for a, *_ in cut.values()}.difference(bits[0])
+        tails = {x for _, b, _, c, d in cut.values() for x in (b, c, d) if x}.difference(bits[1])
+        if len(bits[0]) + len(bits[1]) + len(heads) + len(tails) > CACHE // 2:
+            bits[0].clear()
+            bits[1].clear()
+            heads, tails = {a for a, *_ in cut.values()}, {x for _, b, _, c, d in cut.values() for x in (b, c, d) if x}
+        bits[0].update(self._row(list(heads), " "))
+        bits[1].update(self._row(list(tails), "\n"))
+        first, other, line = *bits, self.feed
+        out = {w: first[a] + (other[b] if b else b"") + (line if n else b"") + (other[c] if c else b"") + (other[d] if d else b"") for w, (a, b, n, c, d) in cut.items()}
+        out |= self._row(plain, " ")
+        out.update(zip(odd, self.alone([f" {w}" for w in odd]), strict=True))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [((self.cut.split(t) if self.unclear.search(t) else t.split(" ")) if t else [""]) for t in texts]
