@@ -16,6 +16,7 @@ exception places u16 each, exception upper parts u32 each.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -214,7 +215,8 @@ class ByteEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ByteEncoder:
-    """One encoder per worker process."""
+    """One encoder per worker process, on one thread: Spark has a task for each core already."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ByteEncoder(path)
 
 
