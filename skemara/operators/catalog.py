@@ -292,3 +292,19 @@ def infer_database(prompts: DataFrame, tables: DataFrame, key: str, text: str) -
     words = prompts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z_][a-z0-9_]*)"), F.lit(1)))).alias("table"))
     hits = words.join(tables.select("db_id", F.lower("table").alias("table")).distinct(), "table").groupBy(key, "db_id").agg(F.count(F.lit(1)).alias("c"))
     return hits.groupBy(key).agg(F.min_by("db_id", F.struct(-F.col("c"), "db_id")).alias("db_id"))
+
+
+def id_columns(profiles: DataFrame, keys: DataFrame, common: tuple[str, ...] = ("id", "uid", "uuid", "key", "code")) -> DataFrame:
+    """(table, id_column): the primary key, else the first column with a common name or ending, else the first column."""
+    name = F.lower("column")
+    rank = F.when(name.isin(*common), 0).when(name.rlike("_id$|key$"), 1).otherwise(2)
+    picked = profiles.groupBy("table").agg(F.min_by("column", F.struct(rank, "ordinal")).alias("_c"))
+    return picked.join(keys, "table", "left").select("table", F.coalesce("primary_key", "_c").alias("id_column"))
+
+
+def loose_keys(profiles: DataFrame) -> DataFrame:
+    """(table, primary_key) by the looser rule: `id`, else a unique *_id or *key, else the first column."""
+    name = F.lower("column")
+    unique = (F.col("n_distinct") == F.col("n")) & (F.col("n_set") == F.col("n"))
+    rank = F.when(name == "id", 0).when(name.rlike("_id$|key$") & unique, 1).otherwise(2)
+    return profiles.groupBy("table").agg(F.min_by("column", F.struct(rank, "ordinal")).alias("primary_key"))

@@ -106,6 +106,22 @@ def join_size(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool
     return out.agg(F.coalesce(F.sum("_w"), F.lit(0)).cast("long").alias("rows"))
 
 
+def small_enough(tables: Tables, schema: Schema, structures: list[tuple[tuple[str, ...], bool]], most: int = MAX_ROWS) -> list[tuple[tuple[str, ...], bool]]:
+    """The structures whose join has `most` rows at most, told from counts before any join is made."""
+    return [(names, star) for names, star in structures if join_size(tables, schema, names, star).first()["rows"] <= most]
+
+
+def involved(spec: Spec) -> tuple[list[str], list[str]]:
+    """Tables and columns that a query touches, each once, in order."""
+    return list(dict.fromkeys(spec.tables)), list(dict.fromkeys(f"{p.alias}.{p.column}" for p in spec.predicates))
+
+
+def primary_reason(tried: DataFrame) -> DataFrame:
+    """(strategy, attempts, reason): the most frequent failure of each class, first in name among equals."""
+    counts = tried.groupBy("strategy", "outcome").agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy("strategy").agg(F.sum("c").alias("attempts"), F.min_by(F.when(F.col("outcome") != "ok", F.col("outcome")), F.when(F.col("outcome") != "ok", F.struct(-F.col("c"), F.col("outcome")))).alias("reason"))
+
+
 def test(p: Predicate) -> Column:
     """A predicate over a joined frame. LIKE is a literal, case-insensitive containment."""
     c = F.col(f"`{p.column}_{p.alias}`")

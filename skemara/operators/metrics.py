@@ -204,3 +204,11 @@ def fill_surface(grid: DataFrame, x: str, y: str, weight: float = 10.0) -> DataF
     out = cells.join(local, [x, y], "left").join(grid, [x, y], "left")
     n = F.coalesce("n", F.lit(0))
     return out.select(x, y, n.alias("n"), F.when(n == 0, F.col("local")).otherwise((n * F.col("mean") + weight * F.col("local")) / (n + weight)).alias("filled"))
+
+
+def result_id(rows: DataFrame) -> Column:
+    """The identifier of a result row: `id`, then *_id, then a number, then the only column; the first that is not null."""
+    names = rows.columns
+    order = [c for c in names if c.lower() == "id"] + [c for c in names if c.lower().endswith("_id")] + [c for c in names if "number" in c.lower()]
+    order = order or (names if len(names) == 1 else [])
+    return F.coalesce(*(F.col(c).cast("string") for c in dict.fromkeys(order))) if order else F.lit(None).cast("string")

@@ -309,3 +309,66 @@ def b1_random_baseline(spark: SparkSession, sf: str) -> DataFrame:
     both = [s for s in specs if len(s.tables) == 2]
     found = J.answers(J.joined(t, schema, ("orders",), False), alone, "o_orderkey").unionByName(J.answers(J.joined(t, schema, ("orders", "customer"), True), both, "o_orderkey"))
     return found.groupBy("spec").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('region', 'r_regionkey'), ('nation', 'n_nationkey'), ('orders', 'o_orderkey'), ('lineitem', 'l_orderkey')) AS v(\"table\", id_column)")
+def p2_p26_id_columns(spark: SparkSession, sf: str) -> DataFrame:
+    t = P.pinned(P.typed(P.profile(spark, tables(spark, sf, ("region", "nation", "orders", "lineitem")))))
+    return P.id_columns(t, P.primary_keys(t))
+
+
+@query("SELECT * FROM (VALUES ('lineitem', 'l_orderkey', 'orders'), ('lineitem', 'l_partkey', 'part'), ('lineitem', 'l_suppkey', 'supplier'), ('orders', 'o_custkey', 'customer'), ('customer', 'c_nationkey', 'nation'), ('supplier', 's_nationkey', 'nation'), ('nation', 'n_regionkey', 'region')) AS v(child_table, child_column, parent_table)")
+def p6_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    t = types(spark, sf)
+    own = P.primary_keys(t).select(F.col("table").alias("child_table"), F.col("primary_key").alias("child_column"))
+    return P.candidate_parents(t, P.pinned(P.primary_keys(t))).join(own, ["child_table", "child_column"], "left_anti").select("child_table", "child_column", "parent_table")
+
+
+@query("SELECT 'orders' AS child_table, 'o_custkey' AS child_column WHERE (SELECT count(*) FROM orders) > 0")
+def p9_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """External verdicts take the place of the rules."""
+    t = P.pinned(P.typed(P.profile(spark, tables(spark, sf, ("orders", "customer")))))
+    said = key_rows(spark).filter("child_table = 'orders'")
+    return P.discover(tables(spark, sf, ("orders", "customer")), t, P.primary_keys(t), "orders", said).select("child_table", "child_column")
+
+
+@query("SELECT 'orders/customer' AS path WHERE (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) <= (SELECT 2 * count(*) FROM orders)")
+def j6_guard(spark: SparkSession, sf: str) -> DataFrame:
+    t = tables(spark, sf)
+    most = 2 * t["orders"].count()
+    kept = J.small_enough(t, SCHEMA, [(("orders", "customer"), False), (("orders", "lineitem", "part", ), False)], most)
+    return spark.createDataFrame([("/".join(names),) for names, _ in kept], "path string")
+
+
+@query("SELECT spec, 'orders,customer,nation' AS tables FROM range(10) AS g(spec)")
+def v3_v5_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten anchored queries whose text resolves, with the tables that they touch."""
+    _, specs = chain_specs(spark, sf, "2pE", 10)
+    for n in PATH:
+        tables(spark, sf, PATH)[n].createOrReplaceTempView(n)
+    good = [s for s in specs if J.resolves(spark, J.render(s, SCHEMA)) is None]
+    return spark.createDataFrame([(s.number, ",".join(J.involved(s)[0])) for s in good], "spec long, tables string")
+
+
+@query()
+def v6_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    frame, specs = chain_specs(spark, sf, "2pE", 60)
+    more = J.anchored_specs(frame, SCHEMA, "2pM", PATH, False, FILTERS, 60, first=60, seed=1)
+    return J.primary_reason(J.outcomes(specs + more, J.answers(frame, specs + more, "o_orderkey"), 15))
+
+
+@query("SELECT 'a' AS uid, 'too_many' AS status, 16 AS n UNION ALL SELECT 'b', 'error', 0 UNION ALL SELECT 'c', 'empty', 0 UNION ALL SELECT 'd', 'ok', (SELECT count(*) FROM region)")
+def b2_supplied_statements(spark: SparkSession, sf: str) -> DataFrame:
+    for n in ("orders", "region"):
+        table(spark, sf, n).createOrReplaceTempView(n)
+    return J.execute_pairs(spark, [("a", "SELECT o_orderkey FROM orders"), ("b", "SELECT lost FROM orders"), ("c", "SELECT o_orderkey FROM orders WHERE o_orderkey < 0"), ("d", "SELECT r_regionkey FROM region")], 15)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'id' || c_custkey ELSE 'no' || c_custkey END AS row_id FROM customer")
+def m18_result_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Row identifiers by the priority of field names."""
+    from skemara.operators.metrics import result_id
+
+    c = table(spark, sf, "customer")
+    rows = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("id"), F.col("c_custkey").cast("string"))).alias("row_id"), F.concat(F.lit("no"), F.col("c_custkey").cast("string")).alias("a_number"), F.lit("x").alias("other"))
+    return rows.select("c_custkey", result_id(rows.drop("c_custkey")).alias("row_id"))
