@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skemara.llm.shared import arrow_rows, look_up, stage_table
+from skemara.llm.shared import Known, arrow_rows, look_up, stage_table
 
 SPACE = "▁"
 NONE = np.int32(1 << 30)
@@ -76,7 +76,7 @@ class PieceModel:
                 self.text[i] = " ⁇ ".encode()
         self.is_byte = [sp.is_byte(i) for i in range(n)]
         #: Ids of a word, as bytes of signed 32-bit integers.
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
 
     def _table(self, bits: int) -> None:
         """Open addressing over the pair keys, for lookups of whole arrays."""

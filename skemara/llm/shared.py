@@ -137,11 +137,27 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], values: dict
     return held.select(*df.columns, *names)
 
 
-def look_up(known: dict[str, bytes], split: list[list[str]], learn) -> list[list[bytes]]:
+class Known(dict):
+    """Words and their ids; notes the words that it lacks."""
+
+    def __init__(self):
+        super().__init__()
+        self.lacked: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.lacked.append(word)
+
+
+def look_up(known: Known, split: list[list[str]], learn) -> list[list[bytes]]:
     """What `known` has for each word; `learn` makes what it lacks. `known` is emptied when it is full."""
-    out = [list(map(known.get, words)) for words in split]
-    open_rows = [k for k, parts in enumerate(out) if None in parts]
-    new = learn(list({w for k in open_rows for w, part in zip(split[k], out[k], strict=True) if part is None}))
+    out, open_rows = [], []
+    for k, words in enumerate(split):
+        before = len(known.lacked)
+        out.append(list(map(known.__getitem__, words)))
+        if len(known.lacked) > before:
+            open_rows.append(k)
+    new = learn(list(set(known.lacked)))
+    known.lacked.clear()
     for k in open_rows:
         out[k] = [new[w] if part is None else part for w, part in zip(split[k], out[k], strict=True)]
     if len(known) + len(new) > CACHE:

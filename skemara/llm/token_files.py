@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skemara.llm.shared import CACHE, arrow_rows, look_up, scratch_dir, stage_table
+from skemara.llm.shared import CACHE, Known, arrow_rows, look_up, scratch_dir, stage_table
 
 MAGIC, BLOCK, PERCENTILE = b"PFRB0001", 1024, 95
 HEAD, FOOT = struct.Struct("<IHBBH"), struct.Struct("<6Q8s")
@@ -45,7 +45,8 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     rest = (ids - np.uint32(low)).astype(np.uint32)
     width = int(np.partition(rest, at := int((len(rest) - 1) * percentile / 100))[at]).bit_length()
     wide = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    size = 1 if width <= 8 else 2 if width <= 16 else 4  # bytes that the packed bits are in
+    bits = np.unpackbits(rest.astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :width]
     packed = np.packbits(bits, bitorder="little").tobytes()
     over = (rest[wide] >> np.uint32(width)).astype("<u4") if len(wide) else np.empty(0, "<u4")
     return HEAD.pack(low, len(ids), width, 0, len(wide)) + packed + wide.astype("<u2").tobytes() + over.tobytes()
@@ -56,9 +57,10 @@ def unpack_block(data: memoryview) -> np.ndarray:
     low, count, width, _, exceptions = HEAD.unpack_from(data)
     size = (count * width + 7) // 8
     bits = np.unpackbits(np.frombuffer(data, np.uint8, size, HEAD.size), bitorder="little")[: count * width].reshape(count, width)
-    whole = np.zeros((count, 32), np.uint8)
+    word = 1 if width <= 8 else 2 if width <= 16 else 4
+    whole = bits if width == 8 * word else np.zeros((count, 8 * word), np.uint8)
     whole[:, :width] = bits
-    ids = np.packbits(whole, axis=1, bitorder="little").view("<u4").ravel().copy()
+    ids = np.packbits(whole, axis=1, bitorder="little").view(f"<u{word}").ravel().astype("<u4")
     if exceptions:
         at = np.frombuffer(data, "<u2", exceptions, HEAD.size + size)
         ids[at] |= np.frombuffer(data, "<u4", exceptions, HEAD.size + size + 2 * exceptions) << np.uint32(width)
@@ -149,7 +151,7 @@ class ByteEncoder:
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         #: Ids of a word that follows a space, as bytes of unsigned 32-bit integers.
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
         #: Ids of a word's parts: letters after a space, and others.
         self.bits: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.parts = re.compile(f"({LETTERS}+)([.,]*)(?:(\\n)({LETTERS}+)([.,]*))?")
