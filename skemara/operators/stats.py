@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skemara.functions.scalar import mix
+from skemara.sources.scratch import stored
 
 
 def aligned(records: DataFrame, key: str = "uid", model: str = "model") -> DataFrame:
@@ -55,8 +56,13 @@ def bootstrap(diffs: DataFrame, reps: int = 1000, seed: int = 0, weight: str | N
     thing that meets the draws.
     """
     w = F.col(weight) if weight else F.lit(1.0)
-    by = "cluster" if diffs.select("cluster").distinct().limit(2).count() > 1 else "uid"
-    sums = diffs.groupBy("a", "b", F.col(by).alias("c")).agg(F.sum(F.col("d") * w).alias("s"), F.sum(w).alias("n"))
+
+    def sums_by(unit: str) -> DataFrame:
+        return stored(diffs.groupBy("a", "b", F.col(unit).alias("c")).agg(F.sum(F.col("d") * w).alias("s"), F.sum(w).alias("n")), "bootstrap")
+
+    sums = sums_by("cluster")
+    if sums.select("c").distinct().limit(2).count() < 2:
+        sums = sums_by("uid")
     units = sums.select("c").distinct()
     # One window over the distinct clusters numbers them; the draws need dense numbers.
     numbered = units.withColumn("unit", (F.row_number().over(Window.orderBy("c")) - 1).cast("long"))
