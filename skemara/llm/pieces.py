@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skemara.llm.shared import Known, arrow_rows, look_up, stage_table
+from skemara.llm.shared import arrow_rows, look_up, stage_table
 
 SPACE = "▁"
 NONE = np.int32(1 << 30)
@@ -76,7 +76,7 @@ class PieceModel:
                 self.text[i] = " ⁇ ".encode()
         self.is_byte = [sp.is_byte(i) for i in range(n)]
         #: Ids of a word, as bytes of signed 32-bit integers.
-        self.known = Known()
+        self.known: dict[str, bytes] = {}
 
     def _table(self, bits: int) -> None:
         """Open addressing over the pair keys, for lookups of whole arrays."""
@@ -222,7 +222,7 @@ class PieceModel:
         """Ids of each text without an end id; a null or empty text has none."""
         split = [re.findall(" +[^ ]*", " " + t.replace(SPACE, " ")) if t else [] for t in texts]
         found = look_up(self.known, split, lambda new: dict(zip(new, self.merge(new), strict=True)))
-        return [np.frombuffer(b"".join(parts), "<i4") for parts in found]
+        return [np.frombuffer(ids, "<i4") for ids in found]
 
     def decode(self, ids: list[int]) -> str:
         """The text of `ids`: control ids are silent, bytes that are no UTF-8 give U+FFFD each, one space at the start goes."""

@@ -137,30 +137,18 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], values: dict
     return held.select(*df.columns, *names)
 
 
-class Known(dict):
-    """Words and their ids; notes the words that it lacks."""
-
-    def __init__(self):
-        super().__init__()
-        self.lacked: list[str] = []
-
-    def __missing__(self, word: str) -> None:
-        self.lacked.append(word)
-
-
-def look_up(known: Known, split: list[list[str]], learn) -> list[list[bytes]]:
-    """What `known` has for each word; `learn` makes what it lacks. `known` is emptied when it is full."""
-    out, open_rows = [], []
-    for k, words in enumerate(split):
-        before = len(known.lacked)
-        out.append(list(map(known.__getitem__, words)))
-        if len(known.lacked) > before:
-            open_rows.append(k)
-    new = learn(list(set(known.lacked)))
-    known.lacked.clear()
-    for k in open_rows:
-        out[k] = [new[w] if part is None else part for w, part in zip(split[k], out[k], strict=True)]
+def look_up(known: dict[str, bytes], split: list[list[str]], learn) -> list[bytes]:
+    """The ids of each list of words, one word's after the other's; `learn` makes what `known` lacks.
+
+    Words are counted out first, so the large table is asked once for each
+    distinct one and the rest meets a small table. `known` is emptied when it is full.
+    """
+    words = set().union(*split)
+    here = dict(zip(words, map(known.get, words), strict=True))
+    new = learn([w for w, ids in here.items() if ids is None])
+    here.update(new)
     if len(known) + len(new) > CACHE:
         known.clear()
-    known.update((w, ids) for w, ids in new.items() if len(w) <= CACHED_CHARS)
-    return out
+    if new:
+        known.update(new if max(map(len, new)) <= CACHED_CHARS else {w: ids for w, ids in new.items() if len(w) <= CACHED_CHARS})
+    return [b"".join(map(here.__getitem__, row)) for row in split]

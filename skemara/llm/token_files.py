@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skemara.llm.shared import CACHE, Known, arrow_rows, look_up, scratch_dir, stage_table
+from skemara.llm.shared import CACHE, arrow_rows, look_up, scratch_dir, stage_table
 
 MAGIC, BLOCK, PERCENTILE = b"PFRB0001", 1024, 95
 HEAD, FOOT = struct.Struct("<IHBBH"), struct.Struct("<6Q8s")
@@ -39,15 +39,46 @@ LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 WINDOW = 1 << 18
 
 
+def pack_bits(values: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bits of each value, one after the other from the lowest bit on."""
+    size = 1 if width <= 8 else 2 if width <= 16 else 4
+    raw = values.astype(f"<u{size}")
+    if width == 8 * size:
+        return raw.tobytes()
+    return np.packbits(np.unpackbits(raw.view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :width], bitorder="little").tobytes()
+
+
+def unpack_bits(data: memoryview, width: int, count: int) -> np.ndarray:
+    """The `count` values that pack_bits has packed, as unsigned 32-bit integers."""
+    if width in (16, 32):
+        return np.frombuffer(data, f"<u{width // 8}", count).astype("<u4")
+    if width > 16:
+        whole = np.zeros((count, 32), np.uint8)
+        whole[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: count * width].reshape(count, width)
+        return np.packbits(whole, axis=1, bitorder="little").view("<u4").ravel()
+    if not width:
+        return np.zeros(count, "<u4")
+    # Eight values fill `width` bytes: they are read as two machine words, with four values each.
+    eights = -(-count // 8)
+    raw = np.zeros((eights, 16), np.uint8)
+    raw[:, :width] = np.frombuffer(bytes(data).ljust(eights * width, b"\0"), np.uint8).reshape(eights, width)
+    joined = raw.view("<u8").astype(np.uint64)
+    fours = np.empty_like(joined)
+    fours[:, 0] = joined[:, 0]
+    fours[:, 1] = (joined[:, 0] >> np.uint64(4 * width)) | (joined[:, 1] << np.uint64(64 - 4 * width))
+    values = np.empty((2 * eights, 4), "<u4")
+    for k in range(4):
+        values[:, k] = (fours.ravel() >> np.uint64(k * width)) & np.uint64((1 << width) - 1)
+    return values.ravel()[:count]
+
+
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """One block; `ids` are up to 65,535 unsigned 32-bit integers."""
     low = int(ids.min())
     rest = (ids - np.uint32(low)).astype(np.uint32)
     width = int(np.partition(rest, at := int((len(rest) - 1) * percentile / 100))[at]).bit_length()
     wide = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    size = 1 if width <= 8 else 2 if width <= 16 else 4  # bytes that the packed bits are in
-    bits = np.unpackbits(rest.astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :width]
-    packed = np.packbits(bits, bitorder="little").tobytes()
+    packed = pack_bits(rest, width)
     over = (rest[wide] >> np.uint32(width)).astype("<u4") if len(wide) else np.empty(0, "<u4")
     return HEAD.pack(low, len(ids), width, 0, len(wide)) + packed + wide.astype("<u2").tobytes() + over.tobytes()
 
@@ -56,11 +87,7 @@ def unpack_block(data: memoryview) -> np.ndarray:
     """The ids of one block."""
     low, count, width, _, exceptions = HEAD.unpack_from(data)
     size = (count * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, HEAD.size), bitorder="little")[: count * width].reshape(count, width)
-    word = 1 if width <= 8 else 2 if width <= 16 else 4
-    whole = bits if width == 8 * word else np.zeros((count, 8 * word), np.uint8)
-    whole[:, :width] = bits
-    ids = np.packbits(whole, axis=1, bitorder="little").view(f"<u{word}").ravel().astype("<u4")
+    ids = unpack_bits(data[HEAD.size : HEAD.size + size], width, count)
     if exceptions:
         at = np.frombuffer(data, "<u2", exceptions, HEAD.size + size)
         ids[at] |= np.frombuffer(data, "<u4", exceptions, HEAD.size + size + 2 * exceptions) << np.uint32(width)
@@ -151,10 +178,11 @@ class ByteEncoder:
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         #: Ids of a word that follows a space, as bytes of unsigned 32-bit integers.
-        self.known = Known()
+        self.known: dict[str, bytes] = {}
         #: Ids of a word's parts: letters after a space, and others.
         self.bits: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.parts = re.compile(f"({LETTERS}+)([.,]*)(?:(\\n)({LETTERS}+)([.,]*))?")
+        self.letters = re.compile(f"{LETTERS}+").fullmatch
+        self.parts = re.compile(f"({LETTERS}+)([.,]*)(?:(\\n)({LETTERS}+)([.,]*))?").fullmatch
         self.feed = self.alone(["\n"])[0]
         self.line = int(np.frombuffer(self.feed, "<u4")[0])
         self.unclear, self.cut = re.compile(r" (?:\s|$)"), re.compile(r" (?=\S)")
@@ -180,25 +208,28 @@ class ByteEncoder:
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that follow a space. Letters, a run of stops and a line feed with more letters are parts that the pattern always cuts, so they are looked up apart."""
-        odd = [w for w in words if not w or " " in w]
-        plain, cut = [], {}
+        whole, odd, plain, cut = [], [], [], {}
         for w in words:
-            if w and " " not in w:
-                if m := self.parts.fullmatch(w):
-                    cut[w] = m.groups("")
-                else:
-                    plain.append(w)
+            if w.isalpha() and (w.isascii() or self.letters(w)):
+                whole.append(w)
+            elif not w or " " in w:
+                odd.append(w)
+            elif m := self.parts(w):
+                cut[w] = m.groups("")
+            else:
+                plain.append(w)
         bits = self.bits
-        heads = {a for a, *_ in cut.values()}.difference(bits[0])
+        heads = {a for a, *_ in cut.values()}.union(whole).difference(bits[0])
         tails = {x for _, b, _, c, d in cut.values() for x in (b, c, d) if x}.difference(bits[1])
         if len(bits[0]) + len(bits[1]) + len(heads) + len(tails) > CACHE // 2:
             bits[0].clear()
             bits[1].clear()
-            heads, tails = {a for a, *_ in cut.values()}, {x for _, b, _, c, d in cut.values() for x in (b, c, d) if x}
+            heads, tails = {a for a, *_ in cut.values()}.union(whole), {x for _, b, _, c, d in cut.values() for x in (b, c, d) if x}
         bits[0].update(self._row(list(heads), " "))
         bits[1].update(self._row(list(tails), "\n"))
         first, other, line = *bits, self.feed
-        out = {w: first[a] + (other[b] if b else b"") + (line if n else b"") + (other[c] if c else b"") + (other[d] if d else b"") for w, (a, b, n, c, d) in cut.items()}
+        out = dict(zip(whole, map(first.__getitem__, whole), strict=True))
+        out |= {w: first[a] + (other[b] if b else b"") + (line if n else b"") + (other[c] if c else b"") + (other[d] if d else b"") for w, (a, b, n, c, d) in cut.items()}
         out |= self._row(plain, " ")
         out.update(zip(odd, self.alone([f" {w}" for w in odd]), strict=True))
         return out
@@ -212,7 +243,7 @@ class ByteEncoder:
         for words in split:
             del words[0]
         found = look_up(self.known, split, self._learn)
-        return [np.frombuffer(head + b"".join(parts), "<u4") for head, parts in zip(starts, found, strict=True)]
+        return [np.frombuffer(head + rest, "<u4") for head, rest in zip(starts, found, strict=True)]
 
 
 @lru_cache(maxsize=2)
