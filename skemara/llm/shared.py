@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 #: A side is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 100_000
 #: Words that a worker keeps encoded, and the longest of them.
-CACHE, CACHED_CHARS = 1_000_000, 64
+CACHE, CACHED_CHARS = 1_500_000, 64
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

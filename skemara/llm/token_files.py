@@ -221,7 +221,7 @@ class ByteEncoder:
         bits = self.bits
         heads = {a for a, *_ in cut.values()}.union(whole).difference(bits[0])
         tails = {x for _, b, _, c, d in cut.values() for x in (b, c, d) if x}.difference(bits[1])
-        if len(bits[0]) + len(bits[1]) + len(heads) + len(tails) > CACHE // 2:
+        if len(bits[0]) + len(bits[1]) + len(heads) + len(tails) > CACHE:
             bits[0].clear()
             bits[1].clear()
             heads, tails = {a for a, *_ in cut.values()}.union(whole), {x for _, b, _, c, d in cut.values() for x in (b, c, d) if x}
