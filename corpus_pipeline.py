@@ -12,7 +12,7 @@ from skemara.llm.exact_dedup import drop_exact
 from skemara.llm.packing import pack
 from skemara.llm.quality_rules import drop_failed
 from skemara.llm.shared import stage_table
-from skemara.llm.simhash import drop_near
+from skemara.llm.similar import drop_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that SimHash links the one with the smallest doc_id stays."""
-    return drop_near(docs)
+    """Of each group of texts linked by a similarity of 0.8 on words of five the one with the smallest doc_id stays."""
+    return drop_similar(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("packing", packing)]
 
-#: SimHash and the buckets' dynamic program have no SQL; a test runs a brute-force version instead.
+#: The near stage's components and the buckets' dynamic program have no SQL; a test runs a brute-force version instead.
 ORACLE_SQL = None
 
 
