@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from skemara.llm.shared import running_sums
 
 BUCKETS, BUDGET = 12, 1 << 16
-#: Distinct lengths that the program looks at one by one; beyond, neighbouring lengths share a cell whose largest length is the candidate bound.
-CELLS = 4096
 
 
 def word_length(text: Column) -> Column:
@@ -18,24 +16,44 @@ def word_length(text: Column) -> Column:
     return (F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")) + 1).cast("long")
 
 
+def _cut_all(cost: np.ndarray, length: np.ndarray, many: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One bucket more: for each j the least cost[i] + padding of i..j-1 in one bucket over i < j, and the first such i.
+
+    The first best i never falls as j grows. So the middle j of each open
+    stretch is looked at between the cuts around it, all stretches of a level
+    at once: n log n steps in all.
+    """
+    n = len(length)
+    new, cut = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    low, high, least, most = (np.array([x]) for x in (1, n, 0, n - 1))
+    while len(low):
+        j = (low + high) // 2
+        width = np.minimum(most, j - 1) - least + 1
+        start = np.concatenate([[0], np.cumsum(width)])
+        i = np.arange(start[-1]) - np.repeat(start[:-1] - least, width)
+        at = np.repeat(j, width)
+        plans = cost[i] + length[at - 1] * (many[at] - many[i]) - (sums[at] - sums[i])
+        new[j] = np.minimum.reduceat(plans, start[:-1])
+        hit = np.flatnonzero(plans == np.repeat(new[j], width))
+        cut[j] = i[hit[np.searchsorted(hit, start[:-1])]]
+        low, high, least, most = (np.concatenate(x) for x in ((low, j + 1), (j - 1, high), (least, cut[j]), (cut[j], most)))
+        going = low <= high
+        low, high, least, most = low[going], high[going], least[going], most[going]
+    return new, cut
+
+
 def best_bounds(lengths: list[int], counts: list[int], totals: list[int], buckets: int = BUCKETS) -> list[int]:
     """Upper bounds of up to `buckets` buckets with the least padding; `lengths` ascend. Of equal plans that with the fewest buckets."""
     n = len(lengths)
     if not n:
         return []
-    length = np.array(lengths, float)
-    many, sums = np.concatenate([[0], np.cumsum(counts, dtype=float)]), np.concatenate([[0], np.cumsum(totals, dtype=float)])
-    # cost[j]: least padding of the first j cells in k buckets; a bucket of cells i..j-1 pads to length[j-1].
+    length = np.array(lengths, np.int64)
+    many, sums = (np.concatenate([[0], np.cumsum(np.array(x, np.int64))]) for x in (counts, totals))
+    # cost[j]: least padding of the first j lengths in k buckets; a bucket of lengths i..j-1 pads to length[j-1].
     cost = np.concatenate([[0], length * many[1:] - sums[1:]])
     cuts, best = [], [cost[n]]
     for _ in range(1, min(buckets, n)):
-        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        new[0] = 0
-        for j in range(1, n + 1):
-            plans = cost[:j] + length[j - 1] * (many[j] - many[:j]) - (sums[j] - sums[:j])
-            cut[j] = int(plans.argmin())
-            new[j] = plans[cut[j]]
-        cost = new
+        cost, cut = _cut_all(cost, length, many, sums)
         cuts.append(cut)
         best.append(cost[n])
     bounds, j = [], n
@@ -60,12 +78,11 @@ def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id",
     """
     length = word_length(F.col("text")) if length is None else length
     rows = docs.select(id_col, length.cast("long").alias("n_tokens"))
-    top = rows.agg(F.max("n_tokens")).first()[0]
-    if top is None:
+    histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toArrow()
+    lengths, counts = (histogram.column(c).to_numpy() for c in ("n_tokens", "n"))
+    if not len(lengths):
         return rows.select(id_col, "n_tokens", *(F.lit(0).cast("long").alias(c) for c in ("bucket", "bucket_len", "batch", "slot"))).limit(0)
-    cell = max(1, -(-int(top) // CELLS))
-    histogram = rows.groupBy(F.floor((F.col("n_tokens") - 1) / cell).alias("cell")).agg(F.max("n_tokens").alias("most"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total")).orderBy("cell").collect()
-    bounds = best_bounds(*([r[c] for r in histogram] for c in ("most", "n", "total")), buckets)
+    bounds = best_bounds(lengths, counts, lengths * counts, buckets)
     ends = F.array(*(F.lit(int(b)).cast("long") for b in bounds))
     placed = rows.withColumn("bucket", F.size(F.filter(ends, lambda b: b < F.col("n_tokens"))).cast("long"))
     placed = placed.withColumns({"bucket_len": F.element_at(ends, (F.col("bucket") + 1).cast("int")), "one": F.lit(1).cast("long")})
