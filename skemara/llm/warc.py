@@ -25,10 +25,11 @@ from skemara.llm.shared import arrow_rows, checked_broadcast, scratch_dir, stage
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: Payloads of fewer bytes are written again rather than referred to.
 MIN_REVISIT = 100
-#: Bytes of a reading task's range, and of a header at most.
-RANGE, HEADER, STEP = 8 << 20, 1 << 20, 1 << 20
+#: Bytes of a reading task's range, and of a read within a payload or a long header.
+RANGE, STEP = 8 << 20, 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+NAME = re.compile(rb"[A-Za-z0-9-]+:")
 FIELD = re.compile(rb"^([A-Za-z0-9-]+):[ \t]*(.*?)[ \t]*$", re.M)
 
 
@@ -94,21 +95,35 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         return stage_table(ordered.mapInPandas(write, FILES), "warc-files")
 
 
+def header_end(f, size: int, at: int) -> int:
+    """Offset of the first END from `at` on, -1 if there is none in the file."""
+    for low in range(at, size, STEP):
+        if (end := f.read_at(min(STEP + len(END) - 1, size - low), low).find(END)) >= 0:
+            return low + end
+    return -1
+
+
 def candidates(uri: str, size: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     """Offsets in [low, high) where a header with a length begins, and their successors, within the file."""
     fs, path = pafs.FileSystem.from_uri(uri)
     offsets, after = [], []
     with fs.open_input_file(path) as f:
         data = f.read_at(min(size, high + len(MAGIC)) - low, low)
-        at = data.find(MAGIC)
+        at, end = data.find(MAGIC), -1
         while 0 <= at < high - low:
-            head = data.find(END, at)
-            block = data[at:head] if head >= 0 else None
-            if block is None:  # the header goes on beyond the range
-                more = f.read_at(min(HEADER, size - low - at), low + at)
-                block = more[:end] if (end := more.find(END)) >= 0 else None
-            fields = header_fields(block) if block is not None and len(block) <= HEADER else None
-            if fields and (follower := low + at + len(block) + 8 + int(fields["content-length"])) <= size:
+            first = data[at + len(MAGIC) : at + len(MAGIC) + 64]
+            if len(first) == 64 and not NAME.match(first):  # no field follows
+                at = data.find(MAGIC, at + 1)
+                continue
+            if end < at and (end := data.find(END, at)) < 0:  # the header goes on beyond the range
+                beyond = header_end(f, size, max(low + at, low + len(data) - len(END) + 1))
+                if beyond < 0:
+                    break
+                if beyond > low + len(data):
+                    data += f.read_at(beyond - low - len(data), low + len(data))
+                end = beyond - low
+            fields = header_fields(data[at:end])
+            if fields and (follower := low + end + 8 + int(fields["content-length"])) <= size:
                 offsets.append(low + at)
                 after.append(follower)
             at = data.find(MAGIC, at + 1)
@@ -160,7 +175,10 @@ RECORDS = "page_id string, url string, payload_bytes long, payload_digest string
 
 
 def read_warc(spark: SparkSession, files: DataFrame, width: int = RANGE) -> DataFrame:
-    """The true records of the files: ids, payload size and digest, type, the page a revisit refers to, and whether a response's payload has its digest."""
+    """The true records of the files: ids, payload size and digest, type, the page a revisit refers to, and whether a response's payload has its digest.
+
+    Fails if a file yields another number of records than its row in `files` states; null states none.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,8 +189,8 @@ def read_warc(spark: SparkSession, files: DataFrame, width: int = RANGE) -> Data
                     while at < r.high:
                         head = f.read_at(min(4096, r.size - at), at)
                         if (end := head.find(END)) < 0:
-                            head = f.read_at(min(HEADER, r.size - at), at)
-                            end = head.index(END)
+                            end = header_end(f, r.size, at) - at
+                            head = f.read_at(end, at)
                         fields = header_fields(head[:end])
                         start, length = at + end + 4, int(fields["content-length"])
                         digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
@@ -186,12 +204,17 @@ def read_warc(spark: SparkSession, files: DataFrame, width: int = RANGE) -> Data
                             digest, size = summed.hexdigest(), length
                         else:
                             size = int(fields["x-payload-length"])
-                        rows.append((page, fields.get("warc-target-uri"), size, digest, fields["warc-type"], first, intact))
+                        rows.append((r.file, page, fields.get("warc-target-uri"), size, digest, fields["warc-type"], first, intact))
                         at = start + length + 4
-                yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"])
-
-    found = boundaries(spark, files, width).select("uri", "size", "high", "entry").mapInPandas(parse, RECORDS)
-    return found.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
+                yield pd.DataFrame(rows, columns=["file", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"])
+
+    found = boundaries(spark, files, width).select("file", "uri", "size", "high", "entry").mapInPandas(parse, "file int, " + RECORDS)
+    found = stage_table(found, "records")
+    read = found.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    wrong = files.join(read, "file", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("records <> n").select("uri", "records", "n").take(5)
+    if wrong:
+        raise RuntimeError("records written and read differ: " + ", ".join(f"{r.uri}: {r.records}, {r.n}" for r in wrong))
+    return found.drop("file").withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
 
 def warc_round_trip(pages: DataFrame, width: int = RANGE) -> DataFrame:
