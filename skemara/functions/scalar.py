@@ -93,9 +93,13 @@ def highlight(text: Column, term: Column, around: int = 40) -> Column:
 
 def phrases(words: Column, sizes: tuple[int, ...] = (4, 3, 2), most: int = 8) -> Column:
     """Runs of words joined by spaces, longer runs first, `most` of them."""
+    return F.slice(F.array_distinct(F.concat(*(runs(words, k) for k in sizes))), 1, most)
+
+
+def runs(words: Column, size: int) -> Column:
+    """All runs of `size` words, joined by spaces, in order."""
     n = F.size(words)
-    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.array_join(F.slice(words, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>")) for k in sizes]
-    return F.slice(F.array_distinct(F.concat(*runs)), 1, most)
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def stem_aliases(word: Column) -> Column:

@@ -1,7 +1,8 @@
 """Schema profiling and key discovery over named tables.
 
 A table set is a dict of DataFrames. Profiles come from one aggregate per
-table over all its columns; what goes to the driver is one row per column.
+table over all its columns, and exact counts of the columns that this leaves
+open; what goes to the driver is one row per column.
 """
 
 from __future__ import annotations
@@ -53,35 +54,89 @@ def _plain(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
 
 
-def profile(spark: SparkSession, tables: Tables) -> DataFrame:
-    """One row per column: type, counts, and what the typing rules need.
+#: Columns of texts with up to FEW values by the sketch, and columns that have NEAR as many as rows, are counted exactly.
+FEW, NEAR, ERROR = 64, 0.85, 0.02
 
-    All cells of all tables are counted by (table, column, value) with a
-    partial aggregate, so that what is shuffled are distinct values; the
-    figures follow from these counts.
-    """
+
+#: What the first pass keeps of each column: of its texts (kind, v), and of its numbers (x, k).
+_OF_ALL = {"n": "count(1)", "n_set": "count({c})", "n_distinct": f"approx_count_distinct({{c}}, {ERROR})"}
+_OF_TEXTS = {
+    "mean_len": "avg(char_length(v))", "newline": "coalesce(bool_or(kind = 0 AND contains(v, chr(10))), false)",
+    "date_share": "coalesce(avg(CASE WHEN v IS NOT NULL THEN CAST(kind = 0 AND v RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}' AS DOUBLE) END), 0D)",
+    "comma_share": "coalesce(avg(CASE WHEN v IS NOT NULL THEN CAST(kind = 0 AND contains(v, ',') AS DOUBLE) END), 0D)",
+    "token_len": "avg(CASE WHEN kind = 0 AND contains(v, ',') THEN char_length(replace(v, ',', '')) / size(split(v, ',')) END)",
+    "boolean_like": f"coalesce(bool_and(kind = 0 AND lower(v) IN ({', '.join(map(repr, BOOLEANS))})), false)", "least": "min(v)", "most": "max(v)",
+}
+_OF_NUMBERS = {"low": "min(x)", "high": "max(x)", "least": "min(k)", "most": "max(k)"}
+_NONE = {"n": 0, "n_set": 0, "n_distinct": 0, "mean_len": None, "newline": False, "date_share": 0.0, "comma_share": 0.0, "token_len": None, "boolean_like": False, "low": None, "high": None, "least": None, "most": None}
+
+
+def _kind(t: T.DataType) -> int:
+    """0 for texts, 1 for whole numbers, 2 for other numbers, 3 for the rest, 4 for nested values, of which only null or not is told."""
+    return 4 if not _plain(t) else 0 if isinstance(t, T.StringType) else 1 if isinstance(t, T.IntegralType) else 2 if isinstance(t, T.NumericType) else 3
+
+
+def _cells(tables: list[DataFrame], numbers: bool, chosen: dict[int, list[int]] | None = None) -> DataFrame | None:
+    """The cells of the tables' columns (of those in `chosen`): (t, ordinal, kind, v as text), or (t, ordinal, kind, x, k) for columns of numbers, x as double and k as long."""
     parts = []
-    for name, df in tables.items():
-        cells = [F.struct(F.lit(f.name).alias("column"), F.lit(i).alias("ordinal"), F.lit(f.dataType.simpleString()).alias("dtype"), (F.col(f"`{f.name}`").cast("string") if _plain(f.dataType) else F.when(F.col(f"`{f.name}`").isNotNull(), F.lit("\x00"))).alias("v")) for i, f in enumerate(df.schema.fields)]
-        parts.append(df.select(F.lit(name).alias("table"), F.explode(F.array(*cells)).alias("c")).select("table", "c.*"))
-    if not parts:
-        return spark.createDataFrame([], PROFILE)
-    counted = reduce(lambda x, y: x.unionByName(y), parts).groupBy("table", "column", "ordinal", "dtype", "v").agg(F.count(F.lit(1)).alias("k"))
-    v, k = F.col("v"), F.col("k")
-    text, number = F.col("dtype") == "string", F.col("dtype").rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
-    plain = v.isNotNull() & (v != "\x00")
-    share = lambda cond: F.coalesce(F.sum(F.when(plain & text & cond, k).otherwise(0)) / F.sum(F.when(plain, k)), F.lit(0.0))
-    comma = F.contains(v, F.lit(","))
-    width = F.char_length(F.replace(v, F.lit(","), F.lit(""))) / F.size(F.split(v, ","))
-    as_number = F.when(number, v.try_cast("double"))
-    out = counted.groupBy("table", "column", "ordinal", "dtype").agg(
-        F.sum("k").alias("n"), F.sum(F.when(v.isNotNull(), k).otherwise(0)).alias("n_set"), F.count(F.when(plain, v)).alias("n_distinct"),
-        (F.sum(F.when(plain, F.char_length(v) * k)) / F.sum(F.when(plain, k))).alias("mean_len"), F.coalesce(F.max(plain & F.contains(v, F.lit("\n"))), F.lit(False)).alias("newline"),
-        share(v.rlike(r"^\d{4}-\d{2}-\d{2}")).alias("date_share"), share(comma).alias("comma_share"),
-        (F.sum(F.when(text & comma, width * k)) / F.sum(F.when(text & comma, k))).alias("token_len"), F.min(as_number).alias("low"), F.max(as_number).alias("high"),
-        F.coalesce(F.min(F.when(plain, text & F.lower(v).isin(*BOOLEANS))), F.lit(False)).alias("boolean_like"), F.array_compact(F.array(F.min(v), F.max(v))).alias("samples"),
-    )
-    return out.select(*T._parse_datatype_string(PROFILE).fieldNames())
+    for number, df in enumerate(tables):
+        each = []
+        for i, f in enumerate(df.schema.fields):
+            kind = _kind(f.dataType)
+            if (kind in (1, 2)) == numbers and (chosen is None or i in chosen.get(number, ())):
+                value = f"'x', CAST(`{f.name}` AS DOUBLE), 'k', CAST({f'`{f.name}`' if kind == 1 else 'NULL'} AS BIGINT)" if numbers else f"'v', CAST(`{f.name}` AS STRING)" if kind < 4 else f"'v', CASE WHEN `{f.name}` IS NOT NULL THEN '' END"
+                each.append(f"named_struct('ordinal', {i}, 'kind', {kind}, {value})")
+        if each:
+            parts.append(df.select(F.lit(number).alias("t"), F.expr(f"inline(array({', '.join(each)}))")))
+    return reduce(lambda x, y: x.unionByName(y), parts) if parts else None
+
+
+def profile(spark: SparkSession, tables: Tables, samples: bool = False) -> DataFrame:
+    """One row per column: type, counts, what the typing rules need, and up to three distinct samples (with `samples` the least two and the greatest, else the ends).
+
+    All cells of all tables go through two aggregates by column, one for
+    numbers and one for the rest, which shuffle a row per column and task.
+    Their sketches tell which texts have few values and which columns may be keys; the values
+    of those alone are then counted exactly. For other columns n_distinct is the
+    sketch's estimate (within about ERROR), which no rule depends on. What is
+    returned is a catalog, a row per column.
+    """
+    names, frames = list(tables), list(tables.values())
+    found = {(i, j): {**_NONE, "table": names[i], "column": f.name, "ordinal": j, "dtype": f.dataType.simpleString(), "kind": _kind(f.dataType)} for i, df in enumerate(frames) for j, f in enumerate(df.schema.fields)}
+    kinds = {numbers: _cells(frames, numbers) for numbers in (False, True)}
+    for numbers, cells in kinds.items():
+        if cells is not None:
+            wanted = {k: x.format(c="x" if numbers else "v") for k, x in _OF_ALL.items()} | (_OF_NUMBERS if numbers else _OF_TEXTS)
+            for r in cells.groupBy("t", "ordinal").agg(*(F.expr(x).alias(n) for n, x in wanted.items())).collect():
+                found[r.t, r.ordinal] |= {k: r[k] for k in wanted}
+    chosen: dict[int, list[int]] = {}
+    for (i, j), r in found.items():
+        r["n_distinct"] = min(r["n_distinct"], r["n_set"]) if r["kind"] < 4 else 0
+        if r["kind"] == 2:
+            r["least"], r["most"] = r["low"], r["high"]
+        if r["kind"] == 4:
+            r["least"] = r["most"] = r["mean_len"] = None
+        key = r["n_set"] == r["n"] and r["n_distinct"] >= NEAR * r["n"] and r["kind"] != 2
+        if r["least"] is not None and (key or r["kind"] == 0 and r["n_distinct"] <= FEW):
+            chosen.setdefault(i, []).append(j)
+    for numbers in (False, True):
+        if (cells := _cells(frames, numbers, chosen)) is not None:
+            value = "x" if numbers else "v"
+            for r in cells.filter(F.col(value).isNotNull()).select("t", "ordinal", *(("x", "k") if numbers else ("v",))).distinct().groupBy("t", "ordinal").agg(F.count(F.lit(1)).alias("n")).collect():
+                found[r.t, r.ordinal]["n_distinct"] = r.n
+    second = {}
+    for numbers, cells in kinds.items() if samples else ():
+        # The catalog's least values, a row per column, say what a second one must be over.
+        columns = "xk" if numbers else "v"
+        least = [(i, j, *((r["low"], r["least"] if r["kind"] == 1 else None) if numbers else (r["least"],))) for (i, j), r in found.items() if r["least"] is not None and (r["kind"] in (1, 2)) == numbers]
+        if least:
+            side = spark.createDataFrame(least, "t int, ordinal int, " + ("x0 double, k0 long" if numbers else "v0 string"))
+            over = cells.join(F.broadcast(side), ["t", "ordinal"]).groupBy("t", "ordinal", "kind").agg(*(F.min(F.when(F.col(c) > F.col(f"{c}0"), F.col(c))).alias(c) for c in columns))
+            second |= {(r.t, r.ordinal): r["v" if not numbers else "k" if r.kind == 1 else "x"] for r in over.collect()}
+    for at, r in found.items():
+        r["samples"] = [str(x) for x in dict.fromkeys(x for x in (r["least"], second.get(at), r["most"]) if x is not None)]
+    columns = T._parse_datatype_string(PROFILE).fieldNames()
+    return spark.createDataFrame([tuple(r[n] for n in columns) for r in found.values()], PROFILE)
 
 
 def semantic_type(year_names: str = "year|yr|date") -> Column:

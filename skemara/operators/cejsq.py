@@ -18,8 +18,8 @@ from skemara.functions.scalar import PRIME, mix
 from skemara.operators.catalog import ForeignKey, Schema, Tables
 from skemara.operators.structures import TIER_RANGE
 
-#: Rows of a join that is still made, and queries evaluated in one pass: beyond about a hundred, code generation gives up.
-MAX_ROWS, PASS = 1_000_000_000, 100
+#: Rows of a join that is still made (fixed value; a parameter wherever it is used), and queries evaluated in one pass: beyond about a hundred, code generation gives up.
+MAX_ROWS, PASS = 1_000_000, 100
 OPERATORS = {"NUMERIC": ("=", ">=", "<="), "YEAR": ("=", ">=", "<="), "DATE": ("=", ">=", "<="), "ENUM": ("=",), "BOOLEAN": ("=",), "LABEL": ("=",), "COMMA_SEPARATED": ("LIKE",)}
 
 
@@ -158,10 +158,17 @@ def _rand(*keys: int) -> int:
 
 
 def anchors(frame: DataFrame, key: str, count: int, seed: int = 0) -> list:
-    """`count` rows of the frame, of the target keys with least hash, the least row of each by hash: a bounded sample."""
+    """`count` rows of the frame, of the target keys with least hash, the least row of each by hash: a bounded sample.
+
+    Only keys are compared over the whole frame; the rows of those that are taken are then fetched.
+    """
     cols = [c for c in frame.columns if c != key]
-    one = frame.groupBy(key).agg(F.min_by(F.struct(*cols), F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in cols))).alias("row"))
-    return one.orderBy(mix(F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit(0x7FFFFFFF)), seed), key).limit(count).collect()
+    order = mix(F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit(0x7FFFFFFF)), seed)
+    keys = frame.select(key).distinct().orderBy(order, key).limit(count)
+    # `count` rows at most.
+    mine = frame.join(F.broadcast(keys), key, "left_semi")
+    one = mine.groupBy(key).agg(F.min_by(F.struct(*cols), F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in cols))).alias("row"))
+    return one.orderBy(order, key).collect()
 
 
 def anchored_specs(frame: DataFrame, schema: Schema, strategy: str, names: tuple[str, ...], star: bool, filterable: dict[str, list[tuple[str, str]]], count: int, first: int = 0, seed: int = 0) -> list[Spec]:

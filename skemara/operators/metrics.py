@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skemara.functions.scalar import exclusive_quantile, normal_sql, tokens
+from skemara.functions.scalar import normal_sql, tokens
+from skemara.sources.scratch import is_small, small, stored
 
 CLAUSES = ("select", "from", "where", "group by", "order by")
 VES_WEIGHT = 2410.01066
@@ -139,10 +140,26 @@ def split_at(text: Column, percent: int = 60) -> tuple[Column, Column]:
     return F.array_join(F.slice(words, 1, n), " "), F.array_join(F.slice(words, n + 1, F.size(words)), " ")
 
 
-def best_matches(generated: DataFrame, gold: DataFrame, group: str, score: Column) -> DataFrame:
-    """(id, group, best): each generated row's best score among the gold rows of its group."""
-    joined = generated.alias("a").join(gold.alias("b"), F.col(f"a.{group}") == F.col(f"b.{group}"))
-    return joined.groupBy("a.id", F.col(f"a.{group}").alias(group)).agg(F.max(score).alias("best"))
+def best_matches(generated: DataFrame, gold: DataFrame, group: str, score: Column, block: int = 256) -> DataFrame:
+    """(id, group, best): each generated row's best score among the gold rows of its group; `score` names their columns a.* and b.*.
+
+    A group's generated rows, the queries, come in blocks of about `block`. Few
+    blocks are broadcast, so gold rows stay where they are and each task keeps
+    the best per query; else gold rows are dealt by (group, block, part), so
+    that a large group is no one task's.
+    """
+    many = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(group)) / block)
+    q = generated.select(F.struct("*").alias("a"), F.col(group).alias("_g"), F.pmod(F.xxhash64("id"), many).alias("_b"))
+    blocks = stored(q.groupBy("_g", "_b").agg(F.collect_list("a").alias("_a")), "blocks")
+    rows = gold.select(F.struct("*").alias("b"), F.col(group).alias("_g"))
+    if is_small(blocks):
+        met = rows.join(F.broadcast(blocks), "_g")
+    else:
+        parts = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        copies = blocks.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        dealt = rows.withColumn("_p", F.pmod(F.xxhash64("b.id"), F.lit(parts)).cast("int")).join(small(blocks.select("_g", "_b")), "_g")
+        met = dealt.join(copies, ["_g", "_b", "_p"])
+    return met.select("b", F.explode("_a").alias("a")).groupBy("a.id", F.col(f"a.{group}").alias(group)).agg(F.max(score).alias("best"))
 
 
 def summary(scores: DataFrame, *by: str) -> DataFrame:
@@ -163,9 +180,28 @@ def mean_f1_summary(scores: DataFrame, *by: str) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean, median, extremes, and exclusive 95th and 99th percentiles (the largest value under 20 and 100 rows)."""
-    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_v"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
-    return held.withColumns({"p95": exclusive_quantile(F.col("_v"), 95, 20), "p99": exclusive_quantile(F.col("_v"), 99, 100)}).drop("_v")
+    """Mean, median, extremes, and exclusive 95th and 99th percentiles (the largest value under 20 and 100 rows).
+
+    Ranks are counted per distinct value, so that no group's values are gathered in one row; nulls are left out.
+    """
+    v = F.col(value).cast("double")
+    per = rows.filter(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*by)
+    run = per.withColumns({"_upto": F.sum("_c").over(group.orderBy("_v")), "_n": F.sum("_c").over(group)})
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    spot = {p: (F.col("_n") + 1) * p for p in (50, 95, 99)}
+    low = {p: F.greatest(F.lit(1), F.least(F.floor(x / 100).cast("long"), F.col("_n") - 1)) for p, x in spot.items()}
+    held = run.groupBy(*by).agg(
+        F.max("_n").alias("_n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.min("_v").alias("least"), F.max("_v").alias("most"),
+        at(F.floor((F.col("_n") + 1) / 2)).alias("_m1"), at(F.floor((F.col("_n") + 2) / 2)).alias("_m2"), *(at(low[p] + i).alias(f"_{p}_{i}") for p in (95, 99) for i in (0, 1)),
+    )
+
+    def exclusive(p: int, least: int) -> Column:
+        part = spot[p] - low[p] * 100
+        return F.when(F.col("_n") >= least, (F.col(f"_{p}_0") * (100 - part) + F.col(f"_{p}_1") * part) / 100).otherwise(F.col("most"))
+
+    out = held.withColumns({"median": (F.col("_m1") + F.col("_m2")) / 2, "p95": exclusive(95, 20), "p99": exclusive(99, 100)})
+    return out.select(*by, "mean", "median", "least", "most", "p95", "p99")
 
 
 def breakdown(rows: DataFrame, value: str, *by: str) -> DataFrame:

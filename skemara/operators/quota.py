@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skemara.functions.scalar import mix, normal_question, sql_uid
+from skemara.functions.scalar import PRIME, mix, normal_question, sql_uid
+from skemara.sources.scratch import small, stored
 
 
 def class_weights(classes: DataFrame, explicit: DataFrame | None = None, tier_weights: DataFrame | None = None) -> DataFrame:
@@ -89,18 +90,39 @@ def _hash_rank(by: list[str], key: str, seed: int) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(mix(F.col(key), seed), key))
 
 
+#: Stretches of the hash's range in which a class is ranked.
+STRETCHES = 1024
+
+
+def hash_ranked(rows: DataFrame, by: list[str], key: str, seed: int = 0, rep: Column | int = 0) -> DataFrame:
+    """`rows` with _r, the rank by (hash of key, key) within the columns `by`, and _n, the rows of that class.
+
+    A class is ranked in stretches of the hash's range, each a task of its own
+    at most, and a stretch starts after all that the stretches before it hold;
+    so a class with a large share of all rows is no one task's.
+    """
+    h = mix(F.col(key), seed, rep)
+    marked = rows.withColumns({"_h": h, "_s": F.floor(h * STRETCHES / PRIME).cast("int")})
+    counts = marked.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored(counts.select(*by, "_s", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n")), "offsets")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"o.{c}")) for c in by]
+    out = marked.alias("x").join(small(offsets).alias("o"), reduce(lambda p, q: p & q, same, F.col("x._s") == F.col("o._s")))
+    rank = F.row_number().over(Window.partitionBy(*(f"x.{c}" for c in by), "x._s").orderBy("_h", key))
+    return out.select("x.*", "_n", (F.col("_before") + rank).alias("_r")).drop("_h", "_s")
+
+
 def stratified_split(rows: DataFrame, by: str, key: str, val: float, test: float, seed: int = 0) -> DataFrame:
     """`rows` with split: of each class floor(n * test) to test, floor(n * val) to val, the rest to train."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    out = rows.withColumns({"_n": n, "_r": _hash_rank([by], key, seed)})
+    out = hash_ranked(rows, [by], key, seed)
     t, v = F.floor(F.col("_n") * test), F.floor(F.col("_n") * val)
     return out.withColumn("split", F.when(F.col("_r") <= t, "test").when(F.col("_r") <= t + v, "val").otherwise("train")).drop("_n", "_r")
 
 
 def group_split(rows: DataFrame, group: str, ratio: float, seed: int = 0) -> DataFrame:
-    """`rows` with split: whole groups (databases) go to val, the share `ratio` of them, one at least. Groups are ranked by CRC-32 of seed and name."""
+    """`rows` with split: whole groups (databases) go to val, the share `ratio` of them, one at least. Groups are ranked by MD5 of seed and name; they are few (one per database)."""
     groups = rows.select(group).distinct()
-    order = Window.orderBy(F.crc32(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))), group)
+    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")).cast("binary")), group)
     ranked = groups.withColumns({"_r": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))})
     marked = ranked.select(group, F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio)), "val").otherwise("train").alias("split"))
     return rows.join(marked, group)
@@ -120,7 +142,7 @@ def even_cap(rows: DataFrame, by: str, key: str, total: int, classes: int, seed:
 def matched_control(rows: DataFrame, pool: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
     """Of `pool` as many rows per group as `rows` has, or all if it has fewer, with an identifier made from the row's own."""
     want = rows.groupBy(group).agg(F.count(F.lit(1)).alias("want"))
-    ranked = pool.join(want, group).withColumn("_r", _hash_rank([group], key, seed)).filter(F.col("_r") <= F.col("want"))
+    ranked = hash_ranked(pool.join(want, group), [group], key, seed).drop("_n").filter(F.col("_r") <= F.col("want"))
     return ranked.withColumn("uid", F.substring(F.sha1(F.concat_ws(":", F.lit("control"), F.col(group).cast("string"), F.col(key).cast("string"))), 1, 16)).drop("_r", "want")
 
 
@@ -132,8 +154,8 @@ def quota_matched(pool: DataFrame, demand: DataFrame, by: str, key: str, reps: i
     n = size.first()["n"] or 0
     take = demand.withColumn("take", F.floor(F.bround(F.col("share") * n, 6)).cast("long"))
     each = pool.select(by, key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    order = Window.partitionBy("rep", by).orderBy(mix(F.col(key), seed, F.col("rep")), key)
-    return each.withColumn("_r", F.row_number().over(order)).join(take.select(by, "take"), by).filter(F.col("_r") <= F.col("take")).select("rep", key, by)
+    ranked = hash_ranked(each, ["rep", by], key, seed, F.col("rep"))
+    return ranked.join(take.select(by, "take"), by).filter(F.col("_r") <= F.col("take")).select("rep", key, by)
 
 
 def pair_errors(question: Column, answers: Column, sql: Column, most: int = 15) -> Column:

@@ -11,10 +11,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skemara.functions.scalar import cosine, l2, tokens
-
-#: Words that carry no search meaning.
-STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "find", "for", "from", "has", "in", "is", "it", "list", "of", "on", "or", "show", "that", "the", "to", "was", "were", "which", "with")
+from skemara.functions.scalar import cosine, l2, runs, tokens
+from skemara.sources.scratch import meet_blocks, small, stored
+
+#: Words that carry no search meaning, and more that questions are padded with.
+STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
+FILLER = (
+    "can", "could", "do", "does", "me", "my", "please", "show", "tell", "what", "which", "who", "you", "report", "reports", "record", "records", "number", "numbers", "entry", "entries",
+    "details", "including", "about", "regarding", "corresponding", "specifically", "give", "get", "find", "list", "display", "provide",
+)
+#: Queries, or distinct terms of queries, that meet a row at once.
+BLOCK = 256
 K1, B = 1.2, 0.75
 
 
@@ -24,27 +31,34 @@ def documents(df: DataFrame, key: str, columns: list[str], name: str) -> DataFra
     return df.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("doc_id"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
 
 
-def search_terms(text: Column) -> Column:
-    """Tokens without stop words, distinct, in order."""
-    return F.array_except(F.array_distinct(tokens(text)), F.array(*(F.lit(w) for w in STOP)))
+def search_terms(text: Column, filler: tuple[str, ...] = ()) -> Column:
+    """Tokens without stop words (and without those of `filler`), distinct, in order."""
+    return F.array_except(F.array_distinct(tokens(text)), F.array(*(F.lit(w) for w in (*STOP, *filler))))
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, key, tf, dl): counts per term and document, with the document's length."""
-    words = docs.select(key, F.explode(tokens(F.col(text))).alias("term"))
-    tf = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.withColumn("dl", F.sum("tf").over(Window.partitionBy(key)))
+    words = docs.select(key, tokens(F.col(text)).alias("_w")).withColumn("dl", F.size("_w").cast("long"))
+    return words.select(key, "dl", F.explode("_w").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, key, score, rank): the k best documents per query, ties by key. `queries` has query_id, text and maybe weights per term (term, weight)."""
-    n = docs.count()
-    post = postings(docs, key, text)
-    length = post.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.sum("dl") / F.lit(float(max(1, n)))).first()[0] or 1.0
+    """(query_id, key, score, rank): the k best documents per query, ties by key. `queries` has query_id, text and maybe weights per term (term, weight).
+
+    Texts are split once: each word is looked up among the queries' terms where
+    it is read, and only the counts of terms, and one count of all other words
+    per document, are shuffled and stored.
+    """
     wanted = queries.select("query_id", F.explode(search_terms(F.col("text"))).alias("term")) if "term" not in queries.columns else queries
     if "weight" not in wanted.columns:
         wanted = wanted.withColumn("weight", F.lit(1.0))
-    hit = post.join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = stored(wanted, "terms")
+    words = docs.select(key, tokens(F.col(text)).alias("_w")).select(key, F.size("_w").cast("long").alias("dl"), F.explode("_w").alias("term"))
+    marked = words.join(small(wanted.select("term", F.lit(True).alias("_t")).distinct()), "term", "left").select(key, "dl", F.when(F.col("_t"), F.col("term")).alias("term"))
+    held = stored(marked.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n = docs.count()
+    length = (held.agg(F.sum("tf")).first()[0] or 0) / max(1, n) or 1.0
+    hit = held.filter("term IS NOT NULL")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(length)))) * F.col("weight")
@@ -60,11 +74,20 @@ def top(scores: DataFrame, k: int, *keys: str) -> DataFrame:
 
 
 def containment(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
-    """Fallback: documents that contain a query's token as a substring, scored by the number of tokens; queries are a small broadcast set."""
-    q = F.broadcast(queries.select("query_id", search_terms(F.col("text")).alias("q")).limit(1000))
-    text = F.lower("text")
-    hits = docs.join(q, F.exists("q", lambda t: F.contains(text, t))).withColumn("score", F.aggregate("q", F.lit(0.0), lambda a, t: a + F.contains(text, t).cast("double")))
-    return top(hits.select("query_id", key, "score"), k, key)
+    """Fallback: documents that contain a query's token as a substring, scored by the number of tokens.
+
+    The distinct tokens of all queries meet each text in blocks of BLOCK, so a
+    token is looked for once per text whatever the number of queries that have
+    it; what is found is joined back to its queries by equality.
+    """
+    wanted = stored(queries.select("query_id", F.explode(search_terms(F.col("text"))).alias("term")).distinct(), "terms")
+    terms = wanted.select("term").distinct()
+    count = -(-terms.count() // BLOCK)
+    blocks = terms.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(max(1, count))).cast("int")).groupBy("block").agg(F.collect_list("term").alias("_t"))
+    met = meet_blocks(docs.select(key, F.lower("text").alias("_x")), blocks, count)
+    hits = met.select(key, F.explode(F.filter("_t", lambda t: F.contains(F.col("_x"), t))).alias("term"))
+    scores = hits.join(small(wanted), "term").groupBy("query_id", key).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return top(scores, k, key)
 
 
 def exact_numbers(docs: DataFrame, queries: DataFrame, columns: list[str], key: str, most: int = 3) -> DataFrame:
@@ -76,11 +99,18 @@ def exact_numbers(docs: DataFrame, queries: DataFrame, columns: list[str], key:
 
 
 def by_date(docs: DataFrame, dates: DataFrame, key: str, when: str) -> DataFrame:
-    """(query_id, key, score): rows of a query's date: 3 for the day, 2 for year and month, 1 for the month alone. `dates` has query_id, year, month, day with nulls."""
-    d = docs.select(key, F.year(when).alias("y"), F.month(when).alias("m"), F.day(when).alias("dd"))
-    met = d.join(F.broadcast(dates.limit(1000)), F.col("m") == F.col("month"))
-    score = F.when((F.col("y") == F.col("year")) & (F.col("dd") == F.col("day")), 3.0).when((F.col("y") == F.col("year")) & F.col("day").isNull(), 2.0).when(F.col("year").isNull() & F.col("day").isNull(), 1.0)
-    return met.withColumn("score", score).filter("score IS NOT NULL").groupBy("query_id", key).agg(F.max("score").alias("score"))
+    """(query_id, key, score): rows of a query's date: 3 for the day, 2 for year and month, 1 for the month alone. `dates` has query_id, year, month, day with nulls.
+
+    A row states its day, its month and its month of any year, and each
+    distinct statement meets the queries that ask for it by equality.
+    """
+    none = F.lit(0)
+    kind = F.when(F.col("year").isNotNull() & F.col("day").isNotNull(), 3.0).when(F.col("year").isNotNull(), 2.0).when(F.col("day").isNull(), 1.0)
+    asked = dates.select("query_id", kind.alias("score"), F.coalesce("year", none).alias("y"), F.col("month").alias("m"), F.coalesce("day", none).alias("d")).filter("score IS NOT NULL")
+    y, m, d = F.year(when), F.month(when), F.day(when)
+    says = F.array(*(F.struct(F.lit(s).alias("score"), a.alias("y"), m.alias("m"), b.alias("d")) for s, a, b in ((3.0, y, d), (2.0, y, none), (1.0, none, none))))
+    said = docs.select(key, F.explode(says).alias("x")).select(key, "x.*")
+    return said.join(small(asked), ["score", "y", "m", "d"]).groupBy("query_id", key).agg(F.max("score").alias("score"))
 
 
 def date_features(text: Column) -> Column:
@@ -118,7 +148,7 @@ def entities(df: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
 def match_entities(queries: DataFrame, dictionary: DataFrame, most: int = 10) -> DataFrame:
     """(query_id, phrase, column): dictionary phrases in a question, longest first; one that lies within a longer hit is left out."""
     w = queries.select("query_id", tokens(F.col("text")).alias("w"))
-    grams = [w.filter(F.size("w") >= n).select("query_id", F.lit(n).alias("len"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, F.lit(n)), " "))).alias("at", "phrase")) for n in range(1, 6)]
+    grams = [w.filter(F.size("w") >= n).select("query_id", F.lit(n).alias("len"), F.posexplode(runs(F.col("w"), n)).alias("at", "phrase")) for n in range(1, 6)]
     hits = reduce(lambda a, b: a.unionByName(b), grams).join(dictionary.groupBy("phrase").agg(F.min("column").alias("column")), "phrase")
     wide = hits.select("query_id", F.col("at").alias("_a"), F.col("len").alias("_l"))
     inside = hits.join(wide, "query_id").filter((F.col("_l") > F.col("len")) & (F.col("_a") <= F.col("at")) & (F.col("_a") + F.col("_l") >= F.col("at") + F.col("len"))).select("query_id", "at", "len").distinct()
@@ -167,12 +197,12 @@ def row_text(columns: list[str], key: str, most: int = 300) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, measure: str = "l2", key: str = "vec_id") -> DataFrame:
-    """(query_id, key, score, rank): exact nearest vectors. `queries` (query_id, vector), a stated set, meets the vectors in blocks of 256 queries,
-    and each partition of vectors keeps its own best before the blocks are merged."""
-    block = queries.select(F.floor(F.col("query_id") / 256).alias("block"), "query_id", F.col("vector").alias("q")).groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    n_blocks = block.select("block")
-    spread_out = vectors.select(key, "embedding").withColumn("block", F.explode(F.array(*(F.lit(b) for (b,) in sorted(n_blocks.collect())))))
-    met = spread_out.join(F.broadcast(block), "block").select(key, "embedding", F.explode("qs").alias("x"))
+    """(query_id, key, score, rank): exact nearest vectors. `queries` (query_id, vector), a stated set, meets the vectors in blocks of about BLOCK queries
+    (see meet_blocks), and each partition of vectors keeps its own best before they are merged."""
+    count = max(1, -(-queries.count() // BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int")
+    blocks = queries.select(block.alias("block"), F.struct("query_id", F.col("vector").alias("q")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("qs"))
+    met = meet_blocks(vectors.select(key, "embedding"), blocks, count).select(key, "embedding", F.explode("qs").alias("x"))
     score = -l2(F.col("x.q"), F.col("embedding")) if measure == "l2" else cosine(F.col("x.q"), F.col("embedding"))
     return top(met.select(F.col("x.query_id").alias("query_id"), key, score.alias("score")), k, key)
 

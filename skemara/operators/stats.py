@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from skemara.functions.scalar import mix
 from skemara.sources.scratch import stored
 
+#: Replicates of a bootstrap.
+REPS = 10_000
+#: Distribution function of Poisson(1) at 0, 1, 2, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
 
 def aligned(records: DataFrame, key: str = "uid", model: str = "model") -> DataFrame:
     """The records of questions that every model has evaluated ok."""
@@ -49,32 +54,41 @@ def draws(df: DataFrame, units: int, reps: int, seed: int = 0) -> DataFrame:
     return grid.select(F.floor(F.col("id") / units).cast("long").alias("rep"), (mix("id", seed) % units).alias("unit"))
 
 
-def bootstrap(diffs: DataFrame, reps: int = 1000, seed: int = 0, weight: str | None = None) -> DataFrame:
+def poisson_times(key: Column, seed: int, rep: Column) -> Column:
+    """How often a unit is drawn in a replicate: Poisson(1) by an integer hash of (unit, replicate), which needs no numbering of units."""
+    u = mix(key, seed, rep) / F.lit(2147483647.0)
+    return sum((F.when(u >= e, 1).otherwise(0) for e in POISSON), F.lit(0))
+
+
+def bootstrap(diffs: DataFrame, reps: int = REPS, seed: int = 0, weight: str | None = None) -> DataFrame:
     """(a, b, rep, mean): each pair's mean difference when its clusters are drawn anew; questions are the clusters if there is one only.
 
     Clusters are few (one per database); their sums per pair are the only
-    thing that meets the draws.
+    thing that meets the draws. Questions are many, so they are not numbered:
+    each has a Poisson weight per replicate, summed with a partial aggregate.
     """
     w = F.col(weight) if weight else F.lit(1.0)
-
-    def sums_by(unit: str) -> DataFrame:
-        return stored(diffs.groupBy("a", "b", F.col(unit).alias("c")).agg(F.sum(F.col("d") * w).alias("s"), F.sum(w).alias("n")), "bootstrap")
-
-    sums = sums_by("cluster")
-    if sums.select("c").distinct().limit(2).count() < 2:
-        sums = sums_by("uid")
+    sums = stored(diffs.groupBy("a", "b", F.col("cluster").alias("c")).agg(F.sum(F.col("d") * w).alias("s"), F.sum(w).alias("n")), "bootstrap")
     units = sums.select("c").distinct()
-    # One window over the distinct clusters numbers them; the draws need dense numbers.
-    numbered = units.withColumn("unit", (F.row_number().over(Window.orderBy("c")) - 1).cast("long"))
-    drawn = draws(diffs, units.count(), reps, seed).groupBy("rep", "unit").agg(F.count(F.lit(1)).alias("times"))
-    met = drawn.join(numbered, "unit").join(sums, "c")
+    count = units.count()
+    if count < 2:
+        each = diffs.select("a", "b", "uid", (F.col("d") * w).alias("s"), w.alias("n")).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
+        met = each.withColumn("times", poisson_times(F.xxhash64("uid").bitwiseAND(F.lit(0x7FFFFFFF)), seed, F.col("rep"))).filter("times > 0")
+    else:
+        # One window over the distinct clusters numbers them; the draws need dense numbers.
+        numbered = units.withColumn("unit", (F.row_number().over(Window.orderBy("c")) - 1).cast("long"))
+        drawn = draws(diffs, count, reps, seed).groupBy("rep", "unit").agg(F.count(F.lit(1)).alias("times"))
+        met = drawn.join(numbered, "unit").join(sums, "c")
     return met.groupBy("a", "b", "rep").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
 
 
-def p_values(replicates: DataFrame) -> DataFrame:
-    """(a, b, p): two-sided share of replicates on the other side of zero."""
+def p_values(replicates: DataFrame, point: DataFrame | None = None) -> DataFrame:
+    """(a, b, p): two-sided share of replicates on the other side of zero; 1 for pairs whose mean difference in `point` (a, b, mean_d) is 0."""
     low, high = (F.avg(F.when(c, 1.0).otherwise(0.0)) for c in (F.col("mean") <= 0, F.col("mean") >= 0))
-    return replicates.groupBy("a", "b").agg(F.least(F.lit(1.0), 2 * F.least(low, high)).alias("p"))
+    tests = replicates.groupBy("a", "b").agg(F.least(F.lit(1.0), 2 * F.least(low, high)).alias("p"))
+    if point is None:
+        return tests
+    return tests.join(point.select("a", "b", "mean_d"), ["a", "b"]).select("a", "b", F.when(F.col("mean_d") == 0, 1.0).otherwise(F.col("p")).alias("p"))
 
 
 def intervals(replicates: DataFrame, *by: str, value: str = "mean", level: float = 0.95) -> DataFrame:
@@ -90,10 +104,11 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", alpha: float = 0.05, orde
     return ranked.withColumn("rejected", F.coalesce(F.col("rank") <= last, F.lit(False))).drop("_m")
 
 
-def separable(records: DataFrame, reps: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def separable(records: DataFrame, reps: int = REPS, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Each pair of models: effect size, bootstrap p and whether it is told apart."""
     diffs = paired(aligned(records))
-    tests = p_values(bootstrap(diffs, reps, seed)).join(cohen_d(diffs), ["a", "b"])
+    sizes = cohen_d(diffs)
+    tests = p_values(bootstrap(diffs, reps, seed), sizes).join(sizes, ["a", "b"])
     return benjamini_hochberg(tests, alpha=alpha)
 
 
@@ -112,22 +127,33 @@ def reweighted(records: DataFrame, target: DataFrame, alphas: list[float]) -> Da
     return records.join(grid, "strategy").groupBy("alpha", "model").agg((F.sum(F.col("w") * F.col("correct").cast("double")) / F.sum("w")).alias("accuracy"))
 
 
-def rank_replicates(records: DataFrame, value: str = "correct", reps: int = 200, seed: int = 0) -> DataFrame:
-    """(rep, model, mean, rank) under a bootstrap of questions with Poisson(1) weights per (replicate, question).
+def rank_replicates(records: DataFrame, values: tuple[str, ...] = ("correct",), reps: int = REPS, seed: int = 0, models: list[str] | None = None) -> DataFrame:
+    """(regime, rep, model, mean, rank) under a bootstrap of questions; each of `values` is a regime, and all regimes and models share a replicate's draws.
 
-    Poisson weights need no numbering of questions, so the work is one pass over records x replicates with a partial aggregate.
+    A question's values stand in one row (models are few), which is weighed by
+    Poisson(1) per replicate: questions x replicates are generated within the
+    scan's tasks and summed there; replicates x models are shuffled. Means are
+    taken to nine places, so that ties go by model. Records must be aligned.
     """
-    u = mix(F.col("uid"), seed, F.col("rep")) / F.lit(2147483647.0)
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    times = sum((F.when(u >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    each = records.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_t", times).filter("_t > 0")
-    means = each.groupBy("rep", "model").agg((F.sum(F.col("_t") * F.col(value).cast("double")) / F.sum("_t")).alias("mean"))
-    return means.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("mean"), "model")))
+    models = models or sorted(r[0] for r in records.select("model").distinct().collect())
+    cells = [(v, m) for v in values for m in models]
+    wide = records.groupBy("uid").agg(*(F.max(F.when(F.col("model") == m, F.col(v).cast("double"))).alias(f"v{k}") for k, (v, m) in enumerate(cells)))
+    each = wide.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_t", poisson_times(F.col("uid"), seed, F.col("rep"))).filter("_t > 0")
+    sums = each.groupBy("rep").agg(F.sum("_t").alias("_n"), *(F.sum(F.col("_t") * F.col(f"v{k}")).alias(f"v{k}") for k in range(len(cells))))
+    long = sums.select("rep", F.explode(F.array(*(F.struct(F.lit(v).alias("regime"), F.lit(m).alias("model"), F.round(F.col(f"v{k}") / F.col("_n"), 9).alias("mean")) for k, (v, m) in enumerate(cells)))).alias("x"))
+    long = long.select("x.regime", "rep", "x.model", "x.mean")
+    return long.withColumn("rank", F.row_number().over(Window.partitionBy("regime", "rep").orderBy(F.desc("mean"), "model")))
+
+
+def point_ranks(records: DataFrame, value: str) -> DataFrame:
+    """(model, mean, rank) over all records; there are as many rows as models."""
+    means = records.groupBy("model").agg(F.round(F.avg(F.col(value).cast("double")), 9).alias("mean"))
+    return means.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "model")))
 
 
 def rank_distribution(replicates: DataFrame, reps: int) -> DataFrame:
-    """P(model has rank k)."""
-    return replicates.groupBy("model", "rank").agg((F.count(F.lit(1)) / reps).alias("share"))
+    """P(model has rank k), per regime."""
+    return replicates.groupBy("regime", "model", "rank").agg((F.count(F.lit(1)) / reps).alias("share"))
 
 
 def kendall(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
@@ -138,10 +164,24 @@ def kendall(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
     return pairs.groupBy(*by).agg(F.avg(sign).alias("tau"))
 
 
+def tau_summary(taus: DataFrame, point: DataFrame) -> DataFrame:
+    """One row: the point estimate of tau, its bootstrap mean and 95 % interval, and how often it is at most 0 and below 1."""
+    found = taus.agg(F.avg("tau").alias("centre"), *(F.bround(F.percentile("tau", F.lit(p)), 12).alias(n) for n, p in (("low", 0.025), ("high", 0.975))), *(F.avg(c.cast("double")).alias(n) for n, c in (("p_le_0", F.col("tau") <= 0), ("p_lt_1", F.col("tau") < 1))))
+    return found.withColumn("_k", F.lit(1)).join(point.select(F.col("tau").alias("point"), F.lit(1).alias("_k")), "_k").drop("_k")
+
+
+def claims(replicates: DataFrame, tests: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(claim, share): how often a claim holds over the replicates. A claim is a regime and a condition on the columns m_<model> (means) and r_<model> (ranks)."""
+    models = sorted(r[0] for r in replicates.select("model").distinct().collect())
+    wide = replicates.groupBy("regime", "rep").agg(*(F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c[0]}_{m}") for m in models for c in ("mean", "rank")))
+    hits = F.array(*(F.struct(F.lit(k).alias("claim"), ((F.col("regime") == r) & F.coalesce(t, F.lit(False))).cast("int").alias("hit"), (F.col("regime") == r).alias("of")) for k, (r, t) in tests.items()))
+    return wide.select(F.explode(hits).alias("x")).filter("x.of").groupBy("x.claim").agg(F.avg("x.hit").alias("share"))
+
+
 def sign_agreement(replicates: DataFrame, point: DataFrame) -> DataFrame:
-    """(a, b, agree, excludes_zero): how often a pair's replicates have the sign of its point difference, and whether the 95 % interval leaves out 0."""
+    """(a, b, agree, flip, excludes_zero): how often a pair's replicates have the sign of its point difference and the opposite one, and whether the 95 % interval leaves out 0."""
     found = replicates.join(point, ["a", "b"])
-    return found.groupBy("a", "b").agg(F.avg((F.signum("mean") == F.signum("mean_d")).cast("double")).alias("agree"), ((F.percentile("mean", F.lit(0.025)) > 0) | (F.percentile("mean", F.lit(0.975)) < 0)).alias("excludes_zero"))
+    return found.groupBy("a", "b").agg(F.avg((F.signum("mean") == F.signum("mean_d")).cast("double")).alias("agree"), F.avg((F.signum("mean") * F.signum("mean_d") < 0).cast("double")).alias("flip"), ((F.percentile("mean", F.lit(0.025)) > 0) | (F.percentile("mean", F.lit(0.975)) < 0)).alias("excludes_zero"))
 
 
 def inversions(one: DataFrame, other: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from skemara.functions.scalar import epoch_date
 from skemara.operators import catalog as P
 from skemara.operators import cejsq as J
 from skemara.operators import structures as C
+from skemara.plans.derived import STATEMENTS_SQL, statements
 from skemara.registry import query, table
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -43,16 +44,54 @@ _COLS = {"region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionk
          "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"}
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {i} AS ordinal, count(*) AS n, count({c}) AS n_set, count(DISTINCT {c}) AS n_distinct FROM {t}" for t, cs in _COLS.items() for i, c in enumerate(cs.split())))
+#: Columns with fractions, which are no keys, and dates.
+_FRACTIONS = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_orderdate", "l_shipdate"}
+#: Columns whose samples both engines write as the same text.
+_AS_TEXT = "key name segment brand type size priority status flag linenumber".split()
+
+
+def _profile_sql(t: str, c: str, i: int) -> str:
+    shown = f"concat_ws('|', least, second, CASE WHEN most > second THEN most END)" if any(c.endswith(x) for x in _AS_TEXT) else "CAST((least IS NOT NULL)::INT + (second IS NOT NULL)::INT + coalesce(most > second, false)::INT AS VARCHAR)"
+    whole = "false" if c in _FRACTIONS else "n_distinct = n AND n_set = n"
+    few = "CASE WHEN n_distinct <= 20 THEN n_distinct END" if any(c.endswith(x) for x in _AS_TEXT[1:-1]) and not c.endswith("size") else "CAST(NULL AS BIGINT)"
+    return f"""SELECT '{t}' AS "table", '{c}' AS "column", {i} AS ordinal, n, n_set, {whole} AS "unique", {few} AS few, {shown} AS samples
+FROM (SELECT count(*) AS n, count({c}) AS n_set, count(DISTINCT {c}) AS n_distinct, min({c}) AS least, max({c}) AS most, (SELECT min({c}) FROM {t} WHERE {c} > (SELECT min({c}) FROM {t})) AS second FROM {t})"""
+
+
+@query(" UNION ALL ".join(_profile_sql(t, c, i) for t, cs in _COLS.items() for i, c in enumerate(cs.split())))
 def p1_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return P.profile(spark, tables(spark, sf)).select("table", "column", "ordinal", "n", "n_set", "n_distinct")
+    """Counts, uniqueness, few distinct values, and three distinct samples of every column; of numbers with a fraction and of dates the number of samples only."""
+    p = P.profile(spark, tables(spark, sf), samples=True)
+    unique = (F.col("n_distinct") == F.col("n")) & (F.col("n_set") == F.col("n")) & ~F.col("dtype").rlike("^(double|float|decimal|date|timestamp)")
+    text = F.lower("column").rlike(f"({'|'.join(_AS_TEXT)})$")
+    return p.select("table", "column", "ordinal", "n", "n_set", unique.alias("unique"), F.when((F.col("n_distinct") <= 20) & (F.col("dtype") == "string"), F.col("n_distinct")).alias("few"), F.when(text, F.array_join("samples", "|")).otherwise(F.size("samples").cast("string")).alias("samples"))
+
 
+def _key_sql(t: str) -> str:
+    """A table's primary key: of the columns that are unique without nulls the first in the rule's order."""
+    cols = [c for c in _COLS[t].split() if c not in _FRACTIONS]
+    cols.sort(key=lambda c: (0 if c == "id" else 1 if c.endswith("key") else 2, 0 if t[:3] in c else 1))
+    whens = " ".join(f"WHEN count(*) > 0 AND count(DISTINCT {c}) = count(*) THEN '{c}'" for c in cols)
+    return f"SELECT '{t}' AS \"table\", CASE {whens} END AS primary_key FROM {t}"
 
-@query("SELECT * FROM (VALUES ('region', 'r_regionkey'), ('nation', 'n_nationkey'), ('customer', 'c_custkey'), ('supplier', 's_suppkey'), ('part', 'p_partkey'), ('orders', 'o_orderkey'), ('lineitem', NULL)) AS v(\"table\", primary_key)")
+
+@query(" UNION ALL ".join(map(_key_sql, _COLS)))
 def p3_primary_keys(spark: SparkSession, sf: str) -> DataFrame:
     return P.primary_keys(types(spark, sf))
 
 
+def _loose_sql(t: str) -> str:
+    cols = _COLS[t].split()
+    whens = " ".join(f"WHEN count(DISTINCT {c}) = count(*) AND count({c}) = count(*) THEN '{c}'" for c in cols if c.endswith(("_id", "key")))
+    return f"SELECT '{t}' AS \"table\", CASE {whens} ELSE '{cols[0]}' END AS primary_key FROM {t}"
+
+
+@query(" UNION ALL ".join(map(_loose_sql, _COLS)))
+def p2_loose_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The looser key rule of the enriched profile."""
+    return P.loose_keys(types(spark, sf))
+
+
 @query("SELECT avg(CASE WHEN c_custkey IS NULL THEN 0.0 ELSE 1.0 END) AS coverage FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN (SELECT DISTINCT c_custkey FROM customer) ON o_custkey = c_custkey")
 def p4_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return P.coverage(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer"), "c_custkey")
@@ -73,12 +112,18 @@ def p7_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return P.overlap(tables(spark, sf), [("part", "p_size")], [("customer", "c_custkey")]).select("parent_table", "coverage", "child_distinct", "parent_distinct")
 
 
-@query(f"SELECT child_table, child_column, parent_table FROM ({_OVERLAP})")
+_RIVALS = [("customer", "c_nationkey", "nation", "n_nationkey"), ("customer", "c_nationkey", "region", "r_regionkey"), ("customer", "c_nationkey", "customer", "c_custkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("orders", "o_custkey", "part", "p_partkey"), ("orders", "o_custkey", "orders", "o_orderkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("lineitem", "l_suppkey", "part", "p_partkey")]
+_RIVALS_SQL = " UNION ALL ".join(f"SELECT '{a}' AS child_table, '{b}' AS child_column, '{c}' AS parent_table, (SELECT avg(CASE WHEN p.v IS NULL THEN 0.0 ELSE 1.0 END) FROM (SELECT DISTINCT {b} AS v FROM {a}) c LEFT JOIN (SELECT DISTINCT {d} AS v FROM {c}) p ON c.v = p.v) AS coverage" for a, b, c, d in _RIVALS)
+
+
+@query(f"""WITH r AS ({_RIVALS_SQL}), k AS (SELECT *, row_number() OVER (PARTITION BY child_table, child_column ORDER BY CASE WHEN parent_table = 'orders' THEN 0 ELSE 1 END, coverage DESC, parent_table) AS k FROM r WHERE coverage > 0)
+SELECT child_table, child_column, parent_table, round(coverage, 9) AS coverage FROM k WHERE k = 1""")
 def p8_resolved(spark: SparkSession, sf: str) -> DataFrame:
-    rows = key_rows(spark).withColumn("priority", F.lit(0)).unionByName(key_rows(spark).select("child_table", "child_column", F.lit("zz").alias("parent_table"), F.lit("k").alias("parent_column"), F.lit(0.95).alias("coverage"), F.lit(1).alias("priority")))
-    t = tables(spark, sf)
-    present = spark.createDataFrame([(n,) for n in t], "child_table string")
-    return P.resolve(rows.join(present, "child_table"), "orders").select("child_table", "child_column", "parent_table")
+    """Rival parents of some columns, with the coverages that the tables show; one parent each."""
+    found = P.overlap(tables(spark, sf), sorted({(a, b) for a, b, _, _ in _RIVALS}), sorted({(c, d) for _, _, c, d in _RIVALS}))
+    rivals = spark.createDataFrame(_RIVALS, "child_table string, child_column string, parent_table string, parent_column string")
+    met = found.join(rivals, ["child_table", "child_column", "parent_table", "parent_column"]).withColumn("priority", F.lit(0))
+    return P.resolve(met, "orders").select("child_table", "child_column", "parent_table", F.round("coverage", 9).alias("coverage"))
 
 
 @query("SELECT * FROM (VALUES ('error', 'missing column orders.o_lost'), ('error', 'low coverage of orders.o_lost'), ('warning', '3 isolated tables')) AS v(severity, message) WHERE (SELECT count(*) FROM orders) > 0")
@@ -136,12 +181,22 @@ def p18_depth(spark: SparkSession, sf: str) -> DataFrame:
     return P.topology(*corpus(spark, sf)).filter("depth > 0").select("db_id", "depth")
 
 
-@query()
+_TOPOLOGY = f"""e AS (SELECT * FROM {_DBS}), p AS (SELECT db_id, [child_table, parent_table] AS p FROM e UNION ALL SELECT p.db_id, list_append(p, parent_table) FROM p JOIN e ON e.db_id = p.db_id AND child_table = p[-1] WHERE NOT list_contains(p, parent_table)),
+depth AS (SELECT db_id, CAST(max(len(p) - 1) AS INT) AS depth FROM p GROUP BY db_id), degree AS (SELECT db_id, parent_table AS t, count(DISTINCT child_table) AS d FROM e GROUP BY ALL),
+hub AS (SELECT db_id, arg_max(t, (d, t)) AS hub, max(d) AS hub_in FROM degree GROUP BY db_id), arms AS (SELECT db_id, child_table AS hub, count(DISTINCT parent_table) AS hub_out FROM e GROUP BY ALL),
+s AS (SELECT a.db_id, h.hub, coalesce(hub_in, 0) AS hub_in, coalesce(hub_out, 0) AS hub_out, coalesce(depth, 0) AS depth FROM (SELECT DISTINCT c_nationkey AS db_id FROM customer) a LEFT JOIN hub h USING (db_id) LEFT JOIN arms o ON o.db_id = a.db_id AND o.hub = h.hub LEFT JOIN depth d ON d.db_id = a.db_id),
+t AS (SELECT *, CASE WHEN depth = 0 THEN 'no_fk' WHEN hub_in >= 2 THEN 'intersection' ELSE 'path_only' END AS schema_type, CASE WHEN depth = 0 THEN 'flat' WHEN hub_in >= 2 AND depth >= 2 THEN 'snowflake' WHEN hub_in >= 2 THEN 'star' ELSE 'chain' END AS archetype, hub_out = 0 AS pure_endpoint,
+  list_concat(['0'], list_concat(list_transform(range(1, least(depth, 3) + 1), lambda i: i || 'p'), CASE WHEN hub_in >= 2 THEN list_transform(range(2, least(hub_in, 4) + 1), lambda i: i || 'i') ELSE [] END)) AS patterns FROM s)"""
+
+
+@query(f"WITH RECURSIVE {_TOPOLOGY} SELECT * EXCLUDE (patterns), array_to_string(patterns, ',') AS patterns FROM t")
 def p19_p22_topology(spark: SparkSession, sf: str) -> DataFrame:
     return P.topology(*corpus(spark, sf)).withColumn("patterns", F.array_join("patterns", ","))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TOPOLOGY} SELECT 'schema_type' AS measure, schema_type AS key, count(*) AS n FROM t GROUP BY schema_type UNION ALL SELECT 'archetype', archetype, count(*) FROM t GROUP BY archetype
+UNION ALL SELECT 'depth', CAST(depth AS VARCHAR), count(*) FROM t GROUP BY depth UNION ALL SELECT 'hub_in', CAST(hub_in AS VARCHAR), count(*) FROM t GROUP BY hub_in
+UNION ALL SELECT 'pattern', x, count(*) FROM (SELECT unnest(patterns) AS x FROM t) GROUP BY x UNION ALL SELECT 'pure_endpoint', 'hub', count(*) FROM t WHERE pure_endpoint AND hub IS NOT NULL""")
 def p21_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
     return P.corpus_report(P.topology(*corpus(spark, sf)))
 
@@ -161,11 +216,13 @@ def p25_schema_text(spark: SparkSession, sf: str) -> DataFrame:
     return P.schema_text(P.profile(spark, tables(spark, sf, ("region", "nation"))))
 
 
-@query()
-def p27_infer_database(spark: SparkSession, sf: str) -> DataFrame:
-    from skemara.plans.derived import statements
+_KNOWN = (("sales", "orders"), ("sales", "customer"), ("geo", "nation"), ("geo", "region"), ("geo", "supplier"), ("goods", "part"))
+
 
-    known = spark.createDataFrame([("sales", "orders"), ("sales", "customer"), ("geo", "nation"), ("geo", "region"), ("geo", "supplier"), ("goods", "part")], "db_id string, table string")
+@query(f"""WITH k AS (SELECT * FROM (VALUES {', '.join(map(str, _KNOWN))}) AS v(db_id, t)), w AS (SELECT DISTINCT sql_id, unnest(regexp_extract_all(lower(sql), '[a-z_][a-z0-9_]*')) AS t FROM {STATEMENTS_SQL}),
+c AS (SELECT sql_id, k.db_id, count(*) AS c FROM w JOIN k USING (t) GROUP BY ALL) SELECT sql_id, arg_min(db_id, (-c, db_id)) AS db_id FROM c GROUP BY sql_id""")
+def p27_infer_database(spark: SparkSession, sf: str) -> DataFrame:
+    known = spark.createDataFrame(list(_KNOWN), "db_id string, table string")
     return P.infer_database(statements(spark, sf).drop("db_id"), known, "sql_id", "sql")
 
 
@@ -176,17 +233,35 @@ def p28_dates(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", epoch_date(F.concat(F.lit("/Date("), ms.cast("string"), F.lit(")/"))).alias("day"))
 
 
-@query("SELECT * FROM (VALUES ('1p', 'orders/customer'), ('2p', 'orders/customer/nation'), ('3p', 'orders/customer/nation/region')) AS v(pattern, path)")
+def _structures_sql(target: str) -> str:
+    """SQL of the structures from a target, over the keys whose coverage holds: relations chain, star and found (pattern, t)."""
+    return f"""fk AS (SELECT child_table AS c, parent_table AS p FROM ({_OVERLAP}) WHERE coverage >= 0.9), move AS (SELECT DISTINCT c AS a, p AS b FROM fk UNION ALL SELECT DISTINCT p, c FROM fk WHERE p NOT IN (SELECT c FROM fk)),
+chain AS (SELECT ['{target}'] AS t UNION ALL SELECT list_append(t, b) FROM chain JOIN move ON a = t[-1] WHERE len(t) <= 3 AND NOT list_contains(t, b)),
+dim AS (SELECT DISTINCT CASE WHEN c = '{target}' THEN p ELSE c END AS d FROM fk WHERE '{target}' IN (c, p)), star AS (SELECT ['{target}'] AS t UNION ALL SELECT list_append(t, d) FROM star JOIN dim ON len(t) = 1 OR d > t[-1] WHERE len(t) <= 4),
+found AS (SELECT '0' AS pattern, ['{target}'] AS t UNION ALL SELECT (len(t) - 1) || 'p', t FROM chain WHERE len(t) > 1 UNION ALL SELECT (len(t) - 1) || 'i', t FROM star WHERE len(t) > 2)"""
+
+
+@query(f"WITH RECURSIVE {_structures_sql('orders')} SELECT (len(t) - 1) || 'p' AS pattern, array_to_string(t, '/') AS path FROM chain WHERE len(t) > 1")
 def c1_chains(spark: SparkSession, sf: str) -> DataFrame:
     return C.chains(found_keys(spark, sf, "orders"), "orders").select("pattern", F.array_join("tables", "/").alias("path"))
 
 
-@query("SELECT * FROM (VALUES ('2i', 'nation/customer/region'), ('2i', 'nation/customer/supplier'), ('2i', 'nation/region/supplier'), ('3i', 'nation/customer/region/supplier')) AS v(pattern, path)")
+@query(f"WITH RECURSIVE {_structures_sql('nation')} SELECT (len(t) - 1) || 'i' AS pattern, array_to_string(t, '/') AS path FROM star WHERE len(t) > 2")
 def c2_stars(spark: SparkSession, sf: str) -> DataFrame:
     return C.stars(found_keys(spark, sf, "nation"), "nation").select("pattern", F.array_join("tables", "/").alias("path"))
 
 
-@query()
+def _filterable_sql(t: str) -> str:
+    """How many columns of a table predicates may use: numbers, dates and short texts that are neither a foreign key nor the primary key."""
+    foreign = {b for a, b, _, _ in _FKS if a == t}
+    cols = [c for c in _COLS[t].split() if c not in foreign]
+    number = lambda c: c in _FRACTIONS or c.endswith(("key", "size", "linenumber"))
+    each = " + ".join("1" if number(c) else f"(avg(length({c})) <= 50)::INT" for c in cols)
+    return f"SELECT '{t}' AS tab, {each} - (SELECT (coalesce(primary_key, '') IN ({', '.join(repr(c) for c in cols)}))::INT FROM ({_key_sql(t)})) AS n FROM {t}"
+
+
+@query(f"""WITH RECURSIVE {_structures_sql('orders')}, f AS ({' UNION ALL '.join(map(_filterable_sql, _COLS))}), s AS (SELECT pattern, t, sum(n) AS n FROM (SELECT pattern, t, unnest(t) AS tab FROM found) LEFT JOIN f USING (tab) GROUP BY pattern, t),
+b AS (SELECT pattern, CAST(max(n) AS BIGINT) AS columns FROM s GROUP BY pattern) SELECT pattern || tier AS strategy, pattern, tier, columns FROM b, (VALUES ('E', 1), ('M', 3), ('H', 6)) AS x(tier, least) WHERE columns >= least""")
 def c3_feasible(spark: SparkSession, sf: str) -> DataFrame:
     t = types(spark, sf)
     keys = P.pinned(P.primary_keys(t))
@@ -194,14 +269,17 @@ def c3_feasible(spark: SparkSession, sf: str) -> DataFrame:
     return C.feasible(P.pinned(C.structures(fks, "orders")), P.filterable(t, keys, fks))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_structures_sql('nation').replace("move AS (SELECT DISTINCT c AS a, p AS b FROM fk UNION ALL SELECT DISTINCT p, c FROM fk WHERE p NOT IN (SELECT c FROM fk))", "move AS (SELECT DISTINCT c AS a, p AS b FROM fk UNION SELECT p, c FROM fk)")},
+n AS (SELECT {sum(len(c.split()) for c in _COLS.values()) - 1} * (count(*) > 0)::INT AS n FROM orders), w AS (SELECT * FROM (VALUES ('2iE', '2i', 1), ('4iE', '4i', 1), ('2pM', '2p', 3), ('9zE', NULL, 0)) AS v(strategy, pattern, least)),
+r AS (SELECT strategy, CASE WHEN w.pattern IS NULL THEN 'unknown class' WHEN w.pattern NOT IN (SELECT pattern FROM found) THEN CASE WHEN w.pattern LIKE '%i' THEN 'too few related tables' ELSE 'no chain of this length' END WHEN n < least THEN 'too few columns' END AS reason FROM w, n) SELECT strategy, reason IS NULL AS supported, reason FROM r""")
 def c5_c6_capabilities(spark: SparkSession, sf: str) -> DataFrame:
     t = P.profile(spark, tables(spark, sf))
-    able = C.capabilities(key_rows(spark), t.filter("column <> 'o_orderkey'"), "nation")
+    able = C.capabilities(found_keys(spark, sf, "nation"), t.filter("column <> 'o_orderkey'"), "nation")
     return C.check_wanted(spark.createDataFrame([("2iE",), ("4iE",), ("2pM",), ("9zE",)], "strategy string"), able)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_structures_sql('nation')}, k AS (SELECT pattern, array_to_string(t, '/') AS path, row_number() OVER (PARTITION BY pattern ORDER BY array_to_string(t, '/')) - 1 AS k, count(*) OVER (PARTITION BY pattern) AS n FROM found)
+SELECT pattern, CAST(attempt AS INT) AS attempt, path FROM k JOIN range(6) AS a(attempt) ON attempt % n = k""")
 def c4_c7_picks(spark: SparkSession, sf: str) -> DataFrame:
     found = P.pinned(C.structures(found_keys(spark, sf, "nation"), "nation"))
     return C.pick(found, 6, round_robin=True).select("pattern", "attempt", F.array_join("tables", "/").alias("path"))
@@ -279,6 +357,28 @@ def f1_f2_predicates(spark: SparkSession, sf: str) -> DataFrame:
     return J.answers(J.joined(tables(spark, sf, PATH), SCHEMA, PATH, False), specs, "o_orderkey")
 
 
+@query("SELECT s AS strategy, 60 AS specs, 0 AS out_of_range, 0 AS wrong_operator, 0 AS lost FROM (VALUES ('2pE'), ('2pM')) AS v(s) WHERE (SELECT count(*) FROM orders) >= 60")
+def f4_f6_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Of sixty anchored queries of two classes: those with too few or too many predicates, with an operator that the type does not have, without an answer."""
+    rows = []
+    for strategy in ("2pE", "2pM"):
+        frame, specs = chain_specs(spark, sf, strategy)
+        low, high = C.TIER_RANGE[strategy[-1]]
+        found = {r.spec for r in J.answers(frame, specs, "o_orderkey").select("spec").distinct().collect()}
+        rows.append((strategy, len(specs), sum(not low <= len(s.predicates) <= high for s in specs), sum(p.op not in J.OPERATORS[p.kind] for s in specs for p in s.predicates), sum(s.number not in found for s in specs)))
+    return spark.createDataFrame(rows, "strategy string, specs int, out_of_range int, wrong_operator int, lost int")
+
+
+@query("SELECT 40 AS specs, 0 AS wrong_operator, 0 AS unknown_value WHERE (SELECT count(*) FROM orders) > 0")
+def f5_random_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Of forty random queries: predicates whose operator the type does not have (numbers have strict ones too), and whose value the column does not have."""
+    samples, specs = random_baseline(spark, sf)
+    known = {(t, c): set(values) for t, cs in samples.items() for c, _, values in cs}
+    ops = lambda p: (*J.OPERATORS[p.kind], ">", "<") if p.kind == "NUMERIC" else J.OPERATORS[p.kind]
+    preds = [p for s in specs for p in s.predicates]
+    return spark.createDataFrame([(len(specs), sum(p.op not in ops(p) for p in preds), sum(p.value not in known[p.alias, p.column] for p in preds))], "specs int, wrong_operator int, unknown_value int")
+
+
 @query()
 def a2_v4_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     frame, specs = chain_specs(spark, sf, "2pE", 60)
@@ -298,16 +398,23 @@ def v1_gold_gate(spark: SparkSession, sf: str) -> DataFrame:
     return out.agg(F.count(F.lit(1)).cast("int").alias("wrong"))
 
 
-@query()
-def b1_random_baseline(spark: SparkSession, sf: str) -> DataFrame:
+RANDOM = P.Schema("orders", SCHEMA.primary, [f for f in SCHEMA.foreign if "lineitem" not in (f.child, f.parent)])
+
+
+def random_baseline(spark: SparkSession, sf: str) -> tuple[dict, list[J.Spec]]:
+    """Values that some columns have, and forty random queries on them."""
     t = tables(spark, sf)
     kinds = {"orders": FILTERS["orders"][:2], "customer": FILTERS["customer"][:2]}
     samples = {n: [(c, k, [r[0] for r in t[n].select(c).distinct().orderBy(c).limit(20).collect()]) for c, k in cs] for n, cs in kinds.items()}
-    schema = P.Schema("orders", SCHEMA.primary, [f for f in SCHEMA.foreign if "lineitem" not in (f.child, f.parent)])
-    specs = J.random_specs(schema, samples, 40)
+    return samples, J.random_specs(RANDOM, samples, 40)
+
+
+@query()
+def b1_random_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    t, (_, specs) = tables(spark, sf), random_baseline(spark, sf)
     alone = [s for s in specs if len(s.tables) == 1]
     both = [s for s in specs if len(s.tables) == 2]
-    found = J.answers(J.joined(t, schema, ("orders",), False), alone, "o_orderkey").unionByName(J.answers(J.joined(t, schema, ("orders", "customer"), True), both, "o_orderkey"))
+    found = J.answers(J.joined(t, RANDOM, ("orders",), False), alone, "o_orderkey").unionByName(J.answers(J.joined(t, RANDOM, ("orders", "customer"), True), both, "o_orderkey"))
     return found.groupBy("spec").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemara.operators import classify as K
+from skemara.operators.metrics import CLAUSES, components
 from skemara.operators.quota import group_split
 from skemara.plans.derived import RECORDS_SQL, STATEMENTS_SQL, records, statements
-from skemara.plans.metrics import _PAIRS, pairs
+from skemara.plans.metrics import clause_parts
 from skemara.registry import query
 
 _FLAT = "trim(regexp_replace(regexp_replace(sql, '''[^'']*''', '''''', 'g'), '\\s+', ' ', 'g'))"
@@ -90,7 +91,8 @@ def k12_reasoning(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("sql_id", K.reasoning(F.col("pattern"), F.col("tables"), F.col("conditions"), K.select_columns(F.col("sql"))).alias("chain"))
 
 
-@query()
+@query(f"""WITH {_D}, g AS (SELECT DISTINCT db_id FROM e WHERE in_scope), r AS (SELECT db_id, row_number() OVER (ORDER BY md5('7:' || db_id), db_id) AS r, count(*) OVER () AS n FROM g)
+SELECT sql_id, db_id, CASE WHEN r <= greatest(1, floor(n * 0.2)) THEN 'val' ELSE 'train' END AS split FROM e JOIN r USING (db_id) WHERE in_scope""")
 def k13_group_split(spark: SparkSession, sf: str) -> DataFrame:
     return group_split(described(spark, sf).filter("in_scope"), "db_id", 0.2, 7).select("sql_id", "db_id", "split")
 
@@ -118,17 +120,40 @@ def k18_flat_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return described(spark, sf).select("db_id", F.explode("tables").alias("t")).agg(F.countDistinct("t").alias("tables"), F.countDistinct("db_id").alias("dbs"))
 
 
-@query()
-def k19_clauses(spark: SparkSession, sf: str) -> DataFrame:
-    from skemara.operators.metrics import components
+_PARTS = ", ".join(f"array_to_string(list_sort({clause_parts('sql', c)}), ' ; ') AS {c.replace(' ', '_')}" for c in CLAUSES)
+
 
+@query(f"SELECT sql_id, {_PARTS} FROM {STATEMENTS_SQL}")
+def k19_clauses(spark: SparkSession, sf: str) -> DataFrame:
     s = statements(spark, sf)
-    return s.select("sql_id", *(F.array_join(v, " ; ").alias(k.replace(" ", "_")) for k, v in components(F.col("sql")).items()))
+    return s.select("sql_id", *(F.array_join(F.array_sort(v), " ; ").alias(k.replace(" ", "_")) for k, v in components(F.col("sql")).items()))
+
+
+_MIXED = f"(SELECT a.sql_id, a.sql AS gold, b.sql AS pred FROM {STATEMENTS_SQL} a JOIN {STATEMENTS_SQL} b ON b.sql_id = a.sql_id + [0, 14, 1][a.sql_id % 3 + 1])"
 
 
-@query(f"SELECT sql_id, CASE WHEN gold = pred THEN 'other' ELSE 'value' END AS category FROM {_PAIRS} WHERE sql_id % 14 IN (0, 1, 2, 3)")
+def _taken(x: str) -> str:
+    """SQL columns of one side: its tables, columns and operators of its conditions, literals, all sorted."""
+    flat = _FLAT.replace("(sql,", f"({x},")
+    body = _BODY.replace("(f,", f"({flat},")
+    pattern = "'([A-Za-z_][A-Za-z0-9_.]*) ?(>=|<=|<>|!=|=|>|<|(?i:like)) ?'"
+    found = {
+        "t": f"list_transform(regexp_extract_all({flat}, '(?i)\\b(?:from|join|update|into) ([A-Za-z_][A-Za-z0-9_]*)', 1), lambda x: lower(x))",
+        "c": f"list_transform(regexp_extract_all({body}, {pattern}, 1), lambda x: regexp_replace(lower(x), '^\\w+\\.', ''))",
+        "o": f"list_transform(list_zip(regexp_extract_all({body}, {pattern}, 1), regexp_extract_all({body}, {pattern}, 2)), lambda x: regexp_replace(lower(x[1]), '^\\w+\\.', '') || ' ' || lower(x[2]))",
+        "v": f"regexp_extract_all(regexp_replace({x}, '\\s+', ' ', 'g'), '(?:>=|<=|<>|!=|=|>|<) ?(''[^'']*''|\\d+(?:\\.\\d+)?)', 1)",
+    }
+    return ", ".join(f"list_sort({v}) AS {x[0]}{k}" for k, v in found.items())
+
+
+@query(f"""WITH x AS (SELECT sql_id, {_taken('gold')}, {_taken('pred')} FROM {_MIXED}) SELECT sql_id, CASE WHEN len(gt) = 0 OR len(pt) = 0 THEN 'other' WHEN gt <> pt THEN 'join_path' WHEN len(po) < len(go) THEN 'missing_predicate' WHEN len(po) > len(go) THEN 'extra_predicate'
+WHEN gc <> pc THEN 'other' WHEN go <> po THEN 'operator' WHEN gv <> pv THEN 'value' ELSE 'other' END AS category FROM x""")
 def k20_failures(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs(spark, sf).filter("sql_id % 14 < 4").select("sql_id", K.failure_category(F.col("gold"), F.col("pred")).alias("category"))
+    """Of all statements, each against itself, the next of its shape or one of another shape."""
+    s = statements(spark, sf)
+    other = s.select(F.col("sql_id").alias("_o"), F.col("sql").alias("pred"))
+    gold = s.select("sql_id", F.col("sql").alias("gold"), (F.col("sql_id") + F.element_at(F.array(F.lit(0), F.lit(14), F.lit(1)), (F.col("sql_id") % 3 + 1).cast("int"))).alias("_o"))
+    return gold.join(other, "_o").select("sql_id", K.failure_category(F.col("gold"), F.col("pred")).alias("category"))
 
 
 @query(f"WITH {_D} SELECT sql_id, CASE WHEN n >= 3 OR (rich AND n >= 2) THEN 'complex' WHEN n = 2 OR rich THEN 'medium' ELSE 'simple' END AS complexity FROM (SELECT sql_id, len(list_distinct(tables)) AS n, regexp_matches(f, '(?i)\\b(group by|having|union|intersect|except)\\b|\\(\\s*select\\b|\\b(count|sum|avg|min|max)\\s*\\(') AS rich FROM e)")
@@ -142,8 +167,28 @@ def k22_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     return K.unknown_identifiers(statements(spark, sf), known)
 
 
-@query(f"SELECT sql_id, replace(replace(sql, '(', ''), ')', '') AS bare, true AS same FROM {STATEMENTS_SQL} WHERE sql_id % 14 < 4")
+_LIST = f"list_filter(list_transform(string_split(lower(regexp_extract({_FLAT.replace('(sql,', '(body,')}, '(?i)\\bselect (?:distinct )?(.*?) from\\b', 1)), ','), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"""WITH r AS (SELECT sql_id, CASE WHEN sql_id % 3 = 1 AND NOT regexp_matches(sql, '(?i)\\bselect\\b') THEN '' ELSE sql END AS body FROM {STATEMENTS_SQL}), c AS (SELECT sql_id, body, {_LIST} AS cols FROM r)
+SELECT sql_id, body, len(list_filter(cols, lambda x: x = 'o_orderkey' OR x LIKE '%.o_orderkey' OR x = '*')) > 0 AS has_id,
+CASE WHEN has_id THEN body ELSE regexp_replace(body, '(?i)^\\s*select (distinct )?', 'SELECT \\1o_orderkey, ') END AS with_id,
+array_to_string(list_transform(string_split(body, ''''), lambda x, i: CASE WHEN i % 2 = 1 THEN lower(x) ELSE x END), '''') AS lowered FROM c""")
 def k23_cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    s = statements(spark, sf).filter("sql_id % 14 < 4").withColumn("reply", F.concat(F.lit("Here it is:\n```sql\n"), "sql", F.lit(";\n```\nDone.")))
-    clean = K.clean_reply(F.col("reply"))
-    return s.select("sql_id", F.translate(clean, "()", "").alias("bare"), (K.ensure_id(K.lower_identifiers(clean), "o_orderkey") != "").alias("same"))
+    """Replies with every statement, fenced, bare, or with a parenthesis left open; the statement, with its id column, and in lower case."""
+    kind, sql = F.col("sql_id") % 3, F.col("sql")
+    fenced = lambda x: F.concat(F.lit("Here it is:\n```sql\n"), x, F.lit(";\n```\nDone."))
+    reply = F.when(kind == 0, fenced(sql)).when(kind == 1, F.concat(F.lit("The answer is "), sql, F.lit(" ;; "))).otherwise(fenced(F.regexp_replace(sql, r"\)$", "")))
+    s = statements(spark, sf).select("sql_id", K.clean_reply(reply).alias("body"))
+    there = F.exists(K.select_columns(F.col("body")), lambda c: (c == "o_orderkey") | c.endswith(".o_orderkey") | (c == "*"))
+    return s.select("sql_id", "body", there.alias("has_id"), K.ensure_id(F.col("body"), "o_orderkey").alias("with_id"), K.lower_identifiers(F.col("body")).alias("lowered"))
+
+
+@query(f"SELECT uid, model, strategy FROM {RECORDS_SQL}")
+def k1_plan_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of a plan of each record's shape, from its paths and number of predicates."""
+    hops, star = F.substring("pattern", 1, 1).cast("int"), F.col("pattern").endswith("i")
+    chain = F.array(F.concat(F.array(F.lit("t")), F.when(hops == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(hops, F.lit(1))), lambda i: i.cast("string")))))
+    arms = F.transform(F.sequence(F.lit(1), F.greatest(hops, F.lit(1))), lambda i: F.array(F.lit("t"), i.cast("string")))
+    filters = F.when(F.col("tier") == "E", 1 + F.col("uid") % 2).when(F.col("tier") == "M", 3 + F.col("uid") % 3).otherwise(6 + F.col("uid") % 3)
+    return records(spark, sf).select("uid", "model", K.plan_code(F.when(star, arms).otherwise(chain), star, filters).alias("strategy"))

@@ -111,7 +111,22 @@ def m10_soft_f1_m11_distance(spark: SparkSession, sf: str) -> DataFrame:
     return M.text_metrics(pairs(spark, sf), "gold", "pred", ["soft_f1", "set_distance"]).select("sql_id", "soft_f1", "set_distance")
 
 
-@query()
+def clause_parts(x: str, name: str) -> str:
+    """SQL of the parts of one clause, distinct, in no order."""
+    later = {"select": "from", "from": "where|group by|order by|limit", "where": "group by|order by|limit", "group by": "having|order by|limit", "order by": "limit"}[name]
+    text = f"trim(regexp_extract({_norm(x)}, '\\b{name}\\b (.*?)(?: (?:{later})\\b|$)', 1))"
+    cut = "\\s+and\\s+" if name == "where" else "\\s*,\\s*"
+    return f"list_filter(list_distinct(list_transform(regexp_split_to_array({text}, '{cut}'), lambda x: trim(x))), lambda x: x <> '')"
+
+
+_CLAUSES = list(enumerate(M.CLAUSES))
+_F1 = "CASE WHEN g{k} = 0 AND p{k} = 0 THEN 1.0 WHEN h{k} = 0 THEN 0.0 ELSE 2 * (h{k} / p{k}) * (h{k} / g{k}) / (h{k} / p{k} + h{k} / g{k}) END::DOUBLE"
+_JACCARD = "CASE WHEN g{k} + p{k} = 0 THEN 1.0 ELSE h{k} / (g{k} + p{k} - h{k}) END::DOUBLE"
+
+
+@query(f"""WITH c AS (SELECT sql_id, gold, pred, {', '.join(f"{clause_parts('gold', c)} AS a{k}, {clause_parts('pred', c)} AS b{k}" for k, c in _CLAUSES)}, {_tok('gold')} AS ta, {_tok('pred')} AS tb FROM {_PAIRS}),
+n AS (SELECT sql_id, CASE WHEN {_norm('gold')} = {_norm('pred')} THEN 1 ELSE 0 END AS exact_match, {', '.join(f'len(a{k}) AS g{k}, len(b{k}) AS p{k}, len(list_intersect(a{k}, b{k})) AS h{k}' for k, _ in _CLAUSES)}, len(ta) AS g9, len(tb) AS p9, len(list_intersect(ta, tb)) AS h9 FROM c)
+SELECT sql_id, exact_match, ({' + '.join(_F1.format(k=k) for k, _ in _CLAUSES)}) / 5 AS component_f1, {_F1.format(k=9)} AS soft_f1, CAST(g9 + p9 - 2 * h9 AS BIGINT) AS set_distance, ({' + '.join(_JACCARD.format(k=k) for k, _ in _CLAUSES)}) / 5 AS clause_jaccard FROM n""")
 def m9_m12_text_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return M.text_metrics(pairs(spark, sf), "gold", "pred").drop("gold", "pred")
 
@@ -204,10 +219,10 @@ def m25_surface(spark: SparkSession, sf: str) -> DataFrame:
     return M.surface(records(spark, sf), "pattern", "tier", "correct")
 
 
-@query("""WITH g AS (SELECT CAST(p_size // 10 AS BIGINT) AS x, CAST(floor(p_retailprice / 200) AS BIGINT) AS y, count(*) AS n, avg(p_size) AS mean FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2),
+@query("""WITH g AS (SELECT CAST(p_size // 10 AS BIGINT) AS x, CAST(floor(p_retailprice / 40) AS BIGINT) AS y, count(*) AS n, avg(p_size) AS mean FROM part GROUP BY 1, 2),
 b AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM g), cells AS (SELECT x, unnest(range(c, d + 1)) AS y FROM (SELECT unnest(range(a, b + 1)) AS x, c, d FROM b)),
 l AS (SELECT cells.x, cells.y, sum(g.n * g.mean) / sum(g.n) AS loc FROM cells LEFT JOIN g ON abs(g.x - cells.x) <= 1 AND abs(g.y - cells.y) <= 1 GROUP BY ALL)
 SELECT l.x, l.y, coalesce(g.n, 0) AS n, CASE WHEN g.n IS NULL THEN loc ELSE (g.n * g.mean + 10 * loc) / (g.n + 10) END AS filled FROM l LEFT JOIN g ON g.x = l.x AND g.y = l.y""")
 def m26_filled_surface(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").filter("p_partkey % 3 = 0").select(F.floor(F.col("p_size") / 10).cast("long").alias("x"), F.floor(F.col("p_retailprice") / 200).cast("long").alias("y"), "p_size")
+    p = table(spark, sf, "part").select(F.floor(F.col("p_size") / 10).cast("long").alias("x"), F.floor(F.col("p_retailprice") / 40).cast("long").alias("y"), "p_size")
     return M.fill_surface(M.surface(p, "x", "y", "p_size"), "x", "y")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skemara.functions.scalar import mix_sql, name_seed, normal_id, sql_uid
 from skemara.operators import quota as Q
-from skemara.operators.classify import alias_pairs, predicates
+from skemara.operators.classify import alias_pairs, predicates, tables_of
 from skemara.plans.derived import PATTERNS, RECORDS_SQL, STATEMENTS_SQL, TIERS, records, statements
 from skemara.registry import query, table
 
@@ -152,7 +152,10 @@ def q17_digests(spark: SparkSession, sf: str) -> DataFrame:
     return statements(spark, sf).select("sql_id", sql_uid(F.col("sql")).alias("uid"), F.sha1("sql").alias("s1"), F.md5("sql").alias("m5"))
 
 
-@query()
+_CRC = "list_reduce([4294967295::BIGINT] || list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce([xor(c, b)] || list_transform(range(8), lambda i: i::BIGINT), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END))"
+
+
+@query(f"SELECT db_id, CAST(xor({_CRC.format(x=chr(39) + '42:' + chr(39) + ' || db_id')}, 4294967295::BIGINT) % 2147483648 AS BIGINT) AS seed FROM (SELECT DISTINCT db_id FROM {STATEMENTS_SQL})")
 def q17_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return statements(spark, sf).select("db_id").distinct().select("db_id", name_seed(42, F.col("db_id")).alias("seed"))
 
@@ -182,20 +185,34 @@ def q24_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return Q.with_verdicts(questions(spark, sf), v).select("uid", "is_valid")
 
 
-@query()
+_LITERALS = "list_distinct(regexp_extract_all(regexp_replace(sql, '''[^'']*''', '', 'g'), '(?:^|[^A-Za-z0-9_.])(\\d+(?:\\.\\d+)?)', 1))"
+
+
+@query(f"""WITH l AS (SELECT sql_id, {_LITERALS} AS x FROM {STATEMENTS_SQL}) SELECT sql_id, CASE sql_id % 4 WHEN 0 THEN false WHEN 1 THEN len(list_filter(x, lambda v: NOT contains('Find rows of 1995', v))) = 0 ELSE true END AS faithful FROM l""")
 def q19_literal_gate(spark: SparkSession, sf: str) -> DataFrame:
-    s = statements(spark, sf).withColumn("question", F.concat(F.lit("Find rows with "), F.array_join(Q.literals(F.col("sql")), " and "), F.when(F.col("sql_id") % 4 == 0, " or about so").otherwise("")))
-    return s.select("sql_id", Q.faithful(F.col("question"), F.col("sql")).alias("faithful"))
+    """Questions that have all literals, with thousands separators, that soften them, and that have others."""
+    grouped = F.transform(Q.literals(F.col("sql")), lambda x: F.regexp_replace(x, r"(?<=\d)(?=(\d{3})+$)", ","))
+    kind = F.col("sql_id") % 4
+    question = F.when(kind == 1, F.lit("Find rows of 1,995")).otherwise(F.concat(F.lit("Find rows with "), F.array_join(grouped, " and "), F.when(kind == 0, " or about so").otherwise("")))
+    return statements(spark, sf).select("sql_id", Q.faithful(question, F.col("sql")).alias("faithful"))
+
+
+_PRED = "'([A-Za-z_][A-Za-z0-9_.]*) ?(>=|<=|<>|!=|=|>|<|(?i:like)) ?'"
+_BODY = "regexp_extract(f, '(?i)\\bwhere\\b (.*?)(?: (?:group by|order by|having|limit|union|intersect|except)\\b|;|$)', 1)"
 
 
-@query()
+@query(f"""WITH a AS (SELECT sql_id, trim(regexp_replace(regexp_replace(sql, '''[^'']*''', '''''', 'g'), '\\s+', ' ', 'g')) AS f FROM {STATEMENTS_SQL}),
+b AS (SELECT sql_id, list_transform(regexp_extract_all(f, '(?i)\\b(?:from|join) ([A-Za-z_][A-Za-z0-9_]*) as ([A-Za-z_][A-Za-z0-9_]*)', 1), lambda x: lower(x)) AS names, list_transform(regexp_extract_all(f, '(?i)\\b(?:from|join) ([A-Za-z_][A-Za-z0-9_]*) as ([A-Za-z_][A-Za-z0-9_]*)', 2), lambda x: lower(x)) AS marks,
+  list_transform(list_zip(regexp_extract_all({_BODY}, {_PRED}, 1), regexp_extract_all({_BODY}, {_PRED}, 2)), lambda x: lower(x[1]) || ' ' || lower(x[2])) AS preds, lower(regexp_extract(f, '(?i)\\b(?:from|join|update|into) ([A-Za-z_][A-Za-z0-9_]*)', 1)) AS first FROM a),
+c AS (SELECT sql_id, names, list_transform(preds, lambda p: names[list_position(marks, split_part(p, '.', 1))]) AS tested, 'List ' || coalesce(names[1], first) || ' where ' || array_to_string(preds, ' and ') AS question FROM b)
+SELECT sql_id, question, array_to_string(list_sort(list_distinct(list_filter(names, lambda t: NOT list_contains(tested, t) AND NOT contains(lower(question), replace(t, '_', ' '))))), ',') AS silent FROM c""")
 def q18_q20_questions(spark: SparkSession, sf: str) -> DataFrame:
-    s = statements(spark, sf).filter(F.contains("sql", F.lit(" AS ")))
-    named = s.withColumns({"pairs": alias_pairs(F.col("sql")), "preds": predicates(F.col("sql"))})
+    named = statements(spark, sf).withColumns({"pairs": alias_pairs(F.col("sql")), "preds": predicates(F.col("sql"))})
     joined = F.transform("pairs", lambda p: F.split_part(p, F.lit("="), F.lit(2)))
-    tested = F.array_distinct(F.transform("preds", lambda p: F.try_element_at(F.str_to_map(F.array_join("pairs", ","), F.lit(","), F.lit("=")), F.split_part(p, F.lit("."), F.lit(1)))))
-    question = F.concat(F.lit("List "), F.element_at(joined, 1), F.lit(" where "), F.array_join("preds", " and "))
-    return named.select("sql_id", question.alias("question"), F.array_join(Q.silent_branches(joined, tested, question), ",").alias("silent"))
+    tables = F.when(F.size("pairs") > 0, F.str_to_map(F.array_join("pairs", ","), F.lit(","), F.lit("=")))
+    tested = F.array_distinct(F.transform("preds", lambda p: F.try_element_at(tables, F.split_part(p, F.lit("."), F.lit(1)))))
+    question = F.concat(F.lit("List "), F.coalesce(F.get(joined, F.lit(0)), F.get(tables_of(F.col("sql")), F.lit(0))), F.lit(" where "), F.array_join("preds", " and "))
+    return named.select("sql_id", question.alias("question"), F.array_join(F.array_sort(Q.silent_branches(joined, tested, question)), ",").alias("silent"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity / 7 = floor(l_quantity / 7) THEN CAST(CAST(l_quantity / 7 AS BIGINT) AS VARCHAR) ELSE printf('%.6f', round_even(l_quantity / 7, 6)) END AS id FROM lineitem")

@@ -38,39 +38,40 @@ def r3_search_terms(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf).select("query_id", F.explode(R.search_terms(F.col("text")))).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {_POST}, {_Q}, d AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM t) GROUP BY term),
+s AS (SELECT query_id, p.doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) * CASE WHEN length(term) >= 5 THEN 3.0 ELSE 1.0 END), 9) AS score FROM p JOIN d USING (term) JOIN t USING (term) JOIN l ON l.doc_id = p.doc_id, n GROUP BY query_id, p.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def r4_weighted_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of five letters and more count three times."""
     q = texts(spark, sf).select("query_id", F.explode(R.search_terms(F.col("text"))).alias("term")).withColumn("weight", F.when(F.char_length("term") >= 5, 3.0).otherwise(1.0))
     return R.bm25(table(spark, sf, "documents"), q, 5).withColumn("score", F.round("score", 6))
 
 
-_CQ = "(VALUES (0, 'building 0000'), (1, 'find the automobile')) AS q(query_id, text)"
-
-
-def customer_questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, "building 0000"), (1, "find the automobile")], "query_id int, text string")
-
-
 def customers(spark: SparkSession, sf: str) -> DataFrame:
     return R.documents(table(spark, sf, "customer"), "c_custkey", ["c_custkey", "c_name", "c_mktsegment"], "customer")
 
 
-@query("""WITH d AS (SELECT CAST(c_custkey AS VARCHAR) AS doc_id, lower(c_custkey || ' | ' || c_name || ' | ' || c_mktsegment) AS t FROM customer), s AS (SELECT 0 AS query_id, doc_id, contains(t, 'building')::INT + contains(t, '0000')::INT AS s FROM d UNION ALL SELECT 1, doc_id, contains(t, 'automobile')::INT FROM d),
-r AS (SELECT query_id, doc_id, s::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM s WHERE s > 0) SELECT * FROM r WHERE rank <= 10""")
+@query("""WITH d AS (SELECT CAST(c_custkey AS VARCHAR) AS doc_id, lower(c_custkey || ' | ' || c_name || ' | ' || c_mktsegment) AS t FROM customer), q AS (SELECT s_suppkey AS query_id, unnest(['building', CAST(s_suppkey AS VARCHAR)]) AS term FROM supplier),
+s AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM q JOIN d ON contains(d.t, q.term) GROUP BY query_id, doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
 def r5_containment(spark: SparkSession, sf: str) -> DataFrame:
-    return R.containment(customers(spark, sf), customer_questions(spark))
+    """A question per supplier, answered from customers."""
+    q = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("the building "), F.col("s_suppkey").cast("string")).alias("text"))
+    return R.containment(customers(spark, sf), q)
 
 
-@query("SELECT CAST(item_id AS INT) AS query_id, o_orderkey, 1.0::DOUBLE AS score FROM orders JOIN (SELECT * FROM benchmark WHERE item_id < 20) ON o_orderkey = item_id * 10 OR o_custkey = item_id * 10 WHERE o_orderkey <> o_custkey")
+@query("SELECT CAST(item_id AS INT) AS query_id, o_orderkey, ((o_orderkey = item_id * 10)::INT + (o_custkey = item_id * 10)::INT)::DOUBLE AS score FROM orders JOIN benchmark ON o_orderkey = item_id * 10 OR o_custkey = item_id * 10")
 def r6_exact_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    q = table(spark, sf, "benchmark").filter("item_id < 20").select(F.col("item_id").cast("int").alias("query_id"), F.concat(F.lit("order "), (F.col("item_id") * 10).cast("string"), F.lit("?")).alias("text"))
-    return R.exact_numbers(table(spark, sf, "orders").filter("o_orderkey <> o_custkey"), q, ["o_orderkey", "o_custkey"], "o_orderkey")
+    """A question per item of the benchmark, answered from all orders."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.concat(F.lit("order "), (F.col("item_id") * 10).cast("string"), F.lit("?")).alias("text"))
+    return R.exact_numbers(table(spark, sf, "orders"), q, ["o_orderkey", "o_custkey"], "o_orderkey")
 
 
-@query("SELECT 0 AS query_id, o_orderkey, 2.0::DOUBLE AS score FROM orders WHERE year(o_orderdate) = 1995 AND month(o_orderdate) = 3 UNION ALL SELECT 1, o_orderkey, 1.0::DOUBLE FROM orders WHERE month(o_orderdate) = 7")
+@query("""WITH q AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 3 > 0 THEN 1992 + s_suppkey % 7 END AS y, 1 + s_suppkey % 12 AS m, CASE WHEN s_suppkey % 3 = 1 THEN 1 + s_suppkey % 28 END AS d FROM supplier)
+SELECT query_id, o_orderkey, CASE WHEN d IS NOT NULL THEN 3.0 WHEN y IS NOT NULL THEN 2.0 ELSE 1.0 END::DOUBLE AS score FROM q JOIN orders ON month(o_orderdate) = m AND (y IS NULL OR year(o_orderdate) = y) AND (d IS NULL OR day(o_orderdate) = d)""")
 def r7_by_date(spark: SparkSession, sf: str) -> DataFrame:
-    dates = spark.createDataFrame([(0, 1995, 3, None), (1, None, 7, None)], "query_id int, year int, month int, day int")
+    """A day, month or month of any year per supplier, answered from all orders."""
+    k = F.col("s_suppkey")
+    dates = table(spark, sf, "supplier").select(k.alias("query_id"), F.when(k % 3 > 0, 1992 + k % 7).cast("int").alias("year"), (1 + k % 12).cast("int").alias("month"), F.when(k % 3 == 1, 1 + k % 28).cast("int").alias("day"))
     return R.by_date(table(spark, sf, "orders"), dates, "o_orderkey", "o_orderdate")
 
 
@@ -119,7 +120,7 @@ def r14_expand(spark: SparkSession, sf: str) -> DataFrame:
     return R.expand(hits, o, "o_orderkey", "o_custkey").withColumn("score", F.round("score", 3))
 
 
-@query()
+@query("SELECT doc_id, round(2.0 * ((contains(lower(text), 'mit')::INT + contains(lower(text), 'license')::INT) / 2 + contains(lower(text), 'mit license')::INT), 6) AS bonus FROM documents")
 def r15_bonus(spark: SparkSession, sf: str) -> DataFrame:
     b = R.bonus(F.col("text"), R.search_terms(F.lit("the MIT license")), F.array(F.lit("mit license")), 2.0)
     return table(spark, sf, "documents").select("doc_id", F.round(b, 6).alias("bonus"))
@@ -132,7 +133,14 @@ def r16_date_features(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.array_join(F.array_distinct(f["years"]), ",").alias("years"), F.array_join(f["dates"], ",").alias("dates"))
 
 
-@query()
+_RUNS = " || ".join(f"CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) ELSE [] END" for k in (4, 3, 2))
+_ONCE = "list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9_]+') AS w, lower(split_part(p_type, ' ', 1)) AS word FROM part),
+b AS (SELECT p_partkey, {_RUNS} AS runs, word, CASE WHEN word LIKE '%ies' THEN regexp_replace(word, 'ies$', 'y') WHEN regexp_matches(word, '(ss|us|is)$') THEN word ELSE regexp_replace(word, 's$', '') END AS one FROM a),
+c AS (SELECT p_partkey, runs, [word, one, CASE WHEN regexp_matches(one, '[^aeiou]y$') THEN regexp_replace(one, 'y$', 'ies') WHEN regexp_matches(one, '(s|x|ch|sh)$') THEN one || 'es' ELSE one || 's' END] AS forms FROM b)
+SELECT p_partkey, array_to_string(({_ONCE.format(x='runs')})[1:8], '|') AS phrases, array_to_string({_ONCE.format(x='forms')}, ',') AS stems, 'p retail price' AS camel FROM c""")
 def r17_r18_phrases(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     return p.select("p_partkey", F.array_join(phrases(tokens(F.col("p_name"))), "|").alias("phrases"), F.array_join(stem_aliases(F.lower(F.split_part("p_type", F.lit(" "), F.lit(1)))), ",").alias("stems"), F.array_join(camel_words(F.lit("p_retailPrice")), " ").alias("camel"))
@@ -199,11 +207,11 @@ def r26_graph(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("nodes")).unionByName(edges.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("edges")))
 
 
-@query("SELECT c_custkey AS query_id, 'customer' || chr(9) || c_custkey AS node, 2.1::DOUBLE AS score FROM customer WHERE c_custkey % 10 = 3")
+@query("SELECT c_custkey AS query_id, 'customer' || chr(9) || c_custkey AS node, 2.1::DOUBLE AS score FROM customer WHERE c_custkey % 20 = 0")
 def r27_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers found by the number in their name."""
+    """Customers found by the number in their name; those with an id divisible by 20 ask."""
     nodes, _ = row_graph(spark, sf)
-    q = table(spark, sf, "customer").filter("c_custkey % 10 = 3").select(F.col("c_custkey").alias("query_id"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("text"))
+    q = table(spark, sf, "customer").filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query_id"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("text"))
     return R.seeds(nodes, q, "customer")
 
 
@@ -239,9 +247,10 @@ def r32_guarded(spark: SparkSession, sf: str) -> DataFrame:
     return R.guarded(spark, "SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS mean FROM guarded_orders GROUP BY o_orderpriority;")
 
 
-@query()
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, (q.label = e.label)::INT + (q.vec_id % 3 = e.vec_id % 3)::INT AS tags, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, embeddings e),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s), r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(tags + score, 9) DESC, vec_id) AS rank FROM n WHERE k <= 15) SELECT * FROM r WHERE rank <= 5""")
 def r33_examples(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").withColumn("tags", F.array(F.col("label").cast("string"), (F.col("vec_id") % 3).cast("string")))
+    e = table(spark, sf, "embeddings").withColumn("tags", F.array(F.concat(F.lit("l"), F.col("label").cast("string")), (F.col("vec_id") % 3).cast("string")))
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "tags")
     return R.similar_examples(e, q, 5).select("query_id", "vec_id", "rank")
 

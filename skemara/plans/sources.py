@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skemara.operators.catalog import lower_names
 from skemara.plans.catalog import SCHEMA, key_rows, tables
 from skemara.plans.derived import RECORDS_SQL, STATEMENTS_SQL, records, statements
 from skemara.registry import query, table
@@ -83,20 +84,19 @@ def s16_ddl(spark: SparkSession, sf: str) -> DataFrame:
 def s17_s18_shards(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch(spark, "shards")
     r = records(spark, sf)
-    shard = r.groupBy("db_id", "model").agg(F.collect_list(F.struct(F.col("uid").cast("string").alias("uid"), "strategy", "correct", "status", "latency_s", "row_f1")).alias("records"))
-    shard.select(F.to_json(F.struct("db_id", "model", "records")).alias("value")).write.text(f"{folder}/shards")
+    rows = r.select("db_id", "model", F.col("uid").cast("string").alias("uid"), "strategy", "correct", "status", "latency_s", "row_f1")
+    O.evaluation_shards(rows).write.text(f"{folder}/shards")
     raw = spark.read.schema(I.SHARD).json(f"{folder}/shards")
     raw.select(F.to_json(F.struct("*")).alias("value"), "model").write.partitionBy("model").json(f"{folder}/keep")
     out = raw.select("db_id", F.coalesce("model", "tag").alias("model"), F.explode("records").alias("r")).select("db_id", "model", "r.*")
     return out.filter("status = 'ok'").select("db_id", "model", "uid", "correct")
 
 
-@query(f"SELECT substr(sha256(sql), 1, 16) AS uid, sql FROM {STATEMENTS_SQL} WHERE sql_id % 14 = 0")
+@query(f"SELECT substr(sha256(sql), 1, 16) AS uid, sql FROM {STATEMENTS_SQL}")
 def s19_s22_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All statements through pair files without identifiers, which are made again on reading."""
     folder = scratch(spark, "pairs") + "/pairs"
-    s = statements(spark, sf).filter("sql_id % 14 = 0")
-    grouped = s.groupBy("db_id").agg(F.collect_list(F.struct(F.lit("q").alias("question"), "sql")).alias("qa_pairs"))
-    grouped.repartition(F.col("db_id")).select(F.to_json(F.struct("db_id", "qa_pairs")).alias("value")).write.option("lineSep", "\n").text(folder)
+    O.pair_documents(statements(spark, sf).select("db_id", F.lit("q").alias("question"), "sql")).write.option("lineSep", "\n").text(folder)
     lines = spark.read.text(folder)
     items = F.from_json("value", f"struct<qa_pairs:array<{I.PAIR}>>")["qa_pairs"]
     from skemara.functions.scalar import sql_uid
@@ -122,12 +122,45 @@ def s23_tuning_alpaca(spark: SparkSession, sf: str) -> DataFrame:
     return O.tuning_rows(s, "alpaca")
 
 
-@query()
+def _turns(a: str, b: str, system: str, user: str, reply: str) -> str:
+    part = lambda who, what: f'{{"{a}":"{who}","{b}":"\' || {what} || \'"}}'
+    return ",".join(part(w, x) for w, x in ((system, f"'{_SYS}'"), (user, "q"), (reply, "s")))
+
+
+@query(f"""WITH p AS (SELECT 'q' || sql_id AS q, replace(sql, '"', '\\"') AS s FROM {STATEMENTS_SQL} WHERE sql_id % 3 > 0)
+SELECT '{{"conversations":[{_turns('from', 'value', 'system', 'human', 'gpt')}]}}' AS value FROM p UNION ALL SELECT '{{"messages":[{_turns('role', 'content', 'system', 'user', 'assistant')}]}}' FROM p
+UNION ALL SELECT '{{"contents":[{{"role":"user","parts":[{{"text":"{_SYS}\\n' || q || '"}}]}},{{"role":"model","parts":[{{"text":"' || s || '"}}]}}]}}' FROM p""")
 def s23_tuning_forms(spark: SparkSession, sf: str) -> DataFrame:
     s = statements(spark, sf).select("sql", F.concat(F.lit("q"), F.col("sql_id").cast("string")).alias("question"), (F.col("sql_id") % 3 > 0).alias("is_valid"))
     return O.tuning_rows(s, "sharegpt").unionByName(O.tuning_rows(s, "openai")).unionByName(O.tuning_rows(s, "gemini"))
 
 
+@query("SELECT r_regionkey, r_name FROM region")
+def s7_connectors(spark: SparkSession, sf: str) -> DataFrame:
+    """A connector that a user has registered."""
+    I.register("regions")(lambda spark, folder: {"region": spark.read.parquet(f"{folder}/region.parquet")})
+    return I.connect("regions", spark, folder=sf)["region"].select("r_regionkey", "r_name")
+
+
+@query("SELECT 'region' AS target, count(*) AS n FROM region UNION ALL SELECT 'lost', NULL")
+def s8_target_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a target table that is there, and null for one that loading refuses."""
+    out = I.connect("parquet", spark, folder=sf, names=["region", "nation"], target="region")["region"].agg(F.lit("region").alias("target"), F.count(F.lit(1)).alias("n"))
+    try:
+        I.connect("parquet", spark, folder=sf, names=["region", "nation"], target="lost")
+    except ValueError:
+        return out.unionByName(spark.createDataFrame([("lost", None)], "target string, n long"))
+    return out
+
+
+@query("SELECT 'customer' AS \"table\", c_custkey, c_name FROM customer")
+def s9_lower_names(spark: SparkSession, sf: str) -> DataFrame:
+    """A table whose names are in upper case, after loading."""
+    c = table(spark, sf, "customer")
+    name, df = next(iter(lower_names({"CUSTOMER": c.toDF(*[x.upper() for x in c.columns])}).items()))
+    return df.select(F.lit(name).alias("table"), *(x for x in df.columns if x in ("c_custkey", "c_name")))
+
+
 @query(f"SELECT model, db_id, count(*) AS n, avg(latency_s) AS latency FROM {RECORDS_SQL} GROUP BY ALL")
 def s25_s27_resumable(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the shards are written, the rest found and added."""
@@ -148,8 +181,12 @@ def s28_gold_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT model AS mode, db_id, count(*) AS n, min(uid) AS first_uid FROM {RECORDS_SQL} GROUP BY ALL")
 def s30_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    d = O.evaluation_document(records(spark, sf).select(F.col("model").alias("mode"), "db_id", "uid", "correct", "latency_s"))
-    return d.select("mode", "db_id", "n", F.get("results", F.lit(0))["uid"].alias("first_uid"))
+    """Nested records written as JSON, read back, and summed over their parts."""
+    path = scratch(spark, "evaluation") + "/run"
+    d = O.evaluation_document(records(spark, sf).select(F.col("model").alias("mode"), "db_id", "uid", "correct", "latency_s"), 20)
+    d.write.json(path)
+    back = spark.read.schema(d.schema).json(path)
+    return back.groupBy("mode", "db_id").agg(F.sum("n").alias("n"), F.min(F.get("results", F.lit(0))["uid"]).alias("first_uid"))
 
 
 @query("SELECT 'orders' AS name UNION ALL SELECT 'region'")

@@ -10,14 +10,14 @@ from skemara.operators import stats as T
 from skemara.plans.derived import MODELS, RECORDS_SQL, records
 from skemara.registry import query, table
 
-REPS = 200
+REPS = T.REPS
 _OK = f"o AS (SELECT * FROM {RECORDS_SQL} WHERE status = 'ok'), c AS (SELECT uid FROM o GROUP BY uid HAVING count(DISTINCT model) = {len(MODELS)}), r AS (SELECT * FROM o WHERE uid IN (SELECT uid FROM c))"
 _D = "d AS (SELECT x.model AS a, y.model AS b, x.uid, x.db_id AS cluster, CAST(x.correct AS INT)::DOUBLE - CAST(y.correct AS INT)::DOUBLE AS d FROM r x JOIN r y ON x.uid = y.uid AND x.model < y.model)"
 _BOOT = f"""s AS (SELECT a, b, cluster, sum(d) AS s, count(*) AS n FROM d GROUP BY a, b, cluster),
 u AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS unit FROM (SELECT DISTINCT cluster FROM s)), k AS (SELECT count(*) AS k FROM u),
 w AS (SELECT i // k AS rep, {mix_sql('i', 0)} % k AS unit, count(*) AS times FROM k, range((SELECT {REPS} * count(*) FROM u)) AS g(i) GROUP BY 1, 2),
 b AS (SELECT a, b, rep, sum(s * times) / sum(n * times) AS mean FROM w JOIN u USING (unit) JOIN s USING (cluster) GROUP BY a, b, rep)"""
-_P = "p AS (SELECT a, b, least(1.0, 2 * least(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN mean >= 0 THEN 1.0 ELSE 0.0 END))) AS p FROM b GROUP BY a, b)"
+_P = "m0 AS (SELECT a, b, avg(d) AS mean_d FROM d GROUP BY a, b), p AS (SELECT a, b, CASE WHEN any_value(mean_d) = 0 THEN 1.0 ELSE least(1.0, 2 * least(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN mean >= 0 THEN 1.0 ELSE 0.0 END))) END AS p FROM b JOIN m0 USING (a, b) GROUP BY a, b)"
 
 
 @query(f"WITH {_OK} SELECT uid, model, correct FROM r")
@@ -37,7 +37,8 @@ def t2_spread(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_OK}, {_D}, {_BOOT}, {_P} SELECT a, b, p FROM p")
 def t3_bootstrap_p(spark: SparkSession, sf: str) -> DataFrame:
-    return T.p_values(T.bootstrap(T.paired(T.aligned(records(spark, sf))), REPS))
+    diffs = T.paired(T.aligned(records(spark, sf)))
+    return T.p_values(T.bootstrap(diffs, REPS), T.cohen_d(diffs))
 
 
 @query(f"WITH {_OK}, {_D} SELECT a, b, count(*) AS n, avg(d) AS mean_d, avg(d) / stddev_samp(d) AS cohen_d FROM d GROUP BY a, b")
@@ -51,7 +52,8 @@ SELECT a, b, rank, coalesce(rank <= max(CASE WHEN p <= 0.05 * rank / m THEN rank
 
 @query(f"WITH {_OK}, {_D}, {_BOOT.replace('k AS (SELECT count', 'kk AS (SELECT count').replace('FROM k, range', 'FROM kk, range')}, {_P}, {_BH}")
 def t5_benjamini_hochberg(spark: SparkSession, sf: str) -> DataFrame:
-    tests = T.p_values(T.bootstrap(T.paired(T.aligned(records(spark, sf))), REPS))
+    diffs = T.paired(T.aligned(records(spark, sf)))
+    tests = T.p_values(T.bootstrap(diffs, REPS), T.cohen_d(diffs))
     return T.benjamini_hochberg(tests).select("a", "b", "rank", "rejected")
 
 
@@ -83,41 +85,76 @@ def t9_reweighted(spark: SparkSession, sf: str) -> DataFrame:
     return T.reweighted(r, classes.withColumn("share", F.lit(1.0) / classes.count()), [0.0, 0.25, 0.5, 0.75, 1.0])
 
 
-_POISSON = "0.36787944117144233 0.7357588823428847 0.9196986029286058 0.9810118431238462 0.9963401531726563 0.9994058151824183 0.9999167588507119".split()
+_REGIMES = {"correct": "CAST(correct AS INT)::DOUBLE", "row_f1": "row_f1"}
+
+
+def _ranks(rows: str = "r", regimes: dict[str, str] | None = None, seed: int = 0) -> str:
+    """SQL of the ranks per regime and replicate over `rows` (uid, model, ...)."""
+    regimes = regimes or _REGIMES
+    times = " + ".join(f"CASE WHEN u >= {e!r} THEN 1 ELSE 0 END" for e in T.POISSON)
+    means = ", ".join(f"sum(t * {v}) / sum(t) AS mean_{k}" for k, v in regimes.items())
+    long = " UNION ALL ".join(f"SELECT '{k}' AS regime, rep, model, round(mean_{k}, 9) AS mean FROM g" for k in regimes)
+    return f"""(WITH u AS (SELECT {rows}.*, rep, {mix_sql('uid', seed, 'rep')} / 2147483647.0::DOUBLE AS u FROM {rows}, range({REPS}) AS x(rep)), w AS (SELECT *, {times} AS t FROM u),
+  g AS (SELECT rep, model, {means} FROM w WHERE t > 0 GROUP BY rep, model) SELECT *, row_number() OVER (PARTITION BY regime, rep ORDER BY mean DESC, model) AS rank FROM ({long}))"""
 
 
-def _ranks(value: str, reps: int, seed: int) -> str:
-    times = " + ".join(f"CASE WHEN u >= {e} THEN 1 ELSE 0 END" for e in _POISSON)
-    return f"""(SELECT rep, model, mean, row_number() OVER (PARTITION BY rep ORDER BY mean DESC, model) AS rank FROM (SELECT rep, model, sum(t * v) / sum(t) AS mean FROM
-  (SELECT rep, model, v, {times} AS t FROM (SELECT rep, model, {value} AS v, {mix_sql('uid', seed, 'rep')} / 2147483647.0::DOUBLE AS u FROM r, (SELECT unnest(range({reps})) AS rep))) WHERE t > 0 GROUP BY rep, model))"""
+def ranks(spark: SparkSession, sf: str, values: tuple[str, ...] = tuple(_REGIMES), seed: int = 0) -> DataFrame:
+    return T.rank_replicates(T.aligned(records(spark, sf)), values, REPS, seed, list(MODELS))
 
 
-@query(f"WITH {_OK} SELECT model, rank, count(*) / 50 AS share FROM {_ranks('CAST(correct AS INT)::DOUBLE', 50, 0)} GROUP BY model, rank")
+@query(f"WITH {_OK} SELECT regime, model, rank, count(*) / {REPS} AS share FROM {_ranks()} GROUP BY regime, model, rank")
 def t10_rank_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return T.rank_distribution(T.rank_replicates(T.aligned(records(spark, sf)), reps=50), 50)
+    """Both regimes: exact answers and row scores, on the same draws."""
+    return T.rank_distribution(ranks(spark, sf), REPS)
 
 
-_TAU = f"""x AS {_ranks('CAST(correct AS INT)::DOUBLE', 50, 0)}, y AS {_ranks('row_f1', 50, 0)}, z AS (SELECT x.rep, x.model, x.rank AS r1, y.rank AS r2 FROM x JOIN y ON x.rep = y.rep AND x.model = y.model),
-tau AS (SELECT p.rep, avg(sign(p.r1 - q.r1) * sign(p.r2 - q.r2)) AS tau FROM z p JOIN z q ON p.rep = q.rep AND p.model < q.model GROUP BY p.rep)"""
+_TAU = "SELECT p.rep, avg(sign(p.r1 - q.r1) * sign(p.r2 - q.r2)) AS tau FROM z p JOIN z q ON p.rep = q.rep AND p.model < q.model GROUP BY p.rep"
+_POINT = "(SELECT model, row_number() OVER (ORDER BY round(avg({v}), 9) DESC, model) AS rank FROM {rows} GROUP BY model)"
 
 
-@query(f"WITH {_OK}, {_TAU} SELECT avg(tau) AS centre, quantile_cont(tau, 0.025) AS low, quantile_cont(tau, 0.975) AS high FROM tau")
+def _tau_of(left: str, right: str, point_left: str, point_right: str) -> str:
+    """SQL of a summary of tau between two rankings, replicate by replicate."""
+    return f"""z AS (SELECT x.rep, x.model, x.rank AS r1, y.rank AS r2 FROM {left} x JOIN {right} y ON x.rep = y.rep AND x.model = y.model), tau AS ({_TAU}),
+zp AS (SELECT x.model, x.rank AS r1, y.rank AS r2 FROM {point_left} x JOIN {point_right} y USING (model)), tp AS (SELECT avg(sign(p.r1 - q.r1) * sign(p.r2 - q.r2)) AS tau FROM zp p JOIN zp q ON p.model < q.model)
+SELECT (SELECT tau FROM tp) AS point, avg(tau) AS centre, quantile_cont(tau, 0.025) AS low, quantile_cont(tau, 0.975) AS high, avg(CASE WHEN tau <= 0 THEN 1.0 ELSE 0.0 END) AS p_le_0, avg(CASE WHEN tau < 1 THEN 1.0 ELSE 0.0 END) AS p_lt_1 FROM tau"""
+
+
+@query(f"WITH {_OK}, k AS MATERIALIZED {_ranks()}, {_tau_of('(SELECT * FROM k WHERE regime = $$correct$$)', '(SELECT * FROM k WHERE regime = $$row_f1$$)', _POINT.format(v=_REGIMES['correct'], rows='r'), _POINT.format(v='row_f1', rows='r'))}")
 def t11_kendall(spark: SparkSession, sf: str) -> DataFrame:
-    r = T.aligned(records(spark, sf))
-    taus = T.kendall(T.rank_replicates(r, reps=50), T.rank_replicates(r, "row_f1", reps=50), "rep")
-    return T.intervals(taus, value="tau").withColumns({c: F.bround(c, 12) for c in ("low", "high")})
+    """Tau between the rankings of the two regimes."""
+    r, k = T.aligned(records(spark, sf)), ranks(spark, sf)
+    taus = T.kendall(k.filter("regime = 'correct'"), k.filter("regime = 'row_f1'"), "rep")
+    return T.tau_summary(taus, T.kendall(T.point_ranks(r, "correct"), T.point_ranks(r, "row_f1")))
 
 
 @query(f"""WITH {_OK}, {_D}, {_BOOT}, m AS (SELECT a, b, avg(d) AS mean_d FROM d GROUP BY a, b)
-SELECT a, b, avg(CASE WHEN sign(mean) = sign(mean_d) THEN 1.0 ELSE 0.0 END) AS agree, quantile_cont(mean, 0.025) > 0 OR quantile_cont(mean, 0.975) < 0 AS excludes_zero FROM b JOIN m USING (a, b) GROUP BY a, b""")
+SELECT a, b, avg(CASE WHEN sign(mean) = sign(mean_d) THEN 1.0 ELSE 0.0 END) AS agree, avg(CASE WHEN sign(mean) * sign(mean_d) < 0 THEN 1.0 ELSE 0.0 END) AS flip, quantile_cont(mean, 0.025) > 0 OR quantile_cont(mean, 0.975) < 0 AS excludes_zero FROM b JOIN m USING (a, b) GROUP BY a, b""")
 def t12_sign_agreement(spark: SparkSession, sf: str) -> DataFrame:
     diffs = T.paired(T.aligned(records(spark, sf)))
     return T.sign_agreement(T.bootstrap(diffs, REPS), T.cohen_d(diffs).select("a", "b", "mean_d"))
 
 
-@query(f"WITH {_OK}, x AS {_ranks('CAST(correct AS INT)::DOUBLE', 50, 0)} SELECT avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END) AS ash_first FROM x WHERE model = 'ash'")
-def t13_claim(spark: SparkSession, sf: str) -> DataFrame:
-    return T.rank_replicates(T.aligned(records(spark, sf)), reps=50).filter("model = 'ash'").agg(F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("ash_first"))
+_CLAIM = f"""w AS (SELECT regime, rep, {', '.join(f"max(CASE WHEN model = '{m}' THEN mean END) AS m_{m}, max(CASE WHEN model = '{m}' THEN rank END) AS r_{m}" for m in MODELS)} FROM k GROUP BY regime, rep)"""
+
+
+@query(f"""WITH {_OK}, k AS {_ranks()}, {_CLAIM} SELECT 'ash first' AS claim, avg(CASE WHEN r_ash = 1 THEN 1.0 ELSE 0.0 END) AS share FROM w WHERE regime = 'correct'
+UNION ALL SELECT 'birch over cedar', avg(CASE WHEN m_birch > m_cedar THEN 1.0 ELSE 0.0 END) FROM w WHERE regime = 'correct'
+UNION ALL SELECT 'dogwood over ash by rows', avg(CASE WHEN m_dogwood > m_ash THEN 1.0 ELSE 0.0 END) FROM w WHERE regime = 'row_f1'""")
+def t13_claims(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    return T.claims(ranks(spark, sf), {"ash first": ("correct", c("r_ash") == 1), "birch over cedar": ("correct", c("m_birch") > c("m_cedar")), "dogwood over ash by rows": ("row_f1", c("m_dogwood") > c("m_ash"))})
+
+
+_HALVES = "ra AS (SELECT * FROM r WHERE db_id < 'src2'), rb AS (SELECT * FROM r WHERE db_id >= 'src2')"
+_CORRECT = {"correct": _REGIMES["correct"]}
+
+
+@query(f"WITH {_OK}, {_HALVES}, {_tau_of(_ranks('ra', _CORRECT, 1), _ranks('rb', _CORRECT, 2), _POINT.format(v=_REGIMES['correct'], rows='ra'), _POINT.format(v=_REGIMES['correct'], rows='rb'))}")
+def t13_cross_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """Tau between the rankings on two sets of databases, each with draws of its own."""
+    halves = [T.aligned(records(spark, sf)).filter(f"db_id {op} 'src2'") for op in ("<", ">=")]
+    k = [T.rank_replicates(h, ("correct",), REPS, seed, list(MODELS)) for seed, h in enumerate(halves, 1)]
+    return T.tau_summary(T.kendall(*k, "rep"), T.kendall(*(T.point_ranks(h, "correct") for h in halves)))
 
 
 @query(f"""WITH {_OK}, j AS (SELECT uid FROM r WHERE uid IN (SELECT doc_id FROM labels) GROUP BY uid) SELECT model, count(*) AS n, avg(row_f1) AS mean FROM r JOIN j USING (uid) GROUP BY model""")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemara.operators import usage as U
 from skemara.plans.derived import LOG_SQL, request_log
 from skemara.registry import query, table
+from skemara.sources.scratch import scratch
 from skemara.streaming import usage as streams
 
 _STATS = "count(*) AS requests, sum(CASE WHEN success THEN 0 ELSE 1 END)::BIGINT AS errors, avg(duration_ms) AS avg_ms, quantile_cont(duration_ms, 0.5) AS p50_ms, quantile_cont(duration_ms, 0.95) AS p95_ms"
@@ -104,8 +103,7 @@ def u14_slow(spark: SparkSession, sf: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf: str, shape, mode: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    run = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(shape)}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    run = scratch(spark, "stream")
     source = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     streams.drain(shape(source), f"{run}/out", f"{run}/state", mode)
     out = spark.read.parquet(f"{run}/out")
