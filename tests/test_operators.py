@@ -207,3 +207,73 @@ def test_missing_target_and_unknown_connector(spark):
         readers.csv_tables(spark, scratch(spark, "none"))
     with pytest.raises(ValueError):
         writers.tuning_rows(spark.createDataFrame([("q", "s", True)], "question string, sql string, is_valid boolean"), "other")
+
+
+def test_phrases_are_runs_of_words(spark):
+    words = F.array(*(F.lit(w) for w in "abcd"))
+    assert one(spark, scalar.phrases(words)) == ["a b c d", "a b c", "b c d", "a b", "b c", "c d"]
+    assert one(spark, scalar.runs(words, 5)) == []
+
+
+def test_all_questions_and_dates_are_answered(spark):
+    docs = spark.createDataFrame([(i, f"text x{i}y") for i in range(3000)], "doc_id int, text string")
+    questions = spark.createDataFrame([(i, f"the x{i}y") for i in range(1500)], "query_id int, text string")
+    got = {(r.query_id, r.doc_id) for r in retrieval.containment(docs, questions).collect()}
+    assert got == {(i, i) for i in range(1500)}
+    days = spark.sql("SELECT CAST(id AS INT) AS k, DATE'1990-01-01' + CAST(id AS INT) AS day FROM range(1500)")
+    dates = days.select(F.col("k").alias("query_id"), F.year("day").alias("year"), F.month("day").alias("month"), F.day("day").alias("day"))
+    found = retrieval.by_date(days, dates, "k", "day").collect()
+    assert {(r.query_id, r.k, r.score) for r in found} == {(i, i, 3.0) for i in range(1500)}
+
+
+def test_blocks_that_are_not_small_are_dealt(spark, monkeypatch):
+    from skemara.sources import scratch as shared
+
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id int, embedding array<double>")
+    questions = spark.createDataFrame([(i, [i + 0.1, 1.0]) for i in range(0, 40, 4)], "query_id int, vector array<double>")
+    monkeypatch.setattr(retrieval, "BLOCK", 4)
+    want = retrieval.nearest(vectors, questions, 3).collect()
+    monkeypatch.setattr(shared, "is_small", lambda *_: False)
+    assert sorted(retrieval.nearest(vectors, questions, 3).collect()) == sorted(want)
+    assert {(r.query_id, r.vec_id) for r in want if r["rank"] == 1} == {(i, i) for i in range(0, 40, 4)}
+
+
+def test_small_is_told_by_rows_and_bytes(spark):
+    from skemara.sources.scratch import is_small
+
+    rows = spark.createDataFrame([("x" * 1000, [1.0] * 100, {"a": "b"})] * 20, "t string, v array<double>, m map<string, string>")
+    assert is_small(rows) and not is_small(rows, rows=19) and not is_small(rows, size=20_000) and is_small(rows, size=60_000)
+
+
+def test_one_cluster_weighs_every_question(spark):
+    diffs = spark.range(400).select(F.lit("m").alias("a"), F.lit("n").alias("b"), F.col("id").alias("uid"), F.lit("db").alias("cluster"), (F.col("id") % 4).cast("double").alias("d"))
+    means = [r["mean"] for r in stats.bootstrap(diffs, 500).collect()]
+    assert len(means) == 500 and abs(sum(means) / 500 - 1.5) < 0.02
+    sd = (sum((m - 1.5) ** 2 for m in means) / 500) ** 0.5
+    assert 0.8 < sd / ((1.25 / 400) ** 0.5) < 1.2
+
+
+def test_hash_ranks_cross_stretches(spark, monkeypatch):
+    monkeypatch.setattr(quota, "STRETCHES", 7)
+    rows = spark.createDataFrame([(i, "x" if i % 3 else None) for i in range(300)], "uid long, cls string")
+    got = quota.hash_ranked(rows, ["cls"], "uid", 3).select("uid", "cls", scalar.mix(F.col("uid"), 3).alias("h"), "_r", "_n").collect()
+    for cls in ("x", None):
+        mine = sorted((r.h, r.uid) for r in got if r.cls == cls)
+        assert [(r.uid, r._r, r._n) for r in sorted((r for r in got if r.cls == cls), key=lambda r: r._r)] == [(u, i + 1, len(mine)) for i, (_, u) in enumerate(mine)]
+
+
+def test_large_shards_are_several_rows(spark):
+    details = spark.createDataFrame([("m", "db" if i % 2 else None, i) for i in range(200)], "mode string, db_id string, uid int")
+    parts = writers.evaluation_document(details, 10).collect()
+    assert len(parts) > 10 and max(r.n for r in parts) < 40
+    assert sorted(x.uid for r in parts for x in r.results) == list(range(200))
+
+
+def test_profile(spark):
+    rows = [(1, "a", 1.5, None, "2020-01-01", [1]), (2, "b", 2.5, None, "2021-05-01", None), (3, "a", None, None, "2020-01-02 10:00", [2])]
+    df = spark.createDataFrame(rows, "id int, c string, x double, nothing string, day string, nested array<int>")
+    got = {r.column: r for r in catalog.profile(spark, {"t": df, "empty": df.limit(0)}, samples=True).filter("table = 't'").collect()}
+    assert [(got[c].n, got[c].n_set, got[c].n_distinct) for c in ("id", "c", "x", "nothing", "day", "nested")] == [(3, 3, 3), (3, 3, 2), (3, 2, 2), (3, 0, 0), (3, 3, 3), (3, 2, 0)]
+    assert [got[c].samples for c in ("id", "c", "x", "nothing", "nested")] == [["1", "2", "3"], ["a", "b"], ["1.5", "2.5"], [], []]
+    assert (got["id"].low, got["id"].high, got["day"].date_share, got["c"].boolean_like) == (1.0, 3.0, 1.0, False)
+    assert catalog.profile(spark, {"empty": df.limit(0)}).filter("n <> 0").count() == 0 and catalog.profile(spark, {}).count() == 0
