@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skemara.llm.shared import running_sums
+from skemara.llm.shared import running_sums, stage_table
 
 BUCKETS, BUDGET = 12, 1 << 16
 
@@ -72,12 +72,15 @@ def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id",
 
     A batch of a bucket holds as many rows as `budget` has room for at the
     bucket's length, one at least, so a text longer than the budget is a batch
-    of its own. Rows fill batches in order of id within their bucket, nulls
-    first and ties in any order. The histogram, one row per length, is the only
-    thing that the driver sees.
+    of its own. Rows fill batches in order of id and length within their
+    bucket, null ids first; rows equal in both are alike in all that is
+    returned. Null and empty texts have the length 1 (the end mark); repeated
+    rows stay repeated; other columns are ignored; an empty table gives an
+    empty result. Lengths are taken once and stored. The histogram, one row per
+    length, is the only thing that the driver sees.
     """
     length = word_length(F.col("text")) if length is None else length
-    rows = docs.select(id_col, length.cast("long").alias("n_tokens"))
+    rows = stage_table(docs.select(id_col, length.cast("long").alias("n_tokens")), "lengths")
     histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toArrow()
     lengths, counts = (histogram.column(c).to_numpy() for c in ("n_tokens", "n"))
     if not len(lengths):
