@@ -27,6 +27,8 @@ MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 MIN_REVISIT = 100
 #: Bytes of a reading task's range, and of a read within a payload or a long header.
 RANGE, STEP = 8 << 20, 1 << 20
+#: Ranges that a task reads at most.
+RANGES = 64
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = re.compile(rb"[A-Za-z0-9-]+:")
@@ -60,8 +62,13 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Of rows whose payloads (UTF-8, null as empty) are equal and have MIN_REVISIT
     bytes, that with the smallest id is a response and the others refer to it.
     Rows without an id are always responses; rows that share the smallest id too. Equal
-    payloads are found by digest over (id, digest) alone, and a file is moved
-    into place once it is whole. `folder` is shared by all executors.
+    payloads are found by digest over (id, digest) alone. Texts, URLs and so
+    headers have any length; a null URL has no field; an empty table gives no
+    file; other columns are ignored, whatever their names.
+
+    A file's name has the task's attempt, so an attempt that runs again or
+    beside another never meets its file. What counts is the returned table,
+    which has the attempts that Spark committed. `folder` is shared by all executors.
     """
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     rows = rows.withColumn("_digest", F.sha2(F.col("_html").cast("binary"), 256))
@@ -75,19 +82,18 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        uri = f"{folder}/part-{context.partitionId():06d}.warc"
+        uri = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.warc"
         fs, path = pafs.FileSystem.from_uri(uri)
-        out, size, count, part = None, 0, 0, f"{path}.{context.taskAttemptId()}.part"
+        out, size, count = None, 0, 0
         for batch in batches:
             for page, url, html, digest, first in batch.itertuples(index=False, name=None):
-                out = out or fs.open_output_stream(part)
+                out = out or fs.open_output_stream(path)
                 page, first = (None if x is None or pd.isna(x) else int(x) for x in (page, first))
                 data = record(page, None if pd.isna(url) else url, html.encode(), digest, first)
                 out.write(data)
                 size, count = size + len(data), count + 1
         if out:
             out.close()
-            fs.move(part, path)
             yield pd.DataFrame({"file": [context.partitionId()], "uri": [uri], "size": [size], "records": [count]})
 
     with arrow_rows(pages.sparkSession, 256):
@@ -144,10 +150,17 @@ def follow(offsets: np.ndarray, after: np.ndarray, high: int) -> np.ndarray:
     return np.where(inside[at], -1, after[at])
 
 
+def spread(ranges: DataFrame, files: DataFrame, width: int) -> DataFrame:
+    """`ranges` dealt to an explicit number of tasks, as rows this small would all go to one: a task per range up to the number of shuffle partitions, then RANGES of them to a task at most."""
+    total = files.agg(F.sum(F.ceil(F.col("size") / width))).first()[0] or 1
+    tasks = min(total, max(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGES)))
+    return ranges.repartition(max(1, int(tasks)), "file", "low")
+
+
 def boundaries(spark: SparkSession, files: DataFrame, width: int = RANGE) -> DataFrame:
     """(file, uri, size, low, high, entry): the ranges in which a true record begins, and the first one's offset."""
     ranges = files.select("file", "uri", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(width).cast("long"))).alias("low")).withColumn("high", F.least(F.col("low") + width, "size"))
-    ranges = stage_table(ranges.repartition("file", "low"), "ranges")
+    ranges = stage_table(ranges, "ranges")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,7 +168,7 @@ def boundaries(spark: SparkSession, files: DataFrame, width: int = RANGE) -> Dat
                 at, after = candidates(uri, size, low, high)
                 yield pd.DataFrame({"file": np.full(len(at), file, np.int32), "at": at, "next": follow(at, after, high), "size": size})
 
-    jumps = stage_table(ranges.mapInPandas(scan, "file int, at long, next long, size long").filter("next >= 0"), "candidates")
+    jumps = stage_table(spread(ranges, files, width).mapInPandas(scan, "file int, at long, next long, size long").filter("next >= 0"), "candidates")
     reached = jumps.filter("at = 0").select("file", "at")
     # Only offsets that some chain leads to, or a file's start, can be entries.
     entries = jumps.select("file", F.col("next").alias("at")).unionByName(reached).distinct()
@@ -168,7 +181,7 @@ def boundaries(spark: SparkSession, files: DataFrame, width: int = RANGE) -> Dat
         onward = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("then"))
         jumps = stage_table(jumps.join(onward, ["file", "next"]).select("file", "at", F.col("then").alias("next")), "jumps")
     entry = reached.withColumn("low", F.col("at") - F.pmod("at", F.lit(width))).select("file", "low", F.col("at").alias("entry"))
-    return ranges.join(entry, ["file", "low"])
+    return spread(ranges.join(entry, ["file", "low"]), files, width)
 
 
 RECORDS = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, intact boolean"
@@ -178,6 +191,7 @@ def read_warc(spark: SparkSession, files: DataFrame, width: int = RANGE) -> Data
     """The true records of the files: ids, payload size and digest, type, the page a revisit refers to, and whether a response's payload has its digest.
 
     Fails if a file yields another number of records than its row in `files` states; null states none.
+    A task reads some ranges of RANGE bytes, payloads and long headers in steps of STEP bytes.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
