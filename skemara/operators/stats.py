@@ -141,8 +141,9 @@ def rank_replicates(records: DataFrame, values: tuple[str, ...] = ("correct",),
     each = wide.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_t", poisson_times(F.col("uid"), seed, F.col("rep"))).filter("_t > 0")
     sums = each.groupBy("rep").agg(F.sum("_t").alias("_n"), *(F.sum(F.col("_t") * F.col(f"v{k}")).alias(f"v{k}") for k in range(len(cells))))
     long = sums.select("rep", F.explode(F.array(*(F.struct(F.lit(v).alias("regime"), F.lit(m).alias("model"), F.round(F.col(f"v{k}") / F.col("_n"), 9).alias("mean")) for k, (v, m) in enumerate(cells)))).alias("x"))
-    long = long.select("x.regime", "rep", "x.model", "x.mean")
-    return long.withColumn("rank", F.row_number().over(Window.partitionBy("regime", "rep").orderBy(F.desc("mean"), "model")))
+    ranked = long.select("x.regime", "rep", "x.model", "x.mean").withColumn("rank", F.row_number().over(Window.partitionBy("regime", "rep").orderBy(F.desc("mean"), "model")))
+    # A row per regime, replicate and model, which is read more than once.
+    return stored(ranked, "replicates")
 
 
 def point_ranks(records: DataFrame, value: str) -> DataFrame:
