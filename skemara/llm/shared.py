@@ -2,64 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A side is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 100_000
+from skemara.sources.scratch import is_small, scratch, small, stored
+
+#: Bytes of an Arrow batch, but for a single row that is longer.
+BATCH_BYTES = 16 << 20
 #: Words that a worker keeps encoded, and the longest of them.
 CACHE, CACHED_CHARS = 1_500_000, 64
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder that the driver and all executors share.
-
-    It lies below spark.checkpoint.dir. Where that is unset, it lies below the
-    warehouse on a cluster, and in the temporary folder in local mode only.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            base = f"{tempfile.gettempdir()}/skemara-{spark.sparkContext.applicationId}"
-        else:
-            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(jvm_path)
-    files.deleteOnExit(jvm_path)
-    return path
+    """A new folder that the driver and all executors share (see skemara.sources.scratch)."""
+    return scratch(spark, label)
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to a scratch Parquet table and read it back: cuts the lineage,
     so that a lost executor costs a reread and nothing is computed twice."""
-    path = scratch_dir(df.sparkSession, label) + "/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, label)
 
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Hold Arrow batches to `rows` rows, so that very long texts stay within a worker's memory.
+    """Hold Arrow batches to `rows` rows and BATCH_BYTES bytes, so that very long texts stay within a worker's memory.
     What runs inside must be executed inside (see stage_table)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def let(value: Column, body) -> Column:
@@ -74,54 +58,82 @@ def shield(docs: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, dict[str,
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:
-    """`df`, marked for broadcast if a count shows that it is small; else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """`df`, marked for broadcast if a count of its rows and bytes shows that it is small; else left to a shuffle join."""
+    return small(df)
+
+
+#: A key is hot if it has at least this many rows and this share of all rows; so at most 1/HOT_SHARE keys are hot.
+HOT_ROWS, HOT_SHARE = 1000, 1 / 1024
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str = "_n") -> DataFrame:
+    """`left` joined with `right`, which has a row per key and in `count` how many rows `left` has of it, about.
+
+    The rows of hot keys (at most 1/HOT_SHARE keys) meet a broadcast, if its
+    bytes are few, so that none of them is one task's; the others are shuffled.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) >= max(HOT_ROWS, total * HOT_SHARE)
+    few = stage_table(right.filter(hot), "hot-keys")
+    rest = right.filter(~hot).drop(count)
+    if not few.limit(1).count():
+        return left.join(rest, key)
+    if not is_small(few):
+        return left.join(right.drop(count), key)
+    cold = left.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key)
+    return cold.unionByName(left.join(F.broadcast(few.drop(count)), key))
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[str], values: dict[str, str], label: str) -> DataFrame:
     """Add, for each name and long column in `values`, the sum over the rows before this one.
 
     Rows are ordered by `group` then `order` in one range partitioning, so that
-    no group has to fit in a task: each partition keeps local sums, and the
-    groups that cross a partition's edge (two per partition at most) get what
-    the partitions before hold of them. Ties in `order` are told apart by
-    arrival, so `order` should identify a row. The result is a scratch table.
+    no group has to fit in a task: each partition keeps local sums (numpy
+    cumulative sums, restarted where the group changes), and the groups that
+    cross a partition's edge (two per partition at most) get what the
+    partitions before hold of them. Ties in `order` are told apart by arrival,
+    so `order` should identify a row; null amounts count as 0. The result is a
+    scratch table.
     """
     spark = df.sparkSession
     flat = [F.col(c).asc_nulls_first() for c in (*group, *order)]
-    ranged = df.repartitionByRange(*flat).sortWithinPartitions(*flat)
     part, edge, gkey = "_part", "_edge", "_group"
-    shape = T.StructType([*df.schema.fields, *(T.StructField(v, T.LongType()) for v in values), T.StructField(part, T.IntegerType()), T.StructField(edge, T.BooleanType()), T.StructField(gkey, T.StringType())])
+    keyed = df.withColumn(gkey, F.to_json(F.struct(*group)) if group else F.lit(""))
+    ranged = keyed.repartitionByRange(*flat).sortWithinPartitions(*flat)
+    shape = T.StructType([*keyed.schema.fields, *(T.StructField(v, T.LongType()) for v in values), T.StructField(part, T.IntegerType()), T.StructField(edge, T.BooleanType())])
     names, sources = list(values), list(values.values())
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        sums, current, first = [0] * len(sources), None, None
+        first, current, carried = None, None, [0] * len(sources)
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in group), strict=True)) if group else [()] * batch.num_rows
-            amounts = [batch.column(s).to_pylist() for s in sources]
-            before: list[list[int]] = [[] for _ in sources]
-            texts, edges = [], []
-            for i, key in enumerate(keys):
-                if key != current or first is None:
-                    current, sums, text = key, [0] * len(sources), repr(key)
-                    first = text if first is None else first
-                texts.append(text)
-                edges.append(text == first)
-                for k, amount in enumerate(amounts):
-                    before[k].append(sums[k])
-                    sums[k] += amount[i] or 0
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(x, pa.int64()) for x in before), pa.array([number] * len(keys), pa.int32()), pa.array(edges, pa.bool_()), pa.array(texts, pa.string())],
-                [*batch.schema.names, *names, part, edge, gkey],
-            )
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(gkey)
+            head = keys[0].as_py()
+            first = head if first is None else first
+            fresh = np.zeros(n, bool)
+            fresh[0] = head != current
+            fresh[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            # The row at which each row's group begins in this batch; -1 where it goes on from the batch before.
+            start = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
+            before = []
+            for k, source in enumerate(sources):
+                amount = pc.fill_null(batch.column(source), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                upto = np.concatenate([[0], np.cumsum(amount)])
+                sums = upto[:-1] - np.where(start < 0, -carried[k], upto[np.maximum(start, 0)])
+                before.append(pa.array(sums, pa.int64()))
+                carried[k] = int(sums[-1] + amount[-1])
+            current = keys[n - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, *before, pa.array(np.full(n, number, np.int32)), pc.equal(keys, first)], [*batch.schema.names, *names, part, edge])
 
     held = stage_table(ranged.mapInArrow(local, shape), label)
     # A group that came over an edge is the first of its partition: as many at most as there are partitions.
     crossing = held.filter(edge).select(gkey).distinct()
-    totals = held.join(F.broadcast(crossing), gkey, "left_semi").groupBy(gkey, part).agg(*(F.sum(F.col(s).cast("long")).alias(f"_{n}") for n, s in values.items()))
+    totals = held.join(checked_broadcast(crossing), gkey, "left_semi").groupBy(gkey, part).agg(*(F.sum(F.col(s).cast("long")).alias(f"_{n}") for n, s in values.items()))
     bases, seen, last = {}, [0] * len(names), None
     for row in sorted(totals.collect(), key=lambda r: (r[gkey], r[part])):
         seen = seen if row[gkey] == last else [0] * len(names)
@@ -131,7 +143,7 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], values: dict
     if bases:
         rows = [(p, g, *s) for (p, g), s in bases.items()]
         side = spark.createDataFrame(rows, T.StructType([T.StructField(part, T.IntegerType()), T.StructField(gkey, T.StringType()), *(T.StructField(f"_{n}", T.LongType()) for n in names)]))
-        held = held.join(F.broadcast(side), [part, gkey], "left")
+        held = held.join(checked_broadcast(side), [part, gkey], "left")
         for n in names:
             held = held.withColumn(n, F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0)))
     return held.select(*df.columns, *names)
