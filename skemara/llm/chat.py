@@ -4,6 +4,7 @@ A dialogue is rendered once for every participant: that speaker is the
 assistant, the others are named users, system turns stay system turns, and the
 mask covers what the speaker said with its end mark. A rendering is cut into
 chunks at turns, so that a dialogue of any length fits in rows of bounded size.
+Marks within roles and texts are spelt apart, so that no text can forge a turn.
 """
 
 from __future__ import annotations
@@ -18,29 +19,44 @@ SYSTEM = "system"
 NAMELESS = "unknown"
 #: Characters after which a new chunk begins at the next turn.
 CHUNK = 1 << 16
+#: What the marks begin with, and how that is spelt within a role or text.
+MARK, APART = "<|im_", "<| im_"
+
+
+def harmless(text: Column) -> Column:
+    """A text without marks."""
+    return F.replace(text, F.lit(MARK), F.lit(APART))
+
+
+def harmless_name(role: Column) -> Column:
+    """A role's name in one line, without marks."""
+    return F.regexp_replace(harmless(role), r"[\r\n]+", " ")
 
 
 def turn_parts(role: Column, text: Column, speaker: Column) -> tuple[Column, Column]:
     """Head and body of a turn as `speaker` sees it; the body of an own turn is what the mask covers."""
-    head = F.when(role == SYSTEM, F.lit(f"{OPEN}system\n")).when(role == speaker, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), role, F.lit("\n")))
-    return head, F.concat(text, F.lit(f"{CLOSE}\n"))
+    head = F.when(role == SYSTEM, F.lit(f"{OPEN}system\n")).when(role == speaker, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), harmless_name(role), F.lit("\n")))
+    return head, F.concat(harmless(text), F.lit(f"{CLOSE}\n"))
 
 
 def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A row per turn and speaker: conv_id, speaker, turn, role, head, body, own, start (characters of the rendering before it).
 
-    Turns go in order of turn, role and text, nulls first; repeated rows stay
-    repeated. A null role is a participant named "unknown", a null text is
-    empty, and turns without a conversation make one. A conversation of system
-    turns only has no speaker and gives no row. Other columns are ignored.
+    Turns go in order of turn, role and a hash of the text, nulls first;
+    repeated rows stay repeated. A null role is a participant named "unknown",
+    a null text is empty, and turns without a conversation make one. A
+    conversation of system turns only has no speaker and gives no row. In roles
+    and texts "<|im_" is written "<| im_", and a line end in a named role is a
+    space. Texts of any length stay whole, an empty table gives no row, other
+    columns are ignored.
     """
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit(NAMELESS)).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     speakers = rows.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
     each = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     head, body = turn_parts(F.col("role"), F.col("text"), F.col("speaker"))
-    each = each.select("conv_id", "speaker", "turn", "role", "text", head.alias("head"), body.alias("body"), (F.col("role") == F.col("speaker")).alias("own"))
+    each = each.select("conv_id", "speaker", "turn", "role", F.md5(F.col("text").cast("binary")).alias("_digest"), head.alias("head"), body.alias("body"), (F.col("role") == F.col("speaker")).alias("own"))
     each = each.withColumns({"chars": F.char_length(F.concat("head", "body")).cast("long"), "one": F.lit(1).cast("long")})
-    placed = running_sums(each, ["conv_id", "speaker"], ["turn", "role", "text"], {"start": "chars", "place": "one"}, "turns")
+    placed = running_sums(each, ["conv_id", "speaker"], ["turn", "role", "_digest"], {"start": "chars", "place": "one"}, "turns")
     return placed.select("conv_id", "speaker", "turn", "role", "head", "body", "own", "start", "place", "chars")
 
 

@@ -130,9 +130,9 @@ _SQL8 = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 s AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM t WHERE role <> 'system'),
 e AS (SELECT t.*, speaker, CASE WHEN role = 'system' THEN '<|im_start|>system' || chr(10) WHEN role = speaker THEN '<|im_start|>assistant' || chr(10)
-  ELSE '<|im_start|>user name=' || role || chr(10) END AS head, text || '<|im_end|>' || chr(10) AS body FROM t JOIN s ON t.conv_id = s.c),
+  ELSE '<|im_start|>user name=' || regexp_replace(replace(role, '<|im_', '<| im_'), '[\r\n]+', ' ', 'g') || chr(10) END AS head, replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS body FROM t JOIN s ON t.conv_id = s.c),
 o AS (SELECT *, row_number() OVER w AS place, coalesce(sum(length(head) + length(body)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM e WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text)),
+  FROM e WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, md5(text))),
 c AS (SELECT *, start // 65536 AS chunk, min(start) OVER (PARTITION BY conv_id, speaker, start // 65536) AS base FROM o)
 SELECT conv_id, speaker, CAST(chunk AS BIGINT) AS chunk, CAST(min(start) AS BIGINT) AS start, count(*) AS n_turns,
   CAST(length(string_agg(head || body, '' ORDER BY place)) AS BIGINT) AS n_chars, sha256(string_agg(head || body, '' ORDER BY place)) AS text_sha256,
