@@ -16,6 +16,8 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 #: Labelled rows that the trees are fitted on at most.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 10, 4, 7
+#: Folds of the suffix statistics, and the labels that the overall rate counts as in each.
+FOLDS, WEIGHT = 5, 20.0
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "n_params", "query_length", "host_length", "host_labels", "hyphens", "suffix_rate", "suffix_weight")
 
 
@@ -89,32 +91,64 @@ def with_suffixes(urls: DataFrame, suffixes: DataFrame, rate: float) -> DataFram
     return joined.withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(rate)), "suffix_weight": F.coalesce("suffix_weight", F.lit(0.0))})
 
 
+def _hash() -> Column:
+    return F.xxhash64("host", "path", *(c for c in FEATURES if not c.startswith("suffix")))
+
+
 def fit(labelled: DataFrame, label_col: str = "label", rows: int = TRAIN_ROWS) -> UrlModel:
-    """Fit on labelled URLs (see lexical; label 1 blocks). All of them, or those of least hash up to about `rows`."""
-    total = labelled.count()
-    keep = labelled if total <= rows else labelled.filter(F.pmod(F.xxhash64("host", "path", "length"), F.lit(1 << 20)) < int((1 << 20) * rows / total)).limit(rows)
-    kept = stage_table(keep.select("suffix", F.col(label_col).cast("double").alias("label"), *(c for c in FEATURES if not c.startswith("suffix"))), "labelled-urls")
-    stat = kept.agg(F.avg("label").alias("rate")).first()
-    rate = stat["rate"] or 0.0
+    """Fit on labelled URLs (see lexical; label 1 blocks): all of them, or the `rows` of least hash.
+
+    A training row's suffix statistics come from the other folds of FOLDS, so
+    its own label is not among its features; URLs that are scored meet the
+    statistics of all folds.
+    """
+    own = labelled.select("suffix", F.col(label_col).cast("double").alias("label"), _hash().alias("hash"), *(c for c in FEATURES if not c.startswith("suffix")))
+    total = own.count()
+    # `rows` bounds what is ordered; rows with the same hash and label are alike.
+    keep = own if total <= rows else own.orderBy("hash", "label").limit(rows)
+    kept = stage_table(keep.withColumn("fold", F.pmod("hash", F.lit(FOLDS))), "labelled-urls")
+    rate = kept.agg(F.avg("label")).first()[0] or 0.0
     if rate in (0.0, 1.0):
         return UrlModel(None, None, rate)
-    weight = 20.0
-    suffixes = stage_table(kept.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")).select(
-        "suffix", ((F.col("s") + weight * rate) / (F.col("n") + weight)).alias("suffix_rate"), F.log1p(F.col("n").cast("double")).alias("suffix_weight")), "suffixes")
+    shrunk = lambda n, s: ((s + WEIGHT * rate) / (n + WEIGHT)).alias("suffix_rate")
+    weight = lambda n: F.log1p(n.cast("double")).alias("suffix_weight")
+    folds = kept.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("fn"), F.sum("label").alias("fs"))
+    each = kept.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s"))
+    suffixes = stage_table(each.select("suffix", shrunk(F.col("n"), F.col("s")), weight(F.col("n"))), "suffixes")
+    other = folds.join(each, "suffix").select("suffix", "fold", shrunk(F.col("n") - F.col("fn"), F.col("s") - F.col("fs")), weight(F.col("n") - F.col("fn")))
     # One order and one partition (TRAIN_ROWS bounds it): the same trees on any cluster.
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_suffixes(kept, suffixes, rate))
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(kept.join(F.broadcast(other), ["suffix", "fold"]))
     data = data.select("features", "label").coalesce(1).sortWithinPartitions("label", *(vector_to_array("features")[i] for i in range(len(FEATURES))))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label", checkpointInterval=-1).fit(data)
     return UrlModel(trees, suffixes, rate)
 
 
+def held_out(labelled: DataFrame, label_col: str = "label", rows: int = TRAIN_ROWS, parts: int = 5) -> DataFrame:
+    """One row: n, accuracy and majority (the accuracy of always giving the commoner label) on the fifth of hosts, by hash, that the trees are not fitted on."""
+    part = F.pmod(F.xxhash64("host"), F.lit(parts))
+    held = fit(labelled.filter(part > 0), label_col, rows).score(labelled.filter(part == 0))
+    right = ((F.col("block_score") > 0.5) == (F.col(label_col) == 1)).cast("double")
+    share = F.avg(F.col(label_col).cast("double"))
+    return held.agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy"), F.greatest(share, 1 - share).alias("majority"))
+
+
+def ruled(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
+    """The URLs that a rule decides (see lexical), with label: what trees are fitted on where no labelled table is given."""
+    urls = lexical(pages.select(F.col(url_col).alias("url")))
+    return urls.withColumn("label", (best_rule(F.col("host"), F.col("path"), rules)[1] == "block").cast("int")).filter("label IS NOT NULL")
+
+
 def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", labelled: DataFrame | None = None) -> DataFrame:
     """id, host, path, rule, verdict, by_rule and block_score of each row.
 
     A rule's verdict holds where one fits. The others are judged by trees that
     are trained on `labelled` (url and label), by default on the URLs that the
-    rules themselves decide. Null URLs have empty parts and go to the trees;
-    with labels of one class all get that verdict, with none they are allowed. Rows stay as they are repeated.
+    rules themselves decide; these say nothing of suffixes that no rule names.
+    Null and empty URLs and those without a scheme have empty parts and go to
+    the trees, URLs of any length are read whole, rules that fit with equal
+    length go by order of text; with labels of one class all get that verdict,
+    with none they are allowed. Rows stay as they are repeated, an empty table
+    stays empty, other columns are ignored.
     """
     urls = lexical(pages.select(id_col, F.col(url_col).alias("url")))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
