@@ -95,12 +95,12 @@ def unpack_block(data: memoryview) -> np.ndarray:
 
 
 class TokenWriter:
-    """Writes one file; documents must come in ascending order. The file has its name only once it is whole."""
+    """Writes one file; documents must come in ascending order."""
 
-    def __init__(self, uri: str, attempt: int):
-        self.fs, self.path = pafs.FileSystem.from_uri(uri)
-        self.part = f"{self.path}.{attempt}.part"
-        self.out = self.fs.open_output_stream(self.part)
+    def __init__(self, uri: str):
+        self.uri = uri
+        fs, path = pafs.FileSystem.from_uri(uri)
+        self.out = fs.open_output_stream(path)
         self.out.write(MAGIC)
         self.at, self.count, self.starts = len(MAGIC), 0, []
         self.docs: list[int | None] = []
@@ -135,7 +135,6 @@ class TokenWriter:
         firsts = np.array([*self.firsts, self.count], "<u8").tobytes()
         self.out.write(index + ids + firsts + FOOT.pack(len(self.starts), len(self.docs), self.count, blocks_end, blocks_end + len(index), blocks_end + len(index) + len(ids), MAGIC))
         self.out.close()
-        self.fs.move(self.part, self.path)
 
 
 def read_documents(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -259,10 +258,14 @@ FILES = "file int, uri string, n_docs long, n_tokens long"
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text and write the files of `folder` in ascending order of ids; returns a row per file.
 
-    Rows are range partitioned by id and sorted, and each partition writes one
-    file under a name of its own, moved into place when whole: a task that runs
-    again writes the same file again. Null texts count as empty, null ids come
-    first, rows with equal ids stay apart. `folder` must be a URI or path that all executors share.
+    Rows are range partitioned by id (and a hash of the text, so that rows
+    without an id or with one id lie in many partitions) and sorted, and each
+    partition writes one file. Its name has the task's attempt, so an attempt
+    that runs again or beside another never meets its file; what counts is the
+    returned table, which has the attempts that Spark committed. Null and empty
+    texts have the end id alone, null ids come first, rows with equal ids stay
+    apart, texts are encoded whole whatever their length, other columns are
+    ignored, an empty table gives no file. `folder` must be a URI or path that all executors share.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,16 +276,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int | None =
         for batch in batches:
             if batch.empty:
                 continue
-            writer = writer or TokenWriter(f"{folder}/tokens-{context.partitionId():06d}.pfr", context.taskAttemptId())
+            writer = writer or TokenWriter(f"{folder}/tokens-{context.partitionId():06d}-{context.taskAttemptId()}.pfr")
             for doc, ids in zip(batch["_id"], encoder(tokenizer).encode(batch["_text"].tolist()), strict=True):
                 writer.add(None if pd.isna(doc) else int(doc), np.concatenate([ids, np.array(tail, np.uint32)]))
         if writer:
             writer.close()
-            yield pd.DataFrame({"file": [context.partitionId()], "uri": [f"{folder}/tokens-{context.partitionId():06d}.pfr"], "n_docs": [len(writer.docs)], "n_tokens": [writer.count]})
+            yield pd.DataFrame({"file": [context.partitionId()], "uri": [writer.uri], "n_docs": [len(writer.docs)], "n_tokens": [writer.count]})
 
-    rows = docs.select(F.col(id_col).alias("_key"), F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_key"), F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     with arrow_rows(docs.sparkSession, 256):
-        return stage_table(rows.repartitionByRange("_key").sortWithinPartitions("_key").select("_id", "_text").mapInPandas(write, FILES), "token-files")
+        return stage_table(rows.repartitionByRange("_key", "_hash").sortWithinPartitions("_key", "_hash").select("_id", "_text").mapInPandas(write, FILES), "token-files")
 
 
 def read_tokens(spark: SparkSession, files: DataFrame) -> DataFrame:
