@@ -263,7 +263,12 @@ def model(path: str) -> PieceModel:
 
 
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
-    """(id, ids array<int>) for each row: the text's pieces, then the end id. A null text counts as empty; rows stay as they are repeated, null ids too."""
+    """(id, ids array<int>) for each row: the text's pieces, then the end id.
+
+    A null text counts as empty, an empty one has the end id alone; texts of any
+    length are encoded whole. Rows stay as they are repeated, null ids too; an
+    empty table stays empty, other columns are ignored.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)

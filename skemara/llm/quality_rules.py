@@ -102,7 +102,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     The measured rows are written once; hosts are summed from them and the
     hosts that fall are joined back, by broadcast if a count shows them few and
     else by a shuffle join that AQE splits where a host is large. Null texts
-    have no words and fail; null hosts form one host; an empty table stays empty.
+    have no words and fail, texts of any length are measured whole; null hosts
+    form one host; rows stay as they are repeated; columns named like the results
+    are replaced; an empty table stays empty.
     """
     columns = [c for c in docs.columns if c.lower() not in MADE and (keep_text or c != text_col)]
     measured = stage_table(measure(docs.select(*(c for c in docs.columns if c.lower() not in MADE)), text_col).select(*columns, *MEASURES, "base_failed"), "measured")
