@@ -6,7 +6,9 @@ within radius r agree on at least b - r blocks. In a bucket 64 fingerprints
 stand as 64 vertical bit planes, one machine word each; a query is compared
 with a whole block by carry-save adders, and a block is abandoned once all its
 lanes exceed the radius. Buckets send on a spanning star per linked group, not
-its pairs; components over these stars are found by star rounds.
+its pairs; components over these stars are found by star rounds. A similarity
+of word shingles instead of a radius is the work of skemara.llm.similar, which
+compares the fingerprints of candidates in the same way before it checks sets.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skemara.llm.components import connected_components
-from skemara.llm.shared import arrow_rows, checked_broadcast, stage_table
+from skemara.llm.shared import arrow_rows, checked_broadcast, join_counted, stage_table
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: A bucket of more fingerprints is compared tile by tile.
+#: A bucket of more fingerprints is split by a finer key, and what is still larger is compared tile by tile.
 TILE = 4096
 #: Rows to gather before whole buckets are compared, and (query, block) pairs compared at a time.
 GATHER, PAIRS = 200_000, 1 << 19
@@ -38,24 +40,39 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         return 0
     digest = xxhash.xxh64_intdigest
     count = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), seed) for i in range(count)), np.uint64, count)
+    return majority(np.fromiter((digest(b" ".join(words[i : i + shingle]), seed) for i in range(count)), np.uint64, count))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed long."""
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _blocks(places: list[int], blocks: int) -> list[int]:
+    """Masks of `blocks` blocks of bits at these places."""
+    edges = [len(places) * i // blocks for i in range(blocks + 1)]
+    return [sum(1 << p for p in places[edges[i] : edges[i + 1]]) for i in range(blocks)]
 
 
 def masks(count: int, radius: int = RADIUS) -> list[int]:
     """Signed bit masks of the bucket keys: blocks are made finer until a key's share of `count` is small."""
     free = 1
     while True:
-        blocks = radius + free
-        edges = [64 * i // blocks for i in range(blocks + 1)]
-        sizes = sorted(edges[i + 1] - edges[i] for i in range(blocks))
-        if free == 4 or count / 2 ** sum(sizes[:free]) <= 512:
-            break
+        block = _blocks(list(range(64)), radius + free)
+        if free == 4 or count / 2 ** sum(sorted(b.bit_count() for b in block)[:free]) <= 512:
+            return [_signed(sum(c)) for c in combinations(block, free)]
         free += 1
-    block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    keys = [sum(c) for c in combinations(block, free)]
-    return [k - (1 << 64) if k >> 63 else k for k in keys]
+
+
+def finer(mask: int, radius: int = RADIUS) -> list[int]:
+    """Signed masks of which each pair within `radius` that agrees under `mask` agrees under one: `mask` and a block of the other bits."""
+    mask &= (1 << 64) - 1
+    return [_signed(mask | b) for b in _blocks([p for p in range(64) if not mask >> p & 1], radius + 1)]
 
 
 def _adder(a, b, c):
@@ -76,10 +93,12 @@ def _over(counts: list, radius: int):
     return more | counts[-1]
 
 
-def sliced_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sliced_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIUS, asks: np.ndarray | None = None, pairs: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions i < j of one run whose values differ in at most `radius` bits.
 
-    `starts` has the first position of each run, and the length of `values` at its end.
+    `starts` has the first position of each run, and the length of `values` at
+    its end. `asks` says which positions are compared with those after them in
+    their run (None: all). `pairs` (query, block) pairs are compared at a time.
     """
     n = len(values)
     blocks = -(-n // 64)
@@ -92,11 +111,13 @@ def sliced_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -
     here = np.arange(n)
     each = (ends - 1) // 64 - here // 64 + 1
     each[ends - here == 1] = 0
+    if asks is not None:
+        each[~asks] = 0
     upto = np.concatenate([[0], np.cumsum(each)])
     depth = max(2, int(radius).bit_length())
     low = 0
     while low < n:
-        high = max(low + 1, int(np.searchsorted(upto, upto[low] + PAIRS, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] + pairs, "right")) - 1)
         query = np.repeat(here[low:high], each[low:high])
         block = query // 64 + np.arange(len(query)) - np.repeat(upto[low:high] - upto[low], each[low:high])
         low = high
@@ -162,16 +183,24 @@ def _stars(frame: pd.DataFrame, radius: int) -> pd.DataFrame:
 def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b): stars that connect the fingerprints of column fp within `radius`; all links' components, no more."""
     keys = masks(distinct.count(), radius)
+    one = F.lit(0).cast("long")
     rows = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in keys))).alias("band", "key"))
-    large = stage_table(rows.groupBy("band", "key").count().filter(F.col("count") > tile).select("band", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "large")
-    # A large bucket is cut into parts by hash; each pair of parts is a tile of its own, so any two members meet in one.
-    rows = rows.join(checked_broadcast(large), ["band", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    part = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    rows = rows.withColumn("part", part).select(
-        "fp", "band", "key",
-        F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(
-            F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(F.col("part"), o).cast("long") * F.col("tiles") + F.greatest(F.col("part"), o)))).alias("tile"),
-    )
+    sizes = lambda rows, label: stage_table(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile), label)
+    large = sizes(rows, "large")
+    if large.limit(1).count():
+        # A large bucket is split by a finer key first: any two of its members within the radius agree on one block more.
+        split = F.array(*(F.array(*(F.lit(x) for x in finer(m, radius))) for m in keys))
+        more = rows.join(checked_broadcast(large.drop("n")), ["band", "key"], "left_semi").select("fp", "band", F.posexplode(F.element_at(split, F.col("band") + 1)).alias("sub", "mask"))
+        more = more.select("fp", (len(keys) + F.col("band") * (radius + 1) + F.col("sub")).alias("band"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        # What is large still is cut into parts by hash; each pair of parts is a tile of its own, so any two members meet in one.
+        tiles = sizes(more, "tiled").select("band", "key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+        more = more.join(checked_broadcast(tiles), ["band", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        part = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+        every = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(part, o).cast("long") * F.col("tiles") + F.greatest(part, o))
+        more = more.select("fp", "band", "key", F.explode(F.when(F.col("tiles") == 1, F.array(one)).otherwise(every)).alias("tile"))
+        rows = rows.join(checked_broadcast(large.drop("n")), ["band", "key"], "left_anti").withColumn("tile", one).unionByName(more)
+    else:
+        rows = rows.withColumn("tile", one)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -191,35 +220,57 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
     return dealt.mapInPandas(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """One row per row of `docs`: id, fingerprint (16 hex digits), component_id (smallest id that links reach, itself included) and its fp as a long.
-
-    Null and empty texts share the fingerprint zero. Rows without an id have a
-    component too; it is null if no row of it has an id. Repeated rows stay
-    repeated. An empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, radius: int) -> DataFrame:
+    """One row per row of `docs`: id, key (digest of the text), fp, and of its component the smallest id and the key of the row that stays."""
     spark = docs.sparkSession
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"_id": batch["_id"], "fp": [fingerprint(t, shingle, seed) for t in batch["_text"]]})
+            yield pd.DataFrame({"_id": batch["_id"], "key": batch["key"], "fp": [fingerprint(t, shingle, seed) for t in batch["_text"]]})
 
+    text = F.coalesce(F.col(text_col), F.lit(""))
     with arrow_rows(spark, 256):
-        made = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(prints, "_id string, fp long")
-        made = stage_table(made.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), "fp"), "fingerprints")
-    distinct = stage_table(made.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
+        made = docs.select(F.col(id_col).cast("string").alias("_id"), F.md5(text.cast("binary")).alias("key"), text.alias("_text")).mapInPandas(prints, "_id string, key string, fp long")
+        made = stage_table(made.select(F.col("_id").cast(docs.schema[id_col].dataType).alias("id"), "key", "fp"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    distinct = stage_table(made.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("_n")), "distinct")
     with arrow_rows(spark, 50_000):
         stars = stage_table(near_links(distinct, radius).distinct(), "stars")
     labels = connected_components(stars)
-    distinct = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    first = distinct.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of = distinct.join(first, "label").select("fp", "component_id")
+    distinct = stage_table(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+    best = distinct.groupBy("label").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("_c"))
+    of = join_counted(distinct, best, "label", "_c").select("fp", F.col("best.id").alias("component_id"), F.col("best.key").alias("stays"), "_n")
+    return join_counted(made, stage_table(of, "components"), "fp")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """One row per row of `docs`: id, fingerprint (16 hex digits) and component_id (smallest id that links reach, itself included).
+
+    Null and empty texts share the fingerprint zero; texts of any length are
+    read whole. Rows without an id have a component too; it is null if no row
+    of it has an id. Repeated rows stay repeated. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
+    """
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return made.join(of, "fp").select(id_col, hexed.alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col, shingle, seed, radius).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of `docs` that stay: of each component the row with the smallest id (rows that repeat this id stay with it); rows without an id stay."""
-    found = near_groups(docs, id_col, text_col, **kw)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """The rows of `docs` that stay: of each component the row with the smallest id, of equal ids that with the least digest of its text.
+
+    Links are fingerprints within `radius`; with `similarity`, a fraction, they
+    are sets of word shingles of at least that Jaccard similarity. Rows are
+    told apart by id and text: rows that repeat both stay or go together, and
+    rows that repeat an id with an unlike text are judged on their own. A row
+    without an id stays only if its component has none with one.
+    """
+    if similarity:
+        from skemara.llm.similar import grouped
+
+        found = grouped(docs, id_col, text_col, shingle, seed, similarity)
+    else:
+        found = _grouped(docs, id_col, text_col, shingle, seed, radius)
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("stays"))
+    gone = stage_table(found.filter(~stays).select(F.col("id").alias("_gone"), F.col("key").alias("_key")).distinct(), "gone")
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    return docs.join(checked_broadcast(gone), F.col(id_col).eqNullSafe(F.col("_gone")) & (digest == F.col("_key")), "left_anti")

@@ -1,8 +1,12 @@
 """The pipeline's near stage against a brute-force count of all pairs."""
 
 import collections
+import hashlib
 
-from skemara.llm import similar
+import numpy as np
+import pytest
+
+from skemara.llm import similar, simhash
 from tests.llm.test_text_operators import DOCS, fallen_hosts, measured
 
 
@@ -33,8 +37,11 @@ def plain_components(docs):
     return [(d, least.get(root(i))) for i, (d, _) in enumerate(docs)]
 
 
-def test_all_pairs_are_found(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("tile", [3])
+def test_all_pairs_are_found(spark, sf_dir, monkeypatch, tile):
     monkeypatch.setattr(similar, "PART", 4)  # hubs of parts meet too
+    monkeypatch.setattr(similar, "TILE", tile)
+    monkeypatch.setattr(similar, "SHINGLES", 2000)
     base = [f"w{i}" for i in range(80)]
     made = [(None, None), (9001, ""), (9002, None), (9003, "one two"), (None, "one  TWO"), (9004, " ".join(base)), (9004, " ".join(base))]
     # A chain whose ends are not alike, and copies that differ in one word each.
@@ -44,11 +51,38 @@ def test_all_pairs_are_found(spark, sf_dir, monkeypatch):
     want = plain_components([(r.doc_id, r.text) for r in docs.collect()])
     got = similar.similar_groups(docs).collect()
     assert collections.Counter(tuple(r) for r in got) == collections.Counter(want)
-    gone = {d for d, c in want if d is not None and d != c}
-    assert collections.Counter(r.doc_id for r in similar.drop_similar(docs).collect()) == collections.Counter(d for d, _ in want if d not in gone)
     assert similar.similar_groups(docs.limit(0)).count() == 0
 
 
+def test_rows_are_dropped_not_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    near = a.replace("a30", "x")
+    rows = [(3, a), (5, near), (5, b), (6, b), (None, near), (None, "alone"), (7, a), (3, near)]
+    docs = spark.createDataFrame([(i, t, None, None, k) for k, (i, t) in enumerate(rows)], DOCS).withColumnRenamed("n_chars", "key")
+    first = min(((hashlib.md5(t.encode()).hexdigest(), k) for k, (i, t) in enumerate(rows) if i == 3))[1]
+    for kw in ({"shingle": 5, "similarity": (4, 5)}, {"radius": 12}):
+        out = simhash.drop_near(docs, **kw)
+        assert out.columns == docs.columns
+        assert {r.key for r in out.collect()} == {first, 2, 5}
+    assert simhash.drop_near(docs.limit(0), similarity=(4, 5)).count() == 0
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(-(2**63), 2**63 - 1, 3000)
+    sets = [rng.choice(pool, n, replace=False) for n in rng.integers(1, 900, 60)]
+    bits = [similar.bitmap(x) for x in sets]
+    size = np.array([len(x) for x in bits])
+    a, b = (np.array(x) for x in zip(*((i, j) for i in range(60) for j in range(60)), strict=True))
+    apart = similar.bits_apart(np.concatenate(bits).view(np.uint64), np.cumsum(size) - size, size, a, b)
+    assert all(k <= len(set(sets[i].tolist()) ^ set(sets[j].tolist())) for i, j, k in zip(a, b, apart, strict=True))
+    assert all(apart[a == b] == 0)
+    for n in range(1, 200):
+        for m in range(1, n + 1):
+            least = int(similar.least_shared(np.array([n]), np.array([m]))[0])
+            assert 5 * least >= 4 * (n + m - least) and 5 * (least - 1) < 4 * (n + m - least + 1)
+
+
 def test_pipeline_drops_all_similar_texts(spark, sf_dir):
     import corpus_pipeline
 
@@ -60,3 +94,19 @@ def test_pipeline_drops_all_similar_texts(spark, sf_dir):
     kept = {d for d, c in plain_components([(d.doc_id, d.text) for d in first.values()]) if d == c}
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in got} == kept and len(got) == len(kept)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a30", "x")
+    rows = [(1, a, "s"), (1, a, "s"), (2, near, None), (None, a, "s"), (None, c, None), (2, b, "s"), (3, None, "s"), (4, "", "s"), (5, "short", None), (6, a + "\n" + " ".join(f"d{i}" for i in range(60_000)), "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, k, "q") for k, (i, t, s) in enumerate(rows)], DOCS + ", kept string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 61), (1, 61), (2, 61), (6, 60_061)]
+    for stage in (corpus_pipeline.quality, corpus_pipeline.exact, corpus_pipeline.near):
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.packing(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -179,6 +180,64 @@ def test_licences(spark):
     assert [got[i] for i in range(7)] == [("MIT", ""), ("MIT", ""), (None, ""), (None, ""), (None, ""), (None, "CC-BY-NC-4.0,MIT"), (None, "")]
 
 
+def test_licence_lines_of_any_kind(spark, tmp_path):
+    isc = next(t for k, t in licences.KNOWN if k == "ISC").replace("\n", " ")
+    texts = ["=" * 8000 + " Released under the MIT License. " + "=" * 8000, f"before\n{isc}\nafter", "x\n  ** public DOMAIN!\n", "licensed, under the apache licence; version 2.0"]
+    docs = as_docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    known = (*licences.KNOWN, ("PD", "Public domain."), ("none", "© 2020 someone"))
+    got = {r.doc_id: (r.licence, r.notices) for r in licences.scan_licences(docs, known=known).collect()}
+    assert got == {0: ("MIT", "MIT"), 1: (None, "ISC"), 2: (None, "PD"), 3: ("Apache-2.0", "Apache-2.0")}
+    for name, text in (("GPL-9.0+.txt", "Long\nlicence\n" + "word " * 5000), ("X-1", "Other text")):
+        (tmp_path / name).write_text(text)
+    more = licences.licence_texts(spark, str(tmp_path))
+    assert [k for k, _ in more] == ["GPL-9.0+", "X-1"]
+    whole = as_docs(spark, [(1, "LONG LICENSE; " + "word, " * 5000, None, None, None), (2, None, None, None, None)], ("notices",))
+    assert {r.doc_id: r.licence for r in licences.scan_licences(whole, known=more).collect()} == {1: "GPL-9.0+", 2: None}
+
+
+def test_beginnings_lose_no_line():
+    rng = random.Random(4)
+    pattern = re.compile(licences.beginnings())
+    for _, text in licences.KNOWN:
+        for line in text.split("\n"):
+            for _ in range(5):
+                spelt = "".join(rng.choice((c.upper(), c, c + rng.choice("-* ") if not c.isalnum() else c)) for c in line)
+                whole = [t for _, t in licences.KNOWN if t == line]
+                assert not whole or pattern.search(rng.choice(("", "  -- ", "§ ")) + spelt.lower())
+
+
+def test_hot_text_without_identifiers(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 5)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 0.05)
+    data = [(None if i % 2 else 7, "same", "en", f"s{i}", i) for i in range(300)] + [(k, f"t{k}", "en", "a", 1) for k in range(300)]
+    for keep in ("min", "max"):
+        got = exact_dedup.exact_groups(as_docs(spark, data), keep=keep).filter("group_size > 1").collect()
+        assert {(r.keep_id, r.group_size) for r in got} == {(7, 300)} and sum(r.kept for r in got) == 1 and next(r for r in got if r.kept).doc_id == 7
+    nobody = exact_dedup.exact_groups(as_docs(spark, [(None, "same", "en", f"s{i}", i) for i in range(200)])).collect()
+    assert sum(r.kept for r in nobody) == 1 and {(r.keep_id, r.group_size) for r in nobody} == {(None, 200)}
+
+
+@pytest.mark.parametrize("share", [2.0, 0.05])
+def test_hot_fingerprints(spark, monkeypatch, share):
+    from skemara.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    monkeypatch.setattr(shared, "HOT_SHARE", share)
+    data = [(i, f"one two three {i % 3 or i}", "en", "a", 1) for i in range(300)]
+    want = collections.Counter(plain_groups([r[1] for r in data], [r[0] for r in data]))
+    assert collections.Counter(tuple(r) for r in simhash.near_groups(as_docs(spark, data)).collect()) == want
+
+
+def test_finer_masks_are_complete():
+    rng = np.random.default_rng(6)
+    for mask in simhash.masks(10**8)[::9]:
+        sub = [m & (2**64 - 1) for m in simhash.finer(mask)]
+        free = [p for p in range(64) if not (mask & (2**64 - 1)) >> p & 1]
+        for _ in range(100):
+            diff = sum(1 << int(b) for b in rng.choice(free, 4, replace=False))
+            assert any(diff & m == 0 for m in sub)
+
+
 def padding(lengths, bounds):
     return sum(min(b for b in bounds if b >= x) - x for x in lengths)
 
@@ -226,17 +285,3 @@ def fallen_hosts(docs):
         weight = min(1000, max(0, mean * (1 - mean) / var - 1)) if var > 0 else 1000
         fallen |= {h for h, ms in hosts.items() if (rate[h] * len(ms) + mean * weight) / (len(ms) + weight) > 0.5}
     return fallen
-
-
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
-    good = [d for d in docs if not measured(d.text)[-1] and d.source not in fallen_hosts(docs)]
-    first = {}
-    for d in sorted(good, key=lambda d: d.doc_id):
-        first.setdefault(d.text or "", d)
-    left = list(first.values())
-    kept = {i for i, _, c in plain_groups([d.text for d in left], [d.doc_id for d in left]) if i == c}
-    got = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r.doc_id for r in got} == kept and len(got) == len(kept)
