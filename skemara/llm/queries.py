@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemara.llm.chat import render
+from skemara.llm.conversation_repair import damage_and_repair
 from skemara.llm.exact_dedup import exact_groups
 from skemara.llm.licences import COPYRIGHT, KNOWN, SPELLINGS, scan_licences
+from skemara.llm.mixing import mix_digest
 from skemara.llm.packing import pack
 from skemara.llm.pieces import round_trip
 from skemara.llm.quality_rules import HOST_LIMIT, HOST_RULES, MAX_PRIOR, quality_rules
@@ -64,7 +66,15 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_url_filter, op4_exact_dedup, op5_quality_rules, op6_simhash, op7_licences, op8_chat, op9_packing, op10_pieces)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_url_filter, op4_exact_dedup, op5_quality_rules, op6_simhash, op7_licences, op8_chat, op9_packing, op10_pieces, op12_conversation_repair, op13_mixing)}
 
 _SQL2 = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
@@ -140,4 +150,17 @@ SELECT conv_id, speaker, CAST(chunk AS BIGINT) AS chunk, CAST(min(start) AS BIGI
 FROM c GROUP BY conv_id, speaker, chunk
 """
 
-ORACLE_SQL = {"op2_warc": _SQL2, "op4_exact_dedup": _SQL4, "op5_quality_rules": _sql5(), "op7_licences": _sql7(), "op8_chat": _SQL8}
+_SQL13 = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+  CAST('0x' || substr(md5('13:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) / 4503599627370496.0 AS draw FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS w FROM d GROUP BY source),
+o AS (SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER b, 0) AS a, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS ww
+  FROM s WINDOW b AS (ORDER BY source_size * (10 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max_by(a, ww) AS a, max(ww) AS ww FROM o WHERE w * a <= 3 * source_size * ww),
+t AS (SELECT source, source_size, CASE WHEN w * l.a > 3 * source_size * l.ww THEN 3 * CAST(source_size AS DOUBLE) ELSE CAST(w * l.a AS DOUBLE) / CAST(l.ww AS DOUBLE) END AS target FROM s, l),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0 END AS rate FROM t)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+"""
+
+ORACLE_SQL = {"op2_warc": _SQL2, "op4_exact_dedup": _SQL4, "op5_quality_rules": _sql5(), "op7_licences": _sql7(), "op8_chat": _SQL8, "op13_mixing": _SQL13}
