@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skemara.llm.align import align_documents
 from skemara.llm.chat import render
 from skemara.llm.conversation_repair import damage_and_repair
 from skemara.llm.exact_dedup import exact_groups
@@ -66,6 +67,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damage_and_repair(_table(spark, sf_dir, "conversations"))
 
@@ -74,7 +79,7 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_url_filter, op4_exact_dedup, op5_quality_rules, op6_simhash, op7_licences, op8_chat, op9_packing, op10_pieces, op12_conversation_repair, op13_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_url_filter, op4_exact_dedup, op5_quality_rules, op6_simhash, op7_licences, op8_chat, op9_packing, op10_pieces, op11_alignment, op12_conversation_repair, op13_mixing)}
 
 _SQL2 = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
