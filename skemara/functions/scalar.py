@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PRIME = 2147483647
 
@@ -24,6 +25,22 @@ def mix(key: Column | str, seed: Column | int = 0, rep: Column | int = 0) -> Col
     return (h2 * h2 + h1) % PRIME
 
 
+def text_number(key: Column) -> Column:
+    """An integer in 0..PRIME-1 of a text: fifteen hex digits of its MD5."""
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % PRIME
+
+
+def text_number_sql(key: str) -> str:
+    """text_number in DuckDB's SQL."""
+    return f"(CAST('0x' || substr(md5({key}), 1, 15) AS BIGINT) % {PRIME})"
+
+
+def key_number(df: DataFrame, name: str) -> Column:
+    """The column `name` of `df` as what mix takes: an integer as it is, everything else by its text (null stays null)."""
+    kind = df.schema[name].dataType
+    return F.col(f"`{name}`") if isinstance(kind, T.IntegralType) else text_number(F.col(f"`{name}`").cast("string"))
+
+
 def exclusive_quantile(ordered: Column, percent: int, least: int) -> Column:
     """Quantile at percent of a sorted array by exclusive interpolation; its largest value below `least` values."""
     n = F.size(ordered)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skemara.functions.scalar import PRIME, mix, normal_question, sql_uid
+from skemara.functions.scalar import PRIME, key_number, mix, normal_question, sql_uid
 from skemara.sources.scratch import small, stored
 
 
@@ -86,22 +86,18 @@ def counter_text(rows: DataFrame, group: str, key: str) -> DataFrame:
     return counts.groupBy(group).agg(parts.alias("_p")).select(group, F.array_join(F.transform("_p", lambda x: F.concat(x["k"], F.lit(":"), (-x["n"]).cast("string"))), "; ").alias("text"), F.get("_p", F.lit(0))["k"].alias("top"))
 
 
-def _hash_rank(by: list[str], key: str, seed: int) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(mix(F.col(key), seed), key))
-
-
 #: Stretches of the hash's range in which a class is ranked.
 STRETCHES = 1024
 
 
 def hash_ranked(rows: DataFrame, by: list[str], key: str, seed: int = 0, rep: Column | int = 0) -> DataFrame:
-    """`rows` with _r, the rank by (hash of key, key) within the columns `by`, and _n, the rows of that class.
+    """`rows` with _r, the rank by (hash of key, key) within the columns `by`, and _n, the rows of that class. Keys are integers or texts.
 
     A class is ranked in stretches of the hash's range, each a task of its own
     at most, and a stretch starts after all that the stretches before it hold;
     so a class with a large share of all rows is no one task's.
     """
-    h = mix(F.col(key), seed, rep)
+    h = mix(key_number(rows, key), seed, rep)
     marked = rows.withColumns({"_h": h, "_s": F.floor(h * STRETCHES / PRIME).cast("int")})
     counts = marked.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,14 +125,22 @@ def group_split(rows: DataFrame, group: str, ratio: float, seed: int = 0) -> Dat
 
 
 def round_robin(rows: DataFrame, by: str, key: str, limit: int, seed: int = 0) -> DataFrame:
-    """A stratified sample: one row of each class in turn, classes in order, until `limit`."""
-    ranked = rows.withColumn("_r", _hash_rank([by], key, seed)).filter(F.col("_r") <= limit)
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy("_r", by))).filter(F.col("place") <= limit).drop("_r")
+    """A stratified sample: one row of each class in turn, classes in order, until `limit`.
+
+    A row's place follows from its rank and from how many rows the classes
+    have (few, one array), so no task orders all classes' rows.
+    """
+    ranked = hash_ranked(rows, [by], key, seed).filter(F.col("_r") <= limit)
+    classes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct(F.col(by).alias("c"), "n")).alias("_all"))
+    met = ranked.join(F.broadcast(classes))
+    turns = F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], F.col("_r") - 1))
+    same = F.size(F.filter("_all", lambda x: (x["n"] >= F.col("_r")) & F.coalesce(x["c"] <= F.col(by), x["c"].isNull())))
+    return met.withColumn("place", (turns + same).cast("int")).filter(F.col("place") <= limit).drop("_r", "_n", "_all")
 
 
 def even_cap(rows: DataFrame, by: str, key: str, total: int, classes: int, seed: int = 0) -> DataFrame:
     """floor(total / classes) rows of each class at most."""
-    return rows.withColumn("_r", _hash_rank([by], key, seed)).filter(F.col("_r") <= total // classes).drop("_r")
+    return hash_ranked(rows, [by], key, seed).filter(F.col("_r") <= total // classes).drop("_r", "_n")
 
 
 def matched_control(rows: DataFrame, pool: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:

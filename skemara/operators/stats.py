@@ -7,10 +7,16 @@ cluster: B replicates of k draws are B * k small rows, whatever the records.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skemara.functions.scalar import mix
+from skemara.functions.scalar import PRIME, key_number, mix
+from skemara.operators.quota import hash_ranked
 from skemara.sources.scratch import stored
 
 #: Replicates of a bootstrap.
@@ -127,20 +133,60 @@ def reweighted(records: DataFrame, target: DataFrame, alphas: list[float]) -> Da
     return records.join(grid, "strategy").groupBy("alpha", "model").agg((F.sum(F.col("w") * F.col("correct").cast("double")) / F.sum("w")).alias("accuracy"))
 
 
-def rank_replicates(records: DataFrame, values: tuple[str, ...] = ("correct",), reps: int = REPS, seed: int = 0, models: list[str] | None = None) -> DataFrame:
+def poisson_steps(mean: int) -> np.ndarray:
+    """Distribution function of Poisson(mean) at 0, 1, 2, ..., up to where it is 1 to all digits of a draw."""
+    k = range(mean + int(12 * math.sqrt(mean)) + 30)
+    return np.cumsum(np.exp([i * math.log(mean) - mean - math.lgamma(i + 1) for i in k]))
+
+
+def cell_times(unit: np.ndarray, size: np.ndarray, seed: int, reps: np.ndarray) -> np.ndarray:
+    """How often each cell (rows) is drawn in each replicate (columns): Poisson(size) at a hash of (unit, seed, replicate)."""
+    h1 = ((unit.astype(np.int64) * 48271 + seed * 16807 + 1) % PRIME)[:, None]
+    h2 = (h1 * h1 + reps.astype(np.int64)[None, :] * 69621) % PRIME
+    u = ((h2 * h2 + h1) % PRIME) / 2147483647.0
+    times = np.empty(u.shape, np.float64)
+    for n in np.unique(size).tolist():
+        rows = size == n
+        times[rows] = np.searchsorted(poisson_steps(n), u[rows], side="right")
+    return times
+
+
+def rank_replicates(records: DataFrame, values: tuple[str, ...] = ("correct",), reps: int = REPS, seed: int = 0, models: list[str] | None = None, key: str = "uid") -> DataFrame:
     """(regime, rep, model, mean, rank) under a bootstrap of questions; each of `values` is a regime, and all regimes and models share a replicate's draws.
 
-    A question's values stand in one row (models are few), which is weighed by
-    Poisson(1) per replicate: questions x replicates are generated within the
-    scan's tasks and summed there; replicates x models are shuffled. Means are
-    taken to nine places, so that ties go by model. Records must be aligned.
+    Questions with the same values in all regimes of all models (models are few)
+    are one cell, which a replicate draws Poisson(size) times: the sum of as
+    many Poisson(1) draws. The draw is by inverse distribution at a hash of the
+    cell's least key number, so the work is cells x replicates, in numpy blocks
+    within the tasks; a task sends on its sums per replicate. Means are taken to
+    nine places, so that ties go by model. Keys are integers or texts. Records
+    must be aligned; a missing value counts 0.
     """
+    spark = records.sparkSession
     models = models or sorted(r[0] for r in records.select("model").distinct().collect())
     cells = [(v, m) for v in values for m in models]
-    wide = records.groupBy("uid").agg(*(F.max(F.when(F.col("model") == m, F.col(v).cast("double"))).alias(f"v{k}") for k, (v, m) in enumerate(cells)))
-    each = wide.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_t", poisson_times(F.col("uid"), seed, F.col("rep"))).filter("_t > 0")
-    sums = each.groupBy("rep").agg(F.sum("_t").alias("_n"), *(F.sum(F.col("_t") * F.col(f"v{k}")).alias(f"v{k}") for k in range(len(cells))))
-    long = sums.select("rep", F.explode(F.array(*(F.struct(F.lit(v).alias("regime"), F.lit(m).alias("model"), F.round(F.col(f"v{k}") / F.col("_n"), 9).alias("mean")) for k, (v, m) in enumerate(cells)))).alias("x"))
+    names = [f"v{k}" for k in range(len(cells))]
+    wide = records.withColumn("_unit", key_number(records, key)).groupBy(key).agg(F.min("_unit").alias("_unit"), *(F.max(F.when(F.col("model") == m, F.col(v).cast("double"))).alias(n) for n, (v, m) in zip(names, cells, strict=True)))
+    sized = wide.groupBy(*names).agg(F.count(F.lit(1)).alias("_size"), F.min("_unit").alias("_unit"))
+    shape = "rep long, n double, sums array<double>"
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((reps, len(names) + 1))
+        for batch in batches:
+            unit, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_unit", "_size"))
+            value = np.stack([np.ones(len(unit)), *(np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in names)], 1)
+            # About four million draws at a time.
+            rows = 1 + (1 << 22) // max(1, reps)
+            for low in range(0, len(unit), rows):
+                part = slice(low, low + rows)
+                total += cell_times(unit[part], size[part], seed, np.arange(reps)).T @ value[part]
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), pa.array(total[:, 0]), pa.array(list(total[:, 1:]), pa.list_(pa.float64()))], ["rep", "n", "sums"])
+
+    dealt = sized.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = dealt.select("_unit", "_size", *names).mapInArrow(draw, shape)
+    sums = parts.groupBy("rep").agg(F.sum("n").alias("_n"), *(F.sum(F.get("sums", F.lit(k))).alias(n) for k, n in enumerate(names)))
+    long = sums.select("rep", F.explode(F.array(*(F.struct(F.lit(v).alias("regime"), F.lit(m).alias("model"), F.round(F.col(n) / F.col("_n"), 9).alias("mean")) for n, (v, m) in zip(names, cells, strict=True)))).alias("x"))
     ranked = long.select("x.regime", "rep", "x.model", "x.mean").withColumn("rank", F.row_number().over(Window.partitionBy("regime", "rep").orderBy(F.desc("mean"), "model")))
     # A row per regime, replicate and model, which is read more than once.
     return stored(ranked, "replicates")
@@ -235,8 +281,10 @@ def rating_table(rows: DataFrame, source: str, rating: str, values: list[int]) -
     return rows.groupBy(source).pivot(rating, values).count().na.fill(0).join(rows.groupBy(source).agg(F.avg(rating).alias("mean")), source)
 
 
-def power_draws(records: DataFrame, size: int, reps: int, seed: int = 0) -> DataFrame:
-    """(rep, uid): `size` questions at random in each replicate, by least hash."""
-    ids = records.select("uid").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    order = Window.partitionBy("rep").orderBy(mix(F.col("uid"), seed, F.col("rep")), "uid")
-    return ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= size).select("rep", "uid")
+def power_draws(records: DataFrame, size: int, reps: int, seed: int = 0, key: str = "uid") -> DataFrame:
+    """(rep, key): `size` questions at random in each replicate, by least hash of the key, an integer or a text.
+
+    Each replicate ranks stretches of the hash's range apart (see quota.hash_ranked), so none is one task's.
+    """
+    ids = records.select(key).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    return hash_ranked(ids, ["rep"], key, seed, F.col("rep")).filter(F.col("_r") <= size).select("rep", key)

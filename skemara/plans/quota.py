@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skemara.functions.scalar import mix_sql, name_seed, normal_id, sql_uid
+from skemara.functions.scalar import mix_sql, name_seed, normal_id, sql_uid, text_number_sql
 from skemara.operators import quota as Q
 from skemara.operators.classify import alias_pairs, predicates, tables_of
 from skemara.plans.derived import PATTERNS, RECORDS_SQL, STATEMENTS_SQL, TIERS, records, statements
-from skemara.registry import query, table
+from skemara.registry import oracle_of, query, table
 
 _ORDINAL = " ".join(f"WHEN '{p}{t}' THEN {i * 3 + j}" for i, p in enumerate(PATTERNS) for j, t in enumerate(TIERS))
 _CLASSES = f"(SELECT strategy, any_value(tier) AS tier, CAST(CASE strategy {_ORDINAL} END AS INT) AS ordinal, count(*) AS n, count(*) >= 20 AS feasible FROM {RECORDS_SQL} GROUP BY strategy)"
@@ -219,3 +219,54 @@ def q18_q20_questions(spark: SparkSession, sf: str) -> DataFrame:
 def v2_normal_ids(spark: SparkSession, sf: str) -> DataFrame:
     x = normal_id(F.col("l_quantity") / 7)
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.contains(x, F.lit(".")), F.format_string("%.6f", x.cast("double"))).otherwise(x).alias("id"))
+
+
+# The same samples over identifiers that are texts, as stored questions have them.
+_TEXT_QUESTIONS = f"(SELECT md5(CAST(uid AS VARCHAR)) AS uid, strategy, pattern, tier, db_id FROM {_QUESTIONS})"
+_TEXT_NUMBER = text_number_sql("uid")
+
+
+def text_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return questions(spark, sf).withColumn("uid", F.md5(F.col("uid").cast("string")))
+
+
+def _text_sql(name: str) -> str:
+    """A query's SQL over text identifiers."""
+    out = oracle_of(name).replace("SELECT doc_id FROM labels", "SELECT md5(CAST(doc_id AS VARCHAR)) FROM labels")
+    for a, b in ((_QUESTIONS, _TEXT_QUESTIONS), (mix_sql("uid"), mix_sql(_TEXT_NUMBER)), (mix_sql("b.uid"), mix_sql(text_number_sql("b.uid"))), (mix_sql("uid", 0, "rep"), mix_sql(_TEXT_NUMBER, 0, "rep"))):
+        out = out.replace(a, b)
+    return out
+
+
+@query(_text_sql("q11_split"))
+def q11_split_text(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.stratified_split(text_questions(spark, sf), "strategy", "uid", 0.2, 0.1).select("uid", "split")
+
+
+@query(_text_sql("q12_round_robin"))
+def q12_round_robin_text(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.round_robin(text_questions(spark, sf), "strategy", "uid", 100).select("uid", "place")
+
+
+@query(_text_sql("q13_tier_targets"))
+def q13_tier_targets_text(spark: SparkSession, sf: str) -> DataFrame:
+    pool = text_questions(spark, sf).join(table(spark, sf, "labels").select(F.md5(F.col("doc_id").cast("string")).alias("uid")), "uid", "left_semi")
+    parts = [Q.round_robin(pool.filter(F.col("tier") == t), "strategy", "uid", n).select("uid", "tier") for t, n in (("E", 22), ("M", 22), ("H", 27))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(_text_sql("q14_even_cap"))
+def q14_even_cap_text(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.even_cap(text_questions(spark, sf), "strategy", "uid", 100, 21).select("uid", "strategy")
+
+
+@query(_text_sql("q15_matched_control"))
+def q15_matched_control_text(spark: SparkSession, sf: str) -> DataFrame:
+    q = text_questions(spark, sf)
+    return Q.matched_control(q.filter("pattern = '0'"), q.filter("pattern <> '0'"), "db_id", "uid").select("db_id", "uid")
+
+
+@query(_text_sql("q16_quota_matched"))
+def q16_quota_matched_text(spark: SparkSession, sf: str) -> DataFrame:
+    demand = spark.createDataFrame([("E", 0.5), ("M", 0.25), ("H", 0.25)], "tier string, share double")
+    return Q.quota_matched(text_questions(spark, sf), demand, "tier", "uid", 4)

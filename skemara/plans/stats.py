@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skemara.functions.scalar import mix_sql
+from skemara.functions.scalar import mix_sql, text_number_sql
 from skemara.operators import stats as T
 from skemara.plans.derived import MODELS, RECORDS_SQL, records
 from skemara.registry import query, table
@@ -88,14 +88,18 @@ def t9_reweighted(spark: SparkSession, sf: str) -> DataFrame:
 _REGIMES = {"correct": "CAST(correct AS INT)::DOUBLE", "row_f1": "row_f1"}
 
 
-def _ranks(rows: str = "r", regimes: dict[str, str] | None = None, seed: int = 0) -> str:
-    """SQL of the ranks per regime and replicate over `rows` (uid, model, ...)."""
+def _ranks(rows: str = "r", regimes: dict[str, str] | None = None, seed: int = 0, number: str = "uid") -> str:
+    """SQL of the ranks per regime and replicate over `rows` (uid, model, ...): questions of equal values are one cell, drawn Poisson(size) times."""
     regimes = regimes or _REGIMES
-    times = " + ".join(f"CASE WHEN u >= {e!r} THEN 1 ELSE 0 END" for e in T.POISSON)
-    means = ", ".join(f"sum(t * {v}) / sum(t) AS mean_{k}" for k, v in regimes.items())
-    long = " UNION ALL ".join(f"SELECT '{k}' AS regime, rep, model, round(mean_{k}, 9) AS mean FROM g" for k in regimes)
-    return f"""(WITH u AS (SELECT {rows}.*, rep, {mix_sql('uid', seed, 'rep')} / 2147483647.0::DOUBLE AS u FROM {rows}, range({REPS}) AS x(rep)), w AS (SELECT *, {times} AS t FROM u),
-  g AS (SELECT rep, model, {means} FROM w WHERE t > 0 GROUP BY rep, model) SELECT *, row_number() OVER (PARTITION BY regime, rep ORDER BY mean DESC, model) AS rank FROM ({long}))"""
+    cells = [(k, v, m) for k, v in regimes.items() for m in MODELS]
+    wide = ", ".join(f"max(CASE WHEN model = '{m}' THEN {v} END) AS v{i}" for i, (_, v, m) in enumerate(cells))
+    names = ", ".join(f"v{i}" for i in range(len(cells)))
+    sums = ", ".join(f"sum(t * v{i}) / sum(t) AS m{i}" for i in range(len(cells)))
+    long = " UNION ALL ".join(f"SELECT '{k}' AS regime, rep, '{m}' AS model, round(m{i}, 9) AS mean FROM g" for i, (k, _, m) in enumerate(cells))
+    return f"""(WITH q AS (SELECT min({number}) AS unit, {wide} FROM {rows} GROUP BY uid), e AS (SELECT {names}, count(*) AS size, min(unit) AS unit FROM q GROUP BY {names}),
+  f AS (SELECT size, k, sum(exp(k * ln(size) - size - lgamma(k + 1))) OVER (PARTITION BY size ORDER BY k) AS upto FROM (SELECT size, unnest(range(CAST(size + 12 * sqrt(size) + 30 AS BIGINT))) AS k FROM (SELECT DISTINCT size FROM e))),
+  u AS (SELECT e.*, rep, {mix_sql('unit', seed, 'rep')} / 2147483647.0::DOUBLE AS u FROM e, range({REPS}) AS x(rep)), w AS (SELECT u.*, coalesce(f.k + 1, 0) AS t FROM u ASOF LEFT JOIN f ON u.size = f.size AND u.u >= f.upto),
+  g AS (SELECT rep, {sums} FROM w GROUP BY rep) SELECT *, row_number() OVER (PARTITION BY regime, rep ORDER BY mean DESC, model) AS rank FROM ({long}))"""
 
 
 def ranks(spark: SparkSession, sf: str, values: tuple[str, ...] = tuple(_REGIMES), seed: int = 0) -> DataFrame:
@@ -239,3 +243,38 @@ SELECT rep, model, avg(CAST(correct AS INT)) AS accuracy FROM k JOIN r USING (ui
 def t24_power_draws(spark: SparkSession, sf: str) -> DataFrame:
     r = T.aligned(records(spark, sf))
     return T.power_draws(r, 50, 5, seed=3).join(r, "uid").groupBy("rep", "model").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
+
+
+# Rankings over identifiers that are texts, as stored records have them.
+_TEXT_OK = _OK.replace(RECORDS_SQL, f"(SELECT * REPLACE (md5(CAST(uid AS VARCHAR)) AS uid) FROM {RECORDS_SQL})")
+_NUMBER = text_number_sql("uid")
+
+
+def text_records(spark: SparkSession, sf: str) -> DataFrame:
+    return T.aligned(records(spark, sf).withColumn("uid", F.md5(F.col("uid").cast("string"))))
+
+
+@query(f"WITH {_TEXT_OK} SELECT regime, model, rank, count(*) / {REPS} AS share FROM {_ranks(number=_NUMBER)} GROUP BY regime, model, rank")
+def t10_rank_distribution_text(spark: SparkSession, sf: str) -> DataFrame:
+    return T.rank_distribution(T.rank_replicates(text_records(spark, sf), tuple(_REGIMES), REPS, 0, list(MODELS)), REPS)
+
+
+@query(f"WITH {_TEXT_OK}, k AS MATERIALIZED {_ranks(number=_NUMBER)}, {_tau_of('(SELECT * FROM k WHERE regime = $$correct$$)', '(SELECT * FROM k WHERE regime = $$row_f1$$)', _POINT.format(v=_REGIMES['correct'], rows='r'), _POINT.format(v='row_f1', rows='r'))}")
+def t11_kendall_text(spark: SparkSession, sf: str) -> DataFrame:
+    r = text_records(spark, sf)
+    k = T.rank_replicates(r, tuple(_REGIMES), REPS, 0, list(MODELS))
+    taus = T.kendall(k.filter("regime = 'correct'"), k.filter("regime = 'row_f1'"), "rep")
+    return T.tau_summary(taus, T.kendall(T.point_ranks(r, "correct"), T.point_ranks(r, "row_f1")))
+
+
+@query(f"WITH {_TEXT_OK}, k AS {_ranks(number=_NUMBER)}, {_CLAIM} SELECT 'ash first' AS claim, avg(CASE WHEN r_ash = 1 THEN 1.0 ELSE 0.0 END) AS share FROM w WHERE regime = 'correct'")
+def t13_claims_text(spark: SparkSession, sf: str) -> DataFrame:
+    k = T.rank_replicates(text_records(spark, sf), tuple(_REGIMES), REPS, 0, list(MODELS))
+    return T.claims(k, {"ash first": ("correct", F.col("r_ash") == 1)})
+
+
+@query(f"""WITH {_TEXT_OK}, i AS (SELECT DISTINCT uid FROM r), k AS (SELECT rep, uid, row_number() OVER (PARTITION BY rep ORDER BY {mix_sql(_NUMBER, 3, 'rep')}, uid) AS n FROM i, (SELECT unnest(range(5)) AS rep))
+SELECT rep, model, avg(CAST(correct AS INT)) AS accuracy FROM k JOIN r USING (uid) WHERE n <= 50 GROUP BY rep, model""")
+def t24_power_draws_text(spark: SparkSession, sf: str) -> DataFrame:
+    r = text_records(spark, sf)
+    return T.power_draws(r, 50, 5, seed=3).join(r, "uid").groupBy("rep", "model").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
