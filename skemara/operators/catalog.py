@@ -29,6 +29,12 @@ class ForeignKey:
     parent: str
     parent_columns: tuple[str, ...]
     coverage: float = 1.0
+    #: A composite key's or a role's name; a key without one is called by its table and first column.
+    name: str | None = None
+
+    @property
+    def key(self) -> str:
+        return self.name or f"{self.child}.{self.columns[0]}"
 
 
 @dataclass

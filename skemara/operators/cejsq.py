@@ -39,17 +39,24 @@ class Spec:
     tables: tuple[str, ...]
     star: bool
     predicates: tuple[Predicate, ...]
+    #: The key of each join, in order; empty where the tables tell it.
+    keys: tuple[str, ...] = ()
 
 
-def links(schema: Schema, a: str, b: str) -> list[tuple[str, str]]:
-    """Column pairs of the key between two tables: all columns of a composite key, the first of several keys."""
+def links(schema: Schema, a: str, b: str, key: str | None = None) -> list[tuple[str, str]]:
+    """Column pairs of the key between two tables, all columns of a composite one; of several keys the one named, and without a name none is chosen."""
+    found = {}
     for fk in schema.foreign:
-        if (fk.child, fk.parent) == (a, b):
-            return list(zip(fk.columns, fk.parent_columns, strict=True))
-    for fk in schema.foreign:
-        if (fk.child, fk.parent) == (b, a):
-            return list(zip(fk.parent_columns, fk.columns, strict=True))
-    raise ValueError(f"no key between {a} and {b}")
+        if key is None or fk.key == key:
+            if (fk.child, fk.parent) == (a, b):
+                found[fk.key] = list(zip(fk.columns, fk.parent_columns, strict=True))
+            elif (fk.child, fk.parent) == (b, a):
+                found[fk.key] = list(zip(fk.parent_columns, fk.columns, strict=True))
+    if not found:
+        raise ValueError(f"no key between {a} and {b}" + (f" named {key}" if key else ""))
+    if len(found) > 1:
+        raise ValueError(f"several keys between {a} and {b}: {', '.join(sorted(found))}; name one")
+    return next(iter(found.values()))
 
 
 def aliases(tables: tuple[str, ...]) -> list[str]:
@@ -62,8 +69,8 @@ def aliases(tables: tuple[str, ...]) -> list[str]:
     return out
 
 
-def joined(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool, columns: dict[str, list[str]] | None = None) -> DataFrame:
-    """The join of a chain (each table to the one before) or star (each to the target); columns are named column_alias, the target's key keeps its name."""
+def joined(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool, columns: dict[str, list[str]] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The join of a chain (each table to the one before) or star (each to the target), along `keys` if given; columns are named column_alias, the target's key keeps its name."""
     key = schema.primary[schema.target]
     marks = aliases(names)
 
@@ -76,17 +83,17 @@ def joined(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool, c
     out = part(names[0], marks[0]).withColumn(key, F.col(f"{key}_{marks[0]}"))
     for i in range(1, len(names)):
         on = 0 if star else i - 1
-        pairs = links(schema, names[on], names[i])
+        pairs = links(schema, names[on], names[i], keys[i - 1] if keys else None)
         cond = reduce(lambda x, y: x & y, (F.col(f"{a}_{marks[on]}") == F.col(f"{b}_{marks[i]}") for a, b in pairs))
         out = out.join(part(names[i], marks[i]), cond)
     return out
 
 
-def join_size(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool) -> DataFrame:
+def join_size(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row: the exact number of rows of the join, by passing counts from the leaves to the target; the join is never made."""
     def weigh(i: int, weight: DataFrame, on: str) -> DataFrame:
         """Rows of table `on` with the product of weights of what hangs below."""
-        pairs = links(schema, on, names[i])
+        pairs = links(schema, on, names[i], keys[i - 1] if keys else None)
         sums = weight.groupBy(*(F.col(b).alias(f"_k{k}") for k, (_, b) in enumerate(pairs))).agg(F.sum("_w").alias("_s"))
         return pairs, sums
 
@@ -173,30 +180,40 @@ def anchors(frame: DataFrame, key: str, count: int, seed: int = 0) -> list:
 
 def anchored_specs(frame: DataFrame, schema: Schema, strategy: str, names: tuple[str, ...], star: bool, filterable: dict[str, list[tuple[str, str]]], count: int, first: int = 0, seed: int = 0) -> list[Spec]:
     """Queries of a class whose predicates are read from anchor rows, so that each has its anchor as an answer."""
-    tier, marks = strategy[-1], aliases(names)
-    low, high = TIER_RANGE[tier]
-    pool = [(a, c, kind) for a, t in zip(marks, names, strict=True) for c, kind in filterable.get(t, [])]
     specs = []
     for k, row in enumerate(anchors(frame, schema.primary[schema.target], count, seed)):
-        cells = [(a, c, kind, row["row"][f"{c}_{a}"]) for a, c, kind in pool]
-        cells = [x for x in cells if x[3] is not None and not (isinstance(x[3], str) and x[3].strip() != x[3] or x[3] == "")]
-        cells.sort(key=lambda x: _rand(seed, k, sum(map(ord, x[0] + x[1]))))
-        want = low + _rand(seed, k, 7) % (high - low + 1)
-        picked = cells[:want]
-        if len(picked) < low:
-            continue
-        preds = []
-        for i, (a, c, kind, v) in enumerate(picked):
-            ops = OPERATORS[kind]
-            op = ops[_rand(seed, k, i, 3) % len(ops)]
-            if op == "LIKE":
-                parts = [x.strip() for x in v.split(",") if x.strip()]
-                v = parts[_rand(seed, k, i, 5) % len(parts)] if parts else v
-            preds.append(Predicate(a, c, op, v, kind))
-        specs.append(Spec(first + k, strategy, names, star, tuple(preds)))
+        preds = anchored_predicates(row["row"], strategy[-1], predicate_pool(names, filterable), seed, k)
+        if preds:
+            specs.append(Spec(first + k, strategy, names, star, preds))
     return specs
 
 
+def predicate_pool(names: tuple[str, ...], filterable: dict[str, list[tuple[str, str]]]) -> list[tuple[str, str, str]]:
+    """(alias, column, kind) of what predicates over these tables may use."""
+    return [(a, c, kind) for a, t in zip(aliases(names), names, strict=True) for c, kind in filterable.get(t, [])]
+
+
+def anchored_predicates(row, tier: str, pool: list[tuple[str, str, str]], seed: int, k: int) -> tuple[Predicate, ...]:
+    """As many predicates as the tier asks for, that `row` satisfies, chosen by hash of (seed, k); none if it has too few usable values."""
+    low, high = TIER_RANGE[tier]
+    cells = [(a, c, kind, row[f"{c}_{a}"]) for a, c, kind in pool]
+    cells = [x for x in cells if x[3] is not None and not (isinstance(x[3], str) and x[3].strip() != x[3] or x[3] == "")]
+    cells.sort(key=lambda x: _rand(seed, k, sum(map(ord, x[0] + x[1]))))
+    want = low + _rand(seed, k, 7) % (high - low + 1)
+    picked = cells[:want]
+    if len(picked) < low:
+        return ()
+    preds = []
+    for i, (a, c, kind, v) in enumerate(picked):
+        ops = OPERATORS[kind]
+        op = ops[_rand(seed, k, i, 3) % len(ops)]
+        if op == "LIKE":
+            parts = [x.strip() for x in v.split(",") if x.strip()]
+            v = parts[_rand(seed, k, i, 5) % len(parts)] if parts else v
+        preds.append(Predicate(a, c, op, v, kind))
+    return tuple(preds)
+
+
 def literal(v: object) -> str:
     if isinstance(v, bool):
         return str(v).lower()
@@ -213,7 +230,7 @@ def render(spec: Spec, schema: Schema) -> str:
     sql = f"SELECT DISTINCT {marks[0]}.{key} FROM {spec.tables[0]} AS {marks[0]}"
     for i in range(1, len(marks)):
         on = 0 if spec.star else i - 1
-        cond = " AND ".join(f"{marks[on]}.{a} = {marks[i]}.{b}" for a, b in links(schema, spec.tables[on], spec.tables[i]))
+        cond = " AND ".join(f"{marks[on]}.{a} = {marks[i]}.{b}" for a, b in links(schema, spec.tables[on], spec.tables[i], spec.keys[i - 1] if spec.keys else None))
         sql += f" JOIN {spec.tables[i]} AS {marks[i]} ON {cond}"
 
     def term(p: Predicate) -> str:

@@ -1,3 +1,3 @@
 """Queries over the test tables, by family. Importing this package registers them."""
 
-from skemara.plans import catalog, classify, metrics, quota, retrieval, sources, stats, usage  # noqa: F401
+from skemara.plans import catalog, classify, generation, metrics, quota, retrieval, sources, stats, usage  # noqa: F401
