@@ -10,10 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skemara.sources.scratch import stored
+
 Tables = dict[str, DataFrame]
 PROFILE = "table string, column string, ordinal int, dtype string, n long, n_set long, n_distinct long, mean_len double, newline boolean, date_share double, comma_share double, token_len double, low double, high double, boolean_like boolean, samples array<string>"
 BOOLEANS = ("t", "f", "true", "false", "y", "n", "yes", "no", "0", "1")
@@ -63,18 +67,24 @@ def _plain(kind: T.DataType) -> bool:
 #: Columns of texts with up to FEW values by the sketch, and columns that have NEAR as many as rows, are counted exactly.
 FEW, NEAR, ERROR = 64, 0.85, 0.02
 
-
-#: What the first pass keeps of each column: of its texts (kind, v), and of its numbers (x, k).
-_OF_ALL = {"n": "count(1)", "n_set": "count({c})", "n_distinct": f"approx_count_distinct({{c}}, {ERROR})"}
+_DAY = "^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}"
+#: What the pass over a table keeps of each column, by kind of column: {c} is the column, {v} its text.
+_OF_ALL = {"n": "count(1)", "n_set": "count({c})"}
+_OF_PLAIN = {"n_distinct": f"approx_count_distinct({{c}}, {ERROR})"}
 _OF_TEXTS = {
-    "mean_len": "avg(char_length(v))", "newline": "coalesce(bool_or(kind = 0 AND contains(v, chr(10))), false)",
-    "date_share": "coalesce(avg(CASE WHEN v IS NOT NULL THEN CAST(kind = 0 AND v RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}' AS DOUBLE) END), 0D)",
-    "comma_share": "coalesce(avg(CASE WHEN v IS NOT NULL THEN CAST(kind = 0 AND contains(v, ',') AS DOUBLE) END), 0D)",
-    "token_len": "avg(CASE WHEN kind = 0 AND contains(v, ',') THEN char_length(replace(v, ',', '')) / size(split(v, ',')) END)",
-    "boolean_like": f"coalesce(bool_and(kind = 0 AND lower(v) IN ({', '.join(map(repr, BOOLEANS))})), false)", "least": "min(v)", "most": "max(v)",
+    "newline": "coalesce(bool_or(contains({v}, chr(10))), false)",
+    "date_share": f"coalesce(avg(CAST({{v}} RLIKE '{_DAY}' AS DOUBLE)), 0D)", "comma_share": "coalesce(avg(CAST(contains({v}, ',') AS DOUBLE)), 0D)",
+    "token_len": "avg(CASE WHEN contains({v}, ',') THEN char_length(replace({v}, ',', '')) / size(split({v}, ',')) END)",
+    "boolean_like": f"coalesce(bool_and(lower({{v}}) IN ({', '.join(map(repr, BOOLEANS))})), false)",
 }
-_OF_NUMBERS = {"low": "min(x)", "high": "max(x)", "least": "min(k)", "most": "max(k)"}
-_NONE = {"n": 0, "n_set": 0, "n_distinct": 0, "mean_len": None, "newline": False, "date_share": 0.0, "comma_share": 0.0, "token_len": None, "boolean_like": False, "low": None, "high": None, "least": None, "most": None}
+_OF_REST = {"mean_len": "avg(char_length({v}))", "least": "min({v})", "most": "max({v})"}
+_OF_NUMBERS = {"low": "min(CAST({c} AS DOUBLE))", "high": "max(CAST({c} AS DOUBLE))"}
+_OF_WHOLE = {"least": "CAST(CAST(min({c}) AS BIGINT) AS STRING)", "most": "CAST(CAST(max({c}) AS BIGINT) AS STRING)"}
+_BY_KIND = {0: _OF_PLAIN | _OF_TEXTS | _OF_REST, 1: _OF_PLAIN | _OF_NUMBERS | _OF_WHOLE, 2: _OF_PLAIN | _OF_NUMBERS, 3: _OF_PLAIN | _OF_REST, 4: {}}
+_NONE = {"n": "0L", "n_set": "0L", "n_distinct": "0L", "mean_len": "CAST(NULL AS DOUBLE)", "newline": "false", "date_share": "0D", "comma_share": "0D", "token_len": "CAST(NULL AS DOUBLE)", "boolean_like": "false", "low": "CAST(NULL AS DOUBLE)", "high": "CAST(NULL AS DOUBLE)", "least": "CAST(NULL AS STRING)", "most": "CAST(NULL AS STRING)"}
+_LONG = {"n", "n_set", "n_distinct"}
+#: Columns of one aggregate; wider tables take several, each of which reads its own columns.
+WIDE = 16
 
 
 def _kind(t: T.DataType) -> int:
@@ -82,65 +92,98 @@ def _kind(t: T.DataType) -> int:
     return 4 if not _plain(t) else 0 if isinstance(t, T.StringType) else 1 if isinstance(t, T.IntegralType) else 2 if isinstance(t, T.NumericType) else 3
 
 
-def _cells(tables: list[DataFrame], numbers: bool, chosen: dict[int, list[int]] | None = None) -> DataFrame | None:
-    """The cells of the tables' columns (of those in `chosen`): (t, ordinal, kind, v as text), or (t, ordinal, kind, x, k) for columns of numbers, x as double and k as long."""
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text(name: str, kind: int) -> str:
+    return _quoted(name) if kind == 0 else f"CAST({_quoted(name)} AS STRING)"
+
+
+def _measured(frames: list[DataFrame]) -> list:
+    """A row per column of all tables with what _BY_KIND keeps: aggregates without grouping, so that a row per task is shuffled."""
+    parts = []
+    for number, df in enumerate(frames):
+        fields = list(enumerate(df.schema.fields))
+        for low in range(0, len(fields), WIDE):
+            rows = []
+            for i, f in fields[low : low + WIDE]:
+                kind = _kind(f.dataType)
+                made = {k: x.format(c=_quoted(f.name), v=_text(f.name, kind)) for k, x in (_OF_ALL | _BY_KIND[kind]).items()}
+                cells = ", ".join(f"'{k}', " + (f"CAST({made[k]} AS BIGINT)" if k in made and k in _LONG else made.get(k, none)) for k, none in _NONE.items())
+                rows.append(f"named_struct('t', {number}, 'ordinal', {i}, {cells})")
+            if rows:
+                parts.append(df.agg(F.expr(f"array({', '.join(rows)})").alias("x")).select(F.inline("x")))
+    return reduce(lambda a, b: a.unionByName(b), parts).collect() if parts else []
+
+
+def _per_column(frames: list[DataFrame], chosen: list[tuple[int, int]], value) -> dict[tuple[int, int], object]:
+    """`value(name, kind, (t, ordinal))`, an aggregate cast to text, of each chosen column: one job for all."""
+    by: dict[int, list[int]] = {}
+    for t, i in chosen:
+        by.setdefault(t, []).append(i)
     parts = []
-    for number, df in enumerate(tables):
-        each = []
-        for i, f in enumerate(df.schema.fields):
-            kind = _kind(f.dataType)
-            if (kind in (1, 2)) == numbers and (chosen is None or i in chosen.get(number, ())):
-                value = f"'x', CAST(`{f.name}` AS DOUBLE), 'k', CAST({f'`{f.name}`' if kind == 1 else 'NULL'} AS BIGINT)" if numbers else f"'v', CAST(`{f.name}` AS STRING)" if kind < 4 else f"'v', CASE WHEN `{f.name}` IS NOT NULL THEN '' END"
-                each.append(f"named_struct('ordinal', {i}, 'kind', {kind}, {value})")
-        if each:
-            parts.append(df.select(F.lit(number).alias("t"), F.expr(f"inline(array({', '.join(each)}))")))
-    return reduce(lambda x, y: x.unionByName(y), parts) if parts else None
+    for t, columns in by.items():
+        for low in range(0, len(columns), WIDE):
+            part = columns[low : low + WIDE]
+            rows = [f"named_struct('t', {t}, 'ordinal', {i}, 'x', {value(frames[t].schema.fields[i].name, _kind(frames[t].schema.fields[i].dataType), (t, i))})" for i in part]
+            parts.append(frames[t].agg(F.expr(f"array({', '.join(rows)})").alias("x")).select(F.inline("x")))
+    return {(r.t, r.ordinal): r.x for r in reduce(lambda a, b: a.unionByName(b), parts).collect()} if parts else {}
+
+
+def _distinct(frames: list[DataFrame], chosen: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """Exact numbers of distinct values of the chosen columns, values of their own type shuffled, column by column in one job."""
+    parts = []
+    for t, i in chosen:
+        name = _quoted(frames[t].schema.fields[i].name)
+        values = frames[t].select(F.expr(name).alias("v")).filter("v IS NOT NULL").distinct()
+        parts.append(values.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("t"), F.lit(i).alias("ordinal"), "n"))
+    return {(r.t, r.ordinal): r.n for r in reduce(lambda a, b: a.unionByName(b), parts).collect()} if parts else {}
+
+
+def _over(name: str, kind: int, least: str) -> str:
+    """The least value of a column above `least`, both as text."""
+    c, v = _quoted(name), _text(name, kind)
+    literal = "'" + least.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if kind == 1:
+        return f"CAST(CAST(min(CASE WHEN {c} > {least}L THEN {c} END) AS BIGINT) AS STRING)"
+    if kind == 2:
+        return f"CAST(min(CASE WHEN CAST({c} AS DOUBLE) > CAST({literal} AS DOUBLE) THEN CAST({c} AS DOUBLE) END) AS STRING)"
+    return f"min(CASE WHEN {v} > {literal} THEN {v} END)"
 
 
 def profile(spark: SparkSession, tables: Tables, samples: bool = False) -> DataFrame:
-    """One row per column: type, counts, what the typing rules need, and up to three distinct samples (with `samples` the least two and the greatest, else the ends).
-
-    All cells of all tables go through two aggregates by column, one for
-    numbers and one for the rest, which shuffle a row per column and task.
-    Their sketches tell which texts have few values and which columns may be keys; the values
-    of those alone are then counted exactly. For other columns n_distinct is the
-    sketch's estimate (within about ERROR), which no rule depends on. What is
-    returned is a catalog, a row per column.
+    """One row per column: type, counts, what the typing rules need, and up to three distinct samples (with `samples` the three least, else the ends).
+
+    Each table is read once by an aggregate over all its columns that shuffles a
+    row per task. Its sketches tell which texts have few values and which
+    columns may be keys; the values of those alone are then counted exactly.
+    For other columns n_distinct is the sketch's estimate (within about ERROR),
+    which no rule depends on. The second and third sample are a further
+    aggregate each. What is returned is a catalog, a row per column.
     """
     names, frames = list(tables), list(tables.values())
-    found = {(i, j): {**_NONE, "table": names[i], "column": f.name, "ordinal": j, "dtype": f.dataType.simpleString(), "kind": _kind(f.dataType)} for i, df in enumerate(frames) for j, f in enumerate(df.schema.fields)}
-    kinds = {numbers: _cells(frames, numbers) for numbers in (False, True)}
-    for numbers, cells in kinds.items():
-        if cells is not None:
-            wanted = {k: x.format(c="x" if numbers else "v") for k, x in _OF_ALL.items()} | (_OF_NUMBERS if numbers else _OF_TEXTS)
-            for r in cells.groupBy("t", "ordinal").agg(*(F.expr(x).alias(n) for n, x in wanted.items())).collect():
-                found[r.t, r.ordinal] |= {k: r[k] for k in wanted}
-    chosen: dict[int, list[int]] = {}
-    for (i, j), r in found.items():
-        r["n_distinct"] = min(r["n_distinct"], r["n_set"]) if r["kind"] < 4 else 0
+    found = {(i, j): {"table": names[i], "column": f.name, "ordinal": j, "dtype": f.dataType.simpleString(), "kind": _kind(f.dataType)} for i, df in enumerate(frames) for j, f in enumerate(df.schema.fields)}
+    for r in _measured(frames):
+        found[r.t, r.ordinal] |= {k: r[k] for k in _NONE}
+    exact = []
+    for at, r in found.items():
+        r["n_distinct"] = min(r["n_distinct"], r["n_set"])
         if r["kind"] == 2:
-            r["least"], r["most"] = r["low"], r["high"]
-        if r["kind"] == 4:
-            r["least"] = r["most"] = r["mean_len"] = None
+            r["least"], r["most"] = (None if x is None else str(x) for x in (r["low"], r["high"]))
         key = r["n_set"] == r["n"] and r["n_distinct"] >= NEAR * r["n"] and r["kind"] != 2
         if r["least"] is not None and (key or r["kind"] == 0 and r["n_distinct"] <= FEW):
-            chosen.setdefault(i, []).append(j)
-    for numbers in (False, True):
-        if (cells := _cells(frames, numbers, chosen)) is not None:
-            value = "x" if numbers else "v"
-            for r in cells.filter(F.col(value).isNotNull()).select("t", "ordinal", *(("x", "k") if numbers else ("v",))).distinct().groupBy("t", "ordinal").agg(F.count(F.lit(1)).alias("n")).collect():
-                found[r.t, r.ordinal]["n_distinct"] = r.n
-    second = {}
-    for numbers, cells in kinds.items() if samples else ():
-        # The catalog's least values, a row per column, say what a second one must be over.
-        columns = "xk" if numbers else "v"
-        least = [(i, j, *((r["low"], r["least"] if r["kind"] == 1 else None) if numbers else (r["least"],))) for (i, j), r in found.items() if r["least"] is not None and (r["kind"] in (1, 2)) == numbers]
-        if least:
-            side = spark.createDataFrame(least, "t int, ordinal int, " + ("x0 double, k0 long" if numbers else "v0 string"))
-            over = cells.join(F.broadcast(side), ["t", "ordinal"]).groupBy("t", "ordinal", "kind").agg(*(F.min(F.when(F.col(c) > F.col(f"{c}0"), F.col(c))).alias(c) for c in columns))
-            second |= {(r.t, r.ordinal): r["v" if not numbers else "k" if r.kind == 1 else "x"] for r in over.collect()}
+            exact.append(at)
+    for at, n in _distinct(frames, exact).items():
+        found[at]["n_distinct"] = n
+    shown = {at: [r["least"]] for at, r in found.items() if r["least"] is not None}
+    for _ in range(2 if samples else 0):
+        more = [at for at, seen in shown.items() if seen[-1] != found[at]["most"]]
+        for at, x in _per_column(frames, more, lambda name, kind, at: _over(name, kind, shown[at][-1])).items():
+            if x is not None:
+                shown[at].append(x)
     for at, r in found.items():
-        r["samples"] = [str(x) for x in dict.fromkeys(x for x in (r["least"], second.get(at), r["most"]) if x is not None)]
+        r["samples"] = list(dict.fromkeys(shown.get(at, []) + ([] if samples or r["most"] is None else [r["most"]])))
     columns = T._parse_datatype_string(PROFILE).fieldNames()
     return spark.createDataFrame([tuple(r[n] for n in columns) for r in found.values()], PROFILE)
 
@@ -178,28 +221,93 @@ def primary_keys(types: DataFrame) -> DataFrame:
     return types.groupBy("table").agg(F.min_by(F.when(good, F.col("column")), F.when(good, order)).alias("primary_key"))
 
 
-def stem(column: Column) -> Column:
-    """A key's name without the table's own prefix of one or two letters and without its ending: l_orderkey and o_orderkey give order."""
-    return F.regexp_replace(F.regexp_replace(F.lower(column), "^[a-z]{1,2}_", ""), "_?(id|key|fk)$", "")
+def stems(column: Column) -> Column:
+    """What a key's name may stand for: it without its ending, and without the table's own prefix of one or two letters too. l_orderkey gives l_order and order, ad_id gives ad."""
+    bare = F.regexp_replace(F.lower(column), "_?(id|key|fk)$", "")
+    return F.filter(F.array_distinct(F.array(bare, F.regexp_replace(bare, "^[a-z]{1,2}_", ""))), lambda s: s != "")
 
 
-def values(tables: Tables, columns: list[tuple[str, str]]) -> DataFrame:
-    """(table, column, value): distinct values of some columns as text, nulls left out."""
+Pair = tuple[str, str, str, str]
+#: Values of a column's sketch, about, and how many standard errors below COVERAGE a sketch must be for a pair to be ruled out: fewer than one in a million keys is lost.
+SKETCH, SIGMAS = 2048, 5.0
+
+
+def _whole(tables: Tables, pairs: list[Pair]) -> bool:
+    return all(isinstance(tables[t].schema[c].dataType, T.IntegralType) for a, b, c_, d in pairs for t, c in ((a, b), (c_, d)))
+
+
+def values(tables: Tables, columns: list[tuple[str, str]], whole: bool = False) -> DataFrame:
+    """(table, column, value): distinct values of some columns, as long if `whole`, else as text; nulls left out."""
+    kind = "bigint" if whole else "string"
     by: dict[str, list[str]] = {}
     for t, c in columns:
         by.setdefault(t, []).append(c)
-    parts = [tables[t].select(F.lit(t).alias("table"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cs))).alias("x")).select("table", "x.*") for t, cs in by.items()]
+    parts = [tables[t].select(F.lit(t).alias("table"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(kind).alias("value")) for c in cs))).alias("x")).select("table", "x.*") for t, cs in by.items()]
     return reduce(lambda a, b: a.unionByName(b), parts).filter("value IS NOT NULL").distinct()
 
 
+def sketches(tables: Tables, columns: list[tuple[str, str]], size: int = SKETCH) -> tuple[DataFrame, dict[tuple[str, str], float]]:
+    """(table, column, h): hashes of a column's distinct values below a bound, and the bounds as shares of the hash's range.
+
+    The bound keeps about `size` values by an estimate of the column's distinct
+    values; hashes agree over all columns, so what two columns keep below the
+    lower of their bounds is the same sample of their values. Only what is kept
+    is shuffled.
+    """
+    frames = {t: tables[t] for t, _ in columns}
+    at = {t: k for k, t in enumerate(frames)}
+    wanted = [(at[t], frames[t].schema.fieldNames().index(c)) for t, c in columns]
+    counts = _per_column(list(frames.values()), wanted, lambda name, kind, _: f"approx_count_distinct({_quoted(name)}, 0.05)")
+    share = {(t, c): min(1.0, size / max(1, counts[w])) for (t, c), w in zip(columns, wanted, strict=True)}
+    parts = []
+    for t, df in frames.items():
+        mine = [c for a, c in columns if a == t]
+        # An unsigned share of the hash's upper 31 bits.
+        cells = [F.struct(F.lit(c).alias("column"), F.shiftrightunsigned(F.xxhash64(F.col(f"`{c}`").cast("string")), 33).alias("h"), F.lit(int(share[t, c] * (1 << 31))).alias("under")) for c in mine]
+        filled = F.filter(F.array(*(F.when(F.col(f"`{c}`").isNotNull(), x) for c, x in zip(mine, cells, strict=True))), lambda x: x.isNotNull() & (x["h"] < x["under"]))
+        parts.append(df.select(F.lit(t).alias("table"), F.explode(filled).alias("x")).select("table", "x.column", "x.h"))
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct(), share
+
+
+def plausible(tables: Tables, pairs: list[Pair], least: float = COVERAGE, size: int = SKETCH) -> list[Pair]:
+    """The pairs that their sketches do not rule out: with m sampled child values of which a share p is among the parent's, p must reach
+    `least` less SIGMAS standard errors. Pairs with no sampled value stay."""
+    if not pairs:
+        return []
+    columns = sorted({(a, b) for a, b, _, _ in pairs} | {(c, d) for _, _, c, d in pairs})
+    found, share = sketches(tables, columns, size)
+    spark = found.sparkSession
+    held = stored(found, "sketches")
+    rows = [(k, a, b, c, d, int(min(share[a, b], share[c, d]) * (1 << 31))) for k, (a, b, c, d) in enumerate(pairs)]
+    catalog = spark.createDataFrame(rows, "pair int, a string, b string, c string, d string, upto long")
+    # The catalog of pairs has a row per pair of columns, sketches a bounded number per column.
+    child = held.join(F.broadcast(catalog), (F.col("table") == F.col("a")) & (F.col("column") == F.col("b")) & (F.col("h") < F.col("upto"))).select("pair", F.col("c").alias("pt"), F.col("d").alias("pc"), "h")
+    parent = held.select(F.col("table").alias("pt"), F.col("column").alias("pc"), "h", F.lit(1).alias("hit"))
+    seen = child.join(parent, ["pt", "pc", "h"], "left").groupBy("pair").agg(F.count(F.lit(1)).alias("m"), F.count("hit").alias("hits")).collect()
+    out = {r.pair for r in seen if r.hits / r.m < least - SIGMAS * (least * (1 - least) / r.m) ** 0.5}
+    return [p for k, p in enumerate(pairs) if k not in out]
+
+
+def overlap_pairs(tables: Tables, pairs: list[Pair]) -> DataFrame:
+    """(child_table, child_column, parent_table, parent_column, coverage, child_distinct, parent_distinct) for the given pairs with a value in common: one join for those of whole numbers, one for the others, which meet as text."""
+    groups = {True: [p for p in pairs if _whole(tables, [p])], False: [p for p in pairs if not _whole(tables, [p])]}
+    parts = []
+    for whole, some in groups.items():
+        if some:
+            spark = next(iter(tables.values())).sparkSession
+            catalog = F.broadcast(spark.createDataFrame(some, "child_table string, child_column string, parent_table string, parent_column string"))
+            c, p = (values(tables, sorted(x), whole) for x in ({(a, b) for a, b, _, _ in some}, {(t, d) for _, _, t, d in some}))
+            cn, pn = c.groupBy("table", "column").agg(F.count(F.lit(1)).alias("child_distinct")), p.groupBy("table", "column").agg(F.count(F.lit(1)).alias("parent_distinct"))
+            mine = c.join(catalog, (F.col("table") == F.col("child_table")) & (F.col("column") == F.col("child_column"))).drop("table", "column")
+            hits = mine.join(p.toDF("parent_table", "parent_column", "value"), ["parent_table", "parent_column", "value"]).groupBy("child_table", "child_column", "parent_table", "parent_column").agg(F.count(F.lit(1)).alias("h"))
+            out = hits.join(cn.withColumnsRenamed({"table": "child_table", "column": "child_column"}), ["child_table", "child_column"]).join(pn.withColumnsRenamed({"table": "parent_table", "column": "parent_column"}), ["parent_table", "parent_column"])
+            parts.append(out.select("child_table", "child_column", "parent_table", "parent_column", (F.col("h") / F.col("child_distinct")).alias("coverage"), "child_distinct", "parent_distinct"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def overlap(tables: Tables, children: list[tuple[str, str]], parents: list[tuple[str, str]]) -> DataFrame:
-    """(child_table, child_column, parent_table, parent_column, coverage, child_distinct, parent_distinct) for every pair with a value in common: one job for all pairs."""
-    c, p = (values(tables, x) for x in (children, parents))
-    cn, pn = c.groupBy("table", "column").agg(F.count(F.lit(1)).alias("cn")), p.groupBy("table", "column").agg(F.count(F.lit(1)).alias("pn"))
-    both = c.alias("c").join(p.alias("p"), "value").filter((F.col("c.table") != F.col("p.table")) | (F.col("c.column") != F.col("p.column")))
-    hits = both.groupBy(F.col("c.table").alias("child_table"), F.col("c.column").alias("child_column"), F.col("p.table").alias("parent_table"), F.col("p.column").alias("parent_column")).agg(F.count(F.lit(1)).alias("h"))
-    out = hits.join(cn.toDF("child_table", "child_column", "child_distinct"), ["child_table", "child_column"]).join(pn.toDF("parent_table", "parent_column", "parent_distinct"), ["parent_table", "parent_column"])
-    return out.withColumn("coverage", F.col("h") / F.col("child_distinct")).drop("h")
+    """overlap_pairs of every child column with every other parent column."""
+    return overlap_pairs(tables, [(*c, *p) for c in children for p in parents if c != p])
 
 
 def coverage(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -210,15 +318,14 @@ def coverage(child: DataFrame, column: str, parent: DataFrame, parent_column: st
 
 
 def candidate_parents(types: DataFrame, keys: DataFrame) -> DataFrame:
-    """(child_table, child_column, parent_table, parent_column, priority): key columns whose stem is that of a primary key, or names the table in singular, plural or prefix.
+    """(child_table, child_column, parent_table, parent_column, priority): key columns that a stem of a primary key or the name of its table agrees with, in singular, plural or prefix.
 
-    Candidates meet on the first three letters of what is compared, so that the catalog is joined by equality.
+    Names that agree begin with the same letter, so the catalog is joined by equality; stems of any length count.
     """
-    col = types.filter(F.lower("column").rlike("(id|key|fk)$")).select(F.col("table").alias("child_table"), F.col("column").alias("child_column"), stem(F.col("column")).alias("s")).filter("s <> ''")
-    pk = keys.filter("primary_key IS NOT NULL").select(F.col("table").alias("parent_table"), F.col("primary_key").alias("parent_column"), stem(F.col("primary_key")).alias("k"))
-    names = F.array_distinct(F.array(F.when(F.col("k") != "", F.col("k")).otherwise(F.col("parent_table")), F.col("parent_table")))
-    pk = pk.withColumn("name", F.explode(names))
-    met = col.join(pk, F.substring("s", 1, 3) == F.substring("name", 1, 3)).filter((F.col("child_table") != F.col("parent_table")) | (F.col("child_column") != F.col("parent_column")))
+    col = types.filter(F.lower("column").rlike("(id|key|fk)$")).select(F.col("table").alias("child_table"), F.col("column").alias("child_column"), F.explode(stems(F.col("column"))).alias("s"))
+    pk = keys.filter("primary_key IS NOT NULL").select(F.col("table").alias("parent_table"), F.col("primary_key").alias("parent_column"))
+    pk = pk.withColumn("name", F.explode(F.array_distinct(F.concat(stems(F.col("parent_column")), F.array(F.lower("parent_table"))))))
+    met = col.join(pk, F.substring("s", 1, 1) == F.substring("name", 1, 1)).filter((F.col("child_table") != F.col("parent_table")) | (F.col("child_column") != F.col("parent_column")))
     s, n = F.col("s"), F.col("name")
     priority = F.when(s == n, 0).when(F.concat(s, F.lit("s")) == n, 1).when(n.startswith(s) | (s.startswith(n) & (F.char_length(n) >= 3)), 2)
     return met.withColumn("priority", priority).filter("priority IS NOT NULL").groupBy("child_table", "child_column", "parent_table", "parent_column").agg(F.min("priority").alias("priority"))
@@ -237,7 +344,11 @@ def discover(tables: Tables, types: DataFrame, keys: DataFrame, target: str, ver
     named = candidate_parents(types, keys).collect()  # a row per key column of the catalog and candidate
     if not named:
         return overlap_empty(types.sparkSession)
-    found = overlap(tables, sorted({(r.child_table, r.child_column) for r in named}), sorted({(r.parent_table, r.parent_column) for r in named}))
+    # Sketches rule out most of what names alone suggest; only the rest is counted exactly.
+    pairs = plausible(tables, sorted((r.child_table, r.child_column, r.parent_table, r.parent_column) for r in named))
+    if not pairs:
+        return overlap_empty(types.sparkSession)
+    found = overlap_pairs(tables, pairs)
     rules = types.sparkSession.createDataFrame([tuple(r) for r in named], "child_table string, child_column string, parent_table string, parent_column string, priority int")
     keyed = found.join(F.broadcast(rules), ["child_table", "child_column", "parent_table", "parent_column"]).filter(F.col("coverage") >= COVERAGE)
     own = keys.select(F.col("table").alias("child_table"), F.col("primary_key").alias("child_column"))
@@ -308,18 +419,47 @@ def topology(fks: DataFrame, tables: DataFrame) -> DataFrame:
     return out.withColumns({"schema_type": kind, "archetype": shape, "pure_endpoint": F.col("hub_out") == 0, "patterns": F.concat(F.array(F.lit("0")), chain, star)})
 
 
-def path_depth(edges: DataFrame, most: int = 12) -> DataFrame:
-    """(db_id, depth): longest chain of keys without a table twice; paths grow by a bounded self-join over the catalog."""
-    paths = edges.select("db_id", F.array("child_table", "parent_table").alias("p"))
-    best = paths.groupBy("db_id").agg(F.lit(1).alias("depth"))
-    step = edges.select("db_id", F.col("child_table").alias("_c"), F.col("parent_table").alias("_p"))
-    for k in range(2, most + 1):
-        paths = paths.join(step, "db_id").filter((F.element_at("p", -1) == F.col("_c")) & ~F.array_contains("p", F.col("_p"))).select("db_id", F.concat("p", F.array("_p")).alias("p"))
-        longer = paths.groupBy("db_id").agg(F.lit(k).alias("depth"))
-        if not longer.limit(1).count():
+def longest_path(edges: list[tuple[str, str]]) -> int:
+    """Moves of the longest path along the keys of one catalog, of any length.
+
+    Tables that reach each other are one component. A component of k tables is
+    passed in k - 1 moves and, where the path ends in it, left by the move that
+    closes its circle; then levels are relaxed over the components.
+    """
+    if not edges:
+        return 0
+    at = {t: k for k, t in enumerate(sorted({t for e in edges for t in e}))}
+    reach = np.zeros((len(at), len(at)), bool)
+    for a, b in edges:
+        reach[at[a], at[b]] = True
+    direct = reach.copy()
+    while True:
+        more = reach | (reach.astype(np.float32) @ reach.astype(np.float32) > 0)
+        if (more == reach).all():
             break
-        best = best.unionByName(longer)
-    return best.groupBy("db_id").agg(F.max("depth").alias("depth"))
+        reach = more
+    label = np.argmax((reach & reach.T) | np.eye(len(at), dtype=bool), 1)
+    size = np.bincount(label, minlength=len(at))
+    moves = {(label[i], label[j]) for i, j in zip(*np.nonzero(direct), strict=True) if label[i] != label[j]}
+    ends = np.where(size > 1, size, 0)
+    depth = ends.copy()
+    while True:
+        new = depth.copy()
+        for a, b in moves:
+            new[a] = max(new[a], size[a] + depth[b])
+        if (new == depth).all():
+            return int(depth.max())
+        depth = new
+
+
+def path_depth(edges: DataFrame) -> DataFrame:
+    """(db_id, depth): the longest path of each catalog (see longest_path); a group is one database's keys."""
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"db_id": [key[0]], "depth": [longest_path(list(zip(rows["child_table"], rows["parent_table"], strict=True)))]})
+
+    kind = edges.schema["db_id"].dataType.simpleString()
+    return edges.groupBy("db_id").applyInPandas(one, f"db_id {kind}, depth int")
 
 
 def corpus_report(topologies: DataFrame) -> DataFrame:

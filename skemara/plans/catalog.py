@@ -51,11 +51,11 @@ _AS_TEXT = "key name segment brand type size priority status flag linenumber".sp
 
 
 def _profile_sql(t: str, c: str, i: int) -> str:
-    shown = f"concat_ws('|', least, second, CASE WHEN most > second THEN most END)" if any(c.endswith(x) for x in _AS_TEXT) else "CAST((least IS NOT NULL)::INT + (second IS NOT NULL)::INT + coalesce(most > second, false)::INT AS VARCHAR)"
+    shown = f"concat_ws('|', least, second, third)" if any(c.endswith(x) for x in _AS_TEXT) else "CAST((least IS NOT NULL)::INT + (second IS NOT NULL)::INT + (third IS NOT NULL)::INT AS VARCHAR)"
     whole = "false" if c in _FRACTIONS else "n_distinct = n AND n_set = n"
     few = "CASE WHEN n_distinct <= 20 THEN n_distinct END" if any(c.endswith(x) for x in _AS_TEXT[1:-1]) and not c.endswith("size") else "CAST(NULL AS BIGINT)"
     return f"""SELECT '{t}' AS "table", '{c}' AS "column", {i} AS ordinal, n, n_set, {whole} AS "unique", {few} AS few, {shown} AS samples
-FROM (SELECT count(*) AS n, count({c}) AS n_set, count(DISTINCT {c}) AS n_distinct, min({c}) AS least, max({c}) AS most, (SELECT min({c}) FROM {t} WHERE {c} > (SELECT min({c}) FROM {t})) AS second FROM {t})"""
+FROM (SELECT count(*) AS n, count({c}) AS n_set, count(DISTINCT {c}) AS n_distinct, {", ".join(f"(SELECT v FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY 1 LIMIT 3) ORDER BY 1 LIMIT 1 OFFSET {k}) AS {w}" for k, w in enumerate(("least", "second", "third")))} FROM {t})"""
 
 
 @query(" UNION ALL ".join(_profile_sql(t, c, i) for t, cs in _COLS.items() for i, c in enumerate(cs.split())))
