@@ -148,8 +148,9 @@ def best_matches(generated: DataFrame, gold: DataFrame, group: str, score: Colum
     the best per query; else gold rows are dealt by (group, block, part), so
     that a large group is no one task's.
     """
-    many = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(group)) / block)
-    q = generated.select(F.struct("*").alias("a"), F.col(group).alias("_g"), F.pmod(F.xxhash64("id"), many).alias("_b"))
+    # Groups are counted by an aggregate, which adds up within tasks first; rows meet their group's count in a join.
+    counts = generated.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count(F.lit(1)) / block).alias("_many"))
+    q = generated.select(F.struct("*").alias("a"), F.col(group).alias("_g")).join(small(stored(counts, "group-sizes")), "_g").select("a", "_g", F.pmod(F.xxhash64("a.id"), F.col("_many")).alias("_b"))
     blocks = stored(q.groupBy("_g", "_b").agg(F.collect_list("a").alias("_a")), "blocks")
     rows = gold.select(F.struct("*").alias("b"), F.col(group).alias("_g"))
     if is_small(blocks):

@@ -146,15 +146,26 @@ def entities(df: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
 
 
 def match_entities(queries: DataFrame, dictionary: DataFrame, most: int = 10) -> DataFrame:
-    """(query_id, phrase, column): dictionary phrases in a question, longest first; one that lies within a longer hit is left out."""
+    """(query_id, phrase, column, place): dictionary phrases of a question, read from left to right: at each token the longest
+    phrase that begins there is taken and its tokens are used up. Each phrase once, in the order of the text, the first `most`.
+
+    Runs of one to five tokens meet the dictionary in one join; what a question matches (a few entries per token) is then
+    consumed in its own row.
+    """
     w = queries.select("query_id", tokens(F.col("text")).alias("w"))
     grams = [w.filter(F.size("w") >= n).select("query_id", F.lit(n).alias("len"), F.posexplode(runs(F.col("w"), n)).alias("at", "phrase")) for n in range(1, 6)]
     hits = reduce(lambda a, b: a.unionByName(b), grams).join(dictionary.groupBy("phrase").agg(F.min("column").alias("column")), "phrase")
-    wide = hits.select("query_id", F.col("at").alias("_a"), F.col("len").alias("_l"))
-    inside = hits.join(wide, "query_id").filter((F.col("_l") > F.col("len")) & (F.col("_a") <= F.col("at")) & (F.col("_a") + F.col("_l") >= F.col("at") + F.col("len"))).select("query_id", "at", "len").distinct()
-    best = hits.join(inside, ["query_id", "at", "len"], "left_anti").groupBy("query_id", "phrase", "column").agg(F.max("len").alias("len"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("len"), "phrase")
-    return best.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).select("query_id", "phrase", "column")
+    entry = F.struct("at", (-F.col("len")).alias("short"), "phrase", "column")
+    found = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_h"))
+    pair = "array<struct<phrase:string,column:string>>"
+    start = F.struct(F.lit(0).alias("next"), F.array().cast(pair).alias("taken"))
+
+    def consume(state: Column, h: Column) -> Column:
+        after = F.struct((h["at"] - h["short"]).alias("next"), F.concat(state["taken"], F.array(F.struct(h["phrase"].alias("phrase"), h["column"].alias("column")))).alias("taken"))
+        return F.when(h["at"] >= state["next"], after).otherwise(state)
+
+    taken = F.slice(F.array_distinct(F.aggregate("_h", start, consume)["taken"]), 1, most)
+    return found.select("query_id", F.posexplode(taken).alias("place", "x")).select("query_id", "x.phrase", "x.column", "place")
 
 
 def inverted(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemara.functions.scalar import camel_words, highlight, phrases, stem_aliases, tokens
+from skemara.operators import postings as X
 from skemara.operators import retrieval as R
-from skemara.registry import query, table
+from skemara.registry import oracle_of, query, table
 
 _STOP = ", ".join(f"'{w}'" for w in R.STOP)
 
@@ -97,7 +98,7 @@ def r10_entities(spark: SparkSession, sf: str) -> DataFrame:
 def r11_match_entities(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     q = p.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("who sells "), "p_name").alias("text"))
-    return R.match_entities(q, R.entities(p, ["p_name"], 10_000))
+    return R.match_entities(q, R.entities(p, ["p_name"], 10_000)).drop("place")
 
 
 @query("""WITH c AS (SELECT 'c_name' AS "column", c_custkey AS key, c_name AS v FROM customer UNION ALL SELECT 'c_mktsegment', c_custkey, c_mktsegment FROM customer), t AS (SELECT DISTINCT "column", key, unnest(regexp_extract_all(lower(v), '[a-z0-9_]+')) AS token FROM c) SELECT "column", token, count(*) AS n FROM t GROUP BY ALL""")
@@ -265,3 +266,45 @@ def r34_mode_comparison(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark")
 def r35_preprocessed(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", R.preprocess(F.col("text"), ["identity", "whitespace"]).alias("text"))
+
+
+# Searches over stored postings: the index is built, a part of the documents changes and a part goes, and questions read postings only.
+_NOW = "(SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN concat(text, ' revised and revised ', CAST(doc_id AS VARCHAR)) ELSE text END AS text FROM documents WHERE doc_id % 17 <> 0)"
+
+
+def stored_index(spark: SparkSession, sf: str) -> X.Index:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    changed = docs.filter("doc_id % 10 = 0 AND doc_id % 17 <> 0").withColumn("text", F.concat("text", F.lit(" revised and revised "), F.col("doc_id").cast("string")))
+    return X.update(X.build(docs, "doc_id", X.text_terms()), changed, "doc_id", X.text_terms(), docs.filter("doc_id % 17 = 0").select("doc_id"))
+
+
+@query(oracle_of("r2_bm25").replace("FROM documents", f"FROM {_NOW} AS documents"))
+def r2_stored_postings(spark: SparkSession, sf: str) -> DataFrame:
+    hits, _ = X.search(stored_index(spark, sf), texts(spark, sf))
+    return hits.select("query_id", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("""WITH c AS (SELECT c_custkey AS key, 'c_mktsegment' AS g, c_mktsegment AS v FROM customer UNION ALL SELECT c_custkey, 'c_name', c_name FROM customer), t AS (SELECT DISTINCT key, g, unnest(regexp_extract_all(lower(v), '[a-z0-9_]+')) AS token FROM c),
+q AS (SELECT n_nationkey AS query_id, g, token FROM nation, (VALUES ('c_mktsegment', 'building'), ('c_name', 'customer')) AS w(g, token) UNION ALL SELECT n_nationkey, 'c_name', printf('%09d', n_nationkey) FROM nation),
+h AS (SELECT DISTINCT query_id, q.g, key FROM q JOIN t ON t.g = q.g AND t.token = q.token), p AS (SELECT query_id, key, count(*) AS groups FROM h GROUP BY ALL) SELECT * FROM p WHERE groups = 2 AND query_id % 5 = 0""")
+def r12_r13_stored_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers that match both columns' words, from a stored index per column; every fifth nation is a question."""
+    index = X.build(table(spark, sf, "customer"), "c_custkey", X.column_terms(["c_name", "c_mktsegment"]))
+    number = F.format_string("c_name=%09d", F.col("n_nationkey"))
+    words = F.array(F.struct(F.lit("c_mktsegment").alias("group"), F.lit("c_mktsegment=building").alias("term")), F.struct(F.lit("c_name").alias("group"), F.lit("c_name=customer").alias("term")), F.struct(F.lit("c_name").alias("group"), number.alias("term")))
+    asked = table(spark, sf, "nation").filter("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("query_id"), F.inline(words))
+    return R.intersect_groups(X.lookup(index, asked).drop("term"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT phrase, min("column") AS "column" FROM (SELECT DISTINCT 'p_type' AS "column", array_to_string(regexp_extract_all(lower(p_type), '[a-z0-9_]+'), ' ') AS phrase FROM part UNION ALL SELECT DISTINCT 'p_brand', array_to_string(regexp_extract_all(lower(p_brand), '[a-z0-9_]+'), ' ') FROM part UNION ALL SELECT DISTINCT 'p_name', array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9_]+'), ' ') FROM part) WHERE phrase <> '' AND len(string_split(phrase, ' ')) <= 5 GROUP BY phrase),
+q AS (SELECT p_partkey AS query_id, regexp_extract_all(lower(p_type || ' for ' || p_brand || ' or ' || p_type || ' ' || p_name), '[a-z0-9_]+') AS w FROM part),
+g AS (SELECT query_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM q, range(1, 40) AS a(i), range(1, 6) AS b(n) WHERE i + n - 1 <= len(w)),
+h AS (SELECT query_id, i, max_by(phrase, n) AS phrase, max_by("column", n) AS "column", max(n) AS n FROM g JOIN d USING (phrase) GROUP BY query_id, i),
+s AS (SELECT query_id, 1 AS i, CAST(NULL AS VARCHAR) AS phrase, CAST(NULL AS VARCHAR) AS "column" FROM q UNION ALL SELECT s.query_id, s.i + coalesce(h.n, 1), h.phrase, h."column" FROM s JOIN q USING (query_id) LEFT JOIN h ON h.query_id = s.query_id AND h.i = s.i WHERE s.i <= len(q.w)),
+f AS (SELECT query_id, phrase, any_value("column") AS "column", min(i) AS spot FROM s WHERE phrase IS NOT NULL GROUP BY ALL)
+SELECT query_id, phrase, "column", CAST(row_number() OVER (PARTITION BY query_id ORDER BY spot) - 1 AS INT) AS place FROM f""")
+def r11_longest_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Several columns' phrases in one question, one of them twice, in the order of the text."""
+    p = table(spark, sf, "part")
+    q = p.select(F.col("p_partkey").alias("query_id"), F.concat("p_type", F.lit(" for "), "p_brand", F.lit(" or "), "p_type", F.lit(" "), "p_name").alias("text"))
+    return R.match_entities(q, R.entities(p, ["p_type", "p_brand", "p_name"], 1_000_000))

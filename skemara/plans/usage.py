@@ -128,3 +128,42 @@ def u15_stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, event_type FROM events")
 def u15_stream_once(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(spark, sf, lambda s: streams.once(s, "ts", "event_id").select("event_id", "event_type"), "append")
+
+
+def _as_log(events: DataFrame) -> DataFrame:
+    """The request log's columns over a stream of events."""
+    kind, id_ = F.col("event_type"), F.col("event_id")
+    return events.select("ts", kind.alias("op"), F.concat(F.lit("/api/"), kind).alias("route"), F.when(id_ % 3 == 0, "POST").otherwise("GET").alias("method"), F.col("value").alias("duration_ms"), ((kind != "error") & (id_ % 17 != 0)).alias("success"))
+
+
+_LN = f"ln({streams.GROWTH}::DOUBLE)"
+
+
+def _stream_sql(keys: str) -> str:
+    """SQL of the closed days' summaries; a percentile is the middle of the bucket of the value at its index."""
+    by = f", {keys}" if keys else ""
+    step = lambda p: f"CAST(floor(ln(abs(v[1 + (len(v) - 1) * {p} // 100]) / {streams.TINY}) / {_LN}) AS INT)"
+    at = lambda p: f"CASE WHEN v[1 + (len(v) - 1) * {p} // 100] < 0 THEN -1 ELSE 1 END * {streams.TINY} * pow({streams.GROWTH}::DOUBLE, {step(p)}) * {2 * streams.GROWTH / (1 + streams.GROWTH)!r}::DOUBLE"
+    return f"""WITH s AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period{by}, count(*) AS requests, sum(CASE WHEN success THEN 0 ELSE 1 END)::BIGINT AS errors, avg(duration_ms) AS mean, min(duration_ms) AS least, max(duration_ms) AS most, list_sort(list(duration_ms)) AS v FROM {LOG_SQL} GROUP BY 1{by})
+SELECT period{by}, requests, errors, round(mean, 6) AS mean, least, most, round({at(50)}, 6) AS p50, round({at(95)}, 6) AS p95 FROM s WHERE period + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+
+
+def _stream_summary(spark: SparkSession, sf: str, keys: list[str]) -> DataFrame:
+    out = _streamed(spark, sf, lambda s: streams.summaries(_as_log(s), "ts", keys, "duration_ms", "success"), "append")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "p50", "p95")})
+
+
+@query(_stream_sql(""))
+def u15_stream_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests, errors, mean and percentiles of each closed day."""
+    return _stream_summary(spark, sf, [])
+
+
+@query(_stream_sql("op"))
+def u15_stream_operations(spark: SparkSession, sf: str) -> DataFrame:
+    return _stream_summary(spark, sf, ["op"])
+
+
+@query(_stream_sql("route, method"))
+def u15_stream_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return _stream_summary(spark, sf, ["route", "method"])

@@ -116,11 +116,16 @@ def with_provenance(rows: DataFrame, **facts: str) -> DataFrame:
 CHUNK = 1000
 
 
-def chunked(rows: DataFrame, keys: list[str], order: str, size: int = CHUNK) -> DataFrame:
-    """`rows` with part, so that a part of a key has about `size` rows: parts go by hash of `order`, as many as the key's count asks for."""
+def chunked(rows: DataFrame, keys: list[str], size: int = CHUNK) -> DataFrame:
+    """`rows` with part, so that a part of a key has about `size` rows, as many parts as the key's count asks for.
+
+    Parts go by a number that each row gets once, in a stored table, so rows that are alike or lack a key are spread like others.
+    """
+    rows = stored(rows.withColumn("_i", F.monotonically_increasing_id()), "numbered")
     counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
     same = reduce(lambda a, b: a & b, (F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys))
-    return rows.alias("x").join(small(stored(counts, "shard-sizes")).alias("c"), same).select("x.*", F.pmod(F.xxhash64(F.col(f"x.{order}")), F.col("_parts")).cast("int").alias("part"))
+    met = rows.alias("x").join(small(stored(counts, "shard-sizes")).alias("c"), same)
+    return met.select("x.*", F.pmod(F.xxhash64("x._i"), F.col("_parts")).cast("int").alias("part")).drop("_i")
 
 
 def evaluation_document(details: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -129,19 +134,19 @@ def evaluation_document(details: DataFrame, size: int = CHUNK) -> DataFrame:
     A cluster of more than `size` results is several rows, so no row grows with the data.
     """
     rest = [c for c in details.columns if c not in ("mode", "db_id")]
-    parts = chunked(details, ["mode", "db_id"], "uid", size)
+    parts = chunked(details, ["mode", "db_id"], size)
     return parts.groupBy("mode", "db_id", "part").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("uid", *(c for c in rest if c != "uid")))).alias("results"))
 
 
 def evaluation_shards(records: DataFrame, size: int = CHUNK) -> DataFrame:
     """(value): a JSON line {db_id, model, records} per shard and part of about `size` records. Records have db_id, model, uid and more."""
     rest = [c for c in records.columns if c not in ("db_id", "model")]
-    shards = chunked(records, ["db_id", "model"], "uid", size).groupBy("db_id", "model", "part").agg(F.collect_list(F.struct(*rest)).alias("records"))
+    shards = chunked(records, ["db_id", "model"], size).groupBy("db_id", "model", "part").agg(F.collect_list(F.struct(*rest)).alias("records"))
     return shards.select(F.to_json(F.struct("db_id", "model", "records")).alias("value"))
 
 
 def pair_documents(pairs: DataFrame, size: int = CHUNK) -> DataFrame:
     """(value): a JSON line {db_id, qa_pairs} per database and part of about `size` pairs. Pairs have db_id, sql and more."""
     rest = [c for c in pairs.columns if c != "db_id"]
-    parts = chunked(pairs, ["db_id"], "sql", size).groupBy("db_id", "part").agg(F.collect_list(F.struct(*rest)).alias("qa_pairs"))
+    parts = chunked(pairs, ["db_id"], size).groupBy("db_id", "part").agg(F.collect_list(F.struct(*rest)).alias("qa_pairs"))
     return parts.select(F.to_json(F.struct("db_id", "qa_pairs")).alias("value"))
