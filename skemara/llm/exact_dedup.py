@@ -21,6 +21,8 @@ HEAD = 32
 
 
 MADE = ("keep_id", "group_size", "kept", "text_sha256")
+#: Names that columns have on the way.
+WORK = ("_text", "_hash", "_head", "_salt", "_salts", "_whole", "_rank", "_keep", "_size", "_first", "_n")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None, keep: str = "min", keep_text: bool = False) -> DataFrame:
@@ -33,6 +35,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and identifier exactly one stays. An empty table gives an empty result.
     Other columns pass through; columns named like the results are replaced.
     """
+    docs, back = shield(docs, WORK)
     others = [c for c in docs.columns if c not in (id_col, text_col) and c.lower() not in MADE]
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     more = []
@@ -50,7 +53,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     salts = []
     if hot.count():
         salts = ["_salt"]
-        rows = rows.join(F.broadcast(hot), "_hash", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(id_col, *(c for c in others if "map<" not in docs.schema[c].dataType.simpleString())), F.col("_salts")), F.lit(-1)).cast("int")).drop("_salts")
+        rows = rows.join(F.broadcast(hot), "_hash", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.col("_salts")), F.lit(-1)).cast("int")).drop("_salts")
 
     best = F.max if keep == "max" else F.min
     first = F.col(id_col).desc_nulls_last() if keep == "max" else F.col(id_col).asc_nulls_last()
@@ -75,7 +78,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         })
     kept = F.coalesce((F.col("_rank") == 1) & F.col(id_col).eqNullSafe(F.col("keep_id")), F.lit(False))
     whole = [(F.col("_whole") if normalise else F.when(F.col("_whole").isNull(), F.col("_text"))).alias(text_col)] if keep_text else []
-    return found.select(id_col, *others, *whole, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return found.select(id_col, *others, *whole, "keep_id", "group_size", kept.alias("kept"), "text_sha256").withColumnsRenamed(back)
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None, keep: str = "min") -> DataFrame:

@@ -45,6 +45,8 @@ def _repeated(words: Column, width: int = 3) -> Column:
 
 
 MADE = (*MEASURES, "base_failed", "host_failed", "kept")
+#: Names that columns have on the way.
+WORK = ("_m", "_host", "_fallen")
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -106,11 +108,12 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     form one host; rows stay as they are repeated; columns named like the results
     are replaced; an empty table stays empty.
     """
+    docs, back = shield(docs, WORK)
     columns = [c for c in docs.columns if c.lower() not in MADE and (keep_text or c != text_col)]
     measured = stage_table(measure(docs.select(*(c for c in docs.columns if c.lower() not in MADE)), text_col).select(*columns, *MEASURES, "base_failed"), "measured")
     fallen = host_verdicts(measured, host_col, limit=limit).filter("host_failed").select(F.col(host_col).alias("_host"), F.lit(True).alias("_fallen"))
     out = measured.join(checked_broadcast(fallen), F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    return out.select(*columns, *MEASURES, "base_failed", F.coalesce("_fallen", F.lit(False)).alias("host_failed")).withColumn("kept", ~(F.col("base_failed") | F.col("host_failed")))
+    return out.select(*columns, *MEASURES, "base_failed", F.coalesce("_fallen", F.lit(False)).alias("host_failed")).withColumn("kept", ~(F.col("base_failed") | F.col("host_failed"))).withColumnsRenamed(back)
 
 
 def drop_failed(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skemara.llm.components import connected_components
-from skemara.llm.shared import arrow_rows, checked_broadcast, join_counted, stage_table
+from skemara.llm.shared import arrow_rows, checked_broadcast, join_counted, shield, stage_table
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: A bucket of more fingerprints is split by a finer key, and what is still larger is compared tile by tile.
@@ -272,5 +272,8 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         found = _grouped(docs, id_col, text_col, shingle, seed, radius)
     stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("stays"))
     gone = stage_table(found.filter(~stays).select(F.col("id").alias("_gone"), F.col("key").alias("_key")).distinct(), "gone")
-    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    return docs.join(checked_broadcast(gone), F.col(id_col).eqNullSafe(F.col("_gone")) & (digest == F.col("_key")), "left_anti")
+    own, back = shield(docs, ("_gone", "_key"))
+    mine = {v: k for k, v in back.items()}
+    digest = F.md5(F.coalesce(F.col(mine.get(text_col, text_col)), F.lit("")).cast("binary"))
+    same = F.col(mine.get(id_col, id_col)).eqNullSafe(F.col("_gone")) & (digest == F.col("_key"))
+    return own.join(checked_broadcast(gone), same, "left_anti").withColumnsRenamed(back)

@@ -8,7 +8,9 @@ such a shingle are first compared with one hub per part of at most PART of
 them, and the hubs with each other's first. Then those outside the largest
 component at a shingle are compared with all others there: their SimHash
 fingerprints bit-sliced, 64 to a word, with a radius that similar sets keep;
-then bitmaps of their prefixes. Both happen within a task, which sends on only
+then bitmaps of their prefixes. Where very many would have to be compared, they
+meet at pairs of shingles instead, which prefixes that are one longer make
+complete, so rows grow with the texts and not with the square of a group. Both happen within a task, which sends on only
 the pairs that may be similar; these are checked exactly. A text is never
 compared with all of a group of copies of it that hang together, and no pairs
 of a group are sent that the comparison rejects.
@@ -21,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skemara.llm.components import connected_components
@@ -53,14 +55,14 @@ def shingles(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.n
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), seed) for i in range(count)), np.uint64, count).view(np.int64))
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The hashes of which a similar text must share one: rare ones first, by their count in the list `common`, then by value."""
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, more: int = 0) -> np.ndarray:
+    """The hashes of which a similar text must share one, and with `more` further ones 1 + more (if it shares as many at all): rare ones first, by their count in the list `common`, then by value."""
     n = len(hashes)
     often = np.zeros(n, np.int64)
     if len(common):
         spot = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         often = np.where(common[spot] == hashes, counts[spot], 0)
-    return hashes[np.lexsort((hashes, often))[: n - -(-OVER * n // UNDER) + 1]]
+    return hashes[np.lexsort((hashes, often))[: n - -(-OVER * n // UNDER) + 1 + more]]
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
@@ -179,6 +181,27 @@ def _deal(cells: DataFrame) -> DataFrame:
     return met.select(*rest, F.explode(F.when(F.col("asks"), F.concat(asking, owned)).otherwise(owned)).alias("x")).select(*rest, "x.*").repartition(*RUN).sortWithinPartitions(*RUN)
 
 
+def _finer(cells: DataFrame, rows: DataFrame, largest: DataFrame, made: DataFrame) -> DataFrame:
+    """`cells` with those in which more than a tile asks replaced by smaller ones.
+
+    Similar sets of two members and more share two of their prefixes' tokens if
+    these are one token longer, and one of a single member hangs together with
+    its likes already. So the rows of a large cell meet at pairs of tokens: each
+    is in as many cells as its prefix has tokens, whatever the cell's size, and
+    again those outside a cell's largest component ask.
+    """
+    large = stage_table(cells.groupBy("cell").agg(F.count_if("asks").alias("c")).filter(F.col("c") > TILE).select("cell"), "large-cells")
+    if not large.limit(1).count():
+        return cells
+    tokens = largest.join(checked_broadcast(large), "cell", "left_semi").select("token")
+    mine = rows.join(checked_broadcast(stage_table(tokens, "large-tokens")), "token").select("token", "sid", "n", "fp", "label")
+    both = mine.join(made.select(F.col("row").alias("sid"), "prefix"), "sid").withColumn("other", F.explode("prefix")).filter("other <> token")
+    pairs = stage_table(both.select(F.xxhash64(F.least("token", "other"), F.greatest("token", "other")).alias("cell"), "sid", "n", "fp", "label").distinct(), "token-pairs")
+    main = pairs.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("_main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("_n")).filter("labels > 1").drop("labels")
+    split = join_counted(pairs, stage_table(main, "pair-cells"), "cell").select("cell", "sid", "n", "fp", "label", (F.col("label") != F.col("_main")).alias("asks"))
+    return stage_table(cells.join(checked_broadcast(large), "cell", "left_anti").unionByName(split), "finer-cells")
+
+
 def _frequent(texts: DataFrame, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -240,7 +263,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             common, counts = listed.value
             for batch in batches:
                 sets = [shingles(t, shingle, seed) for t in batch["_text"]]
-                firsts = [prefix(s, common, counts) for s in sets]
+                firsts = [prefix(s, common, counts, 1) for s in sets]
                 yield pd.DataFrame({"_id": batch["_id"], "key": batch["key"], "n": [len(s) for s in sets], "fp": [majority(s.view(np.uint64)) for s in sets], "prefix": firsts, "bits": [bitmap(s) for s in sets]})
 
         made = texts.mapInPandas(prefixes, "_id string, key string, n long, fp long, prefix array<long>, bits array<long>")
@@ -248,12 +271,14 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     # Equal texts are one text, named by its first row.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     units = stage_table(made.groupBy("key").agg(F.min("row").alias("sid"), first.alias("first"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.count(F.lit(1)).alias("_n")), "units")
-    tokens = made.select("row", F.explode("prefix").alias("token"))
-    rows = stage_table(tokens.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1").select("token", "row"), "meeting")
+    first = F.slice("prefix", 1, (F.col("n") - F.ceil(F.col("n") * OVER / UNDER) + 1).cast("int"))
+    tokens = made.select("row", F.explode(first).alias("token"))
+    often = lambda df: df.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    rows = stage_table(join_counted(tokens, stage_table(often(tokens), "token-counts"), "token"), "meeting")
     named = made.select("row", "key").join(units.select("key", "sid", "n", "fp"), "key").select("row", "sid", "n", "fp")
-    rows = rows.join(named, "row").select("token", "sid", "n", "fp").distinct()
-    rows = rows.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1")
-    rows = stage_table(rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.ceil(F.col("met") / PART))), "members")
+    rows = stage_table(rows.join(named, "row").select("token", "sid", "n", "fp").distinct(), "meeting-units")
+    rows = join_counted(rows, stage_table(often(rows).withColumn("met", F.col("_n")), "token-counts"), "token")
+    rows = stage_table(rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.ceil(F.col("met") / PART))).select("token", "sid", "n", "fp", "met", "salt"), "members")
     tokens_of = stage_table(rows.groupBy("sid", "n").agg(F.collect_list("token").alias("tokens")), "tokens")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,6 +304,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     # The largest component at a token names a cell, of all rows that have such a token. Its rows outside that component, which ask, meet all its rows.
     largest = rows.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("cell"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     cells = stage_table(rows.join(largest.select("token", "cell"), "token").select("cell", "sid", "n", "fp", "label").distinct().withColumn("asks", F.col("label") != F.col("cell")), "cells")
+    cells = _finer(cells, rows, largest, made)
     with arrow_rows(spark, 4096):
         light = _deal(cells.join(made.select(F.col("row").alias("sid"), "bits"), "sid"))
         left = stage_table(light.mapInPandas(lambda batches: _by_runs(batches, _left), "cell long, sid long").distinct(), "left")

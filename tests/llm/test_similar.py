@@ -110,3 +110,59 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert corpus_pipeline.packing(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_large_cells_meet_at_pairs_of_tokens(spark, monkeypatch):
+    """Texts that share one shingle and are not alike: rows grow with the texts, not with their square."""
+    monkeypatch.setattr(similar, "TILE", 64)
+    count = {}
+    for n in (400, 1600):
+        # Every text has the common shingle in its prefix: it has no others but its own, which are as rare.
+        rows = [(i, [7, 1000 + 3 * i, 1001 + 3 * i]) for i in range(n)] + [(n, [7, 1000, 1001])]
+        made = spark.createDataFrame(rows, "row long, prefix array<long>")
+        members = made.selectExpr("row AS sid", "explode(prefix) AS token", "3L AS n", "0L AS fp", "row AS label").filter("token = 7 OR token < 1002")
+        largest = spark.createDataFrame([(7, 0)], "token long, cell long")
+        cells = members.filter("token = 7").selectExpr("0L AS cell", "sid", "n", "fp", "label", "sid <> 0 AS asks")
+        finer = similar._finer(cells, members, largest, made)
+        assert {r["sid"] for r in finer.collect()} == {0, n}
+        count[n] = similar._deal(finer).count()
+        whole = similar._deal(cells).count()
+        assert whole > 5 * n
+    assert count[400] == count[1600] < 20
+
+
+def test_similar_pairs_in_large_cells_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(similar, "TILE", 2)
+    monkeypatch.setattr(similar, "PART", 3)
+    base = [f"b{i}" for i in range(30)]
+    docs = [(100 * g + k, " ".join([*base, *(f"g{g}w{i}" for i in range(90)), f"own{g}x{k}"])) for g in range(12) for k in range(3)]
+    docs += [(5000 + k, f"tiny {k % 4}") for k in range(16)]
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in docs], DOCS)
+    assert collections.Counter(tuple(r) for r in similar.similar_groups(df).collect()) == collections.Counter(plain_components(docs))
+
+
+@pytest.mark.parametrize("name", ["_gone", "_key", "key", "stays", "_m", "_host", "_fallen", "_text", "_hash", "_head", "_salt", "_rank", "_first", "_n"])
+def test_columns_named_like_working_ones(spark, monkeypatch, name):
+    from skemara.llm import exact_dedup, quality_rules
+
+    for module in (exact_dedup,):
+        monkeypatch.setattr(module, "HOT_ROWS", 2)
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "en", "s", 1), (2, words, "en", "s", 1), (3, words + " more", "en", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    df = df.withColumn(name, df["doc_id"] * 10)
+    for keep, want in ((quality_rules.drop_failed, {1, 2, 3}), (exact_dedup.drop_exact, {1, 3}), (lambda d: simhash.drop_near(d, shingle=5, similarity=(4, 5)), {1})):
+        got = keep(df)
+        assert got.columns == df.columns and {(r["doc_id"], r[name]) for r in got.collect()} == {(i, 10 * i) for i in want}
+
+
+def test_repeats_of_a_whole_row_are_salted_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from skemara.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 5)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 0.05)
+    df = spark.createDataFrame([(1, "same", "en", "a", 1)] * 400 + [(i, f"t{i}", "en", "a", 1) for i in range(2, 50)], DOCS).repartition(3)
+    got = exact_dedup.exact_groups(df, keep="max").groupBy("keep_id", "group_size").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("keep_id = 1").collect()
+    assert [(r["group_size"], r["kept"], r["n"]) for r in got] == [(400, 1, 400)]
