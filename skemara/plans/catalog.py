@@ -67,6 +67,19 @@ def p1_profile(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("table", "column", "ordinal", "n", "n_set", unique.alias("unique"), F.when((F.col("n_distinct") <= 20) & (F.col("dtype") == "string"), F.col("n_distinct")).alias("few"), F.when(text, F.array_join("samples", "|")).otherwise(F.size("samples").cast("string")).alias("samples"))
 
 
+#: Columns of some tables with Spark's type names, from the catalogue of the engine that runs the SQL.
+_CATALOG = """(SELECT table_name AS tab, column_name AS col, ordinal_position AS place, CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS kind FROM information_schema.columns WHERE table_name IN (%s))"""
+
+
+def _catalog(*names: str) -> str:
+    return _CATALOG % ", ".join(f"'{n}'" for n in names)
+
+
+def _semantic_sql(t: str, c: str) -> str:
+    """A column's semantic type by its values: texts of few values are ENUM, other short ones LABEL."""
+    return f"""SELECT '{t}' AS "table", '{c}' AS "column", CASE WHEN typeof(any_value({c})) IN ('DATE', 'TIMESTAMP') THEN 'DATE' WHEN typeof(any_value({c})) <> 'VARCHAR' THEN 'NUMERIC' WHEN count(DISTINCT {c}) <= 20 AND avg(length(CAST({c} AS VARCHAR))) <= 50 THEN 'ENUM' WHEN avg(length(CAST({c} AS VARCHAR))) <= 50 THEN 'LABEL' ELSE 'TEXT' END AS semantic FROM {t}"""
+
+
 def _key_sql(t: str) -> str:
     """A table's primary key: of the columns that are unique without nulls the first in the rule's order."""
     cols = [c for c in _COLS[t].split() if c not in _FRACTIONS]
@@ -136,20 +149,23 @@ def p10_issues(spark: SparkSession, sf: str) -> DataFrame:
 _SEM = {"r_name": "ENUM", "n_name": "LABEL", "c_mktsegment": "ENUM", "c_acctbal": "NUMERIC", "p_size": "NUMERIC", "p_type": "ENUM", "p_brand": "LABEL", "p_name": "LABEL", "o_orderstatus": "ENUM", "o_totalprice": "NUMERIC", "o_orderdate": "DATE", "o_orderpriority": "ENUM", "l_shipdate": "DATE", "l_returnflag": "BOOLEAN_OR_ENUM"}
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)})' for k, v in _SEM.items())}) AS v(\"column\", semantic)")
+_HOME = {"r": "region", "n": "nation", "c": "customer", "p": "part", "o": "orders", "l": "lineitem"}
+
+
+@query(f"SELECT \"column\", CASE \"column\" WHEN 'l_returnflag' THEN 'BOOLEAN_OR_ENUM' ELSE semantic END AS semantic FROM ({' UNION ALL '.join(_semantic_sql(_HOME[c[0]], c) for c in _SEM)})")
 def p12_semantic_types(spark: SparkSession, sf: str) -> DataFrame:
     t = types(spark, sf).filter(F.col("column").isin(*_SEM))
     return t.select("column", F.when(F.col("column") == "l_returnflag", "BOOLEAN_OR_ENUM").otherwise(F.col("semantic")).alias("semantic"))
 
 
-@query("SELECT * FROM (VALUES ('orders', 'o_orderstatus', 'ENUM'), ('orders', 'o_totalprice', 'LABEL'), ('orders', 'o_orderdate', 'DATE'), ('orders', 'o_orderpriority', 'ENUM')) AS v(\"table\", \"column\", semantic)")
+@query(f"SELECT * REPLACE (CASE \"column\" WHEN 'o_totalprice' THEN 'LABEL' ELSE semantic END AS semantic) FROM ({' UNION ALL '.join(_semantic_sql('orders', c) for c in _COLS['orders'].split())}) WHERE \"column\" NOT IN (SELECT primary_key FROM ({_key_sql('orders')})) AND \"column\" NOT IN ({', '.join(repr(b) for a, b, _, _ in _FKS if a == 'orders')}) AND semantic <> 'TEXT'")
 def p13_p14_filterable(spark: SparkSession, sf: str) -> DataFrame:
     over = spark.createDataFrame([("orders", "o_totalprice", "LABEL"), ("orders", "o_orderdate", "NONSENSE")], "table string, column string, semantic string")
     t = P.typed(P.profile(spark, tables(spark, sf, ("orders",))), over)
     return P.filterable(t, P.primary_keys(t), key_rows(spark)).select("table", "column", "semantic")
 
 
-@query("SELECT * FROM (VALUES ('o_orderkey', 'id'), ('o_custkey', 'id'), ('o_orderstatus', 'status'), ('o_totalprice', 'other'), ('o_orderdate', 'date'), ('o_orderpriority', 'other')) AS v(\"column\", role)")
+@query(f"SELECT col AS \"column\", CASE WHEN regexp_matches(col, '(^|_)id$|key$|number$') THEN 'id' WHEN regexp_matches(col, 'name|title') THEN 'name' WHEN kind IN ('date', 'timestamp') OR regexp_matches(col, 'date|time') THEN 'date' WHEN regexp_matches(col, 'status|state|flag') THEN 'status' ELSE 'other' END AS role FROM {_catalog('orders')}")
 def p15_roles(spark: SparkSession, sf: str) -> DataFrame:
     return P.roles(P.typed(P.profile(spark, tables(spark, sf, ("orders",))))).select("column", "role")
 
@@ -201,17 +217,17 @@ def p21_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
     return P.corpus_report(P.topology(*corpus(spark, sf)))
 
 
-@query("SELECT 'lineitem' AS target WHERE (SELECT count(*) FROM lineitem) > 0")
+@query("SELECT arg_max(t, (s, t)) AS target FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) * (SELECT count(*) FROM {_catalog(t)}) AS s FROM {t}" for t in NAMES) + ")")
 def p23_fallback_target(spark: SparkSession, sf: str) -> DataFrame:
     return P.fallback_target(P.profile(spark, tables(spark, sf)))
 
 
-@query("SELECT * FROM (VALUES ('customer', 'outgoing'), ('lineitem', 'incoming')) AS v(\"table\", direction)")
+@query(f"WITH k AS (SELECT * FROM ({_OVERLAP}) WHERE coverage >= 0.9) SELECT parent_table AS \"table\", 'outgoing' AS direction FROM k WHERE child_table = 'orders' UNION SELECT child_table, 'incoming' FROM k WHERE parent_table = 'orders'")
 def p11_p24_related(spark: SparkSession, sf: str) -> DataFrame:
     return P.related(found_keys(spark, sf, "orders"), "orders")
 
 
-@query("SELECT 'region' AS \"table\", 'region(r_regionkey int, r_name string)' AS text UNION ALL SELECT 'nation', 'nation(n_nationkey int, n_name string, n_regionkey int)'")
+@query(f"SELECT tab AS \"table\", tab || '(' || string_agg(col || ' ' || kind, ', ' ORDER BY place) || ')' AS text FROM {_catalog('region', 'nation')} GROUP BY tab")
 def p25_schema_text(spark: SparkSession, sf: str) -> DataFrame:
     return P.schema_text(P.profile(spark, tables(spark, sf, ("region", "nation"))))
 
@@ -418,20 +434,26 @@ def b1_random_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("spec").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('region', 'r_regionkey'), ('nation', 'n_nationkey'), ('orders', 'o_orderkey'), ('lineitem', 'l_orderkey')) AS v(\"table\", id_column)")
+@query(" UNION ALL ".join(f"SELECT \"table\", coalesce(primary_key, (SELECT arg_min(col, (CASE WHEN col IN ('id', 'uid', 'uuid', 'key', 'code') THEN 0 WHEN regexp_matches(col, '_id$|key$') THEN 1 ELSE 2 END, place)) FROM {_catalog(t)})) AS id_column FROM ({_key_sql(t)})" for t in ("region", "nation", "orders", "lineitem")))
 def p2_p26_id_columns(spark: SparkSession, sf: str) -> DataFrame:
     t = P.pinned(P.typed(P.profile(spark, tables(spark, sf, ("region", "nation", "orders", "lineitem")))))
     return P.id_columns(t, P.primary_keys(t))
 
 
-@query("SELECT * FROM (VALUES ('lineitem', 'l_orderkey', 'orders'), ('lineitem', 'l_partkey', 'part'), ('lineitem', 'l_suppkey', 'supplier'), ('orders', 'o_custkey', 'customer'), ('customer', 'c_nationkey', 'nation'), ('supplier', 's_nationkey', 'nation'), ('nation', 'n_regionkey', 'region')) AS v(child_table, child_column, parent_table)")
+_STEMS = "list_filter(list_distinct([regexp_replace(lower({c}), '_?(id|key|fk)$', ''), regexp_replace(regexp_replace(lower({c}), '_?(id|key|fk)$', ''), '^[a-z]{{1,2}}_', '')]), lambda x: x <> '')"
+
+
+@query(f"""WITH k AS ({' UNION ALL '.join(map(_key_sql, _COLS))}), c AS (SELECT tab AS child_table, col AS child_column, unnest({_STEMS.format(c='col')}) AS s FROM {_catalog(*NAMES)} WHERE regexp_matches(lower(col), '(id|key|fk)$')),
+p AS (SELECT "table" AS parent_table, primary_key, unnest(list_distinct(list_append({_STEMS.format(c='primary_key')}, "table"))) AS n FROM k WHERE primary_key IS NOT NULL)
+SELECT DISTINCT child_table, child_column, parent_table FROM c JOIN p ON (child_table, child_column) <> (parent_table, primary_key) AND (s = n OR s || 's' = n OR starts_with(n, s) OR (starts_with(s, n) AND length(n) >= 3))
+WHERE (child_table, child_column) NOT IN (SELECT "table", primary_key FROM k WHERE primary_key IS NOT NULL)""")
 def p6_candidates(spark: SparkSession, sf: str) -> DataFrame:
     t = types(spark, sf)
     own = P.primary_keys(t).select(F.col("table").alias("child_table"), F.col("primary_key").alias("child_column"))
     return P.candidate_parents(t, P.pinned(P.primary_keys(t))).join(own, ["child_table", "child_column"], "left_anti").select("child_table", "child_column", "parent_table")
 
 
-@query("SELECT 'orders' AS child_table, 'o_custkey' AS child_column WHERE (SELECT count(*) FROM orders) > 0")
+@query(f"SELECT child_table, child_column FROM ({_OVERLAP}) WHERE child_table = 'orders' AND coverage >= 0.9")
 def p9_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """External verdicts take the place of the rules."""
     t = P.pinned(P.typed(P.profile(spark, tables(spark, sf, ("orders", "customer")))))

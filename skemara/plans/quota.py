@@ -63,10 +63,10 @@ def q4_accepted(spark: SparkSession, sf: str) -> DataFrame:
     return Q.accept(attempts(spark, sf), small_quotas(spark, sf)).select("strategy", "attempt")
 
 
-@query(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY sql ORDER BY sql_id) AS k FROM (SELECT sql_id, substr(sql, 1, 60) AS sql, 'Which  ' || db_id || ' has ' || CAST(sql_id % 200 AS VARCHAR) || '??' AS question FROM {STATEMENTS_SQL})),
+@query(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY sql ORDER BY sql_id) AS k FROM (SELECT sql_id, sql, 'Which  ' || db_id || ' has ' || CAST(sql_id % 200 AS VARCHAR) || '??' AS question FROM {STATEMENTS_SQL})),
 b AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sql_id) AS j FROM a WHERE k = 1) SELECT sql_id, question FROM b WHERE j = 1""")
 def q5_distinct_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    s = statements(spark, sf).select("sql_id", F.substring("sql", 1, 60).alias("sql"), F.concat(F.lit("Which  "), "db_id", F.lit(" has "), (F.col("sql_id") % 200).cast("string"), F.lit("??")).alias("question"))
+    s = statements(spark, sf).select("sql_id", "sql", F.concat(F.lit("Which  "), "db_id", F.lit(" has "), (F.col("sql_id") % 200).cast("string"), F.lit("??")).alias("question"))
     return Q.distinct_pairs(s, "sql_id").select("sql_id", "question")
 
 

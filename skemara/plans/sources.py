@@ -172,10 +172,10 @@ def s25_s27_resumable(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("model", "db_id").agg(F.count(F.lit(1)).alias("n"), F.avg("latency_s").alias("latency"))
 
 
-@query("SELECT source AS db_id, CASE WHEN lang = 'en' THEN substr(text, 1, 20) || ' Hint: ' || lang ELSE substr(text, 1, 20) END AS question, CAST(doc_id AS VARCHAR) AS sql FROM documents")
+@query("SELECT source AS db_id, CASE WHEN lang = 'en' THEN text || ' Hint: ' || lang ELSE text END AS question, CAST(doc_id AS VARCHAR) AS sql FROM documents")
 def s28_gold_questions(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    raw = d.select(F.col("source").alias("db_id"), F.substring("text", 1, 20).alias("question"), F.col("doc_id").cast("string").alias("query"), F.when(F.col("lang") == "en", F.col("lang")).alias("evidence"))
+    raw = d.select(F.col("source").alias("db_id"), F.col("text").alias("question"), F.col("doc_id").cast("string").alias("query"), F.when(F.col("lang") == "en", F.col("lang")).alias("evidence"))
     return I.gold_questions(raw, hint="evidence")
 
 

@@ -219,11 +219,11 @@ def t20_consensus(spark: SparkSession, sf: str) -> DataFrame:
     return T.consensus(r.withColumn("category", F.when(F.col("row_f1") < 0.3, "join_path").when(F.col("row_f1") < 0.7, "value").otherwise("operator")))
 
 
-@query(f"""WITH c AS (SELECT r.model, d.text, substr(d.text, 1, 40) AS answer FROM {RECORDS_SQL} r JOIN documents d ON d.doc_id = r.uid),
+@query(f"""WITH c AS (SELECT r.model, d.text, reverse(d.text) AS answer FROM {RECORDS_SQL} r JOIN documents d ON d.doc_id = r.uid),
 p AS (SELECT * FROM (VALUES ('ash', 3.0, 15.0), ('birch', 2.0, 8.0), ('cedar', 0.4, 1.6), ('dogwood', 0.1, 0.5)) AS v(model, i, o))
 SELECT model, count(*) AS calls, sum(length(text)) / 4 AS tokens_in, sum(length(answer)) / 4 AS tokens_out, (sum(length(text)) / 4 * any_value(i) + sum(length(answer)) / 4 * any_value(o)) / 1e6 AS cost FROM c JOIN p USING (model) GROUP BY model""")
 def t21_costs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "text", F.substring("text", 1, 40).alias("answer"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "text", F.reverse("text").alias("answer"))
     prices = spark.createDataFrame([("ash", 3.0, 15.0), ("birch", 2.0, 8.0), ("cedar", 0.4, 1.6), ("dogwood", 0.1, 0.5)], "model string, price_in double, price_out double")
     return T.costs(records(spark, sf).join(docs, "uid"), prices, "text", "answer").drop("price_in", "price_out")
 
