@@ -255,13 +255,14 @@ def walk(start: DataFrame, edges: DataFrame, target: str, hops: int = 3, k: int
 
     A node's score at a depth is the best of its arrivals, each `decay` of the
     step before; a target row has the best over depths and 0.1 more for each
-    further arrival, five at most. Rounds are joins on the frontier.
+    further arrival, five at most. Rounds are joins on the frontier, which is
+    stored after each, so a hop is computed once.
     """
     front = start.select("query_id", "node", "score").withColumn("arrivals", F.lit(1).cast("long"))
     found = front
     for _ in range(hops):
         step = front.join(edges, front["node"] == edges["a"]).select("query_id", F.col("b").alias("node"), (F.col("score") * decay).alias("score"))
-        front = step.groupBy("query_id", "node").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("arrivals"))
+        front = stored(step.groupBy("query_id", "node").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("arrivals")), "frontier")
         found = found.unionByName(front)
     hit = found.filter(F.startswith("node", F.lit(f"{target}\t"))).groupBy("query_id", "node").agg(F.max("score").alias("best"), F.sum("arrivals").alias("paths"))
     return top(hit.select("query_id", "node", (F.col("best") + 0.1 * F.least(F.col("paths") - 1, F.lit(5))).alias("score"), "paths"), k, "node")
