@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from skemara.functions.scalar import PRIME, mix
 from skemara.operators.catalog import ForeignKey, Schema, Tables
+from skemara.operators.statements import by_source, counts, hits
 from skemara.operators.structures import TIER_RANGE
 
 #: Rows of a join that is still made (fixed value; a parameter wherever it is used), and queries evaluated in one pass: beyond about a hundred, code generation gives up.
@@ -242,21 +243,33 @@ def render(spec: Spec, schema: Schema) -> str:
     return sql + " WHERE " + " AND ".join(map(term, spec.predicates)) if spec.predicates else sql
 
 
-#: Statements that share a job.
+#: Statements of different structures that share a job.
 TOGETHER = 16
 
 
 def gold_gate(spark: SparkSession, tables: Tables, specs: list[Spec], schema: Schema, stored: DataFrame) -> DataFrame:
-    """(spec, answer, side) where statements' own results and the stored answers (spec, answer) differ: none for a query that passes. TOGETHER statements run in a job."""
+    """(spec, answer, side) where statements' own results and the stored answers (spec, answer) differ: none for a query that passes.
+
+    Statements over the same join are run by their texts' conditions, PASS in a pass; TOGETHER others run in a job.
+    """
     for name in {t for s in specs for t in s.tables}:
         tables[name].createOrReplaceTempView(name)
+    texts = [render(s, schema) for s in specs]
+    groups, alone = by_source(texts)
+    runs = []
+    for shared, conditions in groups:
+        for i in range(0, len(conditions), PASS):
+            part = conditions[i : i + PASS]
+            found = hits(spark, shared, [(specs[k].number, c) for k, c in part]).select(F.col("k").alias("spec"), "row.*").toDF("spec", "answer")
+            runs.append(([specs[k].number for k, _ in part], found))
+    for i in range(0, len(alone), TOGETHER):
+        part = alone[i : i + TOGETHER]
+        found = [spark.sql(texts[k]).toDF("answer").select(F.lit(specs[k].number).alias("spec"), "answer") for k in part]
+        runs.append(([specs[k].number for k in part], reduce(lambda a, b: a.unionByName(b), found)))
     gaps = []
-    for i in range(0, len(specs), TOGETHER):
-        part = specs[i : i + TOGETHER]
-        runs = [spark.sql(render(s, schema)).toDF("answer").filter("answer IS NOT NULL").select(F.lit(s.number).alias("spec"), "answer") for s in part]
-        run = reduce(lambda a, b: a.unionByName(b), runs)
-        mine = stored.filter(F.col("spec").isin(*(s.number for s in part))).select("spec", "answer")
-        both = mine.withColumn("_s", F.lit(1)).unionByName(run.withColumn("_s", F.lit(-1))).groupBy("spec", "answer").agg(F.sum("_s").alias("_s")).filter("_s <> 0")
+    for numbers, run in runs:
+        mine = stored.filter(F.col("spec").isin(*numbers)).select("spec", "answer")
+        both = mine.withColumn("_s", F.lit(1)).unionByName(run.filter("answer IS NOT NULL").withColumn("_s", F.lit(-1))).groupBy("spec", "answer").agg(F.sum("_s").alias("_s")).filter("_s <> 0")
         gaps.append(both.select("spec", "answer", F.when(F.col("_s") > 0, "extra").otherwise("missing").alias("side")))
     return reduce(lambda a, b: a.unionByName(b), gaps)
 
@@ -305,35 +318,42 @@ def random_specs(schema: Schema, filterable: dict[str, list[tuple[str, str, list
 
 
 def execute_pairs(spark: SparkSession, pairs: list[tuple[str, str]], most: int) -> DataFrame:
-    """(uid, status, n) of supplied statements: ok with 1..most rows, empty, too_many, or why it does not resolve.
+    """(uid, status, n) of supplied statements: ok with 1..most distinct rows, empty, too_many, or error if it does not resolve or fails; n stops at `most` + 1.
 
-    Statements that resolve run TOGETHER in a job, each stopped after `most` + 1
-    rows. A job that fails runs its statements one by one, so that one bad value
-    costs its own statement only.
+    Selections that differ in their conditions only are counted PASS in a pass
+    over what they read; TOGETHER others run in a job. A pass or job that fails
+    is cut down until one bad value costs its own statement only. In a pass,
+    conditions are tested on joined rows: a bad value that no such row meets is
+    no error there, while a statement run alone may meet it before its join.
     """
-    rows, good = [], []
-    for uid, sql in pairs:
-        if resolves(spark, sql):
-            rows.append((uid, "error", 0))
-        else:
-            good.append((uid, sql))
-
-    def counts(part: list[tuple[str, str]]) -> list[tuple[str, int]]:
-        each = [spark.sql(sql).distinct().limit(most + 1).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), "n") for k, (_, sql) in enumerate(part)]
-        return [(part[r["k"]][0], r["n"]) for r in reduce(lambda a, b: a.unionByName(b), each).collect()]
+    def run(part: list[int]) -> list[tuple[int, int]]:
+        each = [spark.sql(pairs[k][1]).distinct().limit(most + 1).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), "n") for k in part]
+        return [(r["k"], r["n"]) for r in reduce(lambda a, b: a.unionByName(b), each).collect()]
 
+    def alone(k: int) -> int | None:
+        if resolves(spark, pairs[k][1]):
+            return None
+        try:
+            return run([k])[0][1]
+        except Exception:
+            return None
+
+    found: dict[int, int | None] = {}
+    groups, others = by_source([sql for _, sql in pairs])
+    for shared, conditions in groups:
+        for i in range(0, len(conditions), PASS):
+            found |= counts(spark, shared, conditions[i : i + PASS], alone)
+    good = [k for k in others if resolves(spark, pairs[k][1]) is None]
     for i in range(0, len(good), TOGETHER):
         part = good[i : i + TOGETHER]
         try:
-            found = counts(part)
+            found |= dict(run(part))
         except Exception:
-            found = []
-            for one in part:
-                try:
-                    found += counts([one])
-                except Exception:
-                    rows.append((one[0], "error", 0))
-        rows += [(uid, "ok" if 1 <= n <= most else "empty" if n == 0 else "too_many", n) for uid, n in found]
+            found |= {k: alone(k) for k in part}
+    rows = []
+    for k, (uid, _) in enumerate(pairs):
+        n = found.get(k)
+        rows.append((uid, "error", 0) if n is None else (uid, "ok" if 1 <= n <= most else "empty" if n == 0 else "too_many", min(n, most + 1)))
     return spark.createDataFrame(rows, "uid string, status string, n long")
 
 

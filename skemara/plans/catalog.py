@@ -489,6 +489,26 @@ def b2_supplied_statements(spark: SparkSession, sf: str) -> DataFrame:
     return J.execute_pairs(spark, [("a", "SELECT o_orderkey FROM orders"), ("b", "SELECT lost FROM orders"), ("c", "SELECT o_orderkey FROM orders WHERE o_orderkey < 0"), ("d", "SELECT r_regionkey FROM region")], 15)
 
 
+_LEVEL = "20000 * n_nationkey"
+
+
+@query(f"""WITH a AS (SELECT n_nationkey, n_name, s FROM nation, (SELECT DISTINCT o_orderstatus AS s FROM orders WHERE o_orderstatus IS NOT NULL)),
+h AS (SELECT n_nationkey AS k, o_orderstatus AS s, count(DISTINCT o_orderkey) AS c FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice >= {_LEVEL} GROUP BY ALL)
+SELECT n_name || '/' || a.s AS uid, CASE WHEN c IS NULL THEN 'empty' WHEN c <= 100 THEN 'ok' ELSE 'too_many' END AS status, least(coalesce(c, 0), 101) AS n FROM a LEFT JOIN h ON h.k = n_nationkey AND h.s = a.s
+UNION ALL SELECT n_name || '/cheapest', 'error', 0 FROM nation""")
+def b2_statements_by_structure(spark: SparkSession, sf: str) -> DataFrame:
+    """A supplied statement per nation and order status, answered in one pass, and one per nation with an aggregate in its condition, which is an error."""
+    t = tables(spark, sf, PATH)
+    for n in PATH:
+        t[n].createOrReplaceTempView(n)
+    # Nations times states of an order: the statements, not the rows that they are about.
+    asked = t["nation"].crossJoin(F.broadcast(t["orders"].select("o_orderstatus").filter("o_orderstatus IS NOT NULL").distinct())).select("n_nationkey", "n_name", "o_orderstatus").collect()
+    read = "SELECT o.o_orderkey FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey WHERE"
+    pairs = [(f"{r.n_name}/{r.o_orderstatus}", f"{read} n.n_nationkey = {r.n_nationkey} AND o.o_orderstatus = {J.literal(r.o_orderstatus)} AND o.o_totalprice >= {20000 * r.n_nationkey}") for r in asked]
+    pairs += [(f"{name}/cheapest", f"{read} n.n_name = {J.literal(name)} AND o.o_totalprice = min(o.o_totalprice)") for name in dict.fromkeys(r.n_name for r in asked)]
+    return J.execute_pairs(spark, pairs, 100)
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'id' || c_custkey ELSE 'no' || c_custkey END AS row_id FROM customer")
 def m18_result_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Row identifiers by the priority of field names."""
