@@ -77,15 +77,19 @@ def by_source(statements: list[str | None]) -> tuple[list[tuple[Selection, list[
     return [(shared[g], conditions) for g, conditions in groups.items() if len(conditions) > 1], sorted(alone)
 
 
-def hits(spark: SparkSession, shared: Selection, conditions: list[tuple[int, str]]) -> DataFrame:
-    """(k, row): distinct rows of each statement of one group, as a struct of what they select, in one pass.
+def _marked(spark: SparkSession, shared: Selection, conditions: list[tuple[int, str]]) -> DataFrame:
+    """Rows of what a group reads: (_marks, with nulls for conditions that are not met; _row, what is selected).
 
     All columns are named beside the conditions, so that aggregates in these fail
     here as they do in a WHERE clause; they are pruned before anything is read.
     """
     marks = ", ".join(f"CASE WHEN ({c}\n) THEN {k} END" for k, c in conditions)
-    frame = spark.sql(f"SELECT array({marks}) AS _marks, struct({shared.columns}) AS _row, struct(*) AS _all FROM {shared.source}")
-    return frame.select(F.explode(F.array_compact("_marks")).alias("k"), F.col("_row").alias("row")).distinct()
+    return spark.sql(f"SELECT array({marks}) AS _marks, struct({shared.columns}) AS _row, struct(*) AS _all FROM {shared.source}")
+
+
+def hits(spark: SparkSession, shared: Selection, conditions: list[tuple[int, str]]) -> DataFrame:
+    """(k, row): distinct rows of each statement of one group, as a struct of what they select, in one pass."""
+    return _marked(spark, shared, conditions).select(F.explode(F.array_compact("_marks")).alias("k"), F.col("_row").alias("row")).distinct()
 
 
 def counts(spark: SparkSession, shared: Selection, conditions: list[tuple[int, str]], alone: Callable[[int], int | None]) -> dict[int, int | None]:
@@ -111,7 +115,7 @@ def counts(spark: SparkSession, shared: Selection, conditions: list[tuple[int, s
 
 def _resolves(spark: SparkSession, shared: Selection, condition: tuple[int, str]) -> bool:
     try:
-        hits(spark, shared, [condition])
+        _marked(spark, shared, [condition])
     except Exception:
         return False
     return True
