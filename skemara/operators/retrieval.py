@@ -6,10 +6,15 @@ answers all of them. Queries are a stated, bounded set; the rows searched are no
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skemara.functions.scalar import cosine, l2, runs, tokens
 from skemara.sources.scratch import meet_blocks, small, stored
@@ -22,6 +27,8 @@ FILLER = (
 )
 #: Queries, or distinct terms of queries, that meet a row at once.
 BLOCK = 256
+#: Bytes of query vectors, and of vectors, that meet in one task.
+QUERY_BYTES, PART_BYTES = 16 << 20, 64 << 20
 K1, B = 1.2, 0.75
 
 
@@ -208,14 +215,118 @@ def row_text(columns: list[str], key: str, most: int = 300) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, measure: str = "l2", key: str = "vec_id") -> DataFrame:
-    """(query_id, key, score, rank): exact nearest vectors. `queries` (query_id, vector), a stated set, meets the vectors in blocks of about BLOCK queries
-    (see meet_blocks), and each partition of vectors keeps its own best before they are merged."""
-    count = max(1, -(-queries.count() // BLOCK))
+    """(query_id, key, score, rank): exact nearest vectors of `queries` (query_id, vector), a stated set.
+
+    Blocks of queries meet parts of the vectors within tasks, in matrix products
+    that only choose candidates; these are scored one by one, in the order of
+    their dimensions, and a task sends on the best k of its part. Vectors that
+    are null, of another length than the queries' or hold what a product cannot
+    rank (nulls, NaN, values near overflow or underflow) meet by expressions.
+    """
+    v, q = vectors.select(key, "embedding"), queries.select("query_id", "vector")
+    d = q.agg(F.max(F.when(F.col("vector").isNotNull(), F.size("vector")))).first()[0] or 0
+    usual = lambda c: F.coalesce((F.size(c) == d) & F.forall(c, lambda x: F.coalesce((x == 0) | F.abs(x).between(1e-35, 1e35), F.lit(False))), F.lit(False))
+    (n, odd_n), (m, odd_m) = (df.agg(F.count(F.lit(1)), F.count(F.when(~usual(c), 1))).first() for df, c in ((v, "embedding"), (q, "vector")))
+    blocks = max(1, -(-m * max(1, d) * 8 // QUERY_BYTES))
+    parts = max(1, -(-n * max(1, d) * 8 // PART_BYTES), -(-3 * v.sparkSession.sparkContext.defaultParallelism // blocks))
+    of = lambda count, *by: F.pmod(F.xxhash64(*by), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    asked = q.filter(usual("vector")).select(of(blocks, "query_id").alias("block"), every(parts).alias("part"), "query_id", "vector")
+    dealt = v.filter(usual("embedding")).select(every(blocks).alias("block"), of(parts, key, "embedding").alias("part"), key, "embedding")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        # Rows in order of their keys, so that ties go by place.
+        right = right.take(pc.sort_indices(right, sort_keys=[(key, "ascending")], null_placement="at_start"))
+        a, b = (t.column(c).combine_chunks().flatten().to_numpy().reshape(-1, d).astype(np.float64) for t, c in ((left, "vector"), (right, "embedding")))
+        i, j, score = nearest_rows(a, b, k, measure)
+        return pa.table({"query_id": left.column("query_id").take(pa.array(i)), key: right.column(key).take(pa.array(j)), "score": score})
+
+    shape = T.StructType([q.schema["query_id"], v.schema[key], T.StructField("score", T.DoubleType())])
+    found = asked.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInArrow(best, shape)
+    if odd_n:
+        found = found.unionByName(_scored(v.filter(~usual("embedding")), q, m, measure, key))
+    if odd_m:
+        found = found.unionByName(_scored(v.filter(usual("embedding")), q.filter(~usual("vector")), odd_m, measure, key))
+    return top(found, k, key)
+
+
+def _scored(vectors: DataFrame, queries: DataFrame, asked: int, measure: str, key: str) -> DataFrame:
+    """(query_id, key, score) of all pairs by expressions, in blocks of about BLOCK queries."""
+    count = max(1, -(-asked // BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int")
     blocks = queries.select(block.alias("block"), F.struct("query_id", F.col("vector").alias("q")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("qs"))
-    met = meet_blocks(vectors.select(key, "embedding"), blocks, count).select(key, "embedding", F.explode("qs").alias("x"))
+    met = meet_blocks(vectors, blocks, count).select(key, "embedding", F.explode("qs").alias("x"))
     score = -l2(F.col("x.q"), F.col("embedding")) if measure == "l2" else cosine(F.col("x.q"), F.col("embedding"))
-    return top(met.select(F.col("x.query_id").alias("query_id"), key, score.alias("score")), k, key)
+    return met.select(F.col("x.query_id").alias("query_id"), key, score.alias("score"))
+
+
+def nearest_rows(a: np.ndarray, b: np.ndarray, k: int, measure: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, score): for each row i of `a` the rows j of `b` that may be among its k best by (score to nine places, j).
+
+    All that lie within rounding of the k-th best are kept, but of equal scores
+    and of equal rows of `b` the first k only.
+    """
+    d = a.shape[1]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(a) or not len(b):
+        return none
+    if d:
+        _, same = np.unique(np.ascontiguousarray(b).view(np.dtype((np.void, 8 * d))).ravel(), return_inverse=True)
+        keep = np.flatnonzero(_places(same) < k)
+    else:
+        keep = np.arange(min(k, len(b)))
+    b = b[keep]
+    (aa, bb), cos = ((sum((x[:, t] * x[:, t] for t in range(d)), np.zeros(len(x)))) for x in (a, b)), measure != "l2"
+    unit = lambda x, xx: x / np.sqrt(np.where(xx > 0, xx, 1.0))[:, None]
+    left, right = (unit(a, aa), unit(b, bb)) if cos else (a, b)
+    off = 2.5e-9 + 16 * (d + 4) * 2.3e-16 * (1.0 if cos else (math.sqrt(aa.max()) + math.sqrt(bb.max())) ** 2)
+    ta, tb = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+
+    def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(i))
+        for t in range(d):
+            x, y = ta[t][i], tb[t][j]
+            total += x * y if cos else (x - y) * (x - y)
+        if not cos:
+            return -total
+        size = np.sqrt(aa[i] * bb[j])
+        return np.where(size > 0, total / np.where(size > 0, size, 1.0), 0.0)
+
+    out = []
+    for low in range(0, len(a), 2048):
+        rows = min(2048, len(a) - low)
+        bar, held = np.full(rows, -np.inf), none
+        for at in range(0, len(b), 2048):
+            near = left[low : low + rows] @ right[at : at + 2048].T
+            if not cos:
+                near *= 2
+                near -= aa[low : low + rows, None]
+                near -= bb[None, at : at + 2048]
+            if not at and near.shape[1] >= k:
+                bar = np.partition(near, -k, axis=1)[:, -k] - off
+            i, j = np.nonzero(near >= (bar - off)[:, None])
+            i, j, score = (np.concatenate(x) for x in zip(held, (i, j + at, exact(i + low, j + at)), strict=True))
+            order = np.lexsort((j, -score, i))
+            i, j, score = i[order], j[order], score[order]
+            place = _places(i)
+            bar = np.full(rows, -np.inf)
+            bar[i[place == k - 1]] = score[place == k - 1]
+            fresh = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (score[1:] != score[:-1])]) if len(i) else i
+            tied = np.arange(len(i)) - np.repeat(fresh, np.diff(np.r_[fresh, len(i)]))
+            stay = (score >= bar[i] - 2.5e-9) & (tied < k)
+            held = i[stay], j[stay], score[stay]
+        out.append((held[0] + low, keep[held[1]], held[2]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _places(group: np.ndarray) -> np.ndarray:
+    """The place of each element among the equal ones, in order: 0, 1, ..."""
+    order = np.argsort(group, kind="stable")
+    ranked = group[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else ranked
+    places = np.empty(len(group), np.int64)
+    places[order] = np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)]))
+    return places
 
 
 def vote(matches: DataFrame, links: DataFrame, k: int = 10) -> DataFrame:
