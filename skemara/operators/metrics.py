@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skemara.functions.scalar import normal_sql, tokens
+from skemara.operators import retrieval
 from skemara.sources.scratch import is_small, small, stored
 
 CLAUSES = ("select", "from", "where", "group by", "order by")
@@ -140,6 +141,17 @@ def split_at(text: Column, percent: int = 60) -> tuple[Column, Column]:
     return F.array_join(F.slice(words, 1, n), " "), F.array_join(F.slice(words, n + 1, F.size(words)), " ")
 
 
+def best_cosines(generated: DataFrame, gold: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
+    """(id, group, best): as best_matches with the cosine of `vector` and another id as score, by matrix products within tasks (see retrieval.pairs)."""
+    asked = generated.filter(F.col(group).isNotNull()).select(F.col("id").alias("query_id"), group, F.col(vector).alias("vector"))
+    rows = gold.filter(F.col(group).isNotNull()).select("id", group, F.col(vector).alias("embedding"))
+    # Rows with the query's own id stand in the way of as many others.
+    own = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    best = retrieval.pairs(rows, asked, own + 1, "cosine", "id", group).filter(F.col("id") != F.col("query_id")).groupBy("query_id", group).agg(F.max("score").alias("best"))
+    every = asked.join(rows.select(group).distinct(), group, "left_semi").select("query_id", group).distinct()
+    return every.join(best, ["query_id", group], "left").select(F.col("query_id").alias("id"), group, "best")
+
+
 def best_matches(generated: DataFrame, gold: DataFrame, group: str, score: Column, block: int = 256) -> DataFrame:
     """(id, group, best): each generated row's best score among the gold rows of its group; `score` names their columns a.* and b.*.
 

@@ -223,7 +223,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, measure: str =
     are null, of another length than the queries' or hold what a product cannot
     rank (nulls, NaN, values near overflow or underflow) meet by expressions.
     """
-    v, q = vectors.select(key, "embedding"), queries.select("query_id", "vector")
+    return top(pairs(vectors, queries, k, measure, key), k, key)
+
+
+def pairs(vectors: DataFrame, queries: DataFrame, k: int, measure: str, key: str, *by: str) -> DataFrame:
+    """(query_id, by, key, score): the pairs of which `nearest` takes the best; with columns `by` on both sides, those of vectors whose values there are the query's."""
+    v, q = vectors.select(*by, key, "embedding"), queries.select("query_id", *by, "vector")
     d = q.agg(F.max(F.when(F.col("vector").isNotNull(), F.size("vector")))).first()[0] or 0
     usual = lambda c: F.coalesce((F.size(c) == d) & F.forall(c, lambda x: F.coalesce((x == 0) | F.abs(x).between(1e-35, 1e35), F.lit(False))), F.lit(False))
     (n, odd_n), (m, odd_m) = (df.agg(F.count(F.lit(1)), F.count(F.when(~usual(c), 1))).first() for df, c in ((v, "embedding"), (q, "vector")))
@@ -231,33 +236,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, measure: str =
     parts = max(1, -(-n * max(1, d) * 8 // PART_BYTES), -(-3 * v.sparkSession.sparkContext.defaultParallelism // blocks))
     of = lambda count, *by: F.pmod(F.xxhash64(*by), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    asked = q.filter(usual("vector")).select(of(blocks, "query_id").alias("block"), every(parts).alias("part"), "query_id", "vector")
-    dealt = v.filter(usual("embedding")).select(every(blocks).alias("block"), of(parts, key, "embedding").alias("part"), key, "embedding")
+    asked = q.filter(usual("vector")).select(of(blocks, "query_id").alias("block"), every(parts).alias("part"), "query_id", *by, "vector")
+    dealt = v.filter(usual("embedding")).select(every(blocks).alias("block"), of(parts, key, "embedding").alias("part"), *by, key, "embedding")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         # Rows in order of their keys, so that ties go by place.
         right = right.take(pc.sort_indices(right, sort_keys=[(key, "ascending")], null_placement="at_start"))
         a, b = (t.column(c).combine_chunks().flatten().to_numpy().reshape(-1, d).astype(np.float64) for t, c in ((left, "vector"), (right, "embedding")))
         i, j, score = nearest_rows(a, b, k, measure)
-        return pa.table({"query_id": left.column("query_id").take(pa.array(i)), key: right.column(key).take(pa.array(j)), "score": score})
+        return pa.table({**{c: left.column(c).take(pa.array(i)) for c in ("query_id", *by)}, key: right.column(key).take(pa.array(j)), "score": score})
 
-    shape = T.StructType([q.schema["query_id"], v.schema[key], T.StructField("score", T.DoubleType())])
-    found = asked.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInArrow(best, shape)
+    shape = T.StructType([q.schema["query_id"], *(q.schema[c] for c in by), v.schema[key], T.StructField("score", T.DoubleType())])
+    found = asked.groupBy("block", "part", *by).cogroup(dealt.groupBy("block", "part", *by)).applyInArrow(best, shape)
     if odd_n:
-        found = found.unionByName(_scored(v.filter(~usual("embedding")), q, m, measure, key))
+        found = found.unionByName(_scored(v.filter(~usual("embedding")), q, m, measure, key, *by))
     if odd_m:
-        found = found.unionByName(_scored(v.filter(usual("embedding")), q.filter(~usual("vector")), odd_m, measure, key))
-    return top(found, k, key)
+        found = found.unionByName(_scored(v.filter(usual("embedding")), q.filter(~usual("vector")), odd_m, measure, key, *by))
+    return found
 
 
-def _scored(vectors: DataFrame, queries: DataFrame, asked: int, measure: str, key: str) -> DataFrame:
-    """(query_id, key, score) of all pairs by expressions, in blocks of about BLOCK queries."""
+def _scored(vectors: DataFrame, queries: DataFrame, asked: int, measure: str, key: str, *by: str) -> DataFrame:
+    """(query_id, by, key, score) of all pairs by expressions, in blocks of about BLOCK queries."""
     count = max(1, -(-asked // BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int")
-    blocks = queries.select(block.alias("block"), F.struct("query_id", F.col("vector").alias("q")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("qs"))
-    met = meet_blocks(vectors, blocks, count).select(key, "embedding", F.explode("qs").alias("x"))
+    blocks = queries.select(block.alias("block"), F.struct("query_id", *by, F.col("vector").alias("q")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("qs"))
+    met = meet_blocks(vectors, blocks, count).select(*by, key, "embedding", F.explode("qs").alias("x"))
+    for c in by:
+        met = met.filter(F.col(c) == F.col(f"x.{c}"))
     score = -l2(F.col("x.q"), F.col("embedding")) if measure == "l2" else cosine(F.col("x.q"), F.col("embedding"))
-    return met.select(F.col("x.query_id").alias("query_id"), key, score.alias("score"))
+    return met.select(F.col("x.query_id").alias("query_id"), *by, key, score.alias("score"))
 
 
 def nearest_rows(a: np.ndarray, b: np.ndarray, k: int, measure: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from skemara.operators import retrieval
+from skemara.functions.scalar import cosine
+from skemara.operators import metrics, retrieval
 
 
 @pytest.mark.parametrize("measure", ["l2", "cosine"])
@@ -33,3 +35,16 @@ def test_a_part_sends_on_few_rows():
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(x, 1000 * x + y) for x in range(8) for y in range(3)] and not score.any()
     i, j, score = retrieval.nearest_rows(np.zeros((1, 5000)), np.eye(5000), 3, "l2")
     assert j.tolist() == [0, 1, 2]
+
+
+def test_best_cosines_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i if i < 190 else 7, rng.choice("abc"), [rng.choice((0.0, 1.0, rng.random())) for _ in range(3)]) for i in range(200)]
+    rows += [(300, "alone", [1.0, 0.0, 0.0]), (301, None, [1.0, 0.0, 0.0]), (302, "a", None), (303, "b", [1.0, 2.0]), (304, "c", [math.nan, 1.0, 0.0])]
+    e = spark.createDataFrame(rows, "id long, label string, embedding array<double>")
+    asked = e.filter("id % 3 = 0 OR id > 299 OR id = 7")
+    score = F.when(F.col("a.id") != F.col("b.id"), cosine(F.col("a.embedding"), F.col("b.embedding")))
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 512)
+    got = metrics.best_cosines(asked, e, "label")
+    # A row that asks for several vectors (id 7 with repeats) has one best in both.
+    assert sorted(map(str, got.collect())) == sorted(map(str, metrics.best_matches(asked, e, "label", score).collect()))
