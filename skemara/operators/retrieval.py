@@ -27,6 +27,8 @@ FILLER = (
 )
 #: Queries, or distinct terms of queries, that meet a row at once.
 BLOCK = 256
+#: Rows that a token adds over all queries that ask for it, above which it counts as frequent; lists that the queries of a date are dealt to.
+FREQUENT, LISTS = 1_000_000, 16
 #: Bytes of query vectors, and of vectors, that meet in one task.
 QUERY_BYTES, PART_BYTES = 16 << 20, 64 << 20
 K1, B = 1.2, 0.75
@@ -83,18 +85,35 @@ def top(scores: DataFrame, k: int, *keys: str) -> DataFrame:
 def containment(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
     """Fallback: documents that contain a query's token as a substring, scored by the number of tokens.
 
-    The distinct tokens of all queries meet each text in blocks of BLOCK, so a
-    token is looked for once per text whatever the number of queries that have
-    it; what is found is joined back to its queries by equality.
+    A token has no other characters than words have, so it lies within one word:
+    the distinct words' substrings of the tokens' lengths meet the tokens by
+    equality, and documents meet the words that hold a token. Tokens that many
+    queries ask for and many documents hold are frequent; a document with none
+    of a query's other tokens is among its best only if it is among the best of
+    the query's frequent ones, and each set of these is answered once.
     """
     wanted = stored(queries.select("query_id", F.explode(search_terms(F.col("text"))).alias("term")).distinct(), "terms")
-    terms = wanted.select("term").distinct()
-    count = -(-terms.count() // BLOCK)
-    blocks = terms.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(max(1, count))).cast("int")).groupBy("block").agg(F.collect_list("term").alias("_t"))
-    met = meet_blocks(docs.select(key, F.lower("text").alias("_x")), blocks, count)
-    hits = met.select(key, F.explode(F.filter("_t", lambda t: F.contains(F.col("_x"), t))).alias("term"))
-    scores = hits.join(small(wanted), "term").groupBy("query_id", key).agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return top(scores, k, key)
+    lengths = sorted(r[0] for r in wanted.select(F.char_length("term")).distinct().collect())
+    words = docs.select(key, "text").withColumn("_r", F.monotonically_increasing_id()).select(key, "_r", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    # A substring of each length at each place, where the word goes on that far.
+    cuts = F.flatten(F.array(*(F.when(F.char_length("word") >= n, F.transform(F.sequence(F.lit(1), F.char_length("word") - n + 1), lambda i: F.substring("word", i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths))) if lengths else F.array().cast("array<string>")
+    held = words.select("word").distinct().select("word", F.explode(F.array_distinct(cuts)).alias("term")).join(small(wanted.select("term").distinct()), "term")
+    hits = stored(words.join(small(stored(held, "words")), "word").select("_r", key, "term").distinct().drop("_r"), "hits")
+    each = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(wanted.groupBy("term").agg(F.count(F.lit(1)).alias("asked")), "term")
+    often = each.filter((F.col("asked") > 1) & (F.col("df") * F.col("asked") > FREQUENT)).select("term", F.lit(True).alias("_f"))
+    terms = stored(wanted.join(small(often), "term", "left").withColumn("_f", F.coalesce("_f", F.lit(False))), "terms")
+
+    def summed(asked: DataFrame) -> DataFrame:
+        return hits.join(small(asked), "term").groupBy("query_id", key).agg(F.count(F.lit(1)).cast("double").alias("score"))
+
+    found = stored(summed(terms.filter("NOT _f").select("query_id", "term")), "found")
+    # Sets of frequent tokens, and who asks for them.
+    sets = stored(terms.filter("_f").groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("_s")), "sets")
+    alone = top(summed(sets.select(F.col("_s").alias("query_id"), F.explode("_s").alias("term")).distinct()), k, key).drop("rank")
+    rest = sets.join(alone.withColumnRenamed("query_id", "_s"), "_s").select("query_id", key, "score")
+    more = found.select("query_id", key).join(small(terms.filter("_f").select("query_id", "term")), "query_id").withColumnRenamed(key, "_key").join(hits.withColumnRenamed("term", "_t"), (F.col("term") == F.col("_t")) & F.col("_key").eqNullSafe(F.col(key))).groupBy("query_id", key).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    whole = found.unionByName(more).groupBy("query_id", key).agg(F.sum("score").alias("score"))
+    return top(whole.unionByName(rest).groupBy("query_id", key).agg(F.max("score").alias("score")), k, key)
 
 
 def exact_numbers(docs: DataFrame, queries: DataFrame, columns: list[str], key: str, most: int = 3) -> DataFrame:
@@ -109,15 +128,32 @@ def by_date(docs: DataFrame, dates: DataFrame, key: str, when: str) -> DataFrame
     """(query_id, key, score): rows of a query's date: 3 for the day, 2 for year and month, 1 for the month alone. `dates` has query_id, year, month, day with nulls.
 
     A row states its day, its month and its month of any year, and each
-    distinct statement meets the queries that ask for it by equality.
+    distinct statement meets the lists of queries that ask for it by equality.
+    A query that asks once meets a key with one date once, so these pairs, as
+    many as the result has, are written as they are found; the others are
+    summed up.
     """
     none = F.lit(0)
     kind = F.when(F.col("year").isNotNull() & F.col("day").isNotNull(), 3.0).when(F.col("year").isNotNull(), 2.0).when(F.col("day").isNull(), 1.0)
-    asked = dates.select("query_id", kind.alias("score"), F.coalesce("year", none).alias("y"), F.col("month").alias("m"), F.coalesce("day", none).alias("d")).filter("score IS NOT NULL")
-    y, m, d = F.year(when), F.month(when), F.day(when)
+    asked = dates.select("query_id", kind.alias("score"), F.coalesce("year", none).alias("y"), F.col("month").alias("m"), F.coalesce("day", none).alias("d")).filter("score IS NOT NULL AND m IS NOT NULL").distinct()
+    asked = stored(asked.join(asked.groupBy("query_id").agg((F.count(F.lit(1)) == 1).alias("_q")).withColumnRenamed("query_id", "_i"), F.col("query_id").eqNullSafe(F.col("_i"))).drop("_i"), "asked")
+    days = docs.select(key, F.to_date(when).alias("_d")).filter("_d IS NOT NULL").groupBy(key).agg(F.min("_d").alias("_d"), (F.min("_d") == F.max("_d")).alias("_k"))
+    y, m, d = F.year("_d"), F.month("_d"), F.day("_d")
     says = F.array(*(F.struct(F.lit(s).alias("score"), a.alias("y"), m.alias("m"), b.alias("d")) for s, a, b in ((3.0, y, d), (2.0, y, none), (1.0, none, none))))
-    said = docs.select(key, F.explode(says).alias("x")).select(key, "x.*")
-    return said.join(small(asked), ["score", "y", "m", "d"]).groupBy("query_id", key).agg(F.max("score").alias("score"))
+
+    def met(rows: DataFrame, part: DataFrame) -> DataFrame:
+        listed = part.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(LISTS))).groupBy("score", "y", "m", "d", "_b").agg(F.collect_list("query_id").alias("_l")).drop("_b")
+        return rows.select(key, F.explode(says).alias("x")).select(key, "x.*").join(small(listed), ["score", "y", "m", "d"]).select(F.explode("_l").alias("query_id"), key, "score")
+
+    found = met(days.filter("_k").drop("_k"), asked.filter("_q").drop("_q"))
+    several = stored(days.filter("NOT _k").select(F.col(key).alias("_key")), "several")
+    every = docs.select(key, F.to_date(when).alias("_d"))
+    rest = []
+    if not asked.filter("NOT _q").isEmpty():
+        rest.append(met(every, asked.filter("NOT _q").drop("_q")))
+    if not several.isEmpty():
+        rest.append(met(every.join(small(several), F.col(key).eqNullSafe(F.col("_key")), "left_semi"), asked.filter("_q").drop("_q")))
+    return reduce(lambda a, b: a.unionByName(b), [found, *(r.groupBy("query_id", key).agg(F.max("score").alias("score")) for r in rest)])
 
 
 def date_features(text: Column) -> Column:

@@ -48,3 +48,39 @@ def test_best_cosines_are_those_of_all_pairs(spark, monkeypatch):
     got = metrics.best_cosines(asked, e, "label")
     # A row that asks for several vectors (id 7 with repeats) has one best in both.
     assert sorted(map(str, got.collect())) == sorted(map(str, metrics.best_matches(asked, e, "label", score).collect()))
+
+
+def test_containment_is_that_of_each_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["alpha", "Alphabet", "beta_1", "tab", "12", "123", "bet", "ph"]
+    docs = [(rng.randrange(150), " ".join(rng.choices(words, k=rng.randrange(5)))) for _ in range(200)] + [(500, None), (None, "alphabet 123"), (501, "alpha-12\u0130x")]
+    asked = [(i, "the " + " ".join(rng.choices([*words[:4], "a", "1", "et", "pha", "i"], k=3))) for i in range(40)]
+    want = {}
+    for q, text in asked:
+        terms = {t for t in text.lower().split()} - set(retrieval.STOP)
+        scores = {}
+        for d, x in docs:
+            n = sum(t in (x or "").lower() for t in terms)
+            if n:
+                scores[d] = scores.get(d, 0) + n
+        for place, (d, n) in enumerate(sorted(scores.items(), key=lambda r: (-r[1], -1 if r[0] is None else r[0]))[:4]):
+            want[q, place + 1] = d, float(n)
+    frames = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(asked, "query_id int, text string")
+    for frequent in (1_000_000, 100, 0):
+        monkeypatch.setattr(retrieval, "FREQUENT", frequent)
+        assert {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in retrieval.containment(*frames, 4).collect()} == want
+
+
+def test_dates_of_repeated_keys_and_queries(spark):
+    docs = spark.createDataFrame([(1, "1994-03-05"), (1, "1994-03-06"), (2, "1994-03-05"), (2, "1994-03-05"), (3, "1995-03-01"), (4, None), (None, "1995-03-01")], "k int, day string").selectExpr("k", "CAST(day AS date) AS day")
+    dates = spark.createDataFrame([(1, 1994, 3, 5), (2, 1994, 3, None), (3, None, 3, None), (3, 1994, 3, 6), (4, None, 3, 5), (5, 1994, None, None), (2, 1994, 3, None)], "query_id int, year int, month int, day int")
+    got = sorted(((r.query_id, r.k, r.score) for r in retrieval.by_date(docs, dates, "k", "day").collect()), key=str)
+    assert got == sorted([(1, 1, 3.0), (1, 2, 3.0), (2, 1, 2.0), (2, 2, 2.0), (3, 1, 3.0), (3, 2, 1.0), (3, 3, 1.0), (3, None, 1.0)], key=str)
+
+
+def test_dates_are_met_without_a_shuffle_of_pairs(spark, capsys):
+    docs = spark.range(100).selectExpr("id AS k", "DATE'1994-01-01' AS day")
+    dates = spark.createDataFrame([(i, None, 1, None) for i in range(9)], "query_id int, year int, month int, day int")
+    retrieval.by_date(docs, dates, "k", "day").explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Generate explode(_l") < plan.index("Exchange")
