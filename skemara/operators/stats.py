@@ -151,7 +151,7 @@ def cell_times(unit: np.ndarray, size: np.ndarray, seed: int, reps: np.ndarray)
     return times
 
 
-def rank_replicates(records: DataFrame, values: tuple[str, ...] = ("correct",), reps: int = REPS, seed: int = 0, models: list[str] | None = None, key: str = "uid") -> DataFrame:
+def rank_replicates(records: DataFrame, values: tuple[str, ...] = ("correct",), reps: int = REPS, seed: int = 0, models: list[str] | None = None, key: str = "uid", pooled: bool = True) -> DataFrame:
     """(regime, rep, model, mean, rank) under a bootstrap of questions; each of `values` is a regime, and all regimes and models share a replicate's draws.
 
     Questions with the same values in all regimes of all models (models are few)
@@ -160,14 +160,15 @@ def rank_replicates(records: DataFrame, values: tuple[str, ...] = ("correct",),
     cell's least key number, so the work is cells x replicates, in numpy blocks
     within the tasks; a task sends on its sums per replicate. Means are taken to
     nine places, so that ties go by model. Keys are integers or texts. Records
-    must be aligned; a missing value counts 0.
+    must be aligned; a missing value counts 0. With pooled=False each question
+    is a cell of its own.
     """
     spark = records.sparkSession
     models = models or sorted(r[0] for r in records.select("model").distinct().collect())
     cells = [(v, m) for v in values for m in models]
     names = [f"v{k}" for k in range(len(cells))]
     wide = records.withColumn("_unit", key_number(records, key)).groupBy(key).agg(F.min("_unit").alias("_unit"), *(F.max(F.when(F.col("model") == m, F.col(v).cast("double"))).alias(n) for n, (v, m) in zip(names, cells, strict=True)))
-    sized = wide.groupBy(*names).agg(F.count(F.lit(1)).alias("_size"), F.min("_unit").alias("_unit"))
+    sized = wide.groupBy(*names).agg(F.count(F.lit(1)).alias("_size"), F.min("_unit").alias("_unit")) if pooled else wide.withColumn("_size", F.lit(1).cast("long"))
     shape = "rep long, n double, sums array<double>"
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +176,8 @@ def rank_replicates(records: DataFrame, values: tuple[str, ...] = ("correct",),
         for batch in batches:
             unit, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_unit", "_size"))
             value = np.stack([np.ones(len(unit)), *(np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in names)], 1)
-            # About four million draws at a time.
-            rows = 1 + (1 << 22) // max(1, reps)
+            # About half a million draws at a time.
+            rows = 1 + (1 << 19) // max(1, reps)
             for low in range(0, len(unit), rows):
                 part = slice(low, low + rows)
                 total += cell_times(unit[part], size[part], seed, np.arange(reps)).T @ value[part]

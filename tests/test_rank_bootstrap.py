@@ -87,3 +87,12 @@ def test_no_rows(spark):
     df = spark.createDataFrame([], "uid string, cls string, model string, correct boolean")
     assert quota.round_robin(df, "cls", "uid", 5).count() == quota.even_cap(df, "cls", "uid", 5, 1).count() == 0
     assert stats.rank_replicates(df, ("correct",), 5, models=["a"]).count() == 0
+
+
+def test_every_question_is_drawn(spark):
+    """Not pooled: equal questions are drawn one by one, each at its own hash."""
+    records = spark.range(40).selectExpr("id AS uid", "id % 4 = 0 AS correct").crossJoin(spark.createDataFrame([("a",), ("b",)], "model string"))
+    got = {(r.rep, r.model): r["mean"] for r in stats.rank_replicates(records, ("correct",), 30, 3, pooled=False).collect()}
+    draws = stats.cell_times(np.arange(40), np.ones(40, np.int64), 3, np.arange(30))
+    want = (draws * (np.arange(40) % 4 == 0)[:, None]).sum(0) / draws.sum(0)
+    assert got == {(k, m): pytest.approx(want[k], abs=1e-9) for k in range(30) for m in "ab"}
