@@ -29,6 +29,8 @@ FILLER = (
 BLOCK = 256
 #: Rows that a token adds over all queries that ask for it, above which it counts as frequent; lists that the queries of a date are dealt to.
 FREQUENT, LISTS = 1_000_000, 16
+#: Postings that a task sums up.
+POSTINGS_PER_TASK = 250_000
 #: Bytes of query vectors, and of vectors, that meet in one task.
 QUERY_BYTES, PART_BYTES = 16 << 20, 64 << 20
 K1, B = 1.2, 0.75
@@ -54,24 +56,31 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, key, score, rank): the k best documents per query, ties by key. `queries` has query_id, text and maybe weights per term (term, weight).
 
-    Texts are split once: each word is looked up among the queries' terms where
-    it is read, and only the counts of terms, and one count of all other words
-    per document, are shuffled and stored.
+    Texts are split once and their words counted where they are read: a row's
+    words are sorted, and each run of equal ones is a posting if it is a term of
+    a query. Only those are stored. They are dealt by document, about
+    POSTINGS_PER_TASK to a task, so what a task sums up does not grow with the texts.
     """
     wanted = queries.select("query_id", F.explode(search_terms(F.col("text"))).alias("term")) if "term" not in queries.columns else queries
     if "weight" not in wanted.columns:
         wanted = wanted.withColumn("weight", F.lit(1.0))
     wanted = stored(wanted, "terms")
-    words = docs.select(key, tokens(F.col(text)).alias("_w")).select(key, F.size("_w").cast("long").alias("dl"), F.explode("_w").alias("term"))
-    marked = words.join(small(wanted.select("term", F.lit(True).alias("_t")).distinct()), "term", "left").select(key, "dl", F.when(F.col("_t"), F.col("term")).alias("term"))
-    held = stored(marked.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    n = docs.count()
-    length = (held.agg(F.sum("tf")).first()[0] or 0) / max(1, n) or 1.0
-    hit = held.filter("term IS NOT NULL")
+    split = docs.select(key, tokens(F.col(text)).alias("_w"))
+    n, words = split.agg(F.count(F.lit(1)), F.sum(F.size("_w"))).first()
+    length = (words or 0) / max(1, n) or 1.0
+    rows = split.filter(F.size("_w") > 0).select(key, F.size("_w").cast("long").alias("dl"), F.sort_array("_w").alias("_s"))
+    rows = rows.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))))
+    runs_of = F.transform("_at", lambda i, at: F.struct(F.get("_s", i).alias("term"), (F.coalesce(F.get("_at", at + 1), F.size("_s")) - i).cast("long").alias("tf")))
+    hit = rows.select(key, "dl", F.explode(runs_of).alias("x")).select(key, "dl", "x.term", "x.tf").join(small(wanted.select("term").distinct()), "term", "left_semi")
+    # Rows of one key and length count as one document.
+    if not docs.groupBy(key).count().filter("count > 1").isEmpty():
+        hit = hit.groupBy(key, "dl", "term").agg(F.sum("tf").alias("tf"))
+    hit = stored(hit, "postings")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(length)))) * F.col("weight")
-    scores = hit.join(df, "term").join(wanted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    dealt = hit.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hit.count() // POSTINGS_PER_TASK)), key)
+    scores = dealt.join(small(stored(wanted.join(df, "term"), "weights")), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
     return top(scores, k, key)
 
 

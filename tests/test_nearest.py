@@ -84,3 +84,13 @@ def test_dates_are_met_without_a_shuffle_of_pairs(spark, capsys):
     retrieval.by_date(docs, dates, "k", "day").explain()
     plan = capsys.readouterr().out
     assert plan.index("Generate explode(_l") < plan.index("Exchange")
+
+
+def test_bm25_deals_documents_by_their_postings(spark, monkeypatch):
+    """Rows of one key and length count as one document; many postings are many tasks'."""
+    docs = spark.createDataFrame([(1, "red red blue"), (1, "red blue blue"), (2, "red"), (3, ""), (4, None), (5, "green blue sky")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "the red sky"), (2, "blue")], "query_id int, text string")
+    monkeypatch.setattr(retrieval, "POSTINGS_PER_TASK", 1)
+    got = {(r.query_id, r.doc_id): r.score for r in retrieval.bm25(docs, asked).collect()}
+    weight = lambda n, tf, dl: math.log((6 - n + 0.5) / (n + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (10 / 6)))
+    assert got == pytest.approx({(1, 1): weight(2, 3, 3), (1, 2): weight(2, 1, 1), (1, 5): weight(1, 1, 3), (2, 1): weight(2, 3, 3), (2, 5): weight(2, 1, 3)})
