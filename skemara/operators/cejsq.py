@@ -90,8 +90,8 @@ def joined(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool, c
     return out
 
 
-def join_size(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One row: the exact number of rows of the join, by passing counts from the leaves to the target; the join is never made."""
+def _weighed(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the first table with _w, how many rows of the join each stands for, by passing counts from the leaves to it; the join is never made."""
     def weigh(i: int, weight: DataFrame, on: str) -> DataFrame:
         """Rows of table `on` with the product of weights of what hangs below."""
         pairs = links(schema, on, names[i], keys[i - 1] if keys else None)
@@ -111,7 +111,17 @@ def join_size(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool
             pairs, sums = weigh(i, out, names[i - 1])
             out = tables[names[i - 1]].join(sums, reduce(lambda x, y: x & y, (F.col(a) == F.col(f"_k{k}") for k, (a, _) in enumerate(pairs)))).withColumn("_w", F.col("_s").cast("decimal(38,0)"))
             out = out.drop("_s", *(f"_k{k}" for k in range(len(pairs))))
-    return out.agg(F.coalesce(F.sum("_w"), F.lit(0)).cast("long").alias("rows"))
+    return out
+
+
+def join_size(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row: the exact number of rows of the join, which is never made."""
+    return _weighed(tables, schema, names, star, keys).agg(F.coalesce(F.sum("_w"), F.lit(0)).cast("long").alias("rows"))
+
+
+def join_sizes(tables: Tables, schema: Schema, names: tuple[str, ...], star: bool, by: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n): the exact number of rows of the join per value of columns of its first table; the join is never made."""
+    return _weighed(tables, schema, names, star, keys).groupBy(*by).agg(F.sum("_w").cast("long").alias("n"))
 
 
 def small_enough(tables: Tables, schema: Schema, structures: list[tuple[tuple[str, ...], bool]], most: int = MAX_ROWS) -> list[tuple[tuple[str, ...], bool]]:
