@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from skemara.functions.scalar import PRIME, key_number, mix
 from skemara.operators.quota import hash_ranked
-from skemara.sources.scratch import stored
+from skemara.sources.scratch import dealt, stored
 
 #: Replicates of a bootstrap.
 REPS = 10_000
@@ -26,11 +26,17 @@ POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 
 
 def aligned(records: DataFrame, key: str = "uid", model: str = "model") -> DataFrame:
-    """The records of questions that every model has evaluated ok."""
-    ok = records.filter("status = 'ok'")
+    """The records of questions that every model has evaluated ok.
+
+    They are made once and stored, before and after the questions are chosen,
+    so what reads them several times neither makes them again nor holds the
+    buffers of all its joins in one task.
+    """
+    ok = stored(records.filter("status = 'ok'"), "records")
     models = ok.select(model).distinct().count()
-    common = ok.groupBy(key).agg(F.countDistinct(model).alias("_m")).filter(F.col("_m") == models).select(key)
-    return ok.join(common, key, "left_semi")
+    met = dealt(ok, key)
+    common = met.groupBy(key).agg(F.countDistinct(model).alias("_m")).filter(F.col("_m") == models).select(key)
+    return stored(met.join(common, key, "left_semi"), "aligned")
 
 
 def accuracy(records: DataFrame, *by: str) -> DataFrame:
@@ -44,8 +50,10 @@ def spread(records: DataFrame, ceiling: float = 0.9) -> DataFrame:
 
 def paired(records: DataFrame, value: str = "correct", key: str = "uid", cluster: str = "db_id") -> DataFrame:
     """(a, b, uid, cluster, d) for each pair of models a < b: the difference of their values on each question."""
+    records = dealt(records, key)
     side = lambda n: records.select(F.col("model").alias(n), key, F.col(cluster).alias(f"_{n}"), F.col(value).cast("double").alias(f"v{n}"))
-    return side("a").join(side("b"), key).filter("a < b").select("a", "b", key, F.col("_a").alias("cluster"), (F.col("va") - F.col("vb")).alias("d"))
+    # Read by sizes and by the bootstrap; hence stored.
+    return stored(side("a").join(side("b"), key).filter("a < b").select("a", "b", key, F.col("_a").alias("cluster"), (F.col("va") - F.col("vb")).alias("d")), "differences")
 
 
 def cohen_d(diffs: DataFrame) -> DataFrame:
@@ -250,8 +258,8 @@ def compare_forms(tables: dict[str, DataFrame], keys: list[str], by: list[str])
 
 def certified(records: DataFrame) -> DataFrame:
     """The records of questions that at least one model solves."""
-    solved = records.filter("correct").select("uid").distinct()
-    return records.join(solved, "uid", "left_semi")
+    met = dealt(records, "uid")
+    return met.join(met.filter("correct").select("uid").distinct(), "uid", "left_semi")
 
 
 def unsolved(records: DataFrame) -> DataFrame:
@@ -287,5 +295,5 @@ def power_draws(records: DataFrame, size: int, reps: int, seed: int = 0, key: st
 
     Each replicate ranks stretches of the hash's range apart (see quota.hash_ranked), so none is one task's.
     """
-    ids = records.select(key).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    ids = stored(records.select(key).distinct(), "questions").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     return hash_ranked(ids, ["rep"], key, seed, F.col("rep")).filter(F.col("_r") <= size).select("rep", key)

@@ -1,6 +1,8 @@
 """Work and memory of a query grow no faster than its input."""
 
 from skemara import registry
+from skemara.operators import stats
+from skemara.sources.scratch import dealt
 
 
 def write(df, folder, name):
@@ -17,3 +19,15 @@ def test_star_join_is_counted_without_its_rows(spark, tmp_path):
         write(spark.range(1), tmp_path, t)
     got = {r.n_nationkey: r.n for r in registry.queries()["j2_star_join"](spark, str(tmp_path)).collect()}
     assert got == {1: 400_000**2, 2: 2}
+
+
+def test_aligned_records_are_made_once_and_dealt_by_their_number(spark):
+    """A question with a failed model, one that a model lacks, a null one and a repeated record; what is read again is a stored table."""
+    rows = [(1, "a", "x", "ok", True), (1, "b", "x", "ok", False), (2, "a", "x", "ok", True), (2, "b", "x", "api_error", True), (3, "a", "y", "ok", True), (None, "a", "y", "ok", True), (None, "b", "y", "ok", True), (4, "a", "y", "ok", False), (4, "b", "y", "ok", True), (4, "b", "y", "ok", True)]
+    records = spark.createDataFrame(rows, "uid long, model string, db_id string, status string, correct boolean")
+    found = stats.aligned(records)
+    assert sorted((r.uid, r.model) for r in found.collect()) == [(1, "a"), (1, "b"), (4, "a"), (4, "b"), (4, "b")]
+    pairs = stats.paired(found)
+    assert sorted((r.uid, r.d) for r in pairs.collect()) == [(1, 1.0), (4, -1.0), (4, -1.0)]
+    assert all("/aligned-" in f for f in found.inputFiles()) and all("/differences-" in f for f in pairs.inputFiles()) and found.inputFiles() and pairs.inputFiles()
+    assert dealt(spark.range(100), "id", rows=10).rdd.getNumPartitions() == 10
