@@ -94,7 +94,16 @@ def normal_question(text: Column) -> Column:
 
 def normal_sql(sql: Column) -> Column:
     """Lower case, single spaces, no semicolon at the end, AND terms of the condition in order."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower(sql), r"\s+", " "), r"[ ;]+$", ""))
+    return ordered_terms(flat_sql(sql))
+
+
+def flat_sql(sql: Column) -> Column:
+    """Lower case, single spaces, no semicolon at the end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sql), r"\s+", " "), r"[ ;]+$", ""))
+
+
+def ordered_terms(flat: Column) -> Column:
+    """A flat statement with the AND terms of its condition in order."""
     head, body = F.regexp_extract(flat, r"^(.*?) where (.*)$", 1), F.regexp_extract(flat, r"^(.*?) where (.*)$", 2)
     return F.when(body == "", flat).otherwise(F.concat(head, F.lit(" where "), F.array_join(F.array_sort(F.split(body, " and ")), " and ")))
 

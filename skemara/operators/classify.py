@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,11 @@ def exclusion(sql: Column) -> Column:
 
 
 def where_body(sql: Column) -> Column:
-    return F.regexp_extract(flat(sql), r"(?i)\bwhere\b (.*?)(?= (?:group by|order by|having|limit|union|intersect|except)\b|;|$)", 1)
+    return _where(flat(sql))
+
+
+def _where(flat: Column) -> Column:
+    return F.regexp_extract(flat, r"(?i)\bwhere\b (.*?)(?= (?:group by|order by|having|limit|union|intersect|except)\b|;|$)", 1)
 
 
 def condition_count(sql: Column) -> Column:
@@ -74,7 +80,11 @@ def rough_pattern(joins: Column) -> Column:
 
 def tables_of(sql: Column) -> Column:
     """Tables after FROM and JOIN in order, lower-case, repeats kept."""
-    return F.transform(F.regexp_extract_all(flat(sql), F.lit(r"(?i)\b(?:from|join|update|into) ([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)), F.lower)
+    return _tables(flat(sql))
+
+
+def _tables(flat: Column) -> Column:
+    return F.transform(F.regexp_extract_all(flat, F.lit(r"(?i)\b(?:from|join|update|into) ([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)), F.lower)
 
 
 def alias_pairs(sql: Column) -> Column:
@@ -86,8 +96,11 @@ def alias_pairs(sql: Column) -> Column:
 
 def predicates(sql: Column) -> Column:
     """"column op" of each condition, lower-case, in order; columns keep their alias."""
+    return _predicates(where_body(sql))
+
+
+def _predicates(body: Column) -> Column:
     pattern = F.lit(r"([A-Za-z_][A-Za-z0-9_.]*) ?(>=|<=|<>|!=|=|>|<|(?i:like)) ?")
-    body = where_body(sql)
     return F.zip_with(F.regexp_extract_all(body, pattern, F.lit(1)), F.regexp_extract_all(body, pattern, F.lit(2)), lambda c, o: F.concat(F.lower(c), F.lit(" "), F.lower(o)))
 
 
@@ -135,16 +148,38 @@ def reasoning(pattern: Column, tables: Column, conditions: Column, columns: Colu
 
 def failure_category(gold: Column, pred: Column) -> Column:
     """First of: join_path, missing_predicate, extra_predicate, operator, value, other."""
-    gt, pt = F.array_sort(tables_of(gold)), F.array_sort(tables_of(pred))
-    gp, pp = predicates(gold), predicates(pred)
-    cols = lambda x: F.array_sort(F.transform(x, lambda p: F.regexp_extract(p, r"^(?:\w+\.)?(\w+) ", 1)))
-    bare = lambda x: F.array_sort(F.transform(x, lambda p: F.regexp_replace(p, r"^\w+\.", "")))
+    x, y = ({"tables": F.array_sort(tables_of(s)), "predicates": predicates(s), "values": flat_values(s)} for s in (gold, pred))
+    return _category(*((lambda k, d=d: d[k] if k in d else _OF_PREDICATES[k](d["predicates"])) for d in (x, y)))
+
+
+#: Sorted columns of predicates, and predicates without their aliases, sorted.
+_OF_PREDICATES = {
+    "columns": lambda x: F.array_sort(F.transform(x, lambda p: F.regexp_extract(p, r"^(?:\w+\.)?(\w+) ", 1))),
+    "bare": lambda x: F.array_sort(F.transform(x, lambda p: F.regexp_replace(p, r"^\w+\.", ""))),
+}
+
+
+def _category(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """failure_category from what is taken of the gold and the predicted statement, by name."""
+    gt, pt, gp, pp = x("tables"), y("tables"), x("predicates"), y("predicates")
     return (
         F.when((F.size(pt) == 0) | (F.size(gt) == 0), "other").when(gt != pt, "join_path").when(F.size(pp) < F.size(gp), "missing_predicate").when(F.size(pp) > F.size(gp), "extra_predicate")
-        .when(cols(gp) != cols(pp), "other").when(bare(gp) != bare(pp), "operator").when(flat_values(gold) != flat_values(pred), "value").otherwise("other")
+        .when(x("columns") != y("columns"), "other").when(x("bare") != y("bare"), "operator").when(x("values") != y("values"), "value").otherwise("other")
     )
 
 
+def failures(pairs: DataFrame, gold: str, pred: str) -> DataFrame:
+    """`pairs` with category, as failure_category; what it reads of a statement is taken once, column after column."""
+    sides = (gold, pred)
+    name = lambda side, part: f"_{sides.index(side)}_{part}"
+    out = pairs.withColumns({name(s, "flat"): flat(F.col(s)) for s in sides} | {name(s, "values"): flat_values(F.col(s)) for s in sides})
+    out = out.withColumns({name(s, "tables"): F.array_sort(_tables(F.col(name(s, "flat")))) for s in sides} | {name(s, "body"): _where(F.col(name(s, "flat"))) for s in sides})
+    out = out.withColumns({name(s, "predicates"): _predicates(F.col(name(s, "body"))) for s in sides})
+    out = out.withColumns({name(s, k): f(F.col(name(s, "predicates"))) for s in sides for k, f in _OF_PREDICATES.items()})
+    x, y = (lambda part, s=s: F.col(name(s, part)) for s in sides)
+    return out.select(*(F.col(f"`{c}`") for c in pairs.columns), _category(x, y).alias("category"))
+
+
 def flat_values(sql: Column) -> Column:
     """Literals of the condition in order of text."""
     return F.array_sort(F.regexp_extract_all(F.regexp_replace(sql, r"\s+", " "), F.lit(r"(?:>=|<=|<>|!=|=|>|<) ?('[^']*'|\d+(?:\.\d+)?)"), F.lit(1)))

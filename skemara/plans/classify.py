@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skemara.operators import classify as K
 from skemara.operators.metrics import CLAUSES, components
 from skemara.operators.quota import group_split
-from skemara.plans.derived import RECORDS_SQL, STATEMENTS_SQL, records, statements
+from skemara.plans.derived import RECORDS_SQL, STATEMENTS_SQL, records, statement_pairs, statements
 from skemara.plans.metrics import clause_parts
 from skemara.registry import query
 
@@ -150,10 +150,8 @@ def _taken(x: str) -> str:
 WHEN gc <> pc THEN 'other' WHEN go <> po THEN 'operator' WHEN gv <> pv THEN 'value' ELSE 'other' END AS category FROM x""")
 def k20_failures(spark: SparkSession, sf: str) -> DataFrame:
     """Of all statements, each against itself, the next of its shape or one of another shape."""
-    s = statements(spark, sf)
-    other = s.select(F.col("sql_id").alias("_o"), F.col("sql").alias("pred"))
-    gold = s.select("sql_id", F.col("sql").alias("gold"), (F.col("sql_id") + F.element_at(F.array(F.lit(0), F.lit(14), F.lit(1)), (F.col("sql_id") % 3 + 1).cast("int"))).alias("_o"))
-    return gold.join(other, "_o").select("sql_id", K.failure_category(F.col("gold"), F.col("pred")).alias("category"))
+    step = F.element_at(F.array(F.lit(0), F.lit(14), F.lit(1)), (F.col("sql_id") % 3 + 1).cast("int"))
+    return K.failures(statement_pairs(spark, sf, step), "gold", "pred").select("sql_id", "category")
 
 
 @query(f"WITH {_D} SELECT sql_id, CASE WHEN n >= 3 OR (rich AND n >= 2) THEN 'complex' WHEN n = 2 OR rich THEN 'medium' ELSE 'simple' END AS complexity FROM (SELECT sql_id, len(list_distinct(tables)) AS n, regexp_matches(f, '(?i)\\b(group by|having|union|intersect|except)\\b|\\(\\s*select\\b|\\b(count|sum|avg|min|max)\\s*\\(') AS rich FROM e)")

@@ -5,15 +5,18 @@ Each comes as a DataFrame and as SQL text that gives the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemara.functions.scalar import mix_sql
 from skemara.registry import table
+from skemara.sources.scratch import dealt
 
 MODELS = ("ash", "birch", "cedar", "dogwood")
 PATTERNS = ("0", "1p", "2p", "3p", "2i", "3i", "4i")
 TIERS = ("E", "M", "H")
+#: Statements of a task, on each side of a pair.
+STATEMENTS = 100_000
 #: Per cent of questions that a model of each place answers.
 SKILL = (90, 84, 83, 70)
 
@@ -86,5 +89,17 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT * FROM " + _statements_sql("{orders}"), orders=table(spark, sf_dir, "orders"))
 
 
+def statement_pairs(spark: SparkSession, sf_dir: str, step: Column) -> DataFrame:
+    """(sql_id, gold, pred): each statement with the one whose id is `step` higher.
+
+    Both sides are dealt by id to tasks of a bounded number of statements, as
+    what is done with a pair is much work on little data.
+    """
+    s = statements(spark, sf_dir)
+    gold = s.select("sql_id", F.col("sql").alias("gold"), (F.col("sql_id") + step).alias("_o"))
+    other = s.select(F.col("sql_id").alias("_o"), F.col("sql").alias("pred"))
+    return dealt(gold, "_o", rows=STATEMENTS).join(dealt(other, "_o", rows=STATEMENTS), "_o").drop("_o")
+
+
 def exploded_tokens(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("*", F.explode(F.split(text, " ")).alias("token"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skemara.functions.scalar import mix_sql
 from skemara.operators import metrics as M
-from skemara.plans.derived import RECORDS_SQL, STATEMENTS_SQL, records, statements
+from skemara.plans.derived import RECORDS_SQL, STATEMENTS_SQL, records, statement_pairs
 from skemara.registry import query, table
 
 # A question per customer: gold are its orders' priorities; the prediction loses, doubles and adds some.
@@ -86,10 +86,7 @@ _PAIRS = f"(SELECT a.sql_id, a.sql AS gold, b.sql AS pred FROM {STATEMENTS_SQL}
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Gold and predicted statements: the same one, or the next of its shape."""
-    s = statements(spark, sf)
-    other = s.select(F.col("sql_id").alias("_o"), F.col("sql").alias("pred"))
-    gold = s.select("sql_id", F.col("sql").alias("gold"), (F.col("sql_id") + F.when(F.col("sql_id") % 3 == 0, 0).otherwise(14)).alias("_o"))
-    return gold.join(other, "_o").drop("_o")
+    return statement_pairs(spark, sf, F.when(F.col("sql_id") % 3 == 0, 0).otherwise(14))
 
 
 def _norm(x: str) -> str:

@@ -1,7 +1,13 @@
 """Work and memory of a query grow no faster than its input."""
 
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from skemara import registry
-from skemara.operators import stats
+from skemara.operators import classify, metrics, stats
+from skemara.plans import derived
 from skemara.sources.scratch import dealt
 
 
@@ -31,3 +37,57 @@ def test_aligned_records_are_made_once_and_dealt_by_their_number(spark):
     assert sorted((r.uid, r.d) for r in pairs.collect()) == [(1, 1.0), (4, -1.0), (4, -1.0)]
     assert all("/aligned-" in f for f in found.inputFiles()) and all("/differences-" in f for f in pairs.inputFiles()) and found.inputFiles() and pairs.inputFiles()
     assert dealt(spark.range(100), "id", rows=10).rdd.getNumPartitions() == 10
+
+
+STATEMENTS = [
+    "SELECT o.a FROM orders AS o WHERE o.b > 5 AND o.c = 'x y'", "select a from orders where b >= 5;", "SELECT a, b FROM orders WHERE b >= 6 GROUP BY a ORDER BY b", "SELECT a FROM customer", "",
+    "UPDATE orders SET a = 5 WHERE k = 2", "SELECT n.a FROM nation AS n JOIN orders AS o ON o.k = n.k WHERE o.b < 5 and n.c LIKE 'a%' and n.c LIKE 'a%'", "SELECT a FROM orders WHERE c <> 5",
+]
+
+
+def statement_table(spark):
+    return spark.createDataFrame([(i * 100 + j, x, y) for i, x in enumerate([*STATEMENTS, None]) for j, y in enumerate([*STATEMENTS, None])], "k int, gold string, pred string")
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_failures_take_each_statement_apart_once(spark):
+    df = statement_table(spark)
+    found = classify.failures(df, "gold", "pred")
+    want = df.select("k", classify.failure_category(F.col("gold"), F.col("pred")).alias("category"))
+    assert sorted(found.select("k", "category").collect()) == sorted(want.collect()) and len({r.category for r in want.collect()}) > 4
+    assert plan(found).count("group by|order by|having") == 2 and plan(want).count("group by|order by|having") > 2
+
+
+def test_text_metrics_take_each_statement_apart_once(spark):
+    df = statement_table(spark)
+    found = metrics.text_metrics(df, "gold", "pred")
+    parts = {side: metrics.components(F.col(side)) for side in ("gold", "pred")}
+    text = plan(found)
+    assert all(text.count(rf"\b{c}\b (.*?)") == 2 for c in metrics.CLAUSES)
+    sets = {r.k: r for r in df.select("k", *(v.alias(f"{s}_{c}") for s, d in parts.items() for c, v in d.items())).collect()}
+    for r in found.filter("gold IS NOT NULL AND pred IS NOT NULL").collect():
+        each = [(set(sets[r.k][f"gold_{c}"]), set(sets[r.k][f"pred_{c}"])) for c in metrics.CLAUSES]
+        assert abs(r.clause_jaccard - sum(len(x & y) / len(x | y) if x | y else 1.0 for x, y in each) / 5) < 1e-12
+        assert abs(r.component_f1 - sum(2 * len(x & y) / (len(x) + len(y)) if x | y else 1.0 for x, y in each) / 5) < 1e-12
+
+
+def test_tokens_are_counted_without_a_shuffle(spark):
+    df = statement_table(spark).unionByName(spark.createDataFrame([(9001, "a a b", "a b b"), (9002, "a a a", "a a"), (9003, "?", ""), (9004, "b", None)], "k int, gold string, pred string"))
+    found = metrics.token_f1(df, ["k"], "gold", "pred")
+    assert "Aggregate" not in plan(found) and "Join" not in plan(found)
+    got = {r.k: r.f1 for r in found.collect()}
+    for r in df.collect():
+        g, p = (Counter(re.findall("[a-z0-9_]+", (x or "").lower())) for x in (r.gold, r.pred))
+        h = (g & p).total()
+        assert abs(got[r.k] - (2 * h / (g.total() + p.total()) if h else 0.0)) < 1e-12
+    assert metrics.token_f1(df.limit(0), ["k"], "gold", "pred").count() == 0
+
+
+def test_statement_pairs_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(derived, "STATEMENTS", 10)
+    write(spark.range(200).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "'F' AS o_orderstatus", "1D AS o_totalprice"), tmp_path, "orders")
+    found = derived.statement_pairs(spark, str(tmp_path), F.lit(1))
+    assert sorted(r.sql_id for r in found.collect()) == list(range(199)) and plan(found).count("RepartitionByExpression") == 2 and ", 20" in plan(found)
