@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from skemara import registry
-from skemara.operators import classify, metrics, stats
+from skemara.operators import catalog, classify, metrics, stats
 from skemara.plans import derived
 from skemara.sources.scratch import dealt
 
@@ -91,3 +91,23 @@ def test_statement_pairs_are_dealt_by_their_number(spark, tmp_path, monkeypatch)
     write(spark.range(200).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "'F' AS o_orderstatus", "1D AS o_totalprice"), tmp_path, "orders")
     found = derived.statement_pairs(spark, str(tmp_path), F.lit(1))
     assert sorted(r.sql_id for r in found.collect()) == list(range(199)) and plan(found).count("RepartitionByExpression") == 2 and ", 20" in plan(found)
+
+
+def test_capabilities_profile_once(spark, sf_dir, monkeypatch):
+    calls = []
+    profile = catalog.profile
+    monkeypatch.setattr(catalog, "profile", lambda *a, **b: calls.append(1) or profile(*a, **b))
+    assert registry.queries()["c5_c6_capabilities"](spark, sf_dir).count() == 4 and len(calls) == 1
+
+
+def test_values_of_columns_meet_in_one_aggregate(spark, monkeypatch):
+    """No join by value and no row per column of a row; the same in lots of few columns."""
+    tables = {"p": spark.range(100).selectExpr("id AS k", "CAST(id AS string) AS s"), "c": spark.range(400).selectExpr("CASE WHEN id % 9 > 0 THEN id DIV 3 END AS k", "CAST(id % 50 AS int) AS few", "CAST(id + 90 AS string) AS s")}
+    pairs = [("c", "k", "p", "k"), ("c", "few", "p", "k"), ("c", "k", "c", "few"), ("c", "few", "p", "s"), ("c", "s", "p", "s"), ("c", "s", "p", "k")]
+    found = catalog.overlap_pairs(tables, pairs)
+    assert "Generate" not in plan(found) and plan(found).count("Join") == plan(found).count("Join Cross")
+    sets = {(t, c): {str(r[0]) for r in tables[t].select(c).collect() if r[0] is not None} for t in tables for c in tables[t].columns}
+    want = {p: (len(sets[p[:2]] & sets[p[2:]]) / len(sets[p[:2]]), len(sets[p[:2]]), len(sets[p[2:]])) for p in pairs}
+    assert {tuple(r)[:4]: tuple(r)[4:] for r in found.collect()} == want
+    monkeypatch.setattr(catalog, "BITS", 2)
+    assert {tuple(r)[:4]: tuple(r)[4:] for r in catalog.overlap_pairs(tables, pairs).collect()} == want
