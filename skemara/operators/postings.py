@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skemara.functions.scalar import tokens
-from skemara.operators.retrieval import K1, B, search_terms, top
+from skemara.operators.retrieval import K1, B, row_counts, search_terms, top
 from skemara.sources.scratch import listing, scratch, small, stored
 
 #: Parts that terms are dealt to, bands of a term's weights, and terms whose parts are named to the scan.
@@ -82,7 +82,9 @@ def _write(index: Index, words: DataFrame, gone: DataFrame | None) -> Index:
     came = words.select("key", version.alias("version"), "dl", F.lit(1).alias("sign"))
     n, total = came.agg(F.count(F.lit(1)), F.sum("dl")).first()
     mean = (index.size()[1] if index.generations else 0) or (total or 0) / max(1, n) or 1.0
-    counts = words.select("key", "dl", F.explode("_w").alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = row_counts(words, "key")
+    if not words.groupBy("key", "dl").count().filter("count > 1").isEmpty():
+        counts = counts.groupBy("key", "dl", "term").agg(F.sum("tf").alias("tf"))
     weight = impact(F.col("tf"), F.col("dl"), mean)
     band = (BANDS - 1 - F.least(F.lit(BANDS - 1), F.floor(weight * BANDS / (K1 + 1)))).cast("int")
     part = F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")

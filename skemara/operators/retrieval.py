@@ -53,6 +53,14 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return words.select(key, "dl", F.explode("_w").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def row_counts(words: DataFrame, key: str) -> DataFrame:
+    """(key, dl, term, tf): how often each word is in a row's `_w`: the runs of its sorted words, so nothing is shuffled."""
+    rows = words.filter(F.size("_w") > 0).select(key, "dl", F.sort_array("_w").alias("_s"))
+    rows = rows.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))))
+    runs_of = F.transform("_at", lambda i, at: F.struct(F.get("_s", i).alias("term"), (F.coalesce(F.get("_at", at + 1), F.size("_s")) - i).cast("long").alias("tf")))
+    return rows.select(key, "dl", F.explode(runs_of).alias("x")).select(key, "dl", "x.term", "x.tf")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, key, score, rank): the k best documents per query, ties by key. `queries` has query_id, text and maybe weights per term (term, weight).
 
@@ -68,10 +76,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     split = docs.select(key, tokens(F.col(text)).alias("_w"))
     n, words = split.agg(F.count(F.lit(1)), F.sum(F.size("_w"))).first()
     length = (words or 0) / max(1, n) or 1.0
-    rows = split.filter(F.size("_w") > 0).select(key, F.size("_w").cast("long").alias("dl"), F.sort_array("_w").alias("_s"))
-    rows = rows.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))))
-    runs_of = F.transform("_at", lambda i, at: F.struct(F.get("_s", i).alias("term"), (F.coalesce(F.get("_at", at + 1), F.size("_s")) - i).cast("long").alias("tf")))
-    hit = rows.select(key, "dl", F.explode(runs_of).alias("x")).select(key, "dl", "x.term", "x.tf").join(small(wanted.select("term").distinct()), "term", "left_semi")
+    hit = row_counts(split.withColumn("dl", F.size("_w").cast("long")), key).join(small(wanted.select("term").distinct()), "term", "left_semi")
     # Rows of one key and length count as one document.
     if not docs.groupBy(key).count().filter("count > 1").isEmpty():
         hit = hit.groupBy(key, "dl", "term").agg(F.sum("tf").alias("tf"))

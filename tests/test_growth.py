@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from skemara import registry
-from skemara.operators import catalog, classify, metrics, stats
+from skemara.operators import catalog, classify, metrics, retrieval, stats
 from skemara.plans import derived
 from skemara.sources.scratch import dealt
 
@@ -111,3 +111,9 @@ def test_values_of_columns_meet_in_one_aggregate(spark, monkeypatch):
     assert {tuple(r)[:4]: tuple(r)[4:] for r in found.collect()} == want
     monkeypatch.setattr(catalog, "BITS", 2)
     assert {tuple(r)[:4]: tuple(r)[4:] for r in catalog.overlap_pairs(tables, pairs).collect()} == want
+
+
+def test_words_are_counted_in_their_row(spark):
+    words = spark.createDataFrame([(1, 4, ["b", "a", "b", "b"]), (2, 0, []), (3, 1, ["c"])], "key int, dl long, _w array<string>")
+    found = retrieval.row_counts(words, "key")
+    assert sorted(map(tuple, found.collect())) == [(1, 4, "a", 1), (1, 4, "b", 3), (3, 1, "c", 1)] and "Aggregate" not in plan(found)
