@@ -33,6 +33,8 @@ FREQUENT, LISTS = 1_000_000, 16
 POSTINGS_PER_TASK = 250_000
 #: Bytes of query vectors, and of vectors, that meet in one task.
 QUERY_BYTES, PART_BYTES = 16 << 20, 64 << 20
+#: Queries and vectors of a tile of products, which stays in a core's cache.
+ROWS, COLUMNS = 256, 2048
 K1, B = 1.2, 0.75
 
 
@@ -282,12 +284,15 @@ def pairs(vectors: DataFrame, queries: DataFrame, k: int, measure: str, key: str
     d = q.agg(F.max(F.when(F.col("vector").isNotNull(), F.size("vector")))).first()[0] or 0
     usual = lambda c: F.coalesce((F.size(c) == d) & F.forall(c, lambda x: F.coalesce((x == 0) | F.abs(x).between(1e-35, 1e35), F.lit(False))), F.lit(False))
     (n, odd_n), (m, odd_m) = (df.agg(F.count(F.lit(1)), F.count(F.when(~usual(c), 1))).first() for df, c in ((v, "embedding"), (q, "vector")))
-    blocks = max(1, -(-m * max(1, d) * 8 // QUERY_BYTES))
-    parts = max(1, -(-n * max(1, d) * 8 // PART_BYTES), -(-3 * v.sparkSession.sparkContext.defaultParallelism // blocks))
+    # Three pairs of block and part to a core, fewer if that were less than 2^30 products in each.
+    least = min(3 * v.sparkSession.sparkContext.defaultParallelism, 1 + (n * m * d >> 30))
+    blocks, parts = _tiling(n, m, max(1, d), k, least)
     of = lambda count, *by: F.pmod(F.xxhash64(*by), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    asked = q.filter(usual("vector")).select(of(blocks, "query_id").alias("block"), every(parts).alias("part"), "query_id", *by, "vector")
-    dealt = v.filter(usual("embedding")).select(every(blocks).alias("block"), of(parts, key, "embedding").alias("part"), *by, key, "embedding")
+    # Little data but much work, so the number of tasks is explicit; with tasks to spare, as hashes deal a few pairs of block and part unevenly.
+    tasks = blocks * parts + 4 * least
+    asked = q.filter(usual("vector")).select(of(blocks, "query_id").alias("block"), every(parts).alias("part"), "query_id", *by, "vector").repartition(tasks, "block", "part", *by)
+    dealt = v.filter(usual("embedding")).select(every(blocks).alias("block"), of(parts, key, "embedding").alias("part"), *by, key, "embedding").repartition(tasks, "block", "part", *by)
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         # Rows in order of their keys, so that ties go by place.
@@ -305,6 +310,17 @@ def pairs(vectors: DataFrame, queries: DataFrame, k: int, measure: str, key: str
     return found
 
 
+def _tiling(n: int, m: int, d: int, k: int, tasks: int) -> tuple[int, int]:
+    """Blocks of m queries and parts of n vectors of d numbers, at least `tasks` pairs of them.
+
+    A part costs each query its k best once more, each about as much as sixteen
+    numbers of a vector; a block costs each vector once more.
+    """
+    parts = max(1, math.isqrt(tasks * n * d // max(1, 16 * k * m)))
+    blocks = max(1, -(-m * d * 8 // QUERY_BYTES), -(-tasks // parts))
+    return blocks, max(1, -(-n * d * 8 // PART_BYTES), -(-tasks // blocks))
+
+
 def _scored(vectors: DataFrame, queries: DataFrame, asked: int, measure: str, key: str, *by: str) -> DataFrame:
     """(query_id, by, key, score) of all pairs by expressions, in blocks of about BLOCK queries."""
     count = max(1, -(-asked // BLOCK))
@@ -334,9 +350,6 @@ def nearest_rows(a: np.ndarray, b: np.ndarray, k: int, measure: str) -> tuple[np
         keep = np.arange(min(k, len(b)))
     b = b[keep]
     (aa, bb), cos = ((sum((x[:, t] * x[:, t] for t in range(d)), np.zeros(len(x)))) for x in (a, b)), measure != "l2"
-    unit = lambda x, xx: x / np.sqrt(np.where(xx > 0, xx, 1.0))[:, None]
-    left, right = (unit(a, aa), unit(b, bb)) if cos else (a, b)
-    off = 2.5e-9 + 16 * (d + 4) * 2.3e-16 * (1.0 if cos else (math.sqrt(aa.max()) + math.sqrt(bb.max())) ** 2)
     ta, tb = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
 
     def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -349,31 +362,69 @@ def nearest_rows(a: np.ndarray, b: np.ndarray, k: int, measure: str) -> tuple[np
         size = np.sqrt(aa[i] * bb[j])
         return np.where(size > 0, total / np.where(size > 0, size, 1.0), 0.0)
 
-    out = []
-    for low in range(0, len(a), 2048):
-        rows = min(2048, len(a) - low)
-        bar, held = np.full(rows, -np.inf), none
-        for at in range(0, len(b), 2048):
-            near = left[low : low + rows] @ right[at : at + 2048].T
-            if not cos:
-                near *= 2
-                near -= aa[low : low + rows, None]
-                near -= bb[None, at : at + 2048]
+    # Products of x and y: units, or rows about an origin in their midst, scaled to norms of one at most.
+    if cos:
+        x, y = (v / np.sqrt(np.where(vv > 0, vv, 1.0))[:, None] for v, vv in ((a, aa), (b, bb)))
+    else:
+        origin = np.median(b[:: 1 + len(b) // 2048], axis=0)
+        x, y = a - origin, b - origin
+        scale = math.ldexp(1.0, -math.frexp(math.sqrt(max((v * v).sum(axis=1).max() for v in (x, y))))[1])
+        x, y = x * scale, y * scale
+    xx, yy = ((v * v).sum(axis=1) for v in (x, y))
+    # A product of rows is off by less than slack * (2 * xx + 2 * yy), one of units by less than slack; the part of yy goes with y.
+    slack = lambda kind: 2 * (d + 4) * float(np.finfo(kind).eps)
+    asking = lambda at, kind: (x[at] if cos else np.c_[2 * x[at], np.ones(len(x[at]))]).astype(kind)
+    asked = lambda at, kind: (y[at] if cos else np.c_[y[at], (2 * slack(kind) - 1) * yy[at]]).astype(kind)
+
+    def least(bar: np.ndarray, at: slice, kind: type) -> np.ndarray:
+        """What the product of a row in `at` with one that scores `bar` or more comes to at least."""
+        low = bar - 2.5e-9 - slack(kind) if cos else (bar - 2.5e-9) * scale * scale + (1 - 2 * slack(kind)) * xx[at] - 1e-30
+        with np.errstate(over="ignore"):
+            return low.astype(kind)[:, None]
+
+    out, others = [], asked(slice(None), np.float32)
+    tile, over = (np.empty(ROWS * COLUMNS, t) for t in (np.float32, bool))
+    for low in range(0, len(a), ROWS):
+        own = slice(low, low + ROWS)
+        left = asking(own, np.float32)
+        rows = len(left)
+        bar, held, waiting = np.full(rows, -np.inf), none, []
+        for at in range(0, len(b), COLUMNS):
+            right = others[at : at + COLUMNS].T
+            near, hit = (buffer[: rows * right.shape[1]].reshape(rows, -1) for buffer in (tile, over))
+            np.matmul(left, right, out=near)
             if not at and near.shape[1] >= k:
-                bar = np.partition(near, -k, axis=1)[:, -k] - off
-            i, j = np.nonzero(near >= (bar - off)[:, None])
-            i, j, score = (np.concatenate(x) for x in zip(held, (i, j + at, exact(i + low, j + at)), strict=True))
+                first = np.argpartition(near, -k, axis=1)[:, -k:]
+                bar = exact(np.repeat(np.arange(rows), k) + low, first.ravel()).reshape(rows, k).min(axis=1)
+            i, j = _spots(np.greater_equal(near, least(bar, own, np.float32), out=hit))
+            if len(i) > near.size // 16:
+                i, j = _spots(asking(own, np.float64) @ asked(slice(at, at + COLUMNS), np.float64).T >= least(bar, own, np.float64))
+            waiting.append((i, j + at))
+            if at + COLUMNS < len(b) and sum(len(i) for i, _ in waiting) < 2 * rows * k:
+                continue
+            i, j = (np.concatenate(v) for v in zip(*waiting, strict=True))
+            i, j, score = (np.concatenate(v) for v in zip(held, (i, j, exact(i + low, j)), strict=True))
+            waiting = []
             order = np.lexsort((j, -score, i))
             i, j, score = i[order], j[order], score[order]
             place = _places(i)
-            bar = np.full(rows, -np.inf)
-            bar[i[place == k - 1]] = score[place == k - 1]
+            full = place == k - 1
+            bar[i[full]] = np.maximum(bar[i[full]], score[full])
             fresh = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (score[1:] != score[:-1])]) if len(i) else i
             tied = np.arange(len(i)) - np.repeat(fresh, np.diff(np.r_[fresh, len(i)]))
             stay = (score >= bar[i] - 2.5e-9) & (tied < k)
             held = i[stay], j[stay], score[stay]
         out.append((held[0] + low, keep[held[1]], held[2]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
+def _spots(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true elements, looked for by eights."""
+    flat = hit.ravel()
+    flat = np.r_[flat, np.zeros(-len(flat) % 8, bool)].reshape(-1, 8) if len(flat) % 8 else flat.reshape(-1, 8)
+    some = np.flatnonzero(flat.view(np.uint64))
+    i, j = np.nonzero(flat[some])
+    return np.divmod(some[i] * 8 + j, hit.shape[1])
 
 
 def _places(group: np.ndarray) -> np.ndarray:

@@ -1,7 +1,9 @@
 """Nearest vectors by matrix products give the same rows as every pair's own score."""
 
+import functools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -37,6 +39,47 @@ def test_a_part_sends_on_few_rows():
     assert j.tolist() == [0, 1, 2]
 
 
+@pytest.mark.parametrize("measure", ["l2", "cosine"])
+def test_products_lose_no_row_of_any_size(measure):
+    """Rows far from the origin, close to each other, copied, or of sizes that single precision does not hold."""
+    rng = np.random.default_rng(3)
+    near = np.repeat(rng.normal(size=(40, 6)), 20, axis=0) + rng.normal(size=(800, 6)) * 1e-6
+    sets = [rng.normal(size=(700, 6)), near, near * 1e-3 + 1e4, rng.normal(size=(700, 6)) * 10.0 ** rng.integers(-30, 30, (700, 1)), np.vstack([near, near[:50], np.zeros((30, 6)), [[1e34] * 6]])]
+    for b in sets:
+        a = b[:: max(1, len(b) // 90)]
+        i, j, score = retrieval.nearest_rows(a, b, 7, measure)
+        best = {}
+        for x, y, z in zip(i.tolist(), j.tolist(), score.tolist(), strict=True):
+            best.setdefault(x, []).append((-round(z, 9), y))
+        for x, row in enumerate(a.tolist()):
+            dot = lambda u, v: functools.reduce(lambda s, p: s + p[0] * p[1], zip(u, v, strict=True), 0.0)
+            if measure == "l2":
+                each = [-functools.reduce(lambda s, p: s + (p[0] - p[1]) * (p[0] - p[1]), zip(row, other, strict=True), 0.0) for other in b.tolist()]
+            else:
+                each = [dot(row, other) / size if (size := math.sqrt(dot(row, row) * dot(other, other))) > 0 else 0.0 for other in b.tolist()]
+            assert sorted(best[x])[:7] == sorted((-round(z, 9), y) for y, z in enumerate(each))[:7]
+
+
+def test_one_far_row_costs_no_memory():
+    """A vector of another size widens no other pair's bounds, so few pairs are scored one by one."""
+    rng = np.random.default_rng(4)
+    b = rng.normal(size=(6000, 16))
+    b[5] *= 1e7
+    tracemalloc.start()
+    i, j, _ = retrieval.nearest_rows(b[::4], b, 3, "l2")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) < 4 * len(b[::4]) and peak < 40 << 20
+
+
+def test_parts_and_blocks_are_balanced():
+    """A twentieth asks for 20: no query sends on its best from every task's own part; sizes stay bounded."""
+    assert retrieval._tiling(205_128, 10_257, 64, 20, 24) == (3, 8)
+    for n, m, d, k, tasks in ((0, 0, 1, 5, 12), (10, 1, 64, 5, 12), (7, 9000, 3, 50, 36), (10**7, 5 * 10**5, 64, 20, 36), (10**6, 1, 1536, 10, 8)):
+        blocks, parts = retrieval._tiling(n, m, d, k, tasks)
+        assert blocks * parts >= tasks and m * d * 8 <= blocks * retrieval.QUERY_BYTES and n * d * 8 <= parts * retrieval.PART_BYTES
+
+
 def test_best_cosines_are_those_of_all_pairs(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(i if i < 190 else 7, rng.choice("abc"), [rng.choice((0.0, 1.0, rng.random())) for _ in range(3)]) for i in range(200)]
