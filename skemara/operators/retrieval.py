@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skemara.functions.scalar import cosine, l2, runs, tokens
-from skemara.sources.scratch import meet_blocks, small, stored
+from skemara.sources.scratch import apart, meet_blocks, small, stored
 
 #: Words that carry no search meaning, and more that questions are padded with.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
@@ -288,11 +288,12 @@ def pairs(vectors: DataFrame, queries: DataFrame, k: int, measure: str, key: str
     least = min(3 * v.sparkSession.sparkContext.defaultParallelism, 1 + (n * m * d >> 30))
     blocks, parts = _tiling(n, m, max(1, d), k, least)
     of = lambda count, *by: F.pmod(F.xxhash64(*by), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    # Little data but much work, so the number of tasks is explicit; with tasks to spare, as hashes deal a few pairs of block and part unevenly.
-    tasks = blocks * parts + 4 * least
-    asked = q.filter(usual("vector")).select(of(blocks, "query_id").alias("block"), every(parts).alias("part"), "query_id", *by, "vector").repartition(tasks, "block", "part", *by)
-    dealt = v.filter(usual("embedding")).select(every(blocks).alias("block"), of(parts, key, "embedding").alias("part"), *by, key, "embedding").repartition(tasks, "block", "part", *by)
+    # Little data but much work, so the number of tasks is explicit: one for each pair of block and part, or with tasks to spare where hashes of `by` deal them unevenly.
+    tasks, cells = (blocks * parts + 4 * least, list(range(blocks * parts))) if by else (blocks * parts, apart(v.sparkSession, blocks * parts))
+    cell = lambda places: F.explode(F.transform(places, lambda x: F.element_at(F.lit(cells), x + 1)))
+    block, part = of(blocks, "query_id"), of(parts, key, "embedding")
+    asked = q.filter(usual("vector")).select(cell(F.sequence(block * parts, block * parts + (parts - 1))).alias("cell"), "query_id", *by, "vector").repartition(tasks, "cell", *by)
+    dealt = v.filter(usual("embedding")).select(cell(F.sequence(part, part + (blocks - 1) * parts, F.lit(parts))).alias("cell"), *by, key, "embedding").repartition(tasks, "cell", *by)
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         # Rows in order of their keys, so that ties go by place.
@@ -302,7 +303,7 @@ def pairs(vectors: DataFrame, queries: DataFrame, k: int, measure: str, key: str
         return pa.table({**{c: left.column(c).take(pa.array(i)) for c in ("query_id", *by)}, key: right.column(key).take(pa.array(j)), "score": score})
 
     shape = T.StructType([q.schema["query_id"], *(q.schema[c] for c in by), v.schema[key], T.StructField("score", T.DoubleType())])
-    found = asked.groupBy("block", "part", *by).cogroup(dealt.groupBy("block", "part", *by)).applyInArrow(best, shape)
+    found = asked.groupBy("cell", *by).cogroup(dealt.groupBy("cell", *by)).applyInArrow(best, shape)
     if odd_n:
         found = found.unionByName(_scored(v.filter(~usual("embedding")), q, m, measure, key, *by))
     if odd_m:
@@ -448,8 +449,9 @@ def vote(matches: DataFrame, links: DataFrame, k: int = 10) -> DataFrame:
 
 
 def rerank(results: DataFrame, scores: DataFrame, k: int, key: str) -> DataFrame:
-    """The first 5k results in order of a supplied score, k of them."""
-    met = results.filter(F.col("rank") <= 5 * k).drop("rank", "score").join(scores, ["query_id", key])
+    """The first 5k results in order of a supplied score, k of them. `scores` has (query_id, key, score), or (key, score) for all queries."""
+    on = [c for c in ("query_id", key) if c in scores.columns]
+    met = results.filter(F.col("rank") <= 5 * k).drop("rank", "score").join(scores, on)
     return top(met, k, key)
 
 

@@ -9,7 +9,6 @@ from skemara.functions.scalar import camel_words, highlight, phrases, stem_alias
 from skemara.operators import postings as X
 from skemara.operators import retrieval as R
 from skemara.registry import oracle_of, query, table
-from skemara.sources.scratch import stored
 
 _STOP = ", ".join(f"'{w}'" for w in R.STOP)
 
@@ -189,8 +188,8 @@ def r23_votes(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_NEAR}, m AS (SELECT *, round((vec_id * 31 % 97)::DOUBLE, 9) AS s2 FROM r WHERE rank <= 25), k AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, vec_id) AS rank FROM m) SELECT * FROM k WHERE rank <= 5")
 def r24_reranked(spark: SparkSession, sf: str) -> DataFrame:
     e, q = vectors(spark, sf)
-    found = stored(R.nearest(e, q, k=25), "nearest")
-    return R.rerank(found, found.select("query_id", "vec_id", (F.col("vec_id") * 31 % 97).cast("double").alias("score")), 5, "vec_id").select("query_id", "vec_id", "rank")
+    scores = e.select("vec_id", (F.col("vec_id") * 31 % 97).cast("double").alias("score"))
+    return R.rerank(R.nearest(e, q, k=25), scores, 5, "vec_id").select("query_id", "vec_id", "rank")
 
 
 @query("SELECT 'documents' AS \"table\", count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings")

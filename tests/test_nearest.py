@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skemara import registry
 from skemara.functions.scalar import cosine
 from skemara.operators import metrics, retrieval
+from skemara.sources import scratch
 
 
 @pytest.mark.parametrize("measure", ["l2", "cosine"])
@@ -137,3 +139,35 @@ def test_bm25_deals_documents_by_their_postings(spark, monkeypatch):
     got = {(r.query_id, r.doc_id): r.score for r in retrieval.bm25(docs, asked).collect()}
     weight = lambda n, tf, dl: math.log((6 - n + 0.5) / (n + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (10 / 6)))
     assert got == pytest.approx({(1, 1): weight(2, 3, 3), (1, 2): weight(2, 1, 1), (1, 5): weight(1, 1, 3), (2, 1): weight(2, 3, 3), (2, 5): weight(2, 1, 3)})
+
+
+def test_each_pair_of_block_and_part_has_its_task(spark, monkeypatch):
+    """Two in one task, as hashes of their numbers would deal some, take twice the time of the others."""
+    rng = random.Random(6)
+    vectors = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(800)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 2048)
+    monkeypatch.setattr(retrieval, "PART_BYTES", 4096)
+    blocks, parts = retrieval._tiling(800, 200, 4, 3, 1)
+    queries = vectors.filter("vec_id % 4 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    sizes = [r["count"] for r in retrieval.pairs(vectors, queries, 3, "l2", "vec_id").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == blocks * parts > 20 and sum(sizes) == 200 * parts * 3
+    assert len(set(scratch.apart(spark, 500))) == 500
+
+
+def test_rerank_by_a_score_of_rows(spark):
+    """One score per row for all queries is joined by the row's key alone; rows without a score go."""
+    found = spark.createDataFrame([(q, v, 0.0, v + 1) for q in (1, 2) for v in range(12)], "query_id int, vec_id int, score double, rank int")
+    scores = spark.createDataFrame([(v, float(v * 7 % 5)) for v in range(12) if v != 4], "vec_id int, score double")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in retrieval.rerank(found, scores, 2, "vec_id").collect())
+    assert got == [(q, place, v, s) for q in (1, 2) for place, v, s in ((1, 2, 4.0), (2, 7, 4.0))]
+    each = spark.createDataFrame([(q, v, float(q * v * 7 % 5)) for q in (1, 2) for v in range(12)], "query_id int, vec_id int, score double")
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in retrieval.rerank(found, each, 2, "vec_id").collect()) == [(1, 1, 2), (1, 2, 7), (2, 1, 1), (2, 2, 6)]
+
+
+def test_reranked_search_writes_nothing(spark, sf_dir, monkeypatch):
+    """Nearest rows meet their scores in one job, without a table written and read twice between."""
+    def write(*_):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(scratch, "scratch", write)
+    assert registry.queries()["r24_reranked"](spark, sf_dir).count() == 125
