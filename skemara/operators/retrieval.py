@@ -282,7 +282,7 @@ def pairs(vectors: DataFrame, queries: DataFrame, k: int, measure: str, key: str
     """(query_id, by, key, score): the pairs of which `nearest` takes the best; with columns `by` on both sides, those of vectors whose values there are the query's."""
     v, q = vectors.select(*by, key, "embedding"), queries.select("query_id", *by, "vector")
     d = q.agg(F.max(F.when(F.col("vector").isNotNull(), F.size("vector")))).first()[0] or 0
-    usual = lambda c: F.coalesce((F.size(c) == d) & F.forall(c, lambda x: F.coalesce((x == 0) | F.abs(x).between(1e-35, 1e35), F.lit(False))), F.lit(False))
+    usual = lambda c: _rankable(c, d, (q if c == "vector" else v).schema[c].dataType)
     (n, odd_n), (m, odd_m) = (df.agg(F.count(F.lit(1)), F.count(F.when(~usual(c), 1))).first() for df, c in ((v, "embedding"), (q, "vector")))
     # Three pairs of block and part to a core, fewer if that were less than 2^30 products in each.
     least = min(3 * v.sparkSession.sparkContext.defaultParallelism, 1 + (n * m * d >> 30))
@@ -311,6 +311,20 @@ def pairs(vectors: DataFrame, queries: DataFrame, k: int, measure: str, key: str
     return found
 
 
+def _rankable(c: str, d: int, kind: T.ArrayType) -> Column:
+    """Whether a product can rank a vector of d numbers.
+
+    Squares of single precision are far from underflow in double precision, so
+    its extremes tell, without a function for each number.
+    """
+    if isinstance(kind.elementType, T.FloatType):
+        # No number is 2e35 here, so looking for it gives null if one is null, else false.
+        within = (F.array_max(c) <= 1e35) & (F.array_min(c) >= -1e35) & ~F.array_contains(c, F.lit(2e35).cast("float"))
+    else:
+        within = F.forall(c, lambda x: F.coalesce((x == 0) | F.abs(x).between(1e-35, 1e35), F.lit(False)))
+    return F.coalesce((F.size(c) == d) & within, F.lit(False))
+
+
 def _tiling(n: int, m: int, d: int, k: int, tasks: int) -> tuple[int, int]:
     """Blocks of m queries and parts of n vectors of d numbers, at least `tasks` pairs of them.
 

@@ -141,6 +141,21 @@ def test_bm25_deals_documents_by_their_postings(spark, monkeypatch):
     assert got == pytest.approx({(1, 1): weight(2, 3, 3), (1, 2): weight(2, 1, 1), (1, 5): weight(1, 1, 3), (2, 1): weight(2, 3, 3), (2, 5): weight(2, 1, 3)})
 
 
+@pytest.mark.parametrize("measure", ["l2", "cosine"])
+def test_nearest_of_single_precision(spark, measure, capsys):
+    """Numbers of any size that single precision holds, and what is none, rank as each pair's own score; no function is called for each number of a usual vector."""
+    rng = random.Random(5)
+    rows = [[rng.choice((-1.0, 0.0, rng.random())) * 10.0 ** rng.choice((0, 0, 0, -44, 30)) for _ in range(4)] for _ in range(150)]
+    rows += [None, [], [1.0, 2.0], [1.0, None, 0.0, 0.0], [None] * 4, [math.nan, 0.0, 0.0, 1.0], [-math.inf, 0.0, 0.0, 1.0], [3e38, 1.0, 1.0, 1.0], [-3e38, 0.0, 0.0, 0.0], [1e-45] * 4]
+    vectors = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+    queries = vectors.filter("vec_id % 5 = 0 OR vec_id >= 150").selectExpr("vec_id AS query_id", "embedding AS vector")
+    want = retrieval.top(retrieval._scored(vectors, queries, queries.count(), measure, "vec_id"), 6, "vec_id").select("query_id", "vec_id", "score", "rank")
+    got = retrieval.nearest(vectors, queries, 6, measure)
+    assert sorted(map(str, got.select("query_id", "vec_id", "score", "rank").collect())) == sorted(map(str, want.collect()))
+    retrieval.pairs(vectors.filter("vec_id < 150"), queries.filter("query_id < 150"), 6, measure, "vec_id").explain()
+    assert "forall" not in capsys.readouterr().out
+
+
 def test_each_pair_of_block_and_part_has_its_task(spark, monkeypatch):
     """Two in one task, as hashes of their numbers would deal some, take twice the time of the others."""
     rng = random.Random(6)
