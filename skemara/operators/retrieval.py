@@ -27,8 +27,10 @@ FILLER = (
 )
 #: Queries, or distinct terms of queries, that meet a row at once.
 BLOCK = 256
-#: Rows that a token adds over all queries that ask for it, above which it counts as frequent; lists that the queries of a date are dealt to.
-FREQUENT, LISTS = 1_000_000, 16
+#: Rows that a token adds over all queries that ask for it, above which it counts as frequent.
+FREQUENT = 1_000_000
+#: Keys, and queries, of a date that are paired at once; queries of a date that are numbered together; pairs that a task writes.
+DATE_KEYS, DATE_QUERIES, DATE_BLOCK, PAIRS_PER_TASK = 2048, 512, 65_536, 32_000_000
 #: Postings that a task sums up.
 POSTINGS_PER_TASK = 250_000
 #: Bytes of query vectors, and of vectors, that meet in one task.
@@ -143,27 +145,43 @@ def exact_numbers(docs: DataFrame, queries: DataFrame, columns: list[str], key:
 def by_date(docs: DataFrame, dates: DataFrame, key: str, when: str) -> DataFrame:
     """(query_id, key, score): rows of a query's date: 3 for the day, 2 for year and month, 1 for the month alone. `dates` has query_id, year, month, day with nulls.
 
-    A row states its day, its month and its month of any year, and each
-    distinct statement meets the lists of queries that ask for it by equality.
-    A query that asks once meets a key with one date once, so these pairs, as
+    A row states its day, its month and its month of any year. The keys that
+    make a statement are cut into parts and the queries that ask for it into
+    lists, both of bounded size, and each part meets each list in a task. A
+    query that asks once meets a key with one date once, so these pairs, as
     many as the result has, are written as they are found; the others are
-    summed up.
+    summed up. The merge join hands on the keys of a part list by list, so rows
+    repeat a key, and keys the same list, and files hold a row in a fraction of
+    a byte.
     """
-    none = F.lit(0)
-    kind = F.when(F.col("year").isNotNull() & F.col("day").isNotNull(), 3.0).when(F.col("year").isNotNull(), 2.0).when(F.col("day").isNull(), 1.0)
+    none, by = F.lit(0), ["score", "y", "m", "d"]
+    kind = F.when(F.col("year").isNotNull() & F.col("day").isNotNull(), 3).when(F.col("year").isNotNull(), 2).when(F.col("day").isNull(), 1)
     asked = dates.select("query_id", kind.alias("score"), F.coalesce("year", none).alias("y"), F.col("month").alias("m"), F.coalesce("day", none).alias("d")).filter("score IS NOT NULL AND m IS NOT NULL").distinct()
     asked = stored(asked.join(asked.groupBy("query_id").agg((F.count(F.lit(1)) == 1).alias("_q")).withColumnRenamed("query_id", "_i"), F.col("query_id").eqNullSafe(F.col("_i"))).drop("_i"), "asked")
-    days = docs.select(key, F.to_date(when).alias("_d")).filter("_d IS NOT NULL").groupBy(key).agg(F.min("_d").alias("_d"), (F.min("_d") == F.max("_d")).alias("_k"))
+    every = docs.select(key, F.to_date(when).alias("_d")).filter("_d IS NOT NULL")
+    days = every.groupBy(key).agg(F.min("_d").alias("_d"), (F.min("_d") == F.max("_d")).alias("_k"))
     y, m, d = F.year("_d"), F.month("_d"), F.day("_d")
-    says = F.array(*(F.struct(F.lit(s).alias("score"), a.alias("y"), m.alias("m"), b.alias("d")) for s, a, b in ((3.0, y, d), (2.0, y, none), (1.0, none, none))))
+    says = F.explode(F.array(*(F.struct(F.lit(s).alias("score"), a.alias("y"), m.alias("m"), b.alias("d")) for s, a, b in ((3, y, d), (2, y, none), (1, none, none)))))
+    # Rows and queries of each statement that has both, and the parts and lists that they make.
+    rows = every.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).select("_n", says.alias("x")).select("x.*", "_n").groupBy(*by).agg(F.sum("_n").alias("_n"))
+    both = stored(rows.join(asked.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")), by), "statements")
+    pairs = both.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS_PER_TASK))
+    cut = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    asked = asked.join(both.select(*by, F.ceil(F.col("_n") / DATE_KEYS).cast("int").alias("_parts"), F.ceil(F.col("_m") / DATE_BLOCK).cast("int").alias("_blocks")), by).withColumn("_block", cut("query_id", "_blocks"))
+    place = F.row_number().over(Window.partitionBy(*by, "_block").orderBy("query_id")) - 1
+    asked = stored(asked.withColumn("_list", F.floor(place / DATE_QUERIES).cast("int") * F.col("_blocks") + F.col("_block")).drop("_block", "_blocks"), "lists")
 
     def met(rows: DataFrame, part: DataFrame) -> DataFrame:
-        listed = part.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(LISTS))).groupBy("score", "y", "m", "d", "_b").agg(F.collect_list("query_id").alias("_l")).drop("_b")
-        return rows.select(key, F.explode(says).alias("x")).select(key, "x.*").join(small(listed), ["score", "y", "m", "d"]).select(F.explode("_l").alias("query_id"), key, "score")
+        at = [*by, "_list", "_part"]
+        lists = part.groupBy(*by, "_list", "_parts").agg(F.collect_list(F.struct("query_id")).alias("_l"))
+        keys = rows.select(key, says.alias("x")).select(key, "x.*").join(small(lists.drop("_l")), by).withColumn("_part", cut(key, "_parts")).select(key, *at).repartition(tasks, *at)
+        lists = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*at, F.col("_l")["query_id"].alias("_l")).repartition(tasks, *at)
+        return keys.hint("merge").join(lists, at).select(F.explode("_l").alias("query_id"), key, F.col("score").cast("double").alias("score"))
 
     found = met(days.filter("_k").drop("_k"), asked.filter("_q").drop("_q"))
     several = stored(days.filter("NOT _k").select(F.col(key).alias("_key")), "several")
-    every = docs.select(key, F.to_date(when).alias("_d"))
+    every = every.distinct()
     rest = []
     if not asked.filter("NOT _q").isEmpty():
         rest.append(met(every, asked.filter("NOT _q").drop("_q")))

@@ -1,6 +1,7 @@
 """Nearest vectors by matrix products give the same rows as every pair's own score."""
 
 import functools
+import itertools
 import math
 import random
 import tracemalloc
@@ -131,6 +132,39 @@ def test_dates_are_met_without_a_shuffle_of_pairs(spark, capsys):
     assert plan.index("Generate explode(_l") < plan.index("Exchange")
 
 
+def test_dates_of_many_parts_and_lists(spark, monkeypatch):
+    """Each part of a date's keys meets each list of its queries, those without an id too; a task writes a bounded number of pairs."""
+    rng = random.Random(7)
+    docs = [(None if i == 9 else i, f"199{rng.randrange(2)}-0{rng.randrange(1, 4)}-0{rng.randrange(1, 3)}") for i in range(150)] + [(3, "1990-01-01"), (3, "1991-02-02"), (200, None)]
+    dates = [(None if i == 5 else i, rng.choice((None, 1990, 1991)), rng.randrange(1, 5), rng.choice((None, None, 1))) for i in range(60)] + [(7, 1990, 1, None), (7, None, 1, None)]
+    want = {}
+    for k, day in docs:
+        for q, y, m, d in dates:
+            score = 3.0 if y and d else 2.0 if y else None if d else 1.0
+            if day and score and int(day[5:7]) == m and y in (None, int(day[:4])) and d in (None, int(day[8:])):
+                want[q, k] = max(score, want.get((q, k), 0))
+    frames = spark.createDataFrame(docs, "k int, day string").selectExpr("k", "CAST(day AS date) AS day"), spark.createDataFrame(dates, "query_id int, year int, month int, day int")
+    for keys, queries, block, pairs in ((2048, 512, 65_536, 10**9), (8, 3, 5, 50)):
+        for name, n in (("DATE_KEYS", keys), ("DATE_QUERIES", queries), ("DATE_BLOCK", block), ("PAIRS_PER_TASK", pairs)):
+            monkeypatch.setattr(retrieval, name, n)
+        got = retrieval.by_date(*frames, "k", "day")
+        assert sorted(((r.query_id, r.k, r.score) for r in got.collect()), key=str) == sorted(((q, k, s) for (q, k), s in want.items()), key=str)
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < len(want) / 4
+
+
+def test_dated_keys_repeat_the_same_list(spark):
+    """Keys of one month that follow each other in a task have the same queries in the same order, so files hold the pairs in little."""
+    docs = spark.range(3000).selectExpr("id AS k", "make_date(1994, 1 + CAST(id % 12 AS int), 1) AS day")
+    dates = spark.range(7200).selectExpr("id AS query_id", "CAST(NULL AS int) AS year", "1 + CAST(id % 12 AS int) AS month", "CAST(NULL AS int) AS day")
+    tasks = {}
+    for r in retrieval.by_date(docs, dates, "k", "day").withColumn("task", F.spark_partition_id()).select("task", "k", "query_id").collect():
+        tasks.setdefault(r.task, []).append((r.k, r.query_id))
+    lists = [[tuple(q for _, q in pairs) for _, pairs in itertools.groupby(rows, lambda r: r[0])] for rows in tasks.values()]
+    assert sum(len(x) for keys in lists for x in keys) == 3000 * 600
+    assert sum(a != b for keys in lists for a, b in itertools.pairwise(keys)) < 24
+    assert {len(x) for keys in lists for x in keys} == {512, 88}
+
+
 def test_bm25_deals_documents_by_their_postings(spark, monkeypatch):
     """Rows of one key and length count as one document; many postings are many tasks'."""
     docs = spark.createDataFrame([(1, "red red blue"), (1, "red blue blue"), (2, "red"), (3, ""), (4, None), (5, "green blue sky")], "doc_id int, text string")
